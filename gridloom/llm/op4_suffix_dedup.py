@@ -4,19 +4,19 @@ Which 50-byte strings can repeat at all is found first from anchors, so that suf
 where a repeat is possible:
 
 1. Documents are packed, about 8 MB a row, into a table bucketed by pack, so later steps join small replies to
-   the packs without moving texts again.
+   the packs without moving texts again. A document whose whole text occurs under a smaller doc_id is covered
+   as a whole; only the others ("heads") go on.
 2. Every window of `min_bytes` bytes has an anchor: its smallest hashed k-gram (leftmost of equals). Equal
-   windows have equal anchors. Each pack sends its distinct anchor hashes to the hash's bucket, 8 bytes each.
-3. A bucket replies, one bit for each hash, which anchors occur in at least two documents.
-4. For those, the run of windows that share an anchor is sent as one unit to the shard of its anchor (once for
-   each pack and content, with the smallest doc_id there). An anchor found in very many packs would load one
-   shard; its windows are sent singly to the shards of their own content instead.
-5. Each shard sorts the suffixes of its distinct units by induced sorting; neighbours with a common prefix of
-   `min_bytes` are the same window, and the smallest doc_id of each such class decides. The shard replies to
-   each pack which windows of a unit have a smaller owner.
-6. The packs cut the covered bytes.
-
-A document whose whole text occurs under a smaller doc_id is covered as a whole and sends no units.
+   windows have equal anchors. Each pack sends its distinct anchor hashes, 8 bytes each, to the hash's bucket,
+   which replies, one bit for each hash, which anchors occur in at least two documents.
+3. The run of windows that share such an anchor is a unit. Each pack sends its units' anchor and content
+   hashes with the smallest doc_id. The bucket replies which units have a twin of the same bytes under a
+   smaller doc_id (they are covered as a whole) and whose anchor has several contents.
+4. Of the latter, the first of each content is sent as text to the shard of its anchor. There the suffixes of
+   all units are sorted by induced sorting; neighbours with a common prefix of `min_bytes` are the same window,
+   and the smallest doc_id of each such class decides. An anchor with very many contents would load one shard:
+   its windows are sent singly, to the shards of their own content.
+5. The packs cut the covered bytes.
 """
 
 from __future__ import annotations
@@ -37,9 +37,10 @@ from .suffix_arrays import common_prefixes, suffix_array
 
 PACK_BYTES = 8 << 20
 BUCKET_BYTES = 16 << 20
-HOT_PACKS = 256
+HOT_CONTENTS = 4096
+SHARDS = 4
 NO_ID = np.iinfo(np.int64).max
-PIECE = 1 << 16
+PIECE = 1 << 14
 
 PACKS = "pack long, ids binary, sizes binary, digests binary, blob binary, n_bytes long"
 
@@ -66,144 +67,238 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64), np.frombuffer(blob, np.uint8)
 
 
-def anchor_runs(data: np.ndarray, sizes: np.ndarray, min_bytes: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one anchor, within documents: first window, windows, anchor place, anchor hash, document."""
+#: Powers of an odd number and of its inverse, for hashes of any byte range from running sums.
+POWERS = np.concatenate(([1], np.cumprod(np.full(PIECE * 2, 0x9E3779B97F4A7C15, np.uint64)))).astype(np.uint64)
+INVERSES = np.concatenate(([1], np.cumprod(np.full(PIECE * 2, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)))).astype(np.uint64)
+
+
+def window_anchors(piece: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of w k-grams: the place of its smallest hashed k-gram, and that hash."""
+    h, width, grams, gram = BYTE_KEYS[piece], 1, None, 0
+    while True:
+        if k & width:
+            if grams is None:
+                grams, gram = h, width
+            else:
+                n = len(piece) - gram - width + 1
+                grams, gram = grams[:n] * np.uint64(0x9FB21C651E98DF25 + 2 * width) + h[gram : gram + n], gram + width
+        if width * 2 > k:
+            break
+        h = h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * width) + h[width:]
+        width *= 2
+    reach, span = (grams & ~np.uint64(0x3FFFF)) | np.arange(len(grams), dtype=np.uint64), 1
+    while span * 2 <= w:
+        reach = np.minimum(reach[:-span], reach[span:])
+        span *= 2
+    if span < w:
+        reach = np.minimum(reach[: len(reach) - (w - span)], reach[w - span :])
+    place = (reach & np.uint64(0x3FFFF)).astype(np.int64)
+    return place, grams[place]
+
+
+def units_of(row, copies, min_bytes: int, contents: bool):
+    """A pack's ids, bytes and units (first window, windows, anchor hash, content hash, document).
+
+    A unit is a run of windows with one anchor in one document; `copies` lists documents left out.
+    """
+    ids, sizes, data = unpack(row)
     k = max(1, min(24, min_bytes // 2))
     w = min_bytes - k + 1
-    n = len(data)
     ends = np.cumsum(sizes)
-    found = []
-    for lo in range(0, max(0, n - min_bytes + 1), PIECE):
+    head = np.ones(len(ids), bool)
+    for x in copies:
+        head[np.frombuffer(x, np.int64)] = False
+    parts = []
+    for lo in range(0, max(0, len(data) - min_bytes + 1), PIECE):
         piece = data[lo : lo + PIECE + min_bytes - 1]
-        h, width = BYTE_KEYS[piece], 1
-        whole, whole_width, rest = None, 0, k
-        while rest:
-            if rest & 1:
-                whole, whole_width = (h, width) if whole is None else (whole[: len(piece) - whole_width - width + 1] * np.uint64(0x9FB21C651E98DF25 + 2 * width) + h[whole_width:], whole_width + width)
-            rest >>= 1
-            if rest:
-                h = h[: len(h) - width] * np.uint64(0xC2B2AE3D27D4EB4F + 2 * width) + h[width:]
-                width *= 2
-        h = mix64(whole)
-        low = (h & ~np.uint64(0x3FFFF)) | np.arange(len(h), dtype=np.uint64)
-        span, reach = 1, low
-        while span * 2 <= w:
-            reach = np.minimum(reach[:-span], reach[span:])
-            span *= 2
-        if span < w:
-            reach = np.minimum(reach[: len(reach) - (w - span)], reach[w - span :])
-        place = (reach & np.uint64(0x3FFFF)).astype(np.int64)
-        found.append((place + lo, h[place]))
-    empty = np.empty(0, np.int64)
-    if not found:
-        return empty, empty, empty, empty.astype(np.uint64), empty
-    place = np.concatenate([x[0] for x in found])
-    hashes = np.concatenate([x[1] for x in found])
-    left = np.repeat(ends, sizes)[: len(place)] - np.arange(len(place))
-    valid = left >= min_bytes
-    doc = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
-    change = np.ones(len(place), bool)
-    change[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])
-    first = np.flatnonzero(change)
-    count = np.diff(np.append(first, len(place)))
-    keep = valid[first]
-    first, count = first[keep], count[keep]
-    return first, count, place[first], hashes[first], doc[first]
+        place, hashes = window_anchors(piece, k, w)
+        here = np.arange(lo, lo + len(place))
+        near = slice(*np.searchsorted(ends, (lo, lo + len(place)), "right") + (0, 1))
+        doc = np.repeat(np.arange(near.start, min(near.stop, len(ends))), np.diff(np.clip(ends[near], lo, lo + len(place)), prepend=lo))
+        valid = (ends[doc] - here >= min_bytes) & head[doc]
+        change = np.ones(len(place), bool)
+        change[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1]) | (valid[1:] != valid[:-1])
+        first = np.flatnonzero(change)
+        count = np.diff(np.append(first, len(place)))
+        keep = valid[first]
+        first, count = first[keep], count[keep]
+        content = np.empty(0, np.uint64)
+        if contents:
+            sums = np.concatenate(([0], np.cumsum(BYTE_KEYS[piece] * POWERS[: len(piece)]))).astype(np.uint64)
+            end = first + count + min_bytes - 1
+            content = mix64((sums[end] - sums[first]) * INVERSES[first] + (end - first).astype(np.uint64))
+        parts.append((first + lo, count, mix64(hashes[first]), content, doc[first]))  # smallest hashes are small: mix them to deal evenly
+    if not parts:
+        empty = np.empty(0, np.int64)
+        return ids, data, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
+    return ids, data, *(np.concatenate(x) for x in zip(*parts))
+
+
+def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so a sorted array is cut into them."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
+
+
+def cuts(hashes: np.ndarray, n_buckets: int):
+    edges = np.searchsorted(bucket_of(hashes, n_buckets), np.arange(n_buckets + 1))
+    return [(b, i, j) for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if i < j]
+
+
+def bits_for(replies: pd.DataFrame, column: str, hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The buckets' reply bits in the order of the sorted `hashes` that were sent."""
+    by_bucket = dict(zip(replies["bucket"], replies[column]))
+    parts = [np.unpackbits(np.frombuffer(by_bucket[b], np.uint8), count=j - i) for b, i, j in cuts(hashes, n_buckets)]
+    return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
 
 
 def sorted_anchors(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes in order, and whether each has at least two doc_ids."""
-    order = np.argsort(hashes, kind="stable")
+    if not len(hashes):
+        return hashes, np.empty(0, bool)
+    order = np.argsort(hashes)
     h, d = hashes[order], ids[order]
-    new = np.ones(len(h), bool)
-    new[1:] = h[1:] != h[:-1]
-    first = np.flatnonzero(new)
-    if not len(first):
-        return h, np.empty(0, bool)
+    first = runs(h)
     return h[first], np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
 
 
-def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def send_anchors(n_buckets: int, min_bytes: int):
+    def run(packs: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in packs.itertuples():
+            ids, _, _, _, hashes, _, doc = units_of(row, copies["copies"], min_bytes, contents=False)
+            h, many = sorted_anchors(hashes, ids[doc])
+            out += [(b, row.pack, h[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, i, j in cuts(h, n_buckets)]
+        return pd.DataFrame(out, columns=["bucket", "pack", "hashes", "many"])
+
+    return run
 
 
-def send_anchors(n_buckets: int, min_bytes: int):
-    def run(batches):
-        for batch in batches:
-            for row in batch.to_pandas().itertuples():
-                ids, sizes, data = unpack(row)
-                _, _, _, hashes, doc = anchor_runs(data, sizes, min_bytes)
-                h, many = sorted_anchors(hashes, ids[doc])
-                cut = np.searchsorted(bucket_of(h, n_buckets), np.arange(n_buckets + 1))
-                out = [(b, row.pack, h[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if i < j]
-                if out:
-                    yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["bucket", "pack", "hashes", "many"]), preserve_index=False)
+def find_repeats(rows: pd.DataFrame) -> pd.DataFrame:
+    """Reply to each pack, a bit for each hash of this bucket: does it occur in two documents?"""
+    parts = [np.frombuffer(x, np.uint64) for x in rows.hashes]
+    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows.many, parts)])
+    _, inverse, packs = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    repeats = packs > 1
+    repeats[inverse[many > 0]] = True
+    own = np.split(repeats[inverse], np.cumsum([len(p) for p in parts])[:-1])
+    return pd.DataFrame({"pack": rows["pack"], "bucket": rows["bucket"], "repeats": [np.packbits(x).tobytes() for x in own]})
+
+
+def repeated_units(row, replies: pd.DataFrame, n_buckets: int, min_bytes: int):
+    """The units of a pack whose anchors repeat, sorted by (anchor, content, doc_id), and where contents begin."""
+    ids, data, first, count, hashes, content, doc = units_of(row, replies["copies"].dropna(), min_bytes, contents=True)
+    h, _ = sorted_anchors(hashes, ids[doc])
+    repeats = bits_for(replies[replies["repeats"].notna()], "repeats", h, n_buckets)
+    keep = np.flatnonzero(repeats[np.searchsorted(h, hashes)]) if len(h) else np.empty(0, np.int64)
+    owner = ids[doc[keep]]
+    order = np.lexsort((owner, content[keep], hashes[keep]))
+    keep, owner = keep[order], owner[order]
+    return data, first[keep], count[keep], hashes[keep], content[keep], owner, runs(hashes[keep], content[keep]) if len(keep) else keep
+
+
+def send_contents(n_buckets: int, min_bytes: int):
+    def run(packs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in packs.itertuples():
+            _, _, _, h, c, owner, lead = repeated_units(row, replies, n_buckets, min_bytes)
+            h, c, owner = h[lead], c[lead], owner[lead]
+            out += [(b, row.pack, h[i:j].tobytes(), c[i:j].tobytes(), owner[i:j].tobytes()) for b, i, j in cuts(h, n_buckets)]
+        return pd.DataFrame(out, columns=["bucket", "pack", "hashes", "contents", "owners"])
 
     return run
 
 
-def find_repeats(hot_packs: int):
+def find_contents(hot_contents: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Reply to each pack: for its hashes of this bucket, a bit for 'repeats' and one for 'hot'."""
-        parts = [np.frombuffer(x, np.uint64) for x in rows.hashes]
-        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows.many, parts)])
-        values, inverse, packs = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-        repeats = packs > 1
-        repeats[inverse[many > 0]] = True
-        hot = packs >= hot_packs
-        at, out = 0, []
-        for pack, p in zip(rows["pack"], parts):
-            own = inverse[at : at + len(p)]
-            at += len(p)
-            out.append((pack, int(rows.bucket.iloc[0]), np.packbits(repeats[own]).tobytes(), np.packbits(hot[own]).tobytes()))
-        return pd.DataFrame(out, columns=["pack", "bucket", "repeats", "hot"])
+        """Reply to each pack, for each content: the smallest doc_id that has it, and bits for 'sort' and 'hot'."""
+        h, c = (np.concatenate([np.frombuffer(x, np.uint64) for x in rows[k]]) for k in ("hashes", "contents"))
+        d = np.concatenate([np.frombuffer(x, np.int64) for x in rows.owners])
+        order = np.lexsort((d, c, h))
+        lead = runs(h[order], c[order])
+        least = d[order][lead]
+        anchor = runs(h[order][lead])
+        contents = np.diff(np.append(anchor, len(lead)))
+        sizes = np.diff(np.append(lead, len(order)))
+        owner, sort, hot = np.empty(len(d), np.int64), np.empty(len(d), bool), np.empty(len(d), bool)
+        owner[order] = np.repeat(least, sizes)
+        several = np.minimum.reduceat(least, anchor) < np.maximum.reduceat(least, anchor)
+        sort[order] = np.repeat(np.repeat(several, contents), sizes)
+        hot[order] = np.repeat(np.repeat(contents >= hot_contents, contents), sizes)
+        edges = np.cumsum([len(x) // 8 for x in rows.owners])[:-1]
+        return pd.DataFrame(
+            {
+                "pack": rows["pack"],
+                "bucket": rows["bucket"],
+                "smaller": [np.packbits(x).tobytes() for x in np.split(owner < d, edges)],
+                "sort": [np.packbits(x).tobytes() for x in np.split(sort & (owner == d), edges)],
+                "hot": [np.packbits(x).tobytes() for x in np.split(hot, edges)],
+            }
+        )
 
     return run
 
 
-def send_units(n_buckets: int, min_bytes: int):
+def send_units(n_buckets: int, min_bytes: int, n_shards: int):
     def run(packs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        """Rows for shards (texts with owner and places), and for the pack itself (shard null) covered runs."""
         out = []
-        replies = replies.sort_values("bucket", na_position="last")
-        copies = {i for x in replies["copies"].dropna() for i in np.frombuffer(x, np.int64).tolist()}
-        replies = replies[replies["repeats"].notna()]
+        told = replies[replies["sort"].notna()]
         for row in packs.itertuples():
-            ids, sizes, data = unpack(row)
-            first, count, place, hashes, doc = anchor_runs(data, sizes, min_bytes)
-            h, _ = sorted_anchors(hashes, ids[doc])
-            per = np.bincount(bucket_of(h, n_buckets), minlength=n_buckets)
-            bits = [[np.unpackbits(np.frombuffer(x, np.uint8), count=per[b]) for b, x in zip(replies.bucket.astype(int), replies[c])] for c in ("repeats", "hot")]
-            repeats, hot = (np.concatenate(x).astype(bool) if x else np.empty(0, bool) for x in bits)
-            own = np.searchsorted(h, hashes)
-            head = np.ones(len(ids), bool)
-            head[list(copies)] = False
-            chosen = np.flatnonzero(repeats[own] & head[doc]) if len(own) else own
-            single = hot[own[chosen]] if len(own) else np.empty(0, bool)
-            units: dict[tuple[int, bytes], list] = {}
-            for i, alone in zip(chosen.tolist(), single.tolist()):
+            data, first, count, h, _, owner, lead = repeated_units(row, replies, n_buckets, min_bytes)
+            if not len(lead):
+                continue
+            smaller, sort, hot = (bits_for(told, x, h[lead], n_buckets) for x in ("smaller", "sort", "hot"))
+            sizes = np.diff(np.append(lead, len(h)))
+            first_owner = np.repeat(owner[lead], sizes)
+            covered = np.repeat(smaller, sizes) | (owner > first_owner)
+            begin, span = joined_runs(first[covered], count[covered])
+            if len(begin):
+                out.append((None, row.pack, b"", b"", begin.tobytes(), b"", span.tobytes()))
+            # Of each content only the places in its owner's document are open.
+            open_ = np.repeat(sort, sizes) & ~covered
+            units: dict[int, list] = {}
+            for i in np.flatnonzero(open_).tolist():
                 start, windows = int(first[i]), int(count[i])
-                pieces = [(start + x, 1) for x in range(windows)] if alone else [(start, windows)]
-                for s, c in pieces:
+                alone = hot[np.searchsorted(lead, i, "right") - 1]
+                for s, c in [(start + x, 1) for x in range(windows)] if alone else [(start, windows)]:
                     text = data[s : s + c + min_bytes - 1].tobytes()
-                    shard = (int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little") if alone else int(hashes[i] >> np.uint64(32))) * n_buckets >> 32
-                    units.setdefault((shard, text), []).append((int(ids[doc[i]]), s))
-            by_shard: dict[int, list] = {}
-            for (shard, text), seen in units.items():
-                by_shard.setdefault(shard, []).append((text, min(seen)[0], seen))
-            for shard, held in by_shard.items():
-                lengths = np.array([len(t) for t, _, _ in held], np.int32)
-                owners = np.array([o for _, o, _ in held], np.int64)
-                seen = np.array([len(s) for _, _, s in held], np.int32)
-                docs = np.array([d for _, _, s in held for d, _ in s], np.int64)
-                starts = np.array([p for _, _, s in held for _, p in s], np.int64)
-                blob = zstandard.compress(b"".join(t for t, _, _ in held), 1)
-                out.append((shard, row.pack, lengths.tobytes(), owners.tobytes(), seen.tobytes(), docs.tobytes(), starts.tobytes(), blob))
-        return pd.DataFrame(out, columns=["shard", "pack", "lengths", "owners", "seen", "docs", "starts", "blob"])
+                    key = int.from_bytes(hashlib.blake2b(text, digest_size=4).digest(), "little") if alone else int(h[i]) >> 32
+                    units.setdefault(key * n_shards >> 32, []).append((text, owner[i], s))
+            for shard, held in units.items():
+                out.append((
+                    shard,
+                    row.pack,
+                    np.array([len(t) for t, _, _ in held], np.int32).tobytes(),
+                    np.array([o for _, o, _ in held], np.int64).tobytes(),
+                    np.array([s for _, _, s in held], np.int64).tobytes(),
+                    zstandard.compress(b"".join(t for t, _, _ in held), 1),
+                    b"",
+                ))
+        return pd.DataFrame(out, columns=["shard", "pack", "lengths", "owners", "begins", "blob", "spans"]).astype({"shard": "Int64"})
 
     return run
 
 
-UNITS = "shard long, pack long, lengths binary, owners binary, seen binary, docs binary, starts binary, blob binary"
+UNITS = "shard long, pack long, lengths binary, owners binary, begins binary, blob binary, spans binary"
+
+
+def joined_runs(begin: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows, those that touch joined to one."""
+    order = np.argsort(begin)
+    begin, end = begin[order], (begin + span)[order]
+    if not len(begin):
+        return begin, span
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > np.maximum.accumulate(end)[:-1])))
+    return begin[new], np.maximum.reduceat(end, new) - begin[new]
 
 
 def window_owners(texts: list[bytes], owners: np.ndarray, min_bytes: int) -> list[np.ndarray]:
@@ -232,41 +327,31 @@ def judge_units(min_bytes: int):
         """Reply to each pack the runs of windows (start in the pack, windows) with a smaller owner."""
         texts: dict[bytes, int] = {}
         owner: list[int] = []
-        use = []
+        which = []
         for row in rows.itertuples():
             lengths = np.frombuffer(row.lengths, np.int32)
             ends = np.cumsum(lengths)
             blob = zstandard.decompress(row.blob, max_output_size=int(ends[-1]))
-            which = []
+            own = []
             for e, n, o in zip(ends.tolist(), lengths.tolist(), np.frombuffer(row.owners, np.int64).tolist()):
-                t = blob[e - n : e]
-                k = texts.setdefault(t, len(owner))
+                k = texts.setdefault(blob[e - n : e], len(owner))
                 if k == len(owner):
                     owner.append(o)
-                elif o < owner[k]:
-                    owner[k] = o
-                which.append(k)
-            use.append(which)
+                owner[k] = min(owner[k], o)
+                own.append(k)
+            which.append(own)
         least = window_owners(list(texts), np.array(owner, np.int64), min_bytes)
-        lowest = np.array([x.max() for x in least], np.int64)
-        highest = np.array([x.min() for x in least], np.int64)
+        sizes = np.array([len(x) for x in least], np.int64)
+        offsets, least = np.cumsum(sizes) - sizes, np.concatenate(least)
         out = []
-        for row, which in zip(rows.itertuples(), use):
-            seen = np.frombuffer(row.seen, np.int32)
-            docs, starts = np.frombuffer(row.docs, np.int64), np.frombuffer(row.starts, np.int64)
-            unit = np.repeat(np.array(which, np.int64), seen)
-            sizes = np.array([len(least[k]) for k in which], np.int64)
-            windows = np.repeat(sizes, seen)
-            whole = lowest[unit] < docs
-            begin, span = [starts[whole]], [windows[whole]]
-            for i in np.flatnonzero(~whole & (highest[unit] < docs)).tolist():
-                mark = np.diff(np.concatenate(([0], (least[unit[i]] < docs[i]).astype(np.int8), [0])))
-                a, b = np.flatnonzero(mark == 1), np.flatnonzero(mark == -1)
-                begin.append(starts[i] + a)
-                span.append(b - a)
-            begin, span = np.concatenate(begin), np.concatenate(span)
+        for row, own in zip(rows.itertuples(), which):
+            docs, starts, size = np.frombuffer(row.owners, np.int64), np.frombuffer(row.begins, np.int64), sizes[own]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            covered = least[np.repeat(offsets[own], size) + within] < np.repeat(docs, size)
+            begin = (np.repeat(starts, size) + within)[covered]
             if len(begin):
-                out.append((row.pack, begin.astype(np.int64).tobytes(), span.astype(np.int32).tobytes()))
+                begin, span = joined_runs(begin, np.ones(len(begin), np.int64))
+                out.append((row.pack, begin.tobytes(), span.tobytes()))
         return pd.DataFrame(out, columns=["pack", "begins", "spans"])
 
     return run
@@ -279,7 +364,7 @@ def cut_documents(min_bytes: int):
             ids, sizes, data = unpack(row)
             step = np.zeros(len(data) + 1, np.int32)
             for begins, spans in zip(replies["begins"].dropna(), replies["spans"].dropna()):
-                b, s = np.frombuffer(begins, np.int64), np.frombuffer(spans, np.int32)
+                b, s = np.frombuffer(begins, np.int64), np.frombuffer(spans, np.int64)
                 np.add.at(step, b, 1)
                 np.add.at(step, b + s + min_bytes - 1, -1)
             gone = np.cumsum(step[:-1]) > 0
@@ -318,7 +403,7 @@ def packed(docs: DataFrame, n_bytes: int) -> DataFrame:
     return docs.sparkSession.table(name)
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_packs: int = HOT_PACKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT_CONTENTS) -> DataFrame:
     """Remove each byte covered by a string of `min_bytes` bytes that also starts in a document with a smaller doc_id.
 
     Takes doc_id and text of `docs`; other columns are ignored. Returns doc_id, n_bytes, n_removed, spans
@@ -334,14 +419,29 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_packs: int = HOT_PA
     copies = listed.join(heads, "digest").filter("doc_id > head").groupBy("pack").agg(F.collect_list("place").alias("places"))
     copies = stored(copies.mapInArrow(pack_places, "pack long, copies binary"), "copies")
 
-    sent = packs.select("pack", "ids", "sizes", "blob", "n_bytes").mapInArrow(send_anchors(n_buckets, min_bytes), "bucket long, pack long, hashes binary, many binary")
-    replies = sent.groupBy("bucket").applyInPandas(find_repeats(hot_packs), "pack long, bucket long, repeats binary, hot binary")
-    replies = stored(replies, "repeats")
-    replies = replies.withColumn("copies", F.lit(None).cast("binary")).unionByName(copies, allowMissingColumns=True)
-    units = packs.groupBy("pack").cogroup(replies.groupBy("pack")).applyInPandas(send_units(n_buckets, min_bytes), UNITS)
-    judged = stored(units.groupBy("shard").applyInPandas(judge_units(min_bytes), "pack long, begins binary, spans binary"), "judged")
-    judged = judged.withColumn("copies", F.lit(None).cast("binary")).unionByName(copies, allowMissingColumns=True)
-    return packs.groupBy("pack").cogroup(judged.groupBy("pack")).applyInPandas(cut_documents(min_bytes), CUT)
+    anchors = together(packs, [copies], send_anchors(n_buckets, min_bytes), "bucket long, pack long, hashes binary, many binary")
+    repeats = stored(dealt(anchors, "bucket", n_buckets).applyInPandas(find_repeats, "pack long, bucket long, repeats binary"), "repeats")
+    contents = together(packs, [copies, repeats], send_contents(n_buckets, min_bytes), "bucket long, pack long, hashes binary, contents binary, owners binary")
+    told = stored(dealt(contents, "bucket", n_buckets).applyInPandas(find_contents(hot_contents), "pack long, bucket long, smaller binary, sort binary, hot binary"), "contents")
+    units = stored(together(packs, [copies, repeats, told], send_units(n_buckets, min_bytes, SHARDS * n_buckets), UNITS), "units")
+    judged = dealt(units.filter("shard IS NOT NULL").drop("spans"), "shard", SHARDS * n_buckets).applyInPandas(judge_units(min_bytes), "pack long, begins binary, spans binary")
+    covered = units.filter("shard IS NULL").select("pack", "begins", "spans").union(judged)
+    return together(packs, [copies, covered], cut_documents(min_bytes), CUT)
+
+
+def dealt(df: DataFrame, key: str, n: int):
+    """Groups by `key` over n partitions. The rows are few but dear, so they must not be coalesced by their size."""
+    return df.repartition(n, key).groupBy(key)
+
+
+def together(packs: DataFrame, replies: list[DataFrame], function, schema: str) -> DataFrame:
+    """Apply a function to each pack and the replies to it; only the replies are shuffled."""
+    columns = dict.fromkeys(c for r in replies for c in r.columns)
+    every = None
+    for r in replies:
+        r = r.select(*[F.col(c) if c in r.columns else F.lit(None).cast("long" if c == "bucket" else "binary").alias(c) for c in columns])
+        every = r if every is None else every.union(r)
+    return packs.groupBy("pack").cogroup(every.groupBy("pack")).applyInPandas(function, schema)
 
 
 def list_documents(batches):

@@ -41,7 +41,7 @@ def _induce(text: np.ndarray, sa: np.ndarray, heads: np.ndarray, wanted: np.ndar
 def _sort_from(text: np.ndarray, small: np.ndarray, starts: np.ndarray, leftmost: np.ndarray) -> np.ndarray:
     """All suffixes, induced from the leftmost-smaller suffixes in their order."""
     n = len(text)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32 if n < 1 << 31 else np.int64)
     order = np.argsort(text[leftmost], kind="stable")
     ordered = text[leftmost][order]
     sa[starts[1:][ordered] - np.searchsorted(ordered, ordered, "right") + np.arange(len(ordered))] = leftmost[order]
@@ -65,7 +65,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n < 2:
         return np.arange(n, dtype=np.int64)
-    text = text.astype(np.int64, copy=False)
+    text = text.astype(np.uint16 if text.max() < 1 << 16 else np.int64)  # stable sorts of 16 bits are linear
     less, differ = text[:-1] < text[1:], text[:-1] != text[1:]
     # Type of i: that of the next position where two neighbours differ; the last suffix is larger.
     where = np.where(differ, np.arange(n - 1), n)
@@ -101,7 +101,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         k += 1
     names = np.concatenate(([0], np.cumsum(~same)))
     if names[-1] + 1 < len(leftmost):
-        reduced = np.empty(n, np.int64)
+        reduced = np.empty(n, np.int32)
         reduced[ordered] = names
         ordered = leftmost[suffix_array(reduced[leftmost])]
     return _sort_from(text, small, starts, ordered)
