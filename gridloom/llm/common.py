@@ -79,6 +79,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
 BYTE_KEYS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+ODD = 0x9E3779B97F4A7C15
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, ..., base ** n, modulo 2 ** 64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+#: For hashes of byte ranges from running sums: powers of an odd number and of its inverse.
+MOST_POWER = 1 << 20
+POWERS, INVERSES = powers(ODD, MOST_POWER), powers(pow(ODD, -1, 1 << 64), MOST_POWER)
+
+
+def range_hashes(keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the ranges [begin, end) of at most MOST_POWER keys; equal bytes and lengths give equal hashes."""
+    sums = np.zeros(len(keys) + 1, np.uint64)
+    np.cumsum(keys * POWERS[: len(keys)], out=sums[1:])
+    return mix64((sums[end] - sums[begin]) * INVERSES[begin] + (end - begin).astype(np.uint64))
+
+
 def with_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:
     """Add `out`: the sum of `value` over the rows before, within `keys` (nulls form one key), ordered by `order`.
 
@@ -95,11 +117,11 @@ def with_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: st
     slots = [*keys, "__slice"]
     totals = ranged.groupBy(*slots).agg(F.sum(value).alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slots)], F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
+    totals = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slots)], F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__slices_before"))
     local = Window.partitionBy(*slots).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     joined = ranged.withColumn("__local", F.coalesce(F.sum(value).over(local), F.lit(0)))
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slots)]
-    return joined.join(totals, on).withColumn(out, F.col("__before") + F.col("__local")).drop("__slice", "__before", "__local", *[f"__k{i}" for i in range(len(slots))])
+    return joined.join(totals, on).withColumn(out, F.col("__slices_before") + F.col("__local")).drop("__slice", "__slices_before", "__local", *[f"__k{i}" for i in range(len(slots))])
 
 
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:

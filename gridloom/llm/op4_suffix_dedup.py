@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, byte_view, mix64, slices, stored
+from .common import BYTE_KEYS, byte_view, mix64, range_hashes, slices, stored
 from .suffix_arrays import common_prefixes, suffix_array
 
 PACK_BYTES = 8 << 20
@@ -67,11 +67,6 @@ def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(row.ids, np.int64), np.frombuffer(row.sizes, np.int64), np.frombuffer(blob, np.uint8)
 
 
-#: Powers of an odd number and of its inverse, for hashes of any byte range from running sums.
-POWERS = np.concatenate(([1], np.cumprod(np.full(PIECE * 2, 0x9E3779B97F4A7C15, np.uint64)))).astype(np.uint64)
-INVERSES = np.concatenate(([1], np.cumprod(np.full(PIECE * 2, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)))).astype(np.uint64)
-
-
 def window_anchors(piece: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window of w k-grams: the place of its smallest hashed k-gram, and that hash."""
     h, width, grams, gram = BYTE_KEYS[piece], 1, None, 0
@@ -124,9 +119,7 @@ def units_of(row, copies, min_bytes: int, contents: bool):
         first, count = first[keep], count[keep]
         content = np.empty(0, np.uint64)
         if contents:
-            sums = np.concatenate(([0], np.cumsum(BYTE_KEYS[piece] * POWERS[: len(piece)]))).astype(np.uint64)
-            end = first + count + min_bytes - 1
-            content = mix64((sums[end] - sums[first]) * INVERSES[first] + (end - first).astype(np.uint64))
+            content = range_hashes(BYTE_KEYS[piece], first, first + count + min_bytes - 1)
         parts.append((first + lo, count, mix64(hashes[first]), content, doc[first]))  # smallest hashes are small: mix them to deal evenly
     if not parts:
         empty = np.empty(0, np.int64)
