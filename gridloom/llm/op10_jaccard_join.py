@@ -35,6 +35,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 PART_BITS = 256
 BAND = 1.5
 BLOCK = 1024
+#: Rows of step 3 in one task's bucket of whole groups.
+BUCKET_ROWS = 20_000
 CHUNK = 1 << 18
 
 
@@ -177,32 +179,34 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, in
 
 def cross_pairs(threshold: tuple[int, int]):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Pairs across components between the two blocks of a group, unless their sketches or sizes rule them out."""
+        """Of each group (key, i, j): pairs across components between its two blocks, unless sketches or sizes rule them out."""
         p, q = threshold
-        out = []
-        sides = rows.block.unique()
-        left = rows[rows.block == sides.min()]
-        right = rows[rows.block == sides.max()]
-        sizes, comps, ids = right.n_shingles.to_numpy(), right.component.to_numpy(), right.doc_id.to_numpy()
-        by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for column in ("fold", "fold_up"):
-            for width, held in right.reset_index(drop=True).groupby(right[column].map(len).to_numpy()):
-                if width:
-                    own = by_width.setdefault(width, ([], []))
-                    own[0].extend(held.index)
-                    own[1].extend(np.frombuffer(x, np.uint64) for x in held[column])
-        by_width = {w: (np.array(i), np.stack(f)) for w, (i, f) in by_width.items()}
-        for row in left.itertuples():
-            for fold in (row.fold, row.fold_up):
-                if len(fold) not in by_width:
-                    continue
-                at, other = by_width[len(fold)]
-                apart = np.bitwise_count(other ^ np.frombuffer(fold, np.uint64)).sum(axis=1)
-                total = sizes[at] + row.n_shingles
-                near = (comps[at] != row.component) & (apart * (q + p) <= (q - p) * total) & (q * np.minimum(sizes[at], row.n_shingles) >= p * np.maximum(sizes[at], row.n_shingles))
-                near &= (ids[at] > row.doc_id) if len(sides) == 1 else True
-                out += [(max(row.doc_id, d), min(row.doc_id, d)) for d in ids[at[near]].tolist()]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"]).astype("int64")
+        rows = rows.sort_values(["key", "i", "j"])
+        where = rows[["key", "i", "j"]].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], (where[1:] != where[:-1]).any(axis=1), [True])))
+        all_ids, all_comps, all_sizes, all_blocks = (rows[c].to_numpy() for c in ("doc_id", "component", "n_shingles", "block"))
+        folds = rows[["fold", "fold_up"]].to_numpy()
+        out: set[tuple[int, int]] = set()
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            comps = all_comps[lo:hi]
+            if (comps == comps[0]).all():
+                continue
+            ids, sizes, blocks = all_ids[lo:hi], all_sizes[lo:hi], all_blocks[lo:hi]
+            # The group's key is of one band; each document has the sketch of that width.
+            width = next((len(x) for x in folds[lo] if all(len(x) in (len(f), len(g)) for f, g in folds[lo:hi])), 0)
+            held = [f if len(f) == width else g for f, g in folds[lo:hi]]
+            # No common width: two bands' keys collide. Then no sketch rules a pair out.
+            bits = np.frombuffer(b"".join(held), np.uint64).reshape(hi - lo, -1) if width else np.zeros((hi - lo, 1), np.uint64)
+            one = where[lo][1] == where[lo][2]
+            for k in range(hi - lo) if one else np.flatnonzero(blocks == where[lo][1]).tolist():
+                near = (comps != comps[k]) & (q * np.minimum(sizes, sizes[k]) >= p * np.maximum(sizes, sizes[k]))
+                near &= ids > ids[k] if one else blocks == where[lo][2]
+                near = np.flatnonzero(near)
+                if len(near):
+                    apart = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1)
+                    near = near[apart * (q + p) <= (q - p) * (sizes[near] + sizes[k])]
+                    out.update((int(max(ids[k], d)), int(min(ids[k], d))) for d in ids[near])
+        return pd.DataFrame(sorted(out), columns=["a", "b"]).astype("int64")
 
     return run
 
@@ -236,8 +240,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     open_ = placed.join(mixed.select("key", "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     groups = open_.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
+    groups = stored(groups, "groups")
+    buckets = max(8, groups.count() // BUCKET_ROWS)
     groups = groups.join(reps.select("doc_id", "n_shingles", "fold", "fold_up"), "doc_id")
-    crossed = groups.groupBy("key", "i", "j").applyInPandas(cross_pairs(threshold), "a long, b long").distinct()
+    groups = groups.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).repartition(buckets, "bucket")
+    crossed = groups.groupBy("bucket").applyInPandas(cross_pairs(threshold), "a long, b long").distinct()
     crossed = stored(crossed.join(stars, ["a", "b"], "left_anti"), "crossed")
     more = stored(verified(crossed, docs, n, threshold), "more")
     last = components(links.union(more), "last")
