@@ -1,4 +1,426 @@
-"""All queries of the library, and their SQL."""
+"""All queries of the library on the given tables, and their SQL. Values are rounded, so that sums in any order agree."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import ensemble as E
+from ..operators import fits as M
+from ..operators import generate as G
+from ..operators import grid as P
+from ..operators import guards as Q
+from . import views as V
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = V.CTE + sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def anomalies(s, d):
+    return E.calc_anomaly(V.ensemble(s, d), 1995, 1996)
+
+
+def global_means(s, d):
+    return E.global_mean(anomalies(s, d))
+
+
+# Projections and reshaping
+
+
+@query("SELECT cell_id, (lon + 180) % 360 - 180 AS lon FROM cell ORDER BY lon")
+def wrap_to_180(s, d):
+    return V.cells(s, d).select("cell_id", S.wrap_to_180(F.col("lon")).alias("lon")).orderBy("lon")
+
+
+@query("SELECT cell_id, (((lon - 180) % 360) + 360) % 360 AS lon FROM cell")
+def wrap_to_360(s, d):
+    return V.cells(s, d).select("cell_id", S.wrap_to_360(F.col("lon") - 180).alias("lon"))
+
+
+INSIDE = "(SELECT count(*) % 2 = 1 FROM edges WHERE (y1 > {y}) <> (y2 > {y}) AND {x} < (x2 - x1) * ({y} - y1) / (y2 - y1) + x1)"
+
+
+@query("SELECT scenario, member, year, e.cell_id, CASE WHEN i THEN round(value, 6) END AS value FROM ens e JOIN (SELECT cell_id, " + INSIDE.format(x="lon", y="lat") + " AS i FROM cell) USING (cell_id)")
+def mask_ocean(s, d):
+    return rounded(P.mask_ocean(V.ensemble(s, d), V.land(s)).select("scenario", "member", "year", "cell_id", "value"))
+
+
+FRACTION = "SELECT cell_id, avg(CAST(i AS INT)) AS fraction FROM (SELECT cell_id, " + INSIDE.format(x="px", y="py") + " AS i FROM (SELECT cell_id, lon + ((j + 0.5) / 4 - 0.5) * 20 AS px, lat + ((k + 0.5) / 4 - 0.5) * 20 AS py FROM cell, range(4) a(j), range(4) b(k))) GROUP BY 1"
+
+
+@query(f"SELECT scenario, member, year, cell_id, CASE WHEN fraction > 0.3 THEN round(value, 6) END AS value FROM ens JOIN ({FRACTION}) USING (cell_id)")
+def mask_ocean_fraction(s, d):
+    return rounded(P.mask_ocean_fraction(V.ensemble(s, d), V.land(s), 0.3, 20.0).select("scenario", "member", "year", "cell_id", "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, CASE WHEN lat >= -60 THEN round(value, 6) END AS value FROM ens")
+def mask_antarctica(s, d):
+    return rounded(P.mask_antarctica(V.ensemble(s, d)).select("scenario", "member", "year", "cell_id", "value"))
+
+
+STACK = "SELECT scenario, member, year, lat, lon, gridcell, round(value, 6) AS value FROM ({0}) JOIN (SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) - 1 AS gridcell FROM ({0}) GROUP BY lat, lon HAVING count(*) = count(value)) USING (lat, lon)"
+
+
+@query(STACK.format("SELECT * REPLACE (CASE WHEN lat >= -60 THEN value END AS value) FROM ens"))
+def stack_cells(s, d):
+    return rounded(P.stack_cells(P.mask_antarctica(V.ensemble(s, d))).select("scenario", "member", "year", "lat", "lon", "gridcell", "value"))
+
+
+@query(STACK.format(f"SELECT * REPLACE (CASE WHEN lat >= -60 AND fraction > 0.3 THEN value END AS value) FROM ens JOIN ({FRACTION}) USING (cell_id)"))
+def mask_and_stack(s, d):
+    masked = P.mask_antarctica(P.mask_ocean_fraction(V.ensemble(s, d), V.land(s), 0.3, 20.0))
+    return rounded(P.stack_cells(masked).select("scenario", "member", "year", "lat", "lon", "gridcell", "value"))
+
+
+@query("""SELECT lat, lon, year, round(value, 6) AS value FROM (SELECT a.lat, b.lon, y.year FROM (SELECT DISTINCT lat FROM cell) a, (SELECT DISTINCT lon FROM cell) b, (SELECT DISTINCT year FROM ens) y)
+LEFT JOIN (SELECT lat, lon, year, avg(value) AS value FROM ens GROUP BY ALL) USING (lat, lon, year)""")
+def unstack_cells(s, d):
+    mean = V.ensemble(s, d).groupBy("lat", "lon", "year").agg(F.avg("value").alias("value"))
+    return rounded(P.unstack_cells(mean, ["year"]))
+
+
+@query("SELECT lat, lon, round(m, 6) AS value FROM cell LEFT JOIN (SELECT lat, lon, avg(value) AS m FROM ens WHERE lat >= -60 GROUP BY ALL) USING (lat, lon)")
+def align_to_grid(s, d):
+    kept = V.ensemble(s, d).filter("lat >= -60").groupBy("lat", "lon").agg(F.avg("value").alias("value"))
+    return rounded(P.align_to_grid(kept, V.cells(s, d)))
+
+
+@query("SELECT scenario, member, year, cell_id, round(value, 6) AS value FROM anom")
+def calc_anomaly(s, d):
+    return rounded(anomalies(s, d).select("scenario", "member", "year", "cell_id", "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, round(value - avg(CASE WHEN year BETWEEN 1995 AND 1996 THEN value END) OVER (PARTITION BY scenario, member, cell_id), 6) AS value FROM sp")
+def anomaly_own_ref(s, d):
+    spliced = E.splice_hist_scen(V.ensemble(s, d))
+    return rounded(E.anomaly_own_ref(spliced, 1995, 1996).select("scenario", "member", "year", "cell_id", "value"))
+
+
+@query("SELECT scenario, year, CAST(m AS INTEGER) AS month, round(value, 6) AS value FROM em, range(1, 13) t(m)")
+def upsample_yearly(s, d):
+    return rounded(P.upsample_yearly(E.ens_mean(global_means(s, d))).select("scenario", "year", "month", "value"))
+
+
+@query("SELECT cell_id, member, year, round(avg(value), 6) AS value FROM mon GROUP BY ALL")
+def resample_annual(s, d):
+    return rounded(P.resample_annual(V.monthly(s, d), ["cell_id", "member"]))
+
+
+@query("SELECT scenario, year, round(value, 6) AS value, round(value * value, 6) AS value2 FROM em")
+def add_power_predictor(s, d):
+    return rounded(E.ens_mean(global_means(s, d)).withColumn("value2", F.col("value") * F.col("value")))
+
+
+# Joins and sources
+
+
+@query("SELECT scenario, member, year, cell_id, round(value, 6) AS value FROM ens WHERE scenario = 'historical' AND member IN (SELECT member FROM ens WHERE scenario <> 'historical')")
+def matching_historical(s, d):
+    return rounded(E.matching_historical(V.ensemble(s, d)).select("scenario", "member", "year", "cell_id", "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, round(value, 6) AS value FROM sp")
+def splice_hist_scen(s, d):
+    return rounded(E.splice_hist_scen(V.ensemble(s, d)).select("scenario", "member", "year", "cell_id", "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, round(anom.value, 6) AS value, round(em.value, 6) AS predictor FROM anom JOIN em USING (scenario, year)")
+def broadcast_predictors(s, d):
+    pred = E.ens_mean(global_means(s, d)).withColumnRenamed("value", "predictor")
+    return rounded(E.broadcast_predictors(anomalies(s, d), pred).select("scenario", "member", "year", "cell_id", "value", "predictor"))
+
+
+@query("SELECT scenario, member, year, round(gm.value, 6) AS value, round(em.value, 6) AS mean, round(gm.value - em.value, 6) AS residual FROM gm JOIN em USING (scenario, year)")
+def merge_predictor_tables(s, d):
+    gm = global_means(s, d)
+    mean = E.ens_mean(gm).withColumnRenamed("value", "mean")
+    return rounded(E.exact_align(gm, mean, ["scenario", "year"]).select("scenario", "member", "year", "value", "mean", (F.col("value") - F.col("mean")).alias("residual")))
+
+
+def aerosol(s, d):
+    """A yearly series from the events: the day of the month stands for the year."""
+    return s.read.parquet(f"{d}/events.parquet").groupBy((F.dayofmonth("ts") + 1994).cast("long").alias("year")).agg((F.avg("value") / 100).alias("aod")).filter("year <= 1998")
+
+
+AEROSOL = "(SELECT CAST(day(ts) + 1994 AS BIGINT) AS year, avg(value) / 100 AS aod FROM events WHERE day(ts) <= 4 GROUP BY 1)"
+
+
+@query(f"SELECT scenario, member, year, round(value, 6) AS value, round(coalesce(aod, 0.0), 6) AS aod FROM gm LEFT JOIN {AEROSOL} USING (year)")
+def align_outer_fill(s, d):
+    return rounded(E.align_outer_fill(global_means(s, d), aerosol(s, d), "aod").select("scenario", "member", "year", "value", "aod"))
+
+
+HAV = "2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
+
+
+@query(f"SELECT cell_i, cell_j, CAST(rank AS INTEGER) AS rank FROM (SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, row_number() OVER (PARTITION BY a.cell_id ORDER BY CASE WHEN a.cell_id = b.cell_id THEN 0 ELSE round({HAV}, 6) END, b.cell_id) - 1 AS rank FROM cell a, cell b) WHERE rank < 4")
+def closest_neighbors(s, d):
+    return P.closest_neighbors(V.cells(s, d), 4)
+
+
+# Weights and aggregates
+
+
+@query("SELECT cell_id, round(cos(radians(lat)), 6) AS weight FROM cell")
+def lat_weights(s, d):
+    return rounded(V.cells(s, d).select("cell_id", E.lat_weights(F.col("lat")).alias("weight")))
+
+
+@query("SELECT scenario, year, round(sum(cell_id * value) / sum(CASE WHEN value IS NOT NULL THEN cell_id END), 6) AS value FROM ens GROUP BY ALL")
+def weighted_mean(s, d):
+    return rounded(E.weighted_mean(V.ensemble(s, d), ["scenario", "year"], "value", F.col("cell_id")))
+
+
+@query("SELECT scenario, member, year, round(value, 6) AS value FROM gm")
+def global_mean(s, d):
+    return rounded(global_means(s, d))
+
+
+@query("SELECT scenario, year, round(value, 6) AS value FROM em")
+def global_mean_anomaly(s, d):
+    return rounded(E.ens_mean(global_means(s, d)))
+
+
+@query("SELECT DISTINCT scenario, member, year, 1.0 / n AS weight FROM ens JOIN (SELECT scenario, CAST(count(DISTINCT member) AS DOUBLE) AS n FROM ens GROUP BY 1) USING (scenario)")
+def scenario_weights(s, d):
+    return E.scenario_weights(V.ensemble(s, d))
+
+
+@query("SELECT week AS sample_id, round(1000 * (1 / p) / sum(1 / p) OVER (), 6) AS weight FROM (SELECT a.week, sum(exp(-0.5 * pow(a.value - b.value, 2) / (v * pow(n, -0.4)))) AS p FROM wk a, wk b, (SELECT var_samp(value) AS v, CAST(count(*) AS DOUBLE) AS n FROM wk) GROUP BY 1)")
+def density_weights(s, d):
+    return rounded(E.density_weights(V.weekly(s, d).select(F.col("week").alias("sample_id"), "value"), ["value"]).withColumn("weight", F.col("weight") * 1000))
+
+
+@query("""SELECT scenario, cell_id, round(coalesce(max(CASE WHEN w > h THEN value END), min(CASE WHEN abs(c - h) < 1e-12 THEN (value + nx) / 2 END), min(CASE WHEN c > h THEN value END)), 6) AS value
+FROM (SELECT scenario, cell_id, value, w, sum(w) OVER (o ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY scenario, cell_id) / 2 AS h, lead(value) OVER o AS nx
+  FROM (SELECT *, CAST(year - 1990 AS DOUBLE) AS w FROM ens) WINDOW o AS (PARTITION BY scenario, cell_id ORDER BY value, w)) GROUP BY ALL""")
+def weighted_median(s, d):
+    return rounded(E.weighted_median(V.ensemble(s, d).withColumn("weight", (F.col("year") - 1990).cast("double")), ["scenario", "cell_id"]))
+
+
+@query("""SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, round((sum(w * a.value * b.value) - sum(w * a.value) * sum(w * b.value) / sum(w)) / (sum(w) - sum(w * w) / sum(w)), 6) AS cov
+FROM (SELECT *, CAST(1 + sample_id % 3 AS DOUBLE) AS w FROM pooled) a JOIN pooled b USING (sample_id) GROUP BY ALL""")
+def weighted_covariance(s, d):
+    pooled = E.pool_samples(V.ensemble(s, d)).withColumn("weight", (1 + F.col("sample_id") % 3).cast("double"))
+    return rounded(E.weighted_covariance(pooled))
+
+
+@query("SELECT scenario, cell_id, round(l[CAST(round_even((len(l) - 1) * 0.5, 0) AS BIGINT) + 1], 6) AS value FROM (SELECT scenario, cell_id, list_sort(list(value)) AS l FROM ens GROUP BY ALL)")
+def median_nearest(s, d):
+    return rounded(E.median_nearest(V.ensemble(s, d), ["scenario", "cell_id"], "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, sample_id, round(value, 6) AS value FROM pooled")
+def pool_samples(s, d):
+    return rounded(E.pool_samples(V.ensemble(s, d)).select("scenario", "member", "year", "cell_id", "sample_id", "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, round(value, 6) AS value FROM ens")
+def unpool_samples(s, d):
+    pooled = E.pool_samples(V.ensemble(s, d))
+    return rounded(E.unpool_samples(pooled.select("sample_id", "cell_id", "value"), pooled).select("scenario", "member", "year", "cell_id", "value"))
+
+
+@query("SELECT scenario, member, year, cell_id, round(value, 6) AS value, CASE WHEN scenario <> 'historical' THEN lat END AS lat FROM ens")
+def collapse_scenarios(s, d):
+    ens = V.ensemble(s, d)
+    tables = {n: ens.filter(F.col("scenario") == n).select("member", "year", "cell_id", "value", *(["lat"] if n != "historical" else [])) for n in ("historical", "scen_a", "scen_b")}
+    return rounded(E.collapse_scenarios(tables).select("scenario", "member", "year", "cell_id", "value", "lat"))
+
+
+# Fits
+
+TWO = "SELECT a.*, e.value AS p FROM anom a JOIN em e USING (scenario, year)"
+
+
+def with_predictor(s, d):
+    return E.broadcast_predictors(anomalies(s, d), E.ens_mean(global_means(s, d)).withColumnRenamed("value", "p"))
+
+
+@query(f"SELECT cell_id, round(regr_intercept(value, p), 6) AS intercept, round(regr_slope(value, p), 6) AS b_p FROM ({TWO}) GROUP BY 1")
+def linreg_fit(s, d):
+    return rounded(M.linreg_fit(with_predictor(s, d), ["cell_id"], ["p"], "value"))
+
+
+@query(f"""SELECT cell_id, round((t0 * (s22 * s11 - s12 * s12) - s1 * (t1 * s22 - s12 * t2) + s2 * (t1 * s12 - s11 * t2)) / det, 5) AS intercept,
+ round((s0 * (t1 * s22 - s12 * t2) - t0 * (s1 * s22 - s12 * s2) + s2 * (s1 * t2 - t1 * s2)) / det, 5) AS b_p, round((s0 * (s11 * t2 - t1 * s12) - s1 * (s1 * t2 - t1 * s2) + t0 * (s1 * s12 - s11 * s2)) / det, 5) AS b_k
+FROM (SELECT *, s0 * (s11 * s22 - s12 * s12) - s1 * (s1 * s22 - s12 * s2) + s2 * (s1 * s12 - s11 * s2) AS det FROM (
+ SELECT cell_id, sum(w) AS s0, sum(w * p) AS s1, sum(w * k) AS s2, sum(w * p * p) AS s11, sum(w * p * k) AS s12, sum(w * k * k) AS s22, sum(w * value) AS t0, sum(w * p * value) AS t1, sum(w * k * value) AS t2
+ FROM (SELECT *, CAST(year - 1995 AS DOUBLE) AS k, CASE WHEN scenario = 'historical' THEN 1.0 ELSE 0.5 END AS w FROM ({TWO})) GROUP BY 1))""")
+def linreg_fit_weighted(s, d):
+    rows = with_predictor(s, d).withColumn("k", (F.col("year") - 1995).cast("double")).withColumn("w", F.when(F.col("scenario") == "historical", 1.0).otherwise(0.5))
+    return rounded(M.linreg_fit(rows, ["cell_id"], ["p", "k"], "value", "w"), 5)
+
+
+@query(f"SELECT scenario, member, year, cell_id, round(a + b * p, 6) AS predicted, round(b * p, 6) AS forced FROM ({TWO}) JOIN (SELECT cell_id, regr_intercept(value, p) AS a, regr_slope(value, p) AS b FROM ({TWO}) GROUP BY 1) USING (cell_id)")
+def linreg_predict(s, d):
+    rows = with_predictor(s, d)
+    params = M.linreg_fit(rows, ["cell_id"], ["p"], "value")
+    both = M.linreg_predict(M.linreg_predict(rows, params, ["cell_id"], ["p"]), params, ["cell_id"], ["p"], "forced", exclude={"intercept"})
+    return rounded(both.select("scenario", "member", "year", "cell_id", "predicted", "forced"))
+
+
+@query(f"SELECT scenario, member, year, cell_id, round(value - a - b * p, 6) AS residual FROM ({TWO}) JOIN (SELECT cell_id, regr_intercept(value, p) AS a, regr_slope(value, p) AS b FROM ({TWO}) GROUP BY 1) USING (cell_id)")
+def linreg_residuals(s, d):
+    rows = with_predictor(s, d)
+    return rounded(M.linreg_residuals(rows, M.linreg_fit(rows, ["cell_id"], ["p"], "value"), ["cell_id"], ["p"], "value").select("scenario", "member", "year", "cell_id", "residual"))
+
+
+VOLCANIC = "SELECT gm.scenario, gm.member, year, gm.value - em.value AS residual, gm.value, coalesce(aod, 0.0) AS aod FROM gm JOIN em USING (scenario, year) LEFT JOIN " + AEROSOL + " USING (year)"
+
+
+def volcanic_rows(s, d):
+    gm = global_means(s, d)
+    rows = gm.join(E.ens_mean(gm).withColumnRenamed("value", "mean"), ["scenario", "year"]).withColumn("residual", F.col("value") - F.col("mean"))
+    return E.align_outer_fill(rows, aerosol(s, d), "aod")
+
+
+@query(f"SELECT round(sum(aod * value) / sum(aod * aod), 6) AS slope FROM ({VOLCANIC}) WHERE scenario = 'historical'")
+def fit_volcanic(s, d):
+    return rounded(M.fit_volcanic(volcanic_rows(s, d).filter("scenario = 'historical'"), residual="value"))
+
+
+@query(f"SELECT scenario, member, year, round(value + slope * aod, 6) AS value FROM ({VOLCANIC}), (SELECT sum(aod * value) / sum(aod * aod) AS slope FROM ({VOLCANIC}) WHERE scenario = 'historical')")
+def superimpose_volcanic(s, d):
+    rows = volcanic_rows(s, d)
+    slope = M.fit_volcanic(rows.filter("scenario = 'historical'"), residual="value")
+    return rounded(rows.join(F.broadcast(slope)).select("scenario", "member", "year", (F.col("value") + F.col("slope") * F.col("aod")).alias("value")))  # one row
+
+
+AR = "SELECT scenario, member, cell_id, regr_slope(value, x) AS coeff, regr_intercept(value, x) AS intercept, count(*) AS nobs, (regr_syy(value, x) - regr_slope(value, x) * regr_sxy(value, x)) / count(*) AS variance FROM (SELECT *, lag(value) OVER (PARTITION BY scenario, member, cell_id ORDER BY year) AS x FROM sp) WHERE x IS NOT NULL GROUP BY ALL"
+
+
+@query(f"SELECT scenario, member, cell_id, round(intercept, 6) AS intercept, round(coeff, 6) AS coeff, round(variance, 6) AS variance, nobs FROM ({AR})")
+def ar_fit(s, d):
+    return rounded(M.ar_fit(E.splice_hist_scen(V.ensemble(s, d)), ["scenario", "member", "cell_id"]))
+
+
+@query(f"SELECT cell_id, round(avg(i), 6) AS intercept, round(avg(c), 6) AS coeff, round(avg(v), 6) AS variance FROM (SELECT scenario, cell_id, avg(intercept) AS i, avg(coeff) AS c, avg(variance) AS v FROM ({AR}) GROUP BY ALL) GROUP BY 1")
+def ar_fit_scen_ens(s, d):
+    return rounded(M.ar_fit_scen_ens(E.splice_hist_scen(V.ensemble(s, d))))
+
+
+LAGGED = "SELECT cell_id, value AS y, lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2 FROM (SELECT * FROM mon WHERE member = 'r0') WINDOW o AS (PARTITION BY cell_id ORDER BY year, month)"
+
+
+@query(f"""SELECT cell_id, CAST(arg_min(p, (ic, p)) AS INTEGER) AS "order" FROM (
+WITH lagged AS (SELECT * FROM ({LAGGED}) WHERE x2 IS NOT NULL), m AS (SELECT cell_id, CAST(count(*) AS DOUBLE) AS n, var_pop(x1) AS a, var_pop(x2) AS c, covar_pop(x1, x2) AS b, covar_pop(y, x1) AS u, covar_pop(y, x2) AS v, var_pop(y) AS w FROM lagged GROUP BY 1)
+SELECT cell_id, 1 AS p, n * ln(w - u * u / a) + ln(n) * 2 AS ic FROM m UNION ALL SELECT cell_id, 2, n * ln(w - (c * u * u - 2 * b * u * v + a * v * v) / (a * c - b * b)) + ln(n) * 3 FROM m) GROUP BY 1""")
+def ar_order(s, d):
+    series = V.monthly(s, d).filter("member = 'r0'").withColumn("t", F.col("year") * 12 + F.col("month"))
+    return M.ar_order(series, ["cell_id"], 2, "t")
+
+
+@query("SELECT cell_id, month, round(regr_intercept(value, x), 6) AS intercept, round(regr_slope(value, x), 6) AS slope FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) WHERE x IS NOT NULL GROUP BY ALL")
+def ar_fit_monthly(s, d):
+    return rounded(M.ar_fit_monthly(V.monthly(s, d), ["member", "cell_id"]))
+
+
+@query("""SELECT week, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 5) AS smooth FROM (SELECT week, sum(w) AS s0, sum(w * c) AS s1, sum(w * c * c) AS s2, sum(w * y) AS t0, sum(w * c * y) AS t1 FROM (
+SELECT week, c, y, CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM (SELECT *, max(d) OVER (PARTITION BY week) AS h FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY d, x) AS r FROM (
+SELECT CAST(a.week AS DOUBLE) AS week, CAST(b.week AS DOUBLE) AS x, CAST(b.week - a.week AS DOUBLE) AS c, abs(CAST(b.week - a.week AS DOUBLE)) AS d, b.value AS y FROM wk a, wk b)) WHERE r <= 50)) GROUP BY 1)""")
+def lowess(s, d):
+    return rounded(M.lowess(V.weekly(s, d).withColumn("all", F.lit(0)), ["all"], "week", "value", 50).drop("all"), 5)
+
+
+GC = "CASE WHEN {r} < 1 THEN 1 - 5.0 / 3 * pow({r}, 2) + 5.0 / 8 * pow({r}, 3) + 0.5 * pow({r}, 4) - 0.25 * pow({r}, 5) WHEN {r} < 2 THEN 4 - 5 * {r} + 5.0 / 3 * pow({r}, 2) + 5.0 / 8 * pow({r}, 3) - 0.5 * pow({r}, 4) + pow({r}, 5) / 12 - 2 / (3 * {r}) ELSE 0 END"
+
+
+@query("SELECT cell_i, cell_j, radius, round(" + GC.format(r="(km / radius)") + f", 6) AS correlation FROM (SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, {HAV} AS km FROM cell a, cell b), (VALUES (CAST(1500 AS DOUBLE)), (CAST(5000 AS DOUBLE))) t(radius)")
+def gaspari_cohn_correlation(s, d):
+    c = V.cells(s, d)
+    pairs = c.select(F.col("cell_id").alias("cell_i"), F.col("lat").alias("a"), F.col("lon").alias("b")).join(c.select(F.col("cell_id").alias("cell_j"), F.col("lat").alias("c"), F.col("lon").alias("d")))
+    km = S.haversine_km(*[F.col(x) for x in "abcd"])
+    rows = pairs.withColumn("radius", F.explode(F.array(F.lit(1500.0), F.lit(5000.0))))
+    return rounded(rows.select("cell_i", "cell_j", "radius", S.gaspari_cohn(km / F.col("radius")).alias("correlation")))
+
+
+LAM = "2.0 / (1.0 + 0.8 * exp(0.5 * p))"
+YJ = "CASE WHEN x >= 0 THEN (pow(1 + x, l) - 1) / l ELSE -(pow(1 - x, 2 - l) - 1) / (2 - l) END"
+
+
+@query(f"SELECT scenario, member, year, cell_id, round(l, 6) AS lambda, round({YJ}, 6) AS transformed, round(x, 6) AS back FROM (SELECT *, value AS x, {LAM} AS l FROM ({TWO}))")
+def yeo_johnson(s, d):
+    rows = with_predictor(s, d).withColumn("lambda", S.logistic_lambda(F.lit(0.8), F.lit(0.5), F.col("p"))).withColumn("transformed", S.yeo_johnson(F.col("value"), F.col("lambda")))
+    return rounded(rows.withColumn("back", S.yeo_johnson_inverse(F.col("transformed"), F.col("lambda"))).select("scenario", "member", "year", "cell_id", "lambda", "transformed", "back"))
+
+
+@query("SELECT user_id, event_type, round(ln(p / (1 - p)), 5) AS z FROM (SELECT user_id, event_type, greatest(1e-9, least(1 - 1e-9, exp(-exp(-(value - 20) / 15)))) AS p FROM events)")
+def probability_transform(s, d):
+    z = S.probability_transform(F.col("value"), lambda x: S.gumbel_cdf(x, F.lit(20.0), F.lit(15.0)), lambda p: S.logistic_ppf(p, F.lit(0.0), F.lit(1.0)))
+    return rounded(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", z.alias("z")), 5)
+
+
+@query(f"SELECT cell_id, round(-sum(lp), 5) AS nll, round(2 * ln(count(*)) - 2 * sum(lp), 5) AS bic FROM (SELECT cell_id, -0.5 * pow(value - p, 2) - 0.9189385332046727 AS lp FROM ({TWO})) GROUP BY 1")
+def quality_scores(s, d):
+    rows = with_predictor(s, d).withColumn("lp", S.norm_logpdf(F.col("value"), F.col("p"), F.lit(1.0)))
+    return rounded(rows.groupBy("cell_id").agg((-F.sum("lp")).alias("nll"), (2 * F.log(F.count("*")) - 2 * F.sum("lp")).alias("bic")), 5)
+
+
+@query(f"""SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, round(covar_samp(a.value, b.value) * sqrt(1 - ga.c * ga.c) * sqrt(1 - gb.c * gb.c), 6) AS cov
+FROM pooled a JOIN pooled b USING (sample_id) JOIN (SELECT cell_id, tanh(avg(coeff)) AS c FROM ({AR}) GROUP BY 1) ga ON ga.cell_id = a.cell_id JOIN (SELECT cell_id, tanh(avg(coeff)) AS c FROM ({AR}) GROUP BY 1) gb ON gb.cell_id = b.cell_id GROUP BY a.cell_id, b.cell_id, ga.c, gb.c""")
+def adjust_covariance_ar1(s, d):
+    ens = V.ensemble(s, d)
+    cov = E.weighted_covariance(E.pool_samples(ens).withColumn("weight", F.lit(1.0)))
+    coeffs = M.ar_fit(E.splice_hist_scen(ens), ["scenario", "member", "cell_id"]).groupBy("cell_id").agg(F.tanh(F.avg("coeff")).alias("coeff"))
+    return rounded(M.adjust_covariance_ar1(cov, coeffs))
+
+
+# Generation
+
+UNIFORM = "CAST('0x' || substr(md5('7:' || scenario || ':' || realisation || ':' || t || ':' || cell_id || ':{k}'), 1, 12) AS BIGINT) / 281474976710656.0"
+NOISE = "SELECT scenario, realisation, t, cell_id, sqrt(-2 * ln(1 - " + UNIFORM.format(k=1) + ")) * cos(2 * 3.141592653589793 * " + UNIFORM.format(k=2) + ") AS noise FROM (SELECT DISTINCT scenario, cell_id FROM ens), (SELECT CAST(range AS BIGINT) AS realisation FROM range(2)), (SELECT CAST(range AS INTEGER) AS t FROM range(8))"
+
+
+def noise(s, d):
+    keys = V.ensemble(s, d).select("scenario", "cell_id").distinct()
+    keys = keys.select("scenario", "cell_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("realisation")).select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("t"))
+    return G.noise_table(keys, "7")
+
+
+@query(f"SELECT scenario, realisation, t, cell_id, round(noise, 6) AS noise FROM ({NOISE})")
+def noise_table(s, d):
+    return rounded(noise(s, d).select("scenario", "realisation", "t", "cell_id", "noise"))
+
+
+@query(f"""SELECT scenario, realisation, cell_id, t - 1 AS t, round(x, 6) AS x FROM (
+WITH RECURSIVE nz AS MATERIALIZED ({NOISE}), par AS MATERIALIZED (SELECT cell_id, avg(i) AS a, avg(c) AS b FROM (SELECT scenario, cell_id, avg(intercept) AS i, avg(coeff) AS c FROM ({AR}) GROUP BY ALL) GROUP BY 1),
+rec AS (SELECT scenario, realisation, cell_id, 1 AS t, CAST(0 AS DOUBLE) AS x FROM nz WHERE t = 1 UNION ALL SELECT rec.scenario, rec.realisation, rec.cell_id, nz.t, a + b * x + noise FROM rec JOIN nz ON nz.scenario = rec.scenario AND nz.realisation = rec.realisation AND nz.cell_id = rec.cell_id AND nz.t = rec.t + 1 JOIN par ON par.cell_id = rec.cell_id)
+SELECT * FROM rec)""")
+def ar_recursion(s, d):
+    params = M.ar_fit_scen_ens(E.splice_hist_scen(V.ensemble(s, d)))
+    return rounded(G.ar_recursion(noise(s, d), params, ["scenario", "realisation", "cell_id"], buffer=1))
+
+
+# Guards
+
+
+@query("SELECT count(*) FILTER (value IS NULL) AS value FROM ens")
+def count_not_finite(s, d):
+    return Q.count_not_finite(V.ensemble(s, d), "value")
+
+
+@query("SELECT scenario, member, cell_id, year FROM (SELECT *, year - lag(year) OVER (PARTITION BY scenario, member, cell_id ORDER BY year) AS g FROM ens) WHERE g <> 1")
+def year_gaps(s, d):
+    return Q.year_gaps(V.ensemble(s, d), ["scenario", "member", "cell_id"]).select("scenario", "member", "cell_id", "year")
+
+
+@query("SELECT count(*) FILTER (abs(r0 - r1) > 0.1 * abs(r1) OR (r0 IS NULL) <> (r1 IS NULL)) AS beyond FROM (SELECT scenario, year, max(CASE WHEN member = 'r0' THEN value END) AS r0, max(CASE WHEN member = 'r1' THEN value END) AS r1 FROM gm GROUP BY ALL)")
+def count_beyond(s, d):
+    gm = global_means(s, d)
+    return Q.count_beyond(gm.filter("member = 'r0'"), gm.filter("member = 'r1'"), ["scenario", "year"], "value", 0.1)
