@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import gaspari_cohn
+
 
 def calc_anomaly(df: DataFrame, first: int, last: int, ref_scenario: str = "historical", value: str = "value") -> DataFrame:
     """Subtract each member's and cell's mean over a reference period of one scenario from all scenarios.
@@ -145,3 +147,13 @@ def splice_hist_scen(df: DataFrame) -> DataFrame:
     hist, scen = df.filter("scenario = 'historical'").drop("scenario"), df.filter("scenario <> 'historical'")
     past = scen.select("scenario", "member").distinct().join(hist, "member")
     return past.unionByName(scen.join(hist.select("member").distinct(), "member", "left_semi"))
+
+
+def smooth_coefficients(coeffs: DataFrame, pairs: DataFrame, radius: float, keys: tuple[str, ...] = ("coeff",), value: str = "value") -> DataFrame:
+    """Each cell's coefficient as the median over all cells, weighted by the Gaspari-Cohn correlation at their distance.
+
+    `coeffs` has keys, cell_id and value, `pairs` cell_i, cell_j, km of all cells.
+    """
+    rows = coeffs.withColumnRenamed("cell_id", "cell_j").join(pairs, "cell_j")
+    rows = rows.select(*keys, F.col("cell_i").alias("cell_id"), value, gaspari_cohn(F.col("km") / radius).alias("__weight"))
+    return weighted_median(rows, [*keys, "cell_id"], value, "__weight")

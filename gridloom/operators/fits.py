@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ensemble import median_nearest
+
 
 def solve(a: list[list[Column]], b: list[Column]) -> list[Column]:
     """Solve small symmetric systems in each row by Cramer's rule (up to three unknowns)."""
@@ -80,6 +82,13 @@ def ar_order(df: DataFrame, keys: list[str], maxlag: int = 2, order: str = "year
     return every.groupBy(*keys).agg(F.min_by("p", F.struct("ic", "p")).alias("order"))
 
 
+def ar_order_scen_ens(df: DataFrame, maxlag: int = 2, order: str = "year", value: str = "value", criterion: str = "bic") -> DataFrame:
+    """Each series' order, then the nearest median over members, then over scenarios: (cell_id, order)."""
+    each = ar_order(df, ["scenario", "member", "cell_id"], maxlag, order, value, criterion)
+    over = lambda rows, keys: median_nearest(rows, keys, "order").select(*keys, "order")
+    return over(over(each, ["scenario", "cell_id"]), ["cell_id"])
+
+
 def ar_fit_monthly(df: DataFrame, keys: list[str], cell: str = "cell_id", value: str = "value") -> DataFrame:
     """For each cell and calendar month the regression on the month before: (cell, month, intercept, slope)."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy("year", "month"))

@@ -32,3 +32,25 @@ def correlate_noise(noise: DataFrame, factor: DataFrame) -> DataFrame:
     """Colour noise with a Cholesky factor (cell_i, cell_j, value), by a join on the second cell."""
     joined = noise.withColumnRenamed("cell_id", "cell_j").join(factor, "cell_j")
     return joined.groupBy("scenario", "realisation", "t", F.col("cell_i").alias("cell_id")).agg(F.sum(F.col("noise") * F.col("value")).alias("noise"))
+
+
+def ar_recursion_monthly(noise: DataFrame, params: DataFrame, keys: list[str], buffer: int = 0) -> DataFrame:
+    """x_t = c_m + s_m x_(t-1) + e_t with the parameters of t's calendar month, x_0 = e_0; `buffer` years are dropped.
+
+    `noise` has keys, t (months from 0, a January) and noise, `params` cell_id, month (1 to 12), intercept, slope.
+    """
+    months = params.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct("intercept", "slope")))).alias("by_month"))
+
+    def step(done, e):
+        p = F.element_at(F.col("by_month"), (F.size(done) % 12 + 1).cast(params.schema["month"].dataType))
+        return F.concat(done, F.array(F.when(F.size(done) == 0, e["noise"]).otherwise(p["intercept"] + p["slope"] * F.element_at(done, -1) + e["noise"])))
+
+    series = noise.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "noise"))).alias("e")).join(months, "cell_id")
+    series = series.select(*keys, F.aggregate("e", F.array().cast("array<double>"), step).alias("x"))
+    return series.select(*keys, F.posexplode("x").alias("t", "x")).filter(F.col("t") >= 12 * buffer).withColumn("t", F.col("t") - 12 * buffer)
+
+
+def emulate_annual(forced: DataFrame, local: DataFrame, first: int) -> DataFrame:
+    """Forced response (scenario, year, cell_id, forced) plus local variability (scenario, realisation, t, cell_id, x), t from year `first`."""
+    rows = local.withColumn("year", F.col("t") + F.lit(first).cast("long")).join(forced, ["scenario", "year", "cell_id"])
+    return rows.select("scenario", "realisation", "year", "cell_id", (F.col("forced") + F.col("x")).alias("value"))

@@ -11,6 +11,7 @@ from ..operators import fits as M
 from ..operators import generate as G
 from ..operators import grid as P
 from ..operators import guards as Q
+from ..operators import harmonic as H
 from . import views as V
 
 QUERIES: dict = {}
@@ -331,6 +332,36 @@ def ar_fit_monthly(s, d):
     return rounded(M.ar_fit_monthly(V.monthly(s, d), ["member", "cell_id"]))
 
 
+MONTHLY_SCENARIOS = "SELECT *, CASE WHEN year <= 1997 THEN 'historical' ELSE 'scen' END AS scenario FROM mon"
+
+
+@query(f"""SELECT cell_id, CAST(l[CAST(round_even((len(l) - 1) * 0.5, 0) AS BIGINT) + 1] AS INTEGER) AS "order" FROM (SELECT cell_id, list_sort(list(o)) AS l FROM (
+SELECT scenario, cell_id, l[CAST(round_even((len(l) - 1) * 0.5, 0) AS BIGINT) + 1] AS o FROM (SELECT scenario, cell_id, list_sort(list(o)) AS l FROM (
+SELECT scenario, member, cell_id, arg_min(p, (ic, p)) AS o FROM (
+WITH lagged AS (SELECT scenario, member, cell_id, value AS y, lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2 FROM ({MONTHLY_SCENARIOS}) WINDOW o AS (PARTITION BY scenario, member, cell_id ORDER BY year, month)),
+m AS (SELECT scenario, member, cell_id, CAST(count(*) AS DOUBLE) AS n, var_pop(x1) AS a, var_pop(x2) AS c, covar_pop(x1, x2) AS b, covar_pop(y, x1) AS u, covar_pop(y, x2) AS v, var_pop(y) AS w FROM lagged WHERE x2 IS NOT NULL GROUP BY ALL)
+SELECT scenario, member, cell_id, 1 AS p, n * ln(w - u * u / a) + ln(n) * 2 AS ic FROM m UNION ALL SELECT scenario, member, cell_id, 2, n * ln(w - (c * u * u - 2 * b * u * v + a * v * v) / (a * c - b * b)) + ln(n) * 3 FROM m) GROUP BY ALL) GROUP BY ALL)) GROUP BY 1)""")
+def ar_order_scen_ens(s, d):
+    mon = V.monthly(s, d).withColumn("scenario", F.when(F.col("year") <= 1997, "historical").otherwise("scen"))
+    return M.ar_order_scen_ens(mon.withColumn("t", F.col("year") * 12 + F.col("month")), 2, "t")
+
+
+def harmonic_rows(s, d):
+    mon = V.monthly(s, d)
+    return mon.join(P.resample_annual(mon, ["cell_id", "member"]).withColumnRenamed("value", "yearly"), ["cell_id", "member", "year"])
+
+
+@query()
+def harmonic_fit(s, d):
+    return H.harmonic_fit(harmonic_rows(s, d))
+
+
+@query()
+def harmonic_predict(s, d):
+    rows = harmonic_rows(s, d)
+    return rounded(H.harmonic_predict(rows, H.harmonic_fit(rows)).select("cell_id", "member", "year", "month", "value", "predicted"))
+
+
 @query("""SELECT week, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 5) AS smooth FROM (SELECT week, sum(w) AS s0, sum(w * c) AS s1, sum(w * c * c) AS s2, sum(w * y) AS t0, sum(w * c * y) AS t1 FROM (
 SELECT week, c, y, CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM (SELECT *, max(d) OVER (PARTITION BY week) AS h FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY d, x) AS r FROM (
 SELECT CAST(a.week AS DOUBLE) AS week, CAST(b.week AS DOUBLE) AS x, CAST(b.week - a.week AS DOUBLE) AS c, abs(CAST(b.week - a.week AS DOUBLE)) AS d, b.value AS y FROM wk a, wk b)) WHERE r <= 50)) GROUP BY 1)""")
@@ -350,6 +381,18 @@ def gaspari_cohn_correlation(s, d):
     return rounded(rows.select("cell_i", "cell_j", "radius", S.gaspari_cohn(km / F.col("radius")).alias("correlation")))
 
 
+@query(f"""SELECT 'b_p' AS coeff, cell_id, round(coalesce(max(CASE WHEN w > h THEN value END), min(CASE WHEN abs(c - h) < 1e-12 THEN (value + nx) / 2 END), min(CASE WHEN c > h THEN value END)), 6) AS value
+FROM (SELECT cell_id, value, w, sum(w) OVER (o ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY cell_id) / 2 AS h, lead(value) OVER o AS nx
+  FROM (SELECT cell_i AS cell_id, slope AS value, {GC.format(r="(km / 5000)")} AS w FROM (SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, {HAV} AS km FROM cell a, cell b)
+    JOIN (SELECT cell_id AS cell_j, regr_slope(value, p) AS slope FROM ({TWO}) GROUP BY 1) USING (cell_j)) WINDOW o AS (PARTITION BY cell_id ORDER BY value, w)) GROUP BY 2""")
+def smooth_coefficients(s, d):
+    c = V.cells(s, d)
+    pairs = c.select(F.col("cell_id").alias("cell_i"), F.col("lat").alias("a"), F.col("lon").alias("b")).join(c.select(F.col("cell_id").alias("cell_j"), F.col("lat").alias("c"), F.col("lon").alias("d")))
+    pairs = pairs.select("cell_i", "cell_j", S.haversine_km(*[F.col(x) for x in "abcd"]).alias("km"))
+    slopes = M.linreg_fit(with_predictor(s, d), ["cell_id"], ["p"], "value").select(F.lit("b_p").alias("coeff"), "cell_id", F.col("b_p").alias("value"))
+    return rounded(E.smooth_coefficients(slopes, pairs, 5000.0))
+
+
 LAM = "2.0 / (1.0 + 0.8 * exp(0.5 * p))"
 YJ = "CASE WHEN x >= 0 THEN (pow(1 + x, l) - 1) / l ELSE -(pow(1 - x, 2 - l) - 1) / (2 - l) END"
 
@@ -398,15 +441,45 @@ def noise_table(s, d):
     return rounded(noise(s, d).select("scenario", "realisation", "t", "cell_id", "noise"))
 
 
-@query(f"""SELECT scenario, realisation, cell_id, t - 1 AS t, round(x, 6) AS x FROM (
+RECURSION = f"""SELECT scenario, realisation, cell_id, t - 1 AS t, x FROM (
 WITH RECURSIVE nz AS MATERIALIZED ({NOISE}), par AS MATERIALIZED (SELECT cell_id, avg(i) AS a, avg(c) AS b FROM (SELECT scenario, cell_id, avg(intercept) AS i, avg(coeff) AS c FROM ({AR}) GROUP BY ALL) GROUP BY 1),
 rec AS (SELECT scenario, realisation, cell_id, 1 AS t, CAST(0 AS DOUBLE) AS x FROM nz WHERE t = 1 UNION ALL SELECT rec.scenario, rec.realisation, rec.cell_id, nz.t, a + b * x + noise FROM rec JOIN nz ON nz.scenario = rec.scenario AND nz.realisation = rec.realisation AND nz.cell_id = rec.cell_id AND nz.t = rec.t + 1 JOIN par ON par.cell_id = rec.cell_id)
-SELECT * FROM rec)""")
+SELECT * FROM rec)"""
+
+
+@query(f"SELECT * REPLACE (round(x, 6) AS x) FROM ({RECURSION})")
 def ar_recursion(s, d):
     params = M.ar_fit_scen_ens(E.splice_hist_scen(V.ensemble(s, d)))
     return rounded(G.ar_recursion(noise(s, d), params, ["scenario", "realisation", "cell_id"], buffer=1))
 
 
+@query(f"""SELECT f.scenario, realisation, f.year, f.cell_id, round(forced + x, 6) AS value FROM ({RECURSION}) r JOIN (
+ SELECT em.scenario, em.year, cell_id, a + b * em.value AS forced FROM em, (SELECT cell_id, regr_intercept(value, p) AS a, regr_slope(value, p) AS b FROM ({TWO}) GROUP BY 1)) f
+ON r.scenario = f.scenario AND r.cell_id = f.cell_id AND r.t = f.year - 1995""")
+def emulate_annual(s, d):
+    em = E.ens_mean(global_means(s, d)).withColumnRenamed("value", "p")
+    params = M.linreg_fit(with_predictor(s, d), ["cell_id"], ["p"], "value")
+    forced = M.linreg_predict(em.join(F.broadcast(V.cells(s, d).select("cell_id"))), params, ["cell_id"], ["p"], "forced")  # a nation a cell: 25
+    local = G.ar_recursion(noise(s, d), M.ar_fit_scen_ens(E.splice_hist_scen(V.ensemble(s, d))), ["scenario", "realisation", "cell_id"], buffer=1)
+    return rounded(G.emulate_annual(forced, local, 1995))
+
+
+MONTHLY_NOISE = "SELECT scenario, realisation, t, cell_id, sqrt(-2 * ln(1 - " + UNIFORM.format(k=1) + ")) * cos(2 * 3.141592653589793 * " + UNIFORM.format(k=2) + ") AS noise FROM (SELECT DISTINCT 'm' AS scenario, cell_id FROM mon), (SELECT unnest(range(2)) AS realisation), (SELECT CAST(unnest(range(36)) AS INTEGER) AS t)"
+
+
+@query(f"""SELECT scenario, realisation, cell_id, t - 12 AS t, round(x, 6) AS x FROM (
+WITH RECURSIVE nz AS MATERIALIZED ({MONTHLY_NOISE}), par AS MATERIALIZED (SELECT cell_id, month, regr_intercept(value, x) AS a, regr_slope(value, x) AS b
+ FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) WHERE x IS NOT NULL GROUP BY ALL),
+rec AS (SELECT scenario, realisation, cell_id, t, noise AS x FROM nz WHERE t = 0 UNION ALL SELECT rec.scenario, rec.realisation, rec.cell_id, nz.t, a + b * x + noise
+ FROM rec JOIN nz ON nz.scenario = rec.scenario AND nz.realisation = rec.realisation AND nz.cell_id = rec.cell_id AND nz.t = rec.t + 1 JOIN par ON par.cell_id = rec.cell_id AND par.month = nz.t % 12 + 1)
+SELECT * FROM rec) WHERE t >= 12""")
+def ar_recursion_monthly(s, d):
+    mon = V.monthly(s, d)
+    keys = mon.select(F.lit("m").alias("scenario"), "cell_id").distinct().withColumn("realisation", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    keys = keys.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(35))))
+    return rounded(G.ar_recursion_monthly(G.noise_table(keys, "7"), M.ar_fit_monthly(mon, ["member", "cell_id"]), ["scenario", "realisation", "cell_id"], buffer=1))
+
+
 # Guards
 
 

@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on sf0.001, and golden numbers of the functions."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +9,7 @@ from gridloom.functions import scalar as S
 from gridloom.operators import ensemble as E
 from gridloom.operators import fits as M
 from gridloom.operators import generate as G
+from gridloom.operators import harmonic as H
 from gridloom.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -27,9 +29,8 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["calc_anomaly", "global_mean_anomaly", "mask_and_stack", "closest_neighbors", "weighted_median", "linreg_fit", "ar_fit", "lowess", "noise_table", "ar_recursion"])
-def test_query(spark, duck, name):
-    df = QUERIES[name](spark, SF)
+def same(spark, duck, name, sf):
+    df = QUERIES[name](spark, sf)
     found = duck.execute(ORACLES[name])
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
@@ -38,6 +39,20 @@ def test_query(spark, duck, name):
     assert keys == other_keys and floats == pytest.approx(other_floats, abs=1e-5)
 
 
+@pytest.mark.parametrize("name", ["ar_fit", "ar_recursion", "emulate_annual"])
+def test_query_on_longer_series(spark, name):
+    """On sf0.01, where every series has several lagged pairs."""
+    sf, c = "/root/testdata/sf0.01", duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    same(spark, c, name, sf)
+
+
+@pytest.mark.parametrize("name", ["calc_anomaly", "global_mean_anomaly", "mask_and_stack", "closest_neighbors", "weighted_median", "linreg_fit", "ar_fit", "lowess", "noise_table", "ar_recursion", "ar_order_scen_ens", "smooth_coefficients", "ar_recursion_monthly"])
+def test_query(spark, duck, name):
+    same(spark, duck, name, SF)
+
+
 def values(spark, rows, schema, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
@@ -73,3 +88,30 @@ def test_guards(spark):
         E.calc_anomaly(df, 1999, 2001)
     with pytest.raises(ValueError, match="empty"):
         E.calc_anomaly(df, 1900, 1901)
+
+
+def test_harmonic(spark):
+    """A cycle of two harmonics is found again without noise, and the order chosen with noise is that of a direct fit."""
+    rng = np.random.default_rng(0)
+    rows, cell_2 = [], []
+    for year in range(30):
+        y = float(rng.normal(10, 2))
+        for m in range(1, 13):
+            cycle = y + (0.3 * y + 1) * np.cos(np.pi * (m - 1) / 6) + (0.1 * y - 2) * np.sin(np.pi * (m - 1) / 3)
+            rows.append((1, year, m, y, float(cycle)))
+            cell_2.append((y, m, float(cycle + rng.normal(0, 0.5))))
+            rows.append((2, year, m, *[cell_2[-1][i] for i in (0, 2)]))
+    df = spark.createDataFrame(rows, "cell_id long, year int, month int, yearly double, value double")
+    fit = H.harmonic_fit(df)
+    found = {r.cell_id: r for r in fit.collect()}
+    assert found[1].order == 2 and found[1].coeffs == pytest.approx([0.3, 1, 0, 0, 0, 0, 0.1, -2], abs=1e-6)
+    y, m, v = (np.array(c) for c in zip(*cell_2))
+    scores = []
+    for k in range(1, 7):
+        x = H.design(y, m, k)
+        left = v - y - x @ np.linalg.lstsq(x, v - y, rcond=None)[0]
+        scores.append(len(v) * np.log(np.mean(left**2)) + 4 * k * np.log(len(v)))
+    assert found[2].order == next((k for k in range(1, 6) if scores[k] >= scores[k - 1]), 6)
+    both = H.harmonic_predict(df.filter("cell_id = 1"), fit).collect()
+    assert len(both) == 360 and all(abs(r.predicted - r.value) < 1e-6 for r in both)
+    assert H.harmonic_fit(df.filter("false")).count() == 0
