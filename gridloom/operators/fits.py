@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.params import cut_lineage
 from .ensemble import median_nearest
 
 
@@ -96,17 +97,39 @@ def ar_fit_monthly(df: DataFrame, keys: list[str], cell: str = "cell_id", value:
     return rows.groupBy(cell, "month").agg(F.regr_intercept(value, "x").alias("intercept"), F.regr_slope(value, "x").alias("slope"))
 
 
-def lowess(df: DataFrame, keys: list[str], x: str, y: str, n_steps: int) -> DataFrame:
-    """Locally weighted linear regression (Cleveland 1979) without robust rounds: for each x the n nearest rows, tricube weights."""
-    columns = [*keys, F.col(x).cast("double").alias("x"), F.col(y).alias("y")]
-    at, near = df.select(*keys, F.col(x).cast("double").alias("x0")), df.select(*columns)
-    window = Window.partitionBy(*keys, "x0").orderBy("d", "x")
-    pairs = at.join(near, keys).withColumn("d", F.abs(F.col("x") - F.col("x0"))).withColumn("r", F.row_number().over(window)).filter(F.col("r") <= n_steps)
+def lowess(df: DataFrame, keys: list[str], x: str, y: str, n_steps: int, rounds: int = 0) -> DataFrame:
+    """Locally weighted linear regression (Cleveland 1979): for each distinct x of a key the n nearest rows, tricube weights.
+
+    A row's neighbours lie within n ranks of x, so ranks are joined by blocks of n: no more than 3 n rows meet one x, except at
+    repeated x. `rounds` robust rounds weigh rows by the bisquare of their residual over six median absolute residuals;
+    with all residuals zero they change nothing. Rows with a null take no part.
+    """
+    rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).alias("y")).dropna().withColumn("robust", F.lit(1.0))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")).cast("long"))
+    rows = rows if not rounds else cut_lineage(rows, "lowess")
+    smooth = lowess_once(rows, keys, n_steps)
+    for _ in range(rounds):
+        gaps = rows.join(smooth.withColumnRenamed("x0", "x"), [*keys, "x"]).withColumn("gap", F.abs(F.col("y") - F.col("smooth")))
+        scale = gaps.groupBy(*keys).agg((6 * F.median("gap")).alias("scale"))
+        share = F.least(F.col("gap") / F.col("scale"), F.lit(1.0))
+        rows = gaps.join(scale, keys).withColumn("robust", F.when(F.col("scale") > 0, (1 - share**2) ** 2).otherwise(1.0)).select(*keys, "x", "y", "robust", "rank")
+        rows = cut_lineage(rows, "lowess")
+        smooth = lowess_once(rows, keys, n_steps)
+    return smooth.withColumnRenamed("x0", x)
+
+
+def lowess_once(rows: DataFrame, keys: list[str], n_steps: int) -> DataFrame:
+    """(keys, x0, smooth) from rows (keys, x, y, robust, rank)."""
+    at = rows.groupBy(*keys, F.col("x").alias("x0")).agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    blocks = F.explode(F.sequence(F.floor((F.col("low") - n_steps) / n_steps), F.floor((F.col("high") + n_steps) / n_steps)))
+    at, near = at.withColumn("block", blocks), rows.withColumn("block", F.floor(F.col("rank") / n_steps))
+    window = Window.partitionBy(*keys, "x0").orderBy("d", "x", "rank")
+    pairs = at.join(near, [*keys, "block"]).withColumn("d", F.abs(F.col("x") - F.col("x0"))).withColumn("r", F.row_number().over(window)).filter(F.col("r") <= n_steps)
     pairs = pairs.withColumn("h", F.max("d").over(Window.partitionBy(*keys, "x0")))
-    w = F.when(F.col("d") < F.col("h"), (1 - (F.col("d") / F.col("h")) ** 3) ** 3).otherwise(0.0)
+    w = F.col("robust") * F.when(F.col("d") < F.col("h"), (1 - (F.col("d") / F.col("h")) ** 3) ** 3).otherwise(0.0)
     c = F.col("x") - F.col("x0")
     s = pairs.groupBy(*keys, "x0").agg(*[F.sum(w * e).alias(n) for n, e in (("s0", F.lit(1.0)), ("s1", c), ("s2", c * c), ("t0", F.col("y")), ("t1", c * F.col("y")))])
-    return s.select(*keys, F.col("x0").alias(x), ((F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / (F.col("s0") * F.col("s2") - F.col("s1") ** 2)).alias("smooth"))
+    return s.select(*keys, "x0", ((F.col("s2") * F.col("t0") - F.col("s1") * F.col("t1")) / (F.col("s0") * F.col("s2") - F.col("s1") ** 2)).alias("smooth"))
 
 
 def adjust_covariance_ar1(cov: DataFrame, coeffs: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import yeo_johnson_inverse
+from .conditional import DistSpec, lambdas_from_covariates, probability_integral_transform
+from .harmonic import harmonic_predict
+
 
 def uniform(key: Column, k: int) -> Column:
     """A number in [0, 1) from 48 bits of the key's digest: the same on any partitioning."""
@@ -54,3 +58,27 @@ def emulate_annual(forced: DataFrame, local: DataFrame, first: int) -> DataFrame
     """Forced response (scenario, year, cell_id, forced) plus local variability (scenario, realisation, t, cell_id, x), t from year `first`."""
     rows = local.withColumn("year", F.col("t") + F.lit(first).cast("long")).join(forced, ["scenario", "year", "cell_id"])
     return rows.select("scenario", "realisation", "year", "cell_id", (F.col("forced") + F.col("x")).alias("value"))
+
+
+def emulate_monthly(yearly: DataFrame, cycle: DataFrame, power: DataFrame, local: DataFrame, first: int) -> DataFrame:
+    """Seasonal cycle of the yearly values plus the back-transformed local variability: (scenario, realisation, year, month, cell_id, value).
+
+    `yearly` has scenario, year, cell_id, yearly; `cycle` is of `harmonic_fit`, `power` of `yeo_johnson_fit` by cell_id and
+    month; `local` has scenario, realisation, t (months from January of year `first`), cell_id, x. A draw that no value
+    maps to gives null.
+    """
+    dated = local.select("scenario", "realisation", "cell_id", "x", (F.floor(F.col("t") / 12) + first).alias("year"), (F.col("t") % 12 + 1).cast("long").alias("month"))
+    rows = dated.join(yearly.select("scenario", "year", "cell_id", "yearly"), ["scenario", "year", "cell_id"])
+    rows = lambdas_from_covariates(harmonic_predict(rows, cycle, "cycle"), power, ["cell_id", "month"])
+    return rows.select("scenario", "realisation", "year", "month", "cell_id", (F.col("cycle") + yeo_johnson_inverse(F.col("x"), F.col("lambda"))).alias("value"))
+
+
+def emulate_extremes(predictors: DataFrame, coefficients: DataFrame, spec: DistSpec, local: DataFrame, first: int, threshold: float = 1e-9) -> DataFrame:
+    """Standard normal local variability (scenario, realisation, t, cell_id, x) as draws of each cell's conditional distribution.
+
+    `predictors` has scenario, year and the columns that `spec` names; `coefficients` cell_id and the coefficients.
+    """
+    rows = local.withColumn("year", F.col("t") + F.lit(first).cast("long")).join(predictors, ["scenario", "year"]).join(coefficients, "cell_id")
+    normal = DistSpec("norm", {"loc": "0", "scale": "1"}, ())
+    drawn = probability_integral_transform(rows, normal, spec, "x", "value", threshold)
+    return drawn.select("scenario", "realisation", "year", "cell_id", "value")
