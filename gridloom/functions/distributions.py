@@ -8,18 +8,19 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .scalar import norm_logpdf
 
 TINY = 1e-12
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def standard_normal_cdf(z: pd.Series) -> pd.Series:
     return pd.Series([0.5 * math.erfc(-v / math.sqrt(2)) if v == v else None for v in z], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def standard_normal_ppf(p: pd.Series) -> pd.Series:
     inverse = NormalDist().inv_cdf
     ends = {0.0: -math.inf, 1.0: math.inf}

@@ -497,3 +497,6 @@ def year_gaps(s, d):
 def count_beyond(s, d):
     gm = global_means(s, d)
     return Q.count_beyond(gm.filter("member = 'r0'"), gm.filter("member = 'r1'"), ["scenario", "year"], "value", 0.1)
+
+
+from . import fitted  # noqa: E402, F401  (registers more queries)

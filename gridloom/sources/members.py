@@ -13,19 +13,15 @@ AEROSOL_HEADER = 3
 
 
 def read_members(spark: SparkSession, root: str, extension: str = "parquet", **only: str) -> DataFrame:
-    """All files {variable}_{time_res}_{model}_{scenario}_{member}_{resolution}.<extension> under `root`, as one table.
+    """All files, or folders of part files, {variable}_{time_res}_{model}_{scenario}_{member}_{resolution}.<extension> in `root`, as one table.
 
     The name's parts become columns. Parts given in `only` are matched on the names, so other files are not
-    read. Raises if no file matches.
+    read. Spark raises if none matches.
     """
     if unknown := set(only) - set(NAME):
         raise ValueError(f"no such parts of a name: {sorted(unknown)}")
-    glob = "_".join(only.get(part, "*") for part in NAME) + f".{extension}"
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    if not spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path").limit(1).count():
-        raise ValueError(f"no file {glob}")
-    df = reader.format(extension).load(root)
-    stem = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), rf"\.{extension}$", "")
+    df = spark.read.format(extension).load(f"{root}/" + "_".join(only.get(part, "*") for part in NAME) + f".{extension}")
+    stem = F.regexp_extract(F.col("_metadata.file_path"), rf"/([^/]+)\.{extension}(?:/[^/]+)?$", 1)
     parts = F.split(stem, "_")
     return df.select("*", *[parts[i].alias(part) for i, part in enumerate(NAME)])
 
@@ -33,8 +29,8 @@ def read_members(spark: SparkSession, root: str, extension: str = "parquet", **o
 def read_aerosol_series(spark: SparkSession, path: str, annual: bool = True) -> DataFrame:
     """(year, aod), or (year, month, aod): the `global` column of a text table of months from January 1850 on.
 
-    Columns are separated by blanks, named on the third line. A first column `year` (with decimals of the
-    month) orders the rows. Months after the last row, up to December 2022, are zero.
+    Columns are separated by blanks and named on the third line; the rows' order is that of the months, and months
+    after the last row, up to December 2022, are zero.
     """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     lines = lines.select("line", F.split(F.trim("text"), r"\s+").alias("fields"))
