@@ -13,7 +13,7 @@ def solve(a: list[list[Column]], b: list[Column]) -> list[Column]:
     """Solve small symmetric systems in each row by Cramer's rule (up to three unknowns)."""
     det = lambda m: m[0][0] if len(m) == 1 else m[0][0] * m[1][1] - m[0][1] * m[1][0] if len(m) == 2 else sum((-1) ** j * m[0][j] * det([r[:j] + r[j + 1 :] for r in m[1:]]) for j in range(len(m)))
     whole = det(a)
-    return [det([[b[i] if j == k else a[i][j] for j in range(len(a))] for i in range(len(a))]) / whole for k in range(len(a))]
+    return [det([[b[i] if j == k else a[i][j] for j in range(len(a))] for i in range(len(a))]) / F.nullif(whole, F.lit(0.0)) for k in range(len(a))]
 
 
 def linreg_fit(df: DataFrame, keys: list[str], predictors: list[str], target: str, weight: str | None = None, intercept: bool = True) -> DataFrame:
@@ -57,6 +57,28 @@ def ar_fit(df: DataFrame, keys: list[str], order: str = "year", value: str = "va
     return fit.select(*keys, "intercept", "coeff", ((F.col("syy") - F.col("coeff") * F.col("sxy")) / F.col("nobs")).alias("variance"), "nobs")
 
 
+def ar_fit_lags(df: DataFrame, keys: list[str], lags: list[int], order: str = "year", value: str = "value") -> DataFrame:
+    """(keys, intercept, coeffs, variance, nobs): autoregression on up to three given lags; `coeffs` is in the order of `lags`.
+
+    Rows without all lags take no part; a key whose system is singular gets nulls.
+    """
+    if not 1 <= len(set(lags)) == len(lags) <= 3:
+        raise ValueError("one to three different lags")
+    window, names = Window.partitionBy(*keys).orderBy(order), [f"x{k}" for k in lags]
+    rows = df.select(*keys, F.col(value).alias("y"), *[F.lag(value, k).over(window).alias(f"x{k}") for k in lags]).dropna()
+    centred = rows.join(rows.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in ("y", *names)]), keys)
+    centred = centred.select(*keys, *[F.col(f"m_{c}") for c in ("y", *names)], *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("y", *names)])
+    n = len(lags)
+    sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]
+    sums += [F.sum(F.col(names[i]) * F.col("y")).alias(f"b{i}") for i in range(n)] + [F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("nobs")]
+    g = centred.groupBy(*keys, *[f"m_{c}" for c in ("y", *names)]).agg(*sums)
+    solved = solve([[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)], [F.col(f"b{i}") for i in range(n)])
+    g = g.select("*", *[x.alias(f"c{i}") for i, x in enumerate(solved)])
+    intercept = F.col("m_y") - sum((F.col(f"c{i}") * F.col(f"m_{names[i]}") for i in range(n)), F.lit(0.0))
+    variance = (F.col("yy") - sum((F.col(f"c{i}") * F.col(f"b{i}") for i in range(n)), F.lit(0.0))) / F.col("nobs")
+    return g.select(*keys, intercept.alias("intercept"), F.array(*[f"c{i}" for i in range(n)]).alias("coeffs"), variance.alias("variance"), "nobs")
+
+
 def ar_fit_scen_ens(df: DataFrame, order: str = "year", value: str = "value") -> DataFrame:
     """Fit each series, average over members, then over scenarios, each scenario counting once."""
     names = ("intercept", "coeff", "variance")

@@ -85,6 +85,16 @@ def quality_scores_crps(s, d):
     return rounded(C.quality_scores(with_predictor(s, d), coefficients(s, d, 0.0), NORMAL, ["cell_id"]), 5)
 
 
+@query("""SELECT member, cell_id, round(my - c1 * m1 - c2 * m2, 5) AS intercept, round(c1, 5) AS coeff_1, round(c2, 5) AS coeff_2, round(w - c1 * u - c2 * v, 5) AS variance, nobs
+FROM (SELECT *, (c * u - b * v) / (a * c - b * b) AS c1, (a * v - b * u) / (a * c - b * b) AS c2 FROM (SELECT member, cell_id, count(*) AS nobs, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS a, var_pop(x2) AS c,
+covar_pop(x1, x2) AS b, covar_pop(y, x1) AS u, covar_pop(y, x2) AS v, var_pop(y) AS w FROM (SELECT member, cell_id, value AS y, lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2 FROM mon WINDOW o AS (PARTITION BY member, cell_id ORDER BY year, month))
+WHERE x2 IS NOT NULL GROUP BY ALL))""")
+def ar_fit_lags(s, d):
+    series = V.monthly(s, d).withColumn("t", F.col("year") * 12 + F.col("month"))
+    fit = M.ar_fit_lags(series, ["member", "cell_id"], [1, 2], "t")
+    return rounded(fit.select("member", "cell_id", "intercept", F.col("coeffs")[0].alias("coeff_1"), F.col("coeffs")[1].alias("coeff_2"), "variance", "nobs"), 5)
+
+
 # Power transforms
 
 

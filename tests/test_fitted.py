@@ -19,7 +19,7 @@ ONE = ["cell_id"]
 NORMAL = C.DistSpec("norm", {"loc": "c1 * tas", "scale": "c2"}, ("c1", "c2"))
 
 
-@pytest.mark.parametrize("name", ["distribution_cdf", "distribution_ppf", "evaluate_params", "validate_coefficients", "lambdas_from_covariates", "write_read_params", "read_members", "read_aerosol_series", "score_stream", "windowed_means_stream"])
+@pytest.mark.parametrize("name", ["distribution_cdf", "distribution_ppf", "evaluate_params", "ar_fit_lags", "validate_coefficients", "lambdas_from_covariates", "write_read_params", "read_members", "read_aerosol_series", "score_stream", "windowed_means_stream"])
 def test_query(spark, duck, name):  # noqa: F811
     same(spark, duck, name, SF)
 
@@ -182,3 +182,15 @@ def test_emulate_monthly(spark):
     local = spark.createDataFrame([("s", 0, t, 7, t / 10) for t in range(24)], "scenario string, realisation int, t int, cell_id long, x double")
     got = sorted((r.year, r.month, r.value) for r in G.emulate_monthly(yearly, cycle, power, local, 2000).collect())
     assert [v for _, _, v in got] == pytest.approx([10 * (1 + t // 12) + t / 10 for t in range(24)])
+
+
+def test_ar_fit_lags(spark):
+    y = np.arange(30) + np.random.default_rng(0).normal(0, 1, 30)
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(y)] + [(2, 0, 1.0), (2, 1, 2.0)], "k int, t int, value double")
+    for lags, expected in (([1], (1.04728995, 0.99682459, 1.05381192, 29)), ([2], (2.08295035, 0.99318256, 1.18712735, 28))):
+        r = M.ar_fit_lags(df, ["k"], lags, "t").filter("k = 1").first()
+        assert (r.intercept, r.coeffs[0], r.variance, r.nobs) == pytest.approx(expected)
+    x = np.stack([np.ones(27), y[2:-1], y[:-3]], axis=1)
+    r = M.ar_fit_lags(df, ["k"], [1, 3], "t").first()
+    assert [r.intercept, *r.coeffs] == pytest.approx(list(np.linalg.lstsq(x, y[3:], rcond=None)[0]))
+    assert M.ar_fit_lags(df, ["k"], [1], "t").filter("k = 2").first().coeffs == [None]
