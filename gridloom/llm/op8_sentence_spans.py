@@ -24,14 +24,24 @@ def sentences_of(text: bytes) -> list[bytes]:
 
 
 def spans_of(sentences: list[bytes]) -> list[tuple[int, int]]:
-    """For each first sentence, the shortest span that is long enough: (first, end)."""
+    """For each first sentence, and for each last one, the shortest run that is long enough: (first, end).
+
+    A longer run that repeats is covered by these runs within it: a sentence that neither starts nor ends one there lies
+    in the one of the run's first sentence. A text too short for any is one run, if it has words.
+    """
     counts = np.cumsum([0, *(len(s.split()) for s in sentences)])
     n = len(sentences)
     at = np.arange(n)
     by_both = np.maximum(at + SENTENCES, np.searchsorted(counts, counts[:-1] + WORDS))
     by_words = np.searchsorted(counts, counts[:-1] + LONG_WORDS)
     end = np.minimum(by_both, by_words)
-    return [(i, e) for i, e in zip(at.tolist(), end.tolist()) if e <= n]
+    from_both = np.minimum(at + 1 - SENTENCES, np.searchsorted(counts, counts[1:] - WORDS, "right") - 1)
+    from_words = np.searchsorted(counts, counts[1:] - LONG_WORDS, "right") - 1
+    first = np.maximum(from_both, from_words)
+    more = np.flatnonzero((first >= 0) & (end[first] != at + 1))
+    spans = [(i, e) for i, e in zip(at.tolist(), end.tolist()) if e <= n]
+    spans += zip(first[more].tolist(), (more + 1).tolist())
+    return spans or ([(0, n)] if counts[-1] else [])
 
 
 def hash_spans(batches):
@@ -74,9 +84,9 @@ def cut_sentences(batches):
 def remove_repeated_spans(docs: DataFrame) -> DataFrame:
     """Remove the sentences covered by any repeated span but its first occurrence (by doc_id, then place).
 
-    A span is the shortest run of sentences from some sentence on with SENTENCES sentences and WORDS words, or
-    with LONG_WORDS words. Returns doc_id, n_sentences, n_removed and kept (the remaining text), one row for
-    each row of `docs`. A null or empty text has no sentences; one too short for a span is kept. A null doc_id
+    A span is any run of sentences with SENTENCES sentences and WORDS words, or with LONG_WORDS words, or a whole
+    text. Returns doc_id, n_sentences, n_removed and kept (the remaining text), one row for each row of `docs`. A
+    null or empty text has no sentences; one too short for a span goes only as a copy of a whole text. A null doc_id
     comes after all others. Rows with one doc_id and text are one document: neither is a copy of the other.
     Other columns are ignored.
     """

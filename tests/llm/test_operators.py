@@ -149,6 +149,37 @@ def test_sentence_spans(docs, rows, empty):
     assert got == set(expected)
 
 
+def test_sentence_spans_cover_all_runs(spark):
+    rng = random.Random(8)
+    sentence = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(n)) + ". "
+    pool = [sentence(n) for n in (1, 2, 3, 3, 4, 6, 9, 13, 17, 20, 20, 20, 38, 41)]
+    lengths = [sentence(n) for n in (20, 20, 20, 3)]
+    texts = ["".join(lengths), "".join(lengths), "Too short to be a span.", "Too short to be a span.", "Two. Words.", "Two. Words.", " ", " ", "", None]
+    for _ in range(60):
+        texts.append("".join(rng.choice(pool) for _ in range(rng.randint(1, 9))))
+    for _ in range(40):
+        t = rng.choice(texts[10:])
+        own = [s.decode() for s in op8.sentences_of(t.encode())]
+        i = rng.randrange(len(own))
+        texts.append(sentence(5) + "".join(own[i : rng.randint(i, len(own))]) + sentence(4) if rng.random() < 0.7 else t)
+    seen, expected = set(), []
+    for d, t in enumerate(texts):
+        own, gone = op8.sentences_of((t or "").encode()), set()
+        bare, words = [s.strip() for s in own], [len(s.split()) for s in own]
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                w = sum(words[a:b])
+                if w >= 40 or (w >= 16 and b - a >= 3) or (w and b - a == len(own)):
+                    key = tuple(bare[a:b]), w >= 40 or (w >= 16 and b - a >= 3)
+                    if key in seen:
+                        gone |= set(range(a, b))
+                    seen.add(key)
+        expected.append((d, len(own), len(gone), b"".join(s for k, s in enumerate(own) if k not in gone).decode()))
+    got = op8.remove_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == expected
+    assert got[1].kept == got[3].kept == got[5].kept == ""
+
+
 def test_top_products(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 8))
