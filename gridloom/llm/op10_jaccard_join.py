@@ -49,11 +49,9 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(len(begin), np.uint64)
     for lo in range(0, len(data), CHUNK):  # the words that begin in this chunk
         i, j = np.searchsorted(begin, (lo, lo + CHUNK))
-        for k in range(int(j) - 1, int(i) - 1, -1):  # a word over the chunk's end may be very long
-            if end[k] - lo <= 2 * CHUNK:
-                break
-            out[k] = xxhash.xxh3_64_intdigest(WORDS[data[begin[k] : end[k]]].tobytes())
-            j = k
+        if i < j and end[j - 1] - begin[j - 1] > CHUNK:  # by its own length, wherever it lies; only a chunk's last word can be that long
+            out[j - 1] = xxhash.xxh3_64_intdigest(WORDS[data[begin[j - 1] : end[j - 1]]].tobytes())
+            j -= 1
         if i < j:
             out[i:j] = range_hashes(keys[lo : int(end[j - 1])], begin[i:j] - lo, end[i:j] - lo)
     return begin, out

@@ -99,6 +99,17 @@ def test_jaccard(docs, rows, empty):
     assert op10.jaccard_components(empty).count() == 0
 
 
+def test_long_words_hash_alike_anywhere():
+    for size in (op10.CHUNK // 2, 300_000, op10.CHUNK, op10.CHUNK + 1, 2 * op10.CHUNK, 700_000):
+        word = (b"aZ9+" * size)[:size]
+        found = set()
+        for before in (0, 1, 1000, 200_000, op10.CHUNK - 1, op10.CHUNK, op10.CHUNK + 70_000, 500_000):
+            text = np.frombuffer(b"x " * (before // 2) + b" " * (before % 2) + word + b" end", np.uint8)
+            begin, hashes = op10.word_hashes(text)
+            found.add(int(hashes[list(begin).index(before)]))
+        assert len(found) == 1, size
+
+
 def test_decontamination(spark, docs, rows, empty):
     items = spark.createDataFrame([(1, " ".join(rows[20][1].split()[:15]) if len(rows[20][1].split()) >= 15 else rows[20][1]), (10, "Beta3"), (2, None), (3, "")], "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
