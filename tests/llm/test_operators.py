@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from gridloom.llm import op1_token_counts as op1
 from gridloom.llm import op2_block_max_topk as op2
 from gridloom.llm import op3_toxicity as op3
@@ -99,6 +100,31 @@ def test_jaccard(docs, rows, empty):
     assert op10.jaccard_components(empty).count() == 0
 
 
+def test_pipeline_drops_near_copies(spark):
+    rng = random.Random(10)
+    texts = []
+    for k in range(30):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([4, 12, 40, 100, 300]))]
+        for _ in range(4):
+            texts.append(" ".join(words))
+            for i in rng.sample(range(len(words)), max(1, len(words) // rng.choice([30, 50, 80]))):
+                words[i] = f"v{rng.randrange(10**6)}"
+    words = [f"u{k}" for k in range(100)]
+    texts.append(" ".join(words))
+    words[30] = words[60] = "other"
+    texts.append(" ".join(words))
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)}
+    sets = [shingles(t.split()) for t in texts]
+    comp = list(range(len(texts)))
+    links = [(a, b) for a in comp for b in range(a) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])]
+    for _ in comp:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert got == {k for k, c in enumerate(comp) if k == c} and len(texts) - 1 not in got
+
+
 def test_long_words_hash_alike_anywhere():
     for size in (op10.CHUNK // 2, 300_000, op10.CHUNK, op10.CHUNK + 1, 2 * op10.CHUNK, 700_000):
         word = (b"aZ9+" * size)[:size]
