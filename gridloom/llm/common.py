@@ -15,17 +15,25 @@ from pyspark.sql import Window
 BROADCAST_IDS = 500_000
 
 
+#: Paths and tables made by this process, in order; `swept` removes them when nothing reads them any more.
+MADE: list[tuple[str, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a fresh temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir. Only a local master, whose tasks share the driver's disk, may do without."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    MADE.append(("path", path))
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +43,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
+    """A table in the warehouse that is bucketed by `key`, so that joins on it do not move it again."""
+    name = f"{label}_{uuid.uuid4().hex}"
+    MADE.append(("table", name))
+    df.write.bucketBy(n, key).sortBy(key).option("compression", "uncompressed").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def swept(df: DataFrame, label: str, since: int) -> DataFrame:
+    """Store `df`, then remove what was made from the place `since` in MADE on, all but that result."""
+    spark, gone = df.sparkSession, MADE[since:]
+    del MADE[since:]
+    out = stored(df, label)
+    for kind, name in gone:
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
 def toxic_free_crc(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 3; 1 marks the held-out fold. Null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3
@@ -131,6 +161,13 @@ def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     return df.join(ids, column, "left_semi")
 
 
+def without_ids(df: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Rows of `df` whose `column` is not in `ids`; null ids stay. A counted small id list is broadcast, a larger one shuffled."""
+    ids = stored(ids.select(column).distinct(), "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return df.join(ids, column, "left_anti").select(*df.columns)
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """(node, component): the smallest node that is reachable over the undirected `edges` (a, b).
 

@@ -22,7 +22,6 @@ where a repeat is possible:
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, byte_view, mix64, range_hashes, slices, stored
+from .common import BYTE_KEYS, bucketed, byte_view, mix64, range_hashes, slices, stored
+from .packs import asked, bits_for, cuts, dealt, find_repeats, pack_places, runs, sorted_anchors, together
 from .suffix_arrays import common_prefixes, suffix_array
 
 PACK_BYTES = 8 << 20
@@ -127,42 +127,6 @@ def units_of(row, copies, min_bytes: int, contents: bool):
     return ids, data, *(np.concatenate(x) for x in zip(*parts))
 
 
-def bucket_of(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so a sorted array is cut into them."""
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def runs(*columns: np.ndarray) -> np.ndarray:
-    """Where runs of equal rows begin."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = False
-    for x in columns:
-        new[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(new)
-
-
-def cuts(hashes: np.ndarray, n_buckets: int):
-    edges = np.searchsorted(bucket_of(hashes, n_buckets), np.arange(n_buckets + 1))
-    return [(b, i, j) for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if i < j]
-
-
-def bits_for(replies: pd.DataFrame, column: str, hashes: np.ndarray, n_buckets: int) -> np.ndarray:
-    """The buckets' reply bits in the order of the sorted `hashes` that were sent."""
-    by_bucket = dict(zip(replies["bucket"], replies[column]))
-    parts = [np.unpackbits(np.frombuffer(by_bucket[b], np.uint8), count=j - i) for b, i, j in cuts(hashes, n_buckets)]
-    return np.concatenate(parts).astype(bool) if parts else np.empty(0, bool)
-
-
-def sorted_anchors(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and whether each has at least two doc_ids."""
-    if not len(hashes):
-        return hashes, np.empty(0, bool)
-    order = np.argsort(hashes)
-    h, d = hashes[order], ids[order]
-    first = runs(h)
-    return h[first], np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
-
-
 def send_anchors(n_buckets: int, min_bytes: int):
     def run(packs: pd.DataFrame, copies: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -175,17 +139,6 @@ def send_anchors(n_buckets: int, min_bytes: int):
     return run
 
 
-def find_repeats(rows: pd.DataFrame) -> pd.DataFrame:
-    """Reply to each pack, a bit for each hash of this bucket: does it occur in two documents?"""
-    parts = [np.frombuffer(x, np.uint64) for x in rows.hashes]
-    many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows.many, parts)])
-    _, inverse, packs = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    repeats = packs > 1
-    repeats[inverse[many > 0]] = True
-    own = np.split(repeats[inverse], np.cumsum([len(p) for p in parts])[:-1])
-    return pd.DataFrame({"pack": rows["pack"], "bucket": rows["bucket"], "repeats": [np.packbits(x).tobytes() for x in own]})
-
-
 def repeated_units(row, replies: pd.DataFrame, n_buckets: int, min_bytes: int):
     """The units of a pack whose anchors repeat, sorted by (anchor, content, doc_id), and where contents begin."""
     ids, data, first, count, hashes, content, doc = units_of(row, replies["copies"].dropna(), min_bytes, contents=True)
@@ -387,15 +340,6 @@ def cut_documents(min_bytes: int):
 CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def packed(docs: DataFrame, n_bytes: int) -> DataFrame:
-    """The packs of (doc_id, text), as a table in the warehouse that is bucketed by pack."""
-    name = f"packs_{uuid.uuid4().hex}"
-    frame = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack_documents, PACKS)
-    buckets = max(8, min(100_000, n_bytes // PACK_BYTES))
-    frame.write.bucketBy(buckets, "pack").sortBy("pack").option("compression", "uncompressed").saveAsTable(name)
-    return docs.sparkSession.table(name)
-
-
 def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT_CONTENTS) -> DataFrame:
     """Remove each byte covered by a string of `min_bytes` bytes that also starts in a document with a smaller doc_id.
 
@@ -405,7 +349,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT
     others. Texts below `min_bytes` are kept whole. An empty table gives no rows.
     """
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = packed(docs, n_bytes)
+    packs = bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack_documents, PACKS), "pack", max(8, min(100_000, n_bytes // PACK_BYTES)), "packs")
     n_buckets = max(8, -(-n_bytes // BUCKET_BYTES))
     listed = packs.select("pack", "ids", "digests").mapInArrow(list_documents, "pack long, place long, doc_id long, digest binary")
     heads = listed.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").drop("last")
@@ -422,21 +366,6 @@ def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT
     return together(packs, [copies, covered], cut_documents(min_bytes), CUT)
 
 
-def dealt(df: DataFrame, key: str, n: int):
-    """Groups by `key` over n partitions. The rows are few but dear, so they must not be coalesced by their size."""
-    return df.repartition(n, key).groupBy(key)
-
-
-def together(packs: DataFrame, replies: list[DataFrame], function, schema: str) -> DataFrame:
-    """Apply a function to each pack and the replies to it; only the replies are shuffled."""
-    columns = dict.fromkeys(c for r in replies for c in r.columns)
-    every = None
-    for r in replies:
-        r = r.select(*[F.col(c) if c in r.columns else F.lit(None).cast("long" if c == "bucket" else "binary").alias(c) for c in columns])
-        every = r if every is None else every.union(r)
-    return packs.groupBy("pack").cogroup(every.groupBy("pack")).applyInPandas(function, schema)
-
-
 def list_documents(batches):
     for batch in batches:
         for pack, ids, digests in zip(*(c.to_pylist() for c in batch.columns)):
@@ -444,11 +373,6 @@ def list_documents(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), pack)), pa.array(np.arange(len(ids))), pa.array(ids), pa.array([digests[k : k + 16] for k in range(0, len(digests), 16)], pa.binary())], ["pack", "place", "doc_id", "digest"])
 
 
-def pack_places(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], ["pack", "copies"])
-
-
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     """The digest of `remove_repeats` over every whole text of documents, 50 bytes."""
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
