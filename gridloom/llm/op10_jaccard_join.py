@@ -40,7 +40,7 @@ WORDS = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bits of a part in the narrow sketch, ratio of a size band's ends, and rows in a block of step 3.
-FOLD_BITS = 16
+FOLD_BITS = 4
 BAND = 1.5
 BLOCK = 1024
 #: Bytes of text in a pack, of keys in a bucket, and of narrow sketches in one task's bucket of step 3.
@@ -103,7 +103,7 @@ def band_of(size: int) -> int:
 def band_parts(band: int, threshold: tuple[int, int]) -> int:
     """Parts of a size band's sketches: some more than the shingles in which linked pairs may differ."""
     apart = most_apart(2 * math.ceil(BAND ** (band + 1)), threshold)
-    return 4 * math.ceil((apart * 1.15 + 6) / 4)
+    return 16 * math.ceil((apart * 1.15 + 6) / 16)
 
 
 def bands_of(size: int, threshold: tuple[int, int]):
