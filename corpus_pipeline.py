@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import MADE, swept
 from gridloom.llm.op3_toxicity import without_toxic
-from gridloom.llm.op4_suffix_dedup import remove_repeats
+from gridloom.llm.op4_suffix_dedup import without_repeats
 from gridloom.llm.op5_decontaminate import decontaminate
 from gridloom.llm.op6_mix_sources import mixed_documents
 from gridloom.llm.op10_jaccard_join import one_of_each
@@ -16,36 +16,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Rows that the classifier rejects by their own text go. Null and empty texts stay, null and repeated ids are rows as others."""
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents (5-word shingles, 0.8: the general rule; 3 and 0.9 bind only op10's query) the smallest doc_id stays."""
+    """Of each group of linked documents (5-word shingles, 0.8: the general rule; 3 and 0.9 bind only op10's query) the smallest doc_id stays.
+
+    Rows with a null doc_id, and texts without words, all stay; rows of one doc_id are one document.
+    """
     return one_of_each(docs, n=5, threshold=(8, 10)).select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the 50-byte strings of smaller doc_ids. Bytes of a character that was cut apart go, too; n_chars follows."""
-    kept = remove_repeats(docs).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    changed = kept.filter("n_removed > 0").select("doc_id", whole_characters("kept").alias("kept"))
-    joined = docs.join(changed, "doc_id", "left")
-    text = F.when(F.col("kept").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars"))
-
-
-def whole_characters(column: str):
-    """Bytes as text, without those that are no whole UTF-8 character (nor replacement characters, which mark them)."""
-    return F.regexp_replace(F.make_valid_utf8(F.col(column).cast("string")), "\ufffd", "")
+    """Texts lose the 50-byte strings of smaller doc_ids; n_chars follows. Every row stays, null and repeated ids too (a null id counts as the largest)."""
+    kind = docs.schema["n_chars"].dataType
+    return without_repeats(docs).withColumn("n_chars", F.length("text").cast(kind)).select(COLUMNS)
 
 
 def drop_test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more is covered by benchmark items go; the others stay as they are."""
+    """Rows of which a twentieth or more is covered by benchmark items go; the others stay as they are, null texts and ids too."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: each document with its whole repeats and the words of a last, cut pass."""
+    """What the mix takes: each row with its whole repeats and the words of a last, cut pass. Null ids take part; texts without words are never taken."""
     return mixed_documents(docs)
 
 
@@ -62,8 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents."""
+    """All stages over the table documents. What a stage made goes when its result is written; its input goes when the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = len(MADE)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = swept(stage(spark, docs, sf_dir), name.replace(" ", "-"), since)
     return docs

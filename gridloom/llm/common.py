@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, IntegralType, LongType, StructField, StructType
 
 #: Ids up to this count are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 500_000
@@ -131,27 +132,62 @@ def range_hashes(keys: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     return mix64((sums[end] - sums[begin]) * INVERSES[begin] + (end - begin).astype(np.uint64))
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as the struct `row`; it carries them past added columns of the same names."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def local_sums(n_keys: int, value: int):
+    """Add to sorted batches the sum of column `value` over the partition's rows before, as long as the first `n_keys` columns stay the same."""
+
+    def run(batches):
+        last, carried = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in range(n_keys):
+                code = np.asarray(batch.column(k).dictionary_encode(null_encoding="encode").indices)
+                new[1:] |= code[1:] != code[:-1]
+            first = [batch.column(k)[0].as_py() for k in range(n_keys)]
+            new[0] = first != last
+            last = [batch.column(k)[-1].as_py() for k in range(n_keys)]
+            values = np.asarray(batch.column(value).fill_null(0))
+            values = values.astype(np.int64 if values.dtype.kind == "i" else np.float64)
+            start = np.flatnonzero(new)
+            before = np.cumsum(values) - values + np.where(new.any() and new[0], 0, carried)
+            if len(start):
+                base = before[start].copy()
+                base[start == 0] = 0
+                which = np.searchsorted(start, np.arange(batch.num_rows), "right") - 1
+                before = before - np.where(which >= 0, base[which], 0)
+            carried = before[-1] + values[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "__local"])
+
+    return run
+
+
 def with_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, label: str) -> DataFrame:
-    """Add `out`: the sum of `value` over the rows before, within `keys` (nulls form one key), ordered by `order`.
+    """Add `out`: the sum of `value` (long or double) over the rows before, within `keys` (nulls form one key), ordered by `order`.
 
-    Rows are range-sorted by (keys, order) over all partitions; each partition sums its slice of a key, the
-    slices' totals (one row for each key and partition) are prefix-summed, and a local running sum is added.
+    Rows are range-sorted by (keys, order) over all partitions; each partition sums its slice of a key as it is
+    written, the slices' totals (one row for each key and partition) are prefix-summed and added.
     So a key with a third of all rows is spread over a third of the partitions. `order` should be unique
     within a key, else the order among equals is arbitrary. The ranged table is stored, so that a rerun of a
     lost task finds the same slices.
     """
-    ranged = stored(
-        df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in keys + order]).withColumn("__slice", F.spark_partition_id()),
-        label,
-    )
+    by = [F.col(c).asc_nulls_last() for c in keys + order]
+    rest = [c for c in df.columns if c not in keys]
+    ranged = df.select(*keys, *rest).repartitionByRange(*by).sortWithinPartitions(*by)
+    kind = LongType() if isinstance(ranged.schema[value].dataType, IntegralType) else DoubleType()
+    schema = StructType([*ranged.schema, StructField("__local", kind)])
+    ranged = stored(ranged.mapInArrow(local_sums(len(keys), ranged.columns.index(value)), schema).withColumn("__slice", F.spark_partition_id()), label)
     slots = [*keys, "__slice"]
     totals = ranged.groupBy(*slots).agg(F.sum(value).alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slots)], F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__slices_before"))
-    local = Window.partitionBy(*slots).orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    joined = ranged.withColumn("__local", F.coalesce(F.sum(value).over(local), F.lit(0)))
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slots)]
-    return joined.join(totals, on).withColumn(out, F.col("__slices_before") + F.col("__local")).drop("__slice", "__slices_before", "__local", *[f"__k{i}" for i in range(len(slots))])
+    return ranged.join(totals, on).withColumn(out, F.col("__slices_before") + F.col("__local")).drop("__slice", "__slices_before", "__local", *[f"__k{i}" for i in range(len(slots))])
 
 
 def only_ids(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:

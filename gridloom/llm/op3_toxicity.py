@@ -3,18 +3,24 @@
 Trained by gradient descent on a bounded sample of labelled documents. For each sampled text that names a group,
 a copy with the identity terms swapped is made; besides the log loss, the squared change of the score (its
 logit) between the two is penalised, so that the mere mention of a group does not move the score.
+
+Features are the distinct words of a text, and for each stem (a word's first 4 to 8 bytes) how many distinct words
+share it: at least 1, 2 or 3, and at least one in 200, 100 or 50 of all words. Spark counts them over the sample;
+those whose share differs most between the classes stay, and only their numbers go to the driver.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_view, toxic_free_crc
+from .common import byte_view, stored, toxic_free_crc, whole_row
 
 # Identity terms, each list's terms stand in for one another.
 IDENTITY_TERMS = (
@@ -28,71 +34,103 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"),
     ("old", "young", "elderly"),
     ("blind", "deaf", "disabled"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "heterosexuelle", "bisexuelle"),
+    ("ausländer", "flüchtlinge", "einwanderer", "einheimische"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("étrangers", "réfugiés", "immigrés", "autochtones"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("extranjeros", "refugiados", "inmigrantes", "nativos"),
 )
 SWAPS = {terms[i].encode(): terms[(i + 1) % len(terms)].encode() for terms in IDENTITY_TERMS for i in range(len(terms))}
-SWAP = re.compile(rb"\b(?:" + b"|".join(sorted(SWAPS, key=len, reverse=True)) + rb")\b")
-#: Labelled documents, about, and bytes of their texts, at most, in the training sample; features kept; steps.
+SWAP = re.compile(rb"(?<![\x80-\xff\w])(?:" + b"|".join(sorted(SWAPS, key=len, reverse=True)) + rb")(?![\x80-\xff\w])")
+#: Labelled documents, about, in the training sample; documents that a feature needs, features kept, standard errors by
+#: which a feature's share must differ between the classes; training steps.
 SAMPLE_ROWS = 6000
 MIN_DOCS = 4
 FEATURES = 3000
-STEPS = 1500
+CONTRAST = 4.0
+STEPS = 600
 PAIR_WEIGHT = 1.0
-RIDGE = 1e-5
+RIDGE = 1e-4
+#: Stems in bytes; levels of a stem by its distinct words, and by one in so many words.
+STEMS = (4, 5, 6, 7, 8)
+COUNTS = (1, 2, 3)
+SHARES = (200, 100, 50)
+#: Words longer than this are features by their stems only.
+LONGEST = 64
+#: Words whose features a worker remembers.
+CACHED = 200_000
 #: Bytes that are no letters, A-Z lower-cased: bytes above 127 belong to letters.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
+def levels(stem: bytes, n: int, n_words: int) -> list[bytes]:
+    """The features of a stem that n distinct words share, in a text of n_words words."""
+    return [b"%d+%s" % (c, stem) for c in COUNTS if n >= c] + [b"1/%d %s" % (s, stem) for s in SHARES if n * s >= n_words]
+
+
 def features_of(text: bytes) -> set[bytes]:
-    """The distinct words of a text, and their first four bytes (with a mark), for stems with endings."""
-    words = set(text.translate(LETTERS).split())
-    return words | {b"^" + w[:4] for w in words}
+    words = text.translate(LETTERS).split()
+    distinct = set(words)
+    stems = Counter(w[:k] for w in distinct for k in STEMS if len(w) >= k)
+    return {w for w in distinct if len(w) <= LONGEST} | {f for stem, n in stems.items() for f in levels(stem, n, len(words))}
+
 
+def swapped(text: bytes) -> bytes:
+    """The text with each identity term replaced by the next one of its list; lower case."""
+    return SWAP.sub(lambda m: SWAPS[m[0]], text.lower())
 
-def sample_features(batches):
-    """Features of each sampled text, and of its swapped form where that differs."""
+
+def count_features(batches):
+    """(text, toxic) to (feature, clean, toxic): documents that have it, summed over a batch."""
     for batch in batches:
+        counts: dict[bytes, list[int]] = {}
         data, offsets = byte_view(batch.column(0))
         data = data.tobytes()
-        own, swapped = [], []
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            text = data[a:b].lower()
-            other = SWAP.sub(lambda m: SWAPS[m[0]], text)
-            own.append(b"\n".join(sorted(features_of(text))))
-            swapped.append(b"\n".join(sorted(features_of(other))) if other != text else None)
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, pa.binary()), pa.array(swapped, pa.binary())], ["toxic", "own", "swapped"])
-
-
-def train(rows: list[tuple[int, set, set | None]]) -> tuple[dict[bytes, float], float]:
-    """Weights by feature and the intercept, by full-batch gradient descent with momentum."""
-    if not rows:
-        return {}, -2.0
-    counts: dict[bytes, list[int]] = {}
-    for toxic, own, _ in rows:
-        for f in own:
-            counts.setdefault(f, [0, 0])[toxic] += 1
-    # The features whose share of documents differs most between the classes, in standard errors.
-    n_toxic = max(1, sum(t for t, _, _ in rows))
-    n_clean = max(1, len(rows) - n_toxic)
-
-    def contrast(clean: int, toxic: int) -> float:
-        p = (clean + toxic + 0.5) / (n_clean + n_toxic + 1)
-        return abs(toxic / n_toxic - clean / n_clean) / (p * (1 - p) * (1 / n_toxic + 1 / n_clean)) ** 0.5
-
-    usable = sorted((-contrast(*c), f) for f, c in counts.items() if sum(c) >= MIN_DOCS)
-    index = {f: k for k, (_, f) in enumerate(usable[:FEATURES])}
-
-    def matrix(sets):
-        columns = [np.array([index[f] for f in s if f in index], np.int64) for s in sets]
-        return np.repeat(np.arange(len(columns)), [len(c) for c in columns]), np.concatenate(columns or [np.empty(0, np.int64)])
-
-    y = np.array([t for t, _, _ in rows], float)
-    r, c = matrix([own for _, own, _ in rows])
-    pairs = [(own, other) for _, own, other in rows if other is not None]
+        for a, b, toxic in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist()):
+            for f in features_of(data[a:b]):
+                counts.setdefault(f, [0, 0])[toxic] += 1
+        clean, toxic = zip(*counts.values()) if counts else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["feature", "clean", "toxic"])
+
+
+def number_features(index: dict[bytes, int]):
+    def run(batches):
+        """(text, toxic) to toxic, the text's features, and those that its swapped form gains and loses (int32 bytes)."""
+        packed = lambda fs: np.array(sorted(index[f] for f in fs if f in index), np.int32).tobytes()
+        for batch in batches:
+            data, offsets = byte_view(batch.column(0))
+            data = data.tobytes()
+            out = []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                text = data[a:b]
+                own, other = features_of(text), swapped(text)
+                other = own if other == text.lower() else features_of(other)
+                out.append((packed(own), packed(other - own), packed(own - other)))
+            columns = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, pa.binary()) for c in columns)], ["toxic", "own", "came", "gone"])
+
+    return run
+
+
+def train(y: np.ndarray, own: list[np.ndarray], came: list[np.ndarray], gone: list[np.ndarray], m: int, pair_weight: float = PAIR_WEIGHT) -> tuple[np.ndarray, float]:
+    """Weights of m features and the intercept, by full-batch gradient descent with momentum."""
+    if not len(y):
+        return np.zeros(m), -2.0
+
+    def entries(rows):
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
+
+    r, c = entries(own)
     # The difference of a pair's features; its product with the weights is the change of the logit.
-    gone, came = matrix([a - b for a, b in pairs]), matrix([b - a for a, b in pairs])
-    dr, dc = np.concatenate([gone[0], came[0]]), np.concatenate([gone[1], came[1]])
-    sign = np.concatenate([np.ones(len(gone[0])), -np.ones(len(came[0]))])
-    n, m = len(rows), len(index)
+    (r1, c1), (r2, c2) = entries(came), entries(gone)
+    dr, dc, sign = np.concatenate((r1, r2)), np.concatenate((c1, c2)), np.repeat((1.0, -1.0), (len(r1), len(r2)))
+    pairs = max(1, len(np.unique(dr)))
+    n = len(y)
     # Each class weighs half; a feature's step is scaled by how often it occurs.
     share = np.where(y > 0, 0.5 / max(1.0, y.sum()), 0.5 / max(1.0, n - y.sum()))
     scale = 1.0 / np.sqrt(np.bincount(c, weights=share[r], minlength=m) + 1e-4)
@@ -101,54 +139,101 @@ def train(rows: list[tuple[int, set, set | None]]) -> tuple[dict[bytes, float],
         z = np.bincount(r, weights=w[c], minlength=n) + b
         error = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gradient = np.bincount(c, weights=error[r], minlength=m) + RIDGE * w
-        if pairs:
-            change = np.bincount(dr, weights=sign * w[dc], minlength=len(pairs))
-            gradient += PAIR_WEIGHT * 2 / len(pairs) * np.bincount(dc, weights=sign * change[dr], minlength=m)
+        if len(dr):
+            change = np.bincount(dr, weights=sign * w[dc], minlength=n)
+            gradient += pair_weight * 2 / pairs * np.bincount(dc, weights=sign * change[dr], minlength=m)
         vw = 0.9 * vw - 0.05 * gradient * scale
         vb = 0.9 * vb - 0.5 * error.sum()
         w, b = w + vw, b + vb
-    return {f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-6}, float(b)
-
-
-def score_documents(shared, batches):
-    weights, intercept = shared.value
-    get = weights.get
-    for batch in batches:
-        data, offsets = byte_view(batch.column(1))
-        data = data.tobytes().translate(LETTERS)
-        z = np.empty(batch.num_rows)
-        for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            words = set(data[a:b].split())
-            z[k] = intercept + sum(get(w, 0.0) for w in words) + sum(get(b"^" + s, 0.0) for s in {w[:4] for w in words})
-        score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score)], ["doc_id", "held_out", "score"])
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    return w, float(b)
+
+
+def score_texts(model, texts):
+    """Scores of an Arrow column of texts. `model`: weights of words, stems' features (stem to its level weights), intercept."""
+    words, stems, intercept, cache = model
+    data, offsets = byte_view(texts)
+    data = data.tobytes().translate(LETTERS)
+    z = np.full(len(texts), intercept)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        own = data[a:b].split()
+        counts: dict[bytes, int] = {}
+        total = 0.0
+        for w in set(own):
+            known = cache.get(w)
+            if known is None:
+                known = (words.get(w, 0.0), [w[:s] for s in STEMS if len(w) >= s and w[:s] in stems])
+                if len(cache) > CACHED:
+                    cache.clear()
+                if len(w) <= LONGEST:
+                    cache[w] = known
+            total += known[0]
+            for stem in known[1]:
+                counts[stem] = counts.get(stem, 0) + 1
+        for stem, n in counts.items():
+            total += sum(stems[stem].get(f, 0.0) for f in levels(stem, n, len(own)))
+        z[k] += total
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pair_weight: float = PAIR_WEIGHT):
+    """The model of `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
+    ids = F.col("doc_id").cast("long").alias("doc_id")
+    usable = labels.select(ids, F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(toxic_free_crc() != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = usable.count()
+    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, n)) * (1 << 30)))
+    sample = stored(docs.select(ids, "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(16), "sample")  # at most about sample_rows ids
+    sizes = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n_clean, n_toxic = sizes.get(0, 0), sizes.get(1, 0)
+    if not n_clean or not n_toxic:
+        return {}, {}, -2.0, {}
+    counts = sample.mapInArrow(count_features, "feature binary, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    p = (F.col("clean") + F.col("toxic") + 0.5) / (n_clean + n_toxic + 1)
+    contrast = F.abs(F.col("toxic") / n_toxic - F.col("clean") / n_clean) / F.sqrt(p * (1 - p) * (1 / n_toxic + 1 / n_clean))
+    best = counts.filter(F.col("clean") + F.col("toxic") >= MIN_DOCS).withColumn("z", contrast).filter(F.col("z") >= CONTRAST).orderBy(F.desc("z"), "feature").limit(FEATURES)
+    features = [bytes(r.feature) for r in best.select("feature").collect()]
+    rows = sample.mapInArrow(number_features({f: k for k, f in enumerate(features)}), "toxic int, own binary, came binary, gone binary").collect()
+    arrays = [[np.frombuffer(r[c], np.int32) for r in rows] for c in (1, 2, 3)]
+    w, intercept = train(np.array([r.toxic for r in rows], float), *arrays, len(features), pair_weight)
+    words: dict[bytes, float] = {}
+    stems: dict[bytes, dict[bytes, float]] = {}
+    for f, weight in zip(features, w.tolist()):
+        stem = re.sub(rb"^(?:\d\+|1/\d+ )", b"", f)
+        if stem == f:
+            words[f] = weight
+        else:
+            stems.setdefault(stem, {})[f] = weight
+    return words, stems, intercept, {}
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
+    """Each row of `docs`, whole, as the struct `row`, with its score. No join: repeated and null ids do not matter."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample_rows, pair_weight))  # FEATURES numbers
+    frame = docs.select(whole_row(docs), "text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(shared.value, batch.column(1)))], ["row", "score"])
+
+    return frame.mapInArrow(run, StructType([frame.schema["row"], StructField("score", DoubleType())]))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """Score each row of `docs`: doc_id, held_out, score (0 to 1), predicted (1 from 0.7).
 
     Learns from rows whose crc32(doc_id) mod 3 is not 1 and whose label `toxic` is 0 or 1 (others are ignored),
-    about `sample_rows` of them, chosen by a hash of the id. Null and empty texts have no features and get the
-    intercept's score. Without usable labels all scores are low. Only doc_id, text, toxic are read; repeated
-    labels count once each. Scoring reads every whole text.
+    about `sample_rows` of them, chosen by a hash of the id. Of contradicting labels of one doc_id 1 counts. Null
+    and empty texts have no features and get the intercept's score. Unless there are usable labels of both
+    classes, all scores are low. Only doc_id, text, toxic are read; repeated labels count once. An empty table
+    gives no rows. Scoring reads every whole text.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL").filter(toxic_free_crc() != 1).dropDuplicates(["doc_id"])
-    n = usable.count()
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, sample_rows / max(1, n)) * (1 << 30)))
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # at most about sample_rows ids
-    rows = [(r.toxic, set(r.own.split(b"\n")), None if r.swapped is None else set(r.swapped.split(b"\n"))) for r in sample.mapInArrow(sample_features, "toxic int, own binary, swapped binary").collect()]
-    shared = spark.sparkContext.broadcast(train(rows))
-    held = docs.withColumn("held_out", toxic_free_crc() == 1)
-    scored = held.select("doc_id", "text", "held_out").mapInArrow(lambda batches: score_documents(shared, batches), "doc_id long, held_out boolean, score double")
-    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    scored = scored_rows(docs, labels, sample_rows, pair_weight).select("row.doc_id", "score")
+    return scored.select("doc_id", (toxic_free_crc() == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without those predicted toxic; a null doc_id always stays."""
-    bad = toxicity_scores(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` that are not predicted toxic, each by its own text, whatever its doc_id."""
+    return scored_rows(docs, labels).filter("score < 0.7").select("row.*")
 
 
 def op3_counterfactual_toxicity(spark, sf_dir: str) -> DataFrame:

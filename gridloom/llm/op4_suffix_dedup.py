@@ -30,8 +30,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import BYTE_KEYS, bucketed, byte_view, mix64, range_hashes, slices, stored
+from .common import BYTE_KEYS, bucketed, byte_view, mix64, range_hashes, slices, stored, whole_row
 from .packs import asked, bits_for, cuts, dealt, find_repeats, pack_places, runs, sorted_anchors, together
 from .suffix_arrays import common_prefixes, suffix_array
 
@@ -42,11 +43,13 @@ SHARDS = 4
 NO_ID = np.iinfo(np.int64).max
 PIECE = 1 << 14
 
-PACKS = "pack long, ids binary, sizes binary, digests binary, blob binary, n_bytes long"
+PACKS = "pack long, ids binary, sizes binary, digests binary, blob binary, n_bytes long, rows binary"
+#: The columns that every step but the last needs.
+TEXTS = ["pack", "ids", "sizes", "blob", "n_bytes"]
 
 
 def pack_documents(batches):
-    """Rows (doc_id, text) into packs; a pack's number holds its partition and its place there."""
+    """Rows (doc_id, text, row) into packs; a pack's number holds its partition and its place there. A null doc_id sorts as the largest."""
     part, k = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids = np.array(batch.column(0).fill_null(NO_ID), np.int64)
@@ -56,9 +59,22 @@ def pack_documents(batches):
             sizes = np.diff(offsets[i : j + 1])
             ends = np.cumsum(sizes)
             digests = b"".join(hashlib.blake2b(blob[e - s : e], digest_size=16).digest() for s, e in zip(sizes.tolist(), ends.tolist()))
-            row = [[(part << 32) + k], [ids[i:j].tobytes()], [sizes.tobytes()], [digests], [zstandard.compress(blob, 1)], [len(blob)]]
+            row = [[(part << 32) + k], [ids[i:j].tobytes()], [sizes.tobytes()], [digests], [zstandard.compress(blob, 1)], [len(blob)], [frozen(batch.column(2).slice(i, j - i))]]
             k += 1
-            yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:5]), pa.array(row[5], pa.int64())], ["pack", "ids", "sizes", "digests", "blob", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if m in (0, 5) else pa.binary()) for m, x in enumerate(row)], [c.split()[0] for c in PACKS.split(", ")])
+
+
+def frozen(rows: pa.Array) -> bytes:
+    """A column as Arrow's own bytes, compressed."""
+    batch = pa.RecordBatch.from_arrays([rows], ["row"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def thawed(data: bytes) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column(0).combine_chunks()
 
 
 def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -304,66 +320,93 @@ def judge_units(min_bytes: int):
 
 
 def cut_documents(min_bytes: int):
-    def run(packs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for row in packs.itertuples():
+    def run(packs: pa.Table, replies: pa.Table) -> pa.Table:
+        """The pack's rows with what is left of their texts."""
+        rows, n_bytes, n_removed, spans, kept = [], [], [], [], []
+        told = replies.to_pydict()
+        for row in packs.to_pandas().itertuples():
             ids, sizes, data = unpack(row)
             step = np.zeros(len(data) + 1, np.int32)
-            for begins, spans in zip(replies["begins"].dropna(), replies["spans"].dropna()):
-                b, s = np.frombuffer(begins, np.int64), np.frombuffer(spans, np.int64)
-                np.add.at(step, b, 1)
-                np.add.at(step, b + s + min_bytes - 1, -1)
+            for begins, lengths in zip(told["begins"], told["spans"]):
+                if begins is not None:
+                    b, s = np.frombuffer(begins, np.int64), np.frombuffer(lengths, np.int64)
+                    np.add.at(step, b, 1)
+                    np.add.at(step, b + s + min_bytes - 1, -1)
             gone = np.cumsum(step[:-1]) > 0
             ends = np.cumsum(sizes)
-            for x in replies["copies"].dropna():
-                for i in np.frombuffer(x, np.int64).tolist():
+            for x in told["copies"]:
+                for i in [] if x is None else np.frombuffer(x, np.int64).tolist():
                     if sizes[i] >= min_bytes:
                         gone[ends[i] - sizes[i] : ends[i]] = True
             removed = np.concatenate(([0], np.cumsum(gone)))
-            for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist())):
+            for e, n in zip(ends.tolist(), sizes.tolist()):
                 part = gone[e - n : e]
                 r = int(removed[e] - removed[e - n])
-                if not r:
-                    begin = end = []
-                else:
-                    mark = np.diff(np.concatenate(([0], part.astype(np.int8), [0])))
-                    begin, end = np.flatnonzero(mark == 1).tolist(), np.flatnonzero(mark == -1).tolist()
-                kept = data[e - n : e] if not r else data[e - n : e][~part]
-                out.append((None if ids[i] == NO_ID else int(ids[i]), n, r, [{"start": a, "end": b} for a, b in zip(begin, end)], kept.tobytes()))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        return frame
+                mark = np.flatnonzero(np.diff(np.concatenate(([False], part, [False])).astype(np.int8))).tolist() if r else []
+                n_bytes.append(n)
+                n_removed.append(r)
+                spans.append([{"start": a, "end": b} for a, b in zip(mark[::2], mark[1::2])])
+                kept.append((data[e - n : e][~part] if r else data[e - n : e]).tobytes())
+            rows.append(thawed(row.rows))
+        span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        columns = [pa.chunked_array(rows) if rows else None, pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())]
+        names = ["row", "n_bytes", "n_removed", "spans", "kept"]
+        return pa.table(columns, names=names) if rows else pa.table({n: pa.array([], c.type if c is not None else pa.null()) for n, c in zip(names, columns)})
 
     return run
 
 
-CUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+CUT = "n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT_CONTENTS) -> DataFrame:
-    """Remove each byte covered by a string of `min_bytes` bytes that also starts in a document with a smaller doc_id.
-
-    Takes doc_id and text of `docs`; other columns are ignored. Returns doc_id, n_bytes, n_removed, spans
-    (maximal removed runs of bytes) and kept (the remaining bytes), one row for each input row. A null text is
-    empty. Rows with one doc_id never remove each other's bytes. A null doc_id counts as larger than all
-    others. Texts below `min_bytes` are kept whole. An empty table gives no rows.
-    """
+def cut_rows(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT_CONTENTS) -> DataFrame:
+    """Each row of `docs` (doc_id, text, others) without its text as the struct `row`, with n_bytes, n_removed, spans and kept."""
+    others = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", whole_row(others))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packs = bucketed(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack_documents, PACKS), "pack", max(8, min(100_000, n_bytes // PACK_BYTES)), "packs")
+    packs = bucketed(frame.mapInArrow(pack_documents, PACKS), "pack", max(8, min(100_000, n_bytes // PACK_BYTES)), "packs")
+    texts = packs.select(*TEXTS)
     n_buckets = max(8, -(-n_bytes // BUCKET_BYTES))
     listed = packs.select("pack", "ids", "digests").mapInArrow(list_documents, "pack long, place long, doc_id long, digest binary")
-    heads = listed.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).filter("head < last").drop("last")
-    copies = listed.join(heads, "digest").filter("doc_id > head").groupBy("pack").agg(F.collect_list("place").alias("places"))
+    heads = listed.groupBy("digest").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last"), F.collect_set("pack").alias("packs")).filter("head < last")
+    # By (digest, pack): a text of very many copies is joined in as many tasks as it has packs.
+    several = heads.select("digest", "head", F.explode("packs").alias("pack"))
+    copies = listed.join(several, ["digest", "pack"]).filter("doc_id > head").groupBy("pack").agg(F.collect_list("place").alias("places"))
     copies = stored(copies.mapInArrow(pack_places, "pack long, copies binary"), "copies")
 
-    anchors = together(packs, [copies], send_anchors(n_buckets, min_bytes), "bucket long, pack long, hashes binary, many binary")
+    anchors = together(texts, [copies], send_anchors(n_buckets, min_bytes), "bucket long, pack long, hashes binary, many binary")
     repeats = stored(dealt(anchors, "bucket", n_buckets).applyInPandas(find_repeats, "pack long, bucket long, repeats binary"), "repeats")
-    contents = together(packs, [copies, repeats], send_contents(n_buckets, min_bytes), "bucket long, pack long, hashes binary, contents binary, owners binary")
+    contents = together(texts, [copies, repeats], send_contents(n_buckets, min_bytes), "bucket long, pack long, hashes binary, contents binary, owners binary")
     told = stored(dealt(contents, "bucket", n_buckets).applyInPandas(find_contents(hot_contents), "pack long, bucket long, smaller binary, sort binary, hot binary"), "contents")
-    units = stored(together(packs, [copies, repeats, told], send_units(n_buckets, min_bytes, SHARDS * n_buckets), UNITS), "units")
+    units = stored(together(texts, [copies, repeats, told], send_units(n_buckets, min_bytes, SHARDS * n_buckets), UNITS), "units")
     judged = dealt(units.filter("shard IS NOT NULL").drop("spans"), "shard", SHARDS * n_buckets).applyInPandas(judge_units(min_bytes), "pack long, begins binary, spans binary")
     covered = units.filter("shard IS NULL").select("pack", "begins", "spans").union(judged)
-    return together(packs, [copies, covered], cut_documents(min_bytes), CUT)
+    schema = StructType([frame.schema["row"], *StructType.fromDDL(CUT)])
+    return asked(packs.select(*TEXTS, "rows"), [copies, covered]).applyInArrow(cut_documents(min_bytes), schema)
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 50, hot_contents: int = HOT_CONTENTS) -> DataFrame:
+    """Remove each byte covered by a string of `min_bytes` bytes that also starts in a document with a smaller doc_id.
+
+    Takes doc_id and text of `docs`; other columns are ignored. Returns doc_id, n_bytes, n_removed, spans
+    (maximal removed runs of bytes) and kept (the remaining bytes), one row for each input row. A null text is
+    empty. Rows with one doc_id never remove each other's bytes. A null doc_id counts as the largest long, so as
+    larger than all others. Texts below `min_bytes` are kept whole. An empty table gives no rows.
+    """
+    cut = cut_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_bytes, hot_contents)
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "spans", "kept")
+
+
+def without_repeats(docs: DataFrame, min_bytes: int = 50) -> DataFrame:
+    """`docs` with the remaining bytes as text, each row by itself, whatever its doc_id; a null text stays null.
+
+    Bytes of a character that was cut apart go, too: texts that lost bytes are read without those that are no whole
+    UTF-8 character (nor replacement characters, which mark them).
+    """
+    known = docs.withColumn("__null", F.col("text").isNull())
+    kept = F.when(F.col("n_removed") > 0, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("kept").cast("string"))
+    text = F.when(~F.col("row.__null"), kept).alias("text")
+    return cut_rows(known, min_bytes).select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def list_documents(batches):

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import byte_view
+from .common import byte_view, stored, whole_row
 
 #: Lower-cases A-Z; every other ASCII character but digits and a-z separates words. Bytes above 127 are letters.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: Item words in one automaton; more items make more automata, each broadcast in its own pass over the documents.
-AUTOMATON_WORDS = 2_000_000
+AUTOMATON_WORDS = 400_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -109,80 +109,110 @@ class SuffixAutomaton:
                     s = link[s]
 
 
-def matched_documents(shared, batches):
-    """(doc_id, text) to (doc_id, n_words, spans of hit words, item ids)."""
-    machine = shared.value
-    for batch in batches:
-        data, offsets = byte_view(batch.column(1))
-        data = data.tobytes()
-        n_words, begins, ends, items, hits_to, items_to = [], [], [], [], [0], [0]
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            words = words_of(data[a:b])
-            n_words.append(len(words))
-            if machine.words and len(words) >= machine.least:
-                get = machine.words.get
-                ids = [get(w, -1) for w in words]
-                unknown = np.concatenate(([-1], np.flatnonzero(np.array(ids) < 0), [len(ids)]))
-                found: list[tuple[int, int]] = []
-                own: set[int] = set()
-                for k in np.flatnonzero(np.diff(unknown) > machine.least).tolist():
-                    i, j = int(unknown[k]) + 1, int(unknown[k + 1])
-                    machine.scan(ids[i:j], i, found, own)
-                reach = 0
-                for x, y in sorted(found):
-                    if hits_to[-1] < len(begins) and x <= reach:
-                        ends[-1] = reach = max(reach, y)
-                    else:
-                        begins.append(x)
-                        ends.append(y)
-                        reach = y
-                items += sorted(own)
-            hits_to.append(len(begins))
-            items_to.append(len(items))
-        spans = pa.StructArray.from_arrays([pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["start", "end"])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.ListArray.from_arrays(pa.array(hits_to, pa.int32()), spans), pa.ListArray.from_arrays(pa.array(items_to, pa.int32()), pa.array(items, pa.int64()))],
-            ["doc_id", "n_words", "spans", "items"],
-        )
-
-
-def item_blocks(items: DataFrame) -> list:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that touch or overlap joined to one."""
+    out: list[list[int]] = []
+    for x, y in sorted(spans):
+        if out and x <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], y)
+        else:
+            out.append([x, y])
+    return [(x, y) for x, y in out]
+
+
+def match_text(machine: SuffixAutomaton, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
+    """The words of a text, its hit runs of words, and the items found."""
+    words = words_of(text)
+    found: list[tuple[int, int]] = []
+    own: set[int] = set()
+    if machine.words and len(words) >= machine.least:
+        get = machine.words.get
+        ids = [get(w, -1) for w in words]
+        unknown = np.concatenate(([-1], np.flatnonzero(np.array(ids) < 0), [len(ids)]))
+        for k in np.flatnonzero(np.diff(unknown) > machine.least).tolist():
+            i, j = int(unknown[k]) + 1, int(unknown[k + 1])
+            machine.scan(ids[i:j], i, found, own)
+    return len(words), merged(found), own
+
+
+FOUND = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+
+
+def found_columns(rows: list) -> list[pa.Array]:
+    """The columns of FOUND, of (n_words, spans, items) for each row."""
+    spans = [s for _, runs, _ in rows for s in runs]
+    ends = pa.StructArray.from_arrays([pa.array([x for x, _ in spans], pa.int64()), pa.array([y for _, y in spans], pa.int64())], ["start", "end"])
+    items = [sorted(own) for _, _, own in rows]
+    at = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+    return [pa.array([n for n, _, _ in rows], pa.int64()), pa.ListArray.from_arrays(at(len(r) for _, r, _ in rows), ends), pa.ListArray.from_arrays(at(map(len, items)), pa.array([x for own in items for x in own], pa.int64()))]
+
+
+def matched(frame: DataFrame, machine: SuffixAutomaton, keep: str) -> tuple[DataFrame, object]:
+    """The columns `keep` and `text` of `frame` to `keep` and FOUND; also the broadcast behind it."""
+    shared = frame.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = byte_view(batch.column(1))
+            data = data.tobytes()
+            rows = [match_text(shared.value, data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found_columns(rows)], [keep, "n_words", "spans", "items"])
+
+    narrow = frame.select(keep, "text")
+    return narrow.mapInArrow(run, StructType([narrow.schema[keep], *StructType.fromDDL(FOUND)])), shared
+
+
+def item_blocks(items: DataFrame, most_words: int) -> list:
     """Functions that each fetch one block of (item_id, text), of bounded size; one block at a time is in the driver."""
-    sized = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL")
+    sized = items.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), F.col("text").cast("binary").alias("text")).filter("text IS NOT NULL")
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-total // (2 * AUTOMATON_WORDS)) or 1
+    n = -(-total // (2 * most_words)) or 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
     return [lambda k=k: [(r.item_id, bytes(r.text)) for r in sized.filter(block == k).collect()] for k in range(n)]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+def contaminated_rows(docs: DataFrame, items: DataFrame, window: int = 13, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """Each row of `docs`, whole, as the struct `row`, with n_words, spans and items.
+
+    One block of items: one pass, without a shuffle. Several: the rows are stored with a number each, each
+    block's findings are stored before the next block's automaton is built, and they meet by that number.
+    """
+    blocks = item_blocks(items, most_words)
+    build = lambda block: SuffixAutomaton(((i, words_of(t)) for i, t in block()), window)
+    frame = docs.select(whole_row(docs), "text")
+    if len(blocks) == 1:
+        return matched(frame, build(blocks[0]), "row")[0]
+    frame = stored(frame.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    passes = []
+    for block in blocks:
+        found, shared = matched(frame, build(block), "__row")
+        passes.append(stored(found, "found"))
+        shared.destroy()
+    every = passes[0]
+    for found in passes[1:]:
+        every = every.union(found)
+    together = every.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+    def join_runs(batches):
+        for batch in batches:
+            rows = [(n, merged([(s["start"], s["end"]) for s in spans]), items) for n, spans, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "spans", "items")))]
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), *found_columns(rows)], ["__row", "n_words", "spans", "items"])
+
+    joined = together.mapInArrow(join_runs, f"__row long, {FOUND}")
+    return frame.select("row", "__row").join(joined, "__row").drop("__row")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 13, most_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Match whole documents against all items: doc_id, n_words, spans (hit runs of words), items (item_ids).
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A window is `window`
     consecutive words of an item, or a whole shorter item; a word inside any occurrence of a window is hit.
-    One row for each row of `docs`; a null or empty text has no words. Null item texts match nothing, a null
-    item_id takes part as item -1. Only doc_id and text, item_id and text are read. Items of more than
-    AUTOMATON_WORDS words (by a bound of two bytes a word) are matched in several passes.
+    One row for each row of `docs`, whatever its doc_id; a null or empty text has no words. Null item texts match
+    nothing, a null item_id takes part as item -1. Only doc_id and text, item_id and text are read. An empty table
+    gives no rows. Items of more than `most_words` words (by a bound of two bytes a word) are matched in several passes.
     """
-    spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passes = []
-    for block in item_blocks(items):
-        shared = spark.sparkContext.broadcast(SuffixAutomaton(((-1 if i is None else i, words_of(t)) for i, t in block()), window))
-        passes.append(narrow.mapInArrow(lambda batches, shared=shared: matched_documents(shared, batches), "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"))
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.union(p)
-    # Rows with one doc_id and as many words join their findings; distinct texts under one id should not occur.
-    merged = every.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    join = F.aggregate(
-        F.array_sort("spans"),
-        F.array().cast("array<struct<start:long,end:long>>"),
-        lambda done, x: F.when(F.size(done) > 0, F.when(F.element_at(done, -1)["end"] >= x["start"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x)))).otherwise(F.array(x)),
-    )
-    return merged.withColumn("spans", join)
+    return contaminated_rows(narrow, items, window, most_words).select("row.doc_id", "n_words", "spans", "items")
 
 
 def n_hit():
@@ -194,13 +224,37 @@ def is_contaminated():
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """`docs` without the documents of which a twentieth of the words or more is covered by test items.
+def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans; what stands between two removed words goes, too."""
+    marks = np.frombuffer(text.translate(LETTERS), np.uint8) != 32
+    edge = np.diff(np.concatenate(([False], marks, [False])).astype(np.int8))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out, at = [], 0
+    for x, y in spans:
+        out.append(text[at : begin[x]])
+        at = end[y - 1]
+    return b"".join([*out, text[at:]])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, remove_spans: bool = False, span_words: int = 13, most_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """`docs` without the rows of which a twentieth of the words or more is covered by test items.
 
-    Documents below that limit stay as they are. Columns of `docs` are kept; a null doc_id is never removed.
+    The others stay as they are; with `remove_spans` their texts lose each hit run of at least `span_words` words.
+    Rows are judged each by its own text, whatever their doc_id. Columns of `docs` are kept, other columns than
+    text as they are. A null text has no words and stays.
     """
-    bad = find_contamination(docs, items, window).filter(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    found = contaminated_rows(docs, items, window, most_words).filter(~is_contaminated())
+    if not remove_spans:
+        return found.select("row.*")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("row").field("text").to_pylist()
+            cut = [None if t is None else cut_words(t.encode(), [(s["start"], s["end"]) for s in spans if s["end"] - s["start"] >= span_words]).decode() for t, spans in zip(texts, batch.column("spans").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cut, pa.string())], ["row", "text"])
+
+    cut = found.select("row", "spans").mapInArrow(run, StructType([found.schema["row"], StructField("text", StringType())]))
+    return cut.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, with_prefix_sums
+from .common import stored, whole_row, with_prefix_sums
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
@@ -45,23 +45,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST_EPOCHS) -
     return ranked.select("source", "source_size", F.when(F.col("__full"), F.col("__limit")).otherwise(F.col("__w") * F.lit(last or 0.0)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 0, weights=WEIGHTS, most: int = MOST_EPOCHS, rows: bool = False) -> DataFrame:
     """What a mix of all `docs` takes of each document: doc_id, source, size, source_size, target, taken.
 
     Each source is read over and over in one hash-random order until its target, rounded down, is reached to
     the word; so `taken` is a document's size times the full epochs, once more for those that come before the
-    cut, and a part of the document at the cut. Null texts have size 0 and are taken never; a null source is a
-    source of its own, the last; a null doc_id is ordered as an empty one, equal ids by size. Columns other
-    than doc_id, source and text are not read. An empty table gives no rows.
+    cut, and a part of the document at the cut. One row for each row of `docs`. Null texts have size 0 and are
+    taken never; a null source is a source of its own, the last; a null doc_id is ordered as an empty one, equal
+    ids by size. Columns other than doc_id, source and text are not read, but with `rows` each whole row comes
+    along as the struct `row`. An empty table gives no rows.
     """
-    narrow = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size")), "sizes")
-    targets = source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
+    carried = [whole_row(docs)] if rows else []
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words().alias("size"), *carried)
+    narrow = narrow if rows else stored(narrow, "sizes")
     keyed = with_prefix_sums(narrow.withColumn("__key", order_key(seed)), ["source"], ["__key", "doc_id", "size"], "size", "__before", "mix")
+    # Sizes by source come from the sorted table, so no text is read twice.
+    targets = source_targets(stored(keyed.groupBy("source").agg(F.sum("size").alias("source_size")), "source-sizes"), weights, most)
     joined = keyed.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("__before")
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken"))
+    taken = (epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))).cast("long").alias("taken")
+    return joined.select("doc_id", "source", "size", "source_size", "target", taken, *(["row"] if rows else []))
 
 
 def op6_source_mix(spark, sf_dir: str) -> DataFrame:
@@ -70,9 +75,13 @@ def op6_source_mix(spark, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """`docs` with `repeats` (how often the mix takes the whole document) and `part` (words of a last, cut pass)."""
-    taken = mix_sources(docs, seed).filter("taken > 0").select("doc_id", "size", "target", "taken").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").withColumn("repeats", F.floor(F.col("taken") / F.col("size"))).withColumn("part", F.col("taken") % F.col("size"))
+    """The rows of `docs` that the mix takes, with size, target, taken, `repeats` (how often it takes the whole
+    document) and `part` (words of a last, cut pass). Null and repeated doc_ids are rows of their own; columns of
+    `docs` of these five names give way to them. Documents without words are not taken.
+    """
+    mixed = mix_sources(docs, seed, rows=True).filter("taken > 0")
+    added = {"size": F.col("size"), "target": F.col("target"), "taken": F.col("taken"), "repeats": F.floor(F.col("taken") / F.col("size")), "part": F.col("taken") % F.col("size")}
+    return mixed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in added], *[c.alias(name) for name, c in added.items()])
 
 
 ORACLE = r"""
