@@ -97,6 +97,16 @@ def slices(offsets: np.ndarray, most: int):
         i = min(j, n)
 
 
+def each_text(column: pa.Array, most: int = 4 << 20):
+    """The texts of an Arrow column one after the other, as bytes; only about `most` bytes are copied at a time."""
+    data, offsets = byte_view(column)
+    for i, j in slices(offsets, most):
+        base = int(offsets[i])
+        part = data[base : offsets[j]].tobytes()
+        for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist()):
+            yield part[a - base : b - base]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply); bijective."""
     x = x ^ (x >> np.uint64(32))

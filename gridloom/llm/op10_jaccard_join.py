@@ -45,8 +45,8 @@ BAND = 1.5
 BLOCK = 1024
 #: Bytes of text in a pack, of keys in a bucket, and of narrow sketches in one task's bucket of step 3.
 PACK_BYTES = 16 << 20
-BUCKET_BYTES = 16 << 20
-OPEN_BYTES = 64 << 20
+BUCKET_BYTES = 8 << 20
+OPEN_BYTES = 16 << 20
 CHUNK = 1 << 18
 
 
@@ -55,7 +55,6 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = SPACE[data]
     edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
     begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    keys = BYTE_KEYS[WORDS[data]]
     out = np.empty(len(begin), np.uint64)
     for lo in range(0, len(data), CHUNK):  # the words that begin in this chunk
         i, j = np.searchsorted(begin, (lo, lo + CHUNK))
@@ -63,13 +62,13 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out[j - 1] = xxhash.xxh3_64_intdigest(WORDS[data[begin[j - 1] : end[j - 1]]].tobytes())
             j -= 1
         if i < j:
-            out[i:j] = range_hashes(keys[lo : int(end[j - 1])], begin[i:j] - lo, end[i:j] - lo)
+            out[i:j] = range_hashes(BYTE_KEYS[WORDS[data[lo : int(end[j - 1])]]], begin[i:j] - lo, end[i:j] - lo)
     return begin, out
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int):
     """The sorted distinct hashes of each document's n-word shingles; fewer words are one shingle."""
-    for i, j in slices(offsets, 4 << 20):
+    for i, j in slices(offsets, 1 << 20):
         base = int(offsets[i])
         part = data[base : offsets[j]]
         # Documents must not run into each other: a word ends where its document ends.
@@ -330,7 +329,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, threshold: tuple[int, int] =
     groups = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     groups = groups.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
     groups = groups.join(folds, "doc_id")
-    weight = groups.agg(F.sum(F.aggregate("folds", F.lit(64).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    weight = groups.agg(F.sum(F.aggregate("folds", F.lit(256).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
     buckets = max(8, -(-weight // OPEN_BYTES))
     groups = groups.withColumn("bucket", F.pmod(F.xxhash64("key", "i", "j"), F.lit(buckets))).repartition(buckets, "bucket")
     crossed = groups.groupBy("bucket").applyInPandas(cross_pairs(threshold), "a long, b long, near long").groupBy("a", "b").agg(F.max("near").alias("near"))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import byte_view, stored, toxic_free_crc, whole_row
+from .common import each_text, stored, toxic_free_crc, whole_row
 
 # Identity terms, each list's terms stand in for one another.
 IDENTITY_TERMS = (
@@ -63,7 +63,7 @@ SHARES = (200, 100, 50)
 #: Words longer than this are features by their stems only.
 LONGEST = 64
 #: Words whose features a worker remembers.
-CACHED = 200_000
+CACHED = 50_000
 #: Bytes that are no letters, A-Z lower-cased: bytes above 127 belong to letters.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -89,10 +89,8 @@ def count_features(batches):
     """(text, toxic) to (feature, clean, toxic): documents that have it, summed over a batch."""
     for batch in batches:
         counts: dict[bytes, list[int]] = {}
-        data, offsets = byte_view(batch.column(0))
-        data = data.tobytes()
-        for a, b, toxic in zip(offsets[:-1].tolist(), offsets[1:].tolist(), batch.column(1).to_pylist()):
-            for f in features_of(data[a:b]):
+        for text, toxic in zip(each_text(batch.column(0)), batch.column(1).to_pylist()):
+            for f in features_of(text):
                 counts.setdefault(f, [0, 0])[toxic] += 1
         clean, toxic = zip(*counts.values()) if counts else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(clean, pa.int64()), pa.array(toxic, pa.int64())], ["feature", "clean", "toxic"])
@@ -103,11 +101,8 @@ def number_features(index: dict[bytes, int]):
         """(text, toxic) to toxic, the text's features, and those that its swapped form gains and loses (int32 bytes)."""
         packed = lambda fs: np.array(sorted(index[f] for f in fs if f in index), np.int32).tobytes()
         for batch in batches:
-            data, offsets = byte_view(batch.column(0))
-            data = data.tobytes()
             out = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                text = data[a:b]
+            for text in each_text(batch.column(0)):
                 own, other = features_of(text), swapped(text)
                 other = own if other == text.lower() else features_of(other)
                 out.append((packed(own), packed(other - own), packed(own - other)))
@@ -151,11 +146,9 @@ def train(y: np.ndarray, own: list[np.ndarray], came: list[np.ndarray], gone: li
 def score_texts(model, texts):
     """Scores of an Arrow column of texts. `model`: weights of words, stems' features (stem to its level weights), intercept."""
     words, stems, intercept, cache = model
-    data, offsets = byte_view(texts)
-    data = data.tobytes().translate(LETTERS)
     z = np.full(len(texts), intercept)
-    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        own = data[a:b].split()
+    for k, text in enumerate(each_text(texts)):
+        own = text.translate(LETTERS).split()
         counts: dict[bytes, int] = {}
         total = 0.0
         for w in set(own):
@@ -208,11 +201,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pa
 def scored_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, pair_weight: float = PAIR_WEIGHT) -> DataFrame:
     """Each row of `docs`, whole, as the struct `row`, with its score. No join: repeated and null ids do not matter."""
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, sample_rows, pair_weight))  # FEATURES numbers
-    frame = docs.select(whole_row(docs), "text")
+    frame = docs.select(whole_row(docs))
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(shared.value, batch.column(1)))], ["row", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(shared.value, batch.column(0).field("text")))], ["row", "score"])
 
     return frame.mapInArrow(run, StructType([frame.schema["row"], StructField("score", DoubleType())]))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import byte_view, stored, whole_row
+from .common import each_text, stored, whole_row
 
 #: Lower-cases A-Z; every other ASCII character but digits and a-z separates words. Bytes above 127 are letters.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -147,19 +147,19 @@ def found_columns(rows: list) -> list[pa.Array]:
     return [pa.array([n for n, _, _ in rows], pa.int64()), pa.ListArray.from_arrays(at(len(r) for _, r, _ in rows), ends), pa.ListArray.from_arrays(at(map(len, items)), pa.array([x for own in items for x in own], pa.int64()))]
 
 
-def matched(frame: DataFrame, machine: SuffixAutomaton, keep: str) -> tuple[DataFrame, object]:
-    """The columns `keep` and `text` of `frame` to `keep` and FOUND; also the broadcast behind it."""
+def matched(frame: DataFrame, machine: SuffixAutomaton, number: bool) -> tuple[DataFrame, object]:
+    """`row` (a struct with a text), or else its `__row`, with the columns FOUND; also the broadcast behind it."""
     shared = frame.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches):
         for batch in batches:
-            data, offsets = byte_view(batch.column(1))
-            data = data.tobytes()
-            rows = [match_text(shared.value, data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found_columns(rows)], [keep, "n_words", "spans", "items"])
+            texts = batch.column(1) if number else batch.column(0).field("text")
+            rows = [match_text(shared.value, text) for text in each_text(texts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found_columns(rows)], [kept.name, "n_words", "spans", "items"])
 
-    narrow = frame.select(keep, "text")
-    return narrow.mapInArrow(run, StructType([narrow.schema[keep], *StructType.fromDDL(FOUND)])), shared
+    narrow = frame.select("__row", "row.text") if number else frame
+    kept = narrow.schema[0]
+    return narrow.mapInArrow(run, StructType([kept, *StructType.fromDDL(FOUND)])), shared
 
 
 def item_blocks(items: DataFrame, most_words: int) -> list:
@@ -179,13 +179,13 @@ def contaminated_rows(docs: DataFrame, items: DataFrame, window: int = 13, most_
     """
     blocks = item_blocks(items, most_words)
     build = lambda block: SuffixAutomaton(((i, words_of(t)) for i, t in block()), window)
-    frame = docs.select(whole_row(docs), "text")
+    frame = docs.select(whole_row(docs))
     if len(blocks) == 1:
-        return matched(frame, build(blocks[0]), "row")[0]
+        return matched(frame, build(blocks[0]), False)[0]
     frame = stored(frame.withColumn("__row", F.monotonically_increasing_id()), "rows")
     passes = []
     for block in blocks:
-        found, shared = matched(frame, build(block), "__row")
+        found, shared = matched(frame, build(block), True)
         passes.append(stored(found, "found"))
         shared.destroy()
     every = passes[0]
