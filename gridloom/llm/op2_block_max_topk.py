@@ -22,6 +22,7 @@ from .common import stored
 
 BLOCK_ROWS = 128
 SHARD_ROWS = 4096
+SHARD_BYTES = 64 << 20
 QUERY_ROWS = 512
 #: Rows from which coarse clusters are found, and clusters; they only set the order of rows.
 SAMPLE_ROWS = 4096
@@ -36,38 +37,34 @@ def quantised(vectors: DataFrame, scale: int) -> DataFrame:
     return vectors.filter(whole & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("x"))
 
 
-def as_matrix(column) -> np.ndarray:
-    """Rows of an Arrow list column, or packed bytes, as float64 if exact (sums below 2**53), else int64."""
-    return np.stack([np.asarray(x, np.int64) for x in column])
-
-
 def exact(x: np.ndarray, y: np.ndarray) -> bool:
     return float(np.abs(x).max(initial=0)) * float(np.abs(y).max(initial=0)) * max(1, x.shape[1]) < 2.0**53
 
 
 def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Exact integer products; floats carry them while they stay below 2**53."""
+    """Exact integer products over the components that both have; floats carry them while they stay below 2**53."""
+    width = min(x.shape[1], y.shape[1])
+    x, y = x[:, :width], y[:, :width]
     return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64) if exact(x, y) else x @ y.T
 
 
 def nearest_cluster(centres: np.ndarray):
     def run(batches):
+        """The place in the order of rows: the nearest of the centres, for vectors of their width; 0 for others."""
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = as_matrix(batch.column(1).to_pylist())
-            if centres.shape[1] == x.shape[1]:
-                y = x.astype(np.float64)
-                cluster = np.argmin((centres**2).sum(1) - 2 * y @ centres.T, axis=1)
-            else:
-                cluster = np.zeros(len(x), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cluster.astype(np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], ["vec_id", "cluster", "x"])
+            rows = [np.asarray(r, np.int64) for r in batch.column(1).to_pylist()]
+            cluster = np.zeros(len(rows), np.int64)
+            at = np.flatnonzero([len(r) == centres.shape[1] for r in rows])
+            if len(at):
+                y = np.stack([rows[k] for k in at]).astype(np.float64)
+                cluster[at] = np.argmin((centres**2).sum(1) - 2 * y @ centres.T, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(cluster), pa.array([r.tobytes() for r in rows], pa.binary())], ["vec_id", "width", "cluster", "x"])
 
     return run
 
 
 def cut_shards(batches):
-    """Rows in order to shards of packed rows; block summaries lie beside them."""
+    """Rows in order to shards of packed rows of one width; block summaries lie beside them."""
     held: list = []
     part = _part()
 
@@ -81,10 +78,10 @@ def cut_shards(batches):
     k = 0
     for batch in batches:
         for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.append(row)
-            if len(held) == SHARD_ROWS:
+            if held and (len(held) * len(row[1]) >= SHARD_BYTES or len(held) == SHARD_ROWS or len(held[0][1]) != len(row[1])):
                 yield flush(k)
                 held, k = [], k + 1
+            held.append(row)
     if held:
         yield flush(k)
 
@@ -174,7 +171,7 @@ def _one(best: Best, i: int) -> Best:
 
 def pack_queries(rows: pd.DataFrame) -> pd.DataFrame:
     join = lambda c: [np.array(rows[c], np.int64).tobytes()]
-    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "q_ids": join("query_id"), "own": join("shard"), "floor": join("floor"), "q": [b"".join(rows["x"])]})
+    return pd.DataFrame({"chunk": [rows["chunk"].iloc[0]], "width": [len(rows["x"].iloc[0]) // 8], "q_ids": join("query_id"), "own": join("shard"), "floor": join("floor"), "q": [b"".join(rows["x"])]})
 
 
 def unpack_queries(row) -> tuple[np.ndarray, ...]:
@@ -188,9 +185,9 @@ def promising(batches):
         keep = []
         for row in batch.to_pandas().itertuples():
             ids, own, floor, q = unpack_queries(row)
-            high, low = (np.frombuffer(b, np.int64).reshape(-1, q.shape[1]) for b in (row.high, row.low))
+            high, low = (np.frombuffer(b, np.int64).reshape(-(-row.n // BLOCK_ROWS), -1) for b in (row.high, row.low))
             keep.append(bool(((bounds(q, high, low).max(axis=1) >= floor) & (own != row.shard)).any()))
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("chunk")], ["shard", "chunk"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("chunk"), batch.column("width")], ["shard", "chunk", "width"]).filter(pa.array(keep, pa.bool_()))
 
 
 def score_pairs(k: int):
@@ -210,31 +207,34 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
 
     `vectors` has vec_id and embedding (floats); components become floor(scale * x). Returns query_id, rank
     (from 1), vec_id, score; equal scores by smaller vec_id; fewer rows where there are fewer candidates.
-    Vectors that are null, or hold null or non-finite components, take no part, nor do null ids, empty
-    vectors, or those of another length than most. Repeated vec_ids are one candidate, the first by
-    components; components must stay within 64-bit products. Other columns are ignored.
+    Vectors that are null, or hold null or non-finite components, take no part, nor do null ids and empty
+    vectors. Every other row is a candidate, repeated vec_ids each by itself; a query's own rows are those of its
+    vec_id, and its rows share one result. Vectors of different lengths are multiplied over the components that
+    both have. Products must stay within 64 bits. Other columns are ignored. An empty table gives no rows.
     """
     x = quantised(vectors, scale).filter(F.size("x") > 0)
     width = x.groupBy(F.size("x").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score long"
     if not width:
         return vectors.sparkSession.createDataFrame([], schema)
-    x = x.filter(F.size("x") == width[0]["w"]).groupBy("vec_id").agg(F.min("x").alias("x"))
     n = x.count()
-    sample = x.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLE_ROWS / max(1, n)) * (1 << 30))).select("x").collect()
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    # The sample only sets the order of rows: about SAMPLE_ROWS of the commonest length.
+    sample = x.filter((F.size("x") == width[0]["w"]) & (place < int(min(1.0, SAMPLE_ROWS / max(1, n)) * (1 << 30)))).select("x").limit(4 * SAMPLE_ROWS).collect()
     centres = cluster_centres(np.array([r.x for r in sample], np.float64).reshape(len(sample), width[0]["w"]))
-    placed = x.mapInArrow(nearest_cluster(centres), "vec_id long, cluster long, x binary")
-    ordered = placed.repartitionByRange(max(1, -(-n // (4 * SHARD_ROWS))), "cluster", "vec_id").sortWithinPartitions("cluster", "vec_id")
+    placed = x.mapInArrow(nearest_cluster(centres), "vec_id long, width long, cluster long, x binary")
+    order = ["width", "cluster", "vec_id", "x"]
+    ordered = placed.repartitionByRange(max(1, -(-n // (4 * SHARD_ROWS))), *order).sortWithinPartitions(*order)
     shards = stored(ordered.select("vec_id", "x").mapInArrow(cut_shards, "shard long, ids binary, x binary, high binary, low binary"), "shards")
     first = stored(shards.mapInArrow(first_scores(every, k), "query_id long, shard long, x binary, floor long, found array<struct<vec_id:long,score:long>>"), "first")
     n_queries = first.count()
     chunks = max(1, -(-n_queries // QUERY_ROWS))
     dealt = first.drop("found").withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.lit(chunks)))
-    queries = stored(dealt.groupBy("chunk").applyInPandas(pack_queries, "chunk long, q_ids binary, own binary, floor binary, q binary"), "queries")
+    queries = stored(dealt.groupBy("chunk", F.length("x")).applyInPandas(pack_queries, "chunk long, width long, q_ids binary, own binary, floor binary, q binary"), "queries")
     # The stated query set, in blocks, against the shards' summaries.
-    summaries = shards.select("shard", "high", "low").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
-    pairs = stored(summaries.join(queries, "chunk").mapInArrow(promising, "shard long, chunk long"), "pairs")
-    scored = pairs.join(shards, "shard").join(queries, "chunk").repartition(max(8, shards.count()), "shard", "chunk").mapInArrow(score_pairs(k), "query_id long, vec_id long, score long")
+    summaries = shards.select("shard", (F.length("ids") / 8).cast("long").alias("n"), "high", "low").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))))
+    pairs = stored(summaries.join(queries, "chunk").mapInArrow(promising, "shard long, chunk long, width long"), "pairs")
+    scored = pairs.join(shards, "shard").join(queries, ["chunk", "width"]).repartition(max(8, shards.count()), "shard", "chunk", "width").mapInArrow(score_pairs(k), "query_id long, vec_id long, score long")
     found = first.select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score").union(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

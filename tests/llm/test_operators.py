@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import op1_token_counts as op1
@@ -155,6 +156,18 @@ def test_decontamination(spark, docs, rows, empty):
         expected.append((str(i), len(w), len(hit), sorted(own)))
     found = op5.find_contamination(docs, items).collect()
     assert sorted((str(r.doc_id), r.n_words, sum(s.end - s.start for s in r.spans), list(r["items"])) for r in found) == sorted(expected)
+    again = op5.find_contamination(docs, items, most_words=20).collect()
+    assert sorted((str(r.doc_id), r.n_words, [tuple(x) for x in r.spans], list(r["items"])) for r in again) == sorted((str(r.doc_id), r.n_words, [tuple(x) for x in r.spans], list(r["items"])) for r in found)
+    clash = docs.withColumn("row", F.lit(1)).withColumn("n_words", F.lit(2)).withColumn("spans", F.lit(3))
+    clean = [str(i) + str(t) for (i, t), e in zip(rows, [r for r in expected]) if not (e[2] and 20 * e[2] >= e[1])]
+    for most in (op5.AUTOMATON_WORDS, 20):
+        kept = op5.decontaminate(clash, items, most_words=most)
+        assert kept.columns == clash.columns and sorted(str(r.doc_id) + str(r.text) for r in kept.collect()) == sorted(clean)
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    text = ("word " * 300 + item + " " + "tail, " * 20).strip()
+    one = spark.createDataFrame([(1, text), (1, item), (None, None)], "doc_id long, text string")
+    cut = op5.decontaminate(one, spark.createDataFrame([(1, item)], "item_id long, text string"), remove_spans=True).collect()
+    assert sorted(str(r.text) for r in cut) == sorted([text.replace(item, ""), "None"])
     assert op5.find_contamination(empty, items).count() == 0
     assert op5.find_contamination(docs, items.limit(0)).filter("size(spans) > 0").count() == 0
 
@@ -169,52 +182,48 @@ def test_mix(docs, empty):
     assert sum({r.source: r.target for r in got}.values()) == pytest.approx(sum(r["size"] for r in got))
     assert sorted(map(str, got)) == sorted(map(str, op6.mix_sources(docs).collect()))
     assert op6.mix_sources(empty).count() == 0
+    clash = docs.withColumn("size", F.lit("x")).withColumn("Taken", F.lit("y"))
+    mixed = op6.mixed_documents(clash).collect()
+    key = lambda r: (str(r.doc_id), str(r.source), r["size"], r.taken)
+    assert sorted(map(key, mixed)) == sorted(key(r) for r in got if r.taken)
+    assert any(r.doc_id is None for r in mixed) and all(r.repeats * r["size"] + r.part == r.taken for r in mixed)
+    assert all(len(re.findall(r"[^ \t-\r]+", r.text)) == r["size"] for r in mixed) and {r.extra for r in mixed} == {0}
 
 
-def test_sentence_spans(docs, rows, empty):
-    assert op8.remove_repeated_spans(empty).count() == 0
-    for _, t in rows:
-        assert b"".join(op8.sentences_of((t or "").encode())) == (t or "").encode()
+def brute_spans(texts):
+    """Sentences by another rule, all runs of three sentences, shorter ones of 40 words, whole shorter texts."""
     seen, expected = {}, []
-    for i, t in sorted(set((1 << 62 if i is None else i, t or "") for i, t in rows)):
-        own, gone = op8.sentences_of(t.encode()), set()
-        for a, b in op8.spans_of(own) if own else []:
-            if seen.setdefault(tuple(s.strip() for s in own[a:b]), (i, a)) != (i, a):
-                gone |= set(range(a, b))
-        expected.append((i, len(own), len(gone)))
-    got = {(1 << 62 if r.doc_id is None else r.doc_id, r.n_sentences, r.n_removed) for r in op8.remove_repeated_spans(docs).collect()}
-    assert got == set(expected)
+    for d, t in texts:
+        own = [x for x in re.split(r"(?<=[。！？])(?![。！？])\s*|(?<=[.!?])\s+|\n\s*", t) if x]
+        gone = set()
+        size = [max(len(x.split()), len(re.findall("[\u3000-\u9fff]", x))) for x in own]
+        for a in range(len(own)):
+            for b in range(a + 1, min(a + 3, len(own)) + 1):
+                words = sum(size[a:b])
+                if words and (b - a == 3 or words >= 40 or b - a == len(own)):
+                    if seen.setdefault(tuple(x.strip() for x in own[a:b]), (d, a)) != (d, a):
+                        gone |= set(range(a, b))
+        expected.append((d, len(own), len(gone)))
+    return expected
 
 
-def test_sentence_spans_cover_all_runs(spark):
+def test_sentence_spans(spark, docs, rows, empty):
+    assert op8.remove_repeated_spans(empty).count() == 0
+    for _, t in rows:
+        assert b"".join(op8.sentences_of((t or "").encode())) == (t or "").encode()
     rng = random.Random(8)
     sentence = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) for _ in range(n)) + ". "
-    pool = [sentence(n) for n in (1, 2, 3, 3, 4, 6, 9, 13, 17, 20, 20, 20, 38, 41)]
-    lengths = [sentence(n) for n in (20, 20, 20, 3)]
-    texts = ["".join(lengths), "".join(lengths), "Too short to be a span.", "Too short to be a span.", "Two. Words.", "Two. Words.", " ", " ", "", None]
-    for _ in range(60):
-        texts.append("".join(rng.choice(pool) for _ in range(rng.randint(1, 9))))
-    for _ in range(40):
-        t = rng.choice(texts[10:])
-        own = [s.decode() for s in op8.sentences_of(t.encode())]
-        i = rng.randrange(len(own))
-        texts.append(sentence(5) + "".join(own[i : rng.randint(i, len(own))]) + sentence(4) if rng.random() < 0.7 else t)
-    seen, expected = set(), []
-    for d, t in enumerate(texts):
-        own, gone = op8.sentences_of((t or "").encode()), set()
-        bare, words = [s.strip() for s in own], [len(s.split()) for s in own]
-        for a in range(len(own)):
-            for b in range(a + 1, len(own) + 1):
-                w = sum(words[a:b])
-                if w >= 40 or (w >= 16 and b - a >= 3) or (w and b - a == len(own)):
-                    key = tuple(bare[a:b]), w >= 40 or (w >= 16 and b - a >= 3)
-                    if key in seen:
-                        gone |= set(range(a, b))
-                    seen.add(key)
-        expected.append((d, len(own), len(gone), b"".join(s for k, s in enumerate(own) if k not in gone).decode()))
+    pool = [sentence(n) for n in (1, 1, 2, 2, 3, 6, 13, 20, 38, 41)] + ["你好。", "天地玄黄，宇宙洪荒！", "一二三四五六七八九十" * 5 + "。", "line\n"]
+    texts = ["Wir essen. Ja. Nein. Gut."] * 2 + ["Too short."] * 2 + ["", "", " "] + ["天地。玄黄。宇宙。洪荒。" * 9] * 2
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 8))).strip() for _ in range(90)]
+    texts += [sentence(5) + rng.choice(texts[9:]) for _ in range(40)]
+    texts.append("long " * 200_000 + "end. " + texts[0])
     got = op8.remove_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [tuple(r) for r in got] == expected
-    assert got[1].kept == got[3].kept == got[5].kept == ""
+    expected = [e if texts[e[0]].strip() or not texts[e[0]] else (e[0], 1, 0) for e in brute_spans(list(enumerate(texts)))]
+    assert [(r.doc_id, r.n_sentences, r.n_removed) for r in got] == expected
+    assert got[1].kept == got[3].kept == got[8].kept == "" and got[0].kept == texts[0]
+    twice = spark.createDataFrame([(1, texts[9]), (1, texts[9]), (None, texts[9]), (2, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.kept) for r in op8.remove_repeated_spans(twice).collect() if r.doc_id != 2)[:2] == [("1", texts[9])] * 2
 
 
 def test_top_products(spark):
@@ -227,6 +236,12 @@ def test_top_products(spark):
     for i in range(0, 300, 50):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(300) if j != i)[:5]
         assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == [(j, -s) for s, j in best]
+    rows = [(0, [1.0, 0.5, 2.0]), (1, [5.0, 0.0, 1.0]), (1, [1.0, 0.0, 1.0]), (50, [3.0]), (50, [0.5, 0.5, -1.0]), (7, [2.0, 2.0]), (8, [-1.0, 0.0, 0.0])]
+    q = [(i, [int(np.floor(256 * v)) for v in x]) for i, x in rows]
+    got = op2.top_products(spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, score int"), k=3).collect()
+    for query in (0, 50):
+        best = sorted((-sum(a * b for a, b in zip(x, y)), j) for i, x in q if i == query for j, y in q if j != i)[:3]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == query), key=lambda r: r["rank"])] == best
     assert op2.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
@@ -258,6 +273,67 @@ def test_toxicity(spark):
     assert op3.toxicity_scores(docs, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_penalty(spark):
+    """A group is named in most toxic texts of the training rows; the penalty keeps the mere mention from counting."""
+    rng = random.Random(6)
+    neutral = "the of a some town river house tree stone road".split()
+    texts, toxic = [], []
+    for i in range(900):
+        bad = i % 3 == 0
+        words = [rng.choice(neutral) for _ in range(15)]
+        words += ["women"] * (rng.random() < (0.95 if bad else 0.05)) + ["men"] * (rng.random() < 0.3) + ["idiot"] * (bad and rng.random() < 0.75)
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        toxic.append(int(bad))
+    mentions = [" ".join([*(rng.choice(neutral) for _ in range(15)), "women"]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts + mentions + [m.replace("women", "boys") for m in mentions])), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    gaps, wrong = [], []
+    for weight in (0.0, op3.PAIR_WEIGHT):
+        got = {r.doc_id: r for r in op3.toxicity_scores(docs, labels, pair_weight=weight).collect()}
+        gaps.append(sum(abs(got[900 + k].score - got[960 + k].score) for k in range(60)) / 60)
+        wrong.append(sum(got[900 + k].predicted for k in range(60)))
+    assert gaps[1] < 0.5 * gaps[0] and wrong[1] < wrong[0], (gaps, wrong)
+
+
+def test_toxicity_keeps_rows(spark):
+    rows = [(i, "idiot fool" if i % 4 == 0 else "calm words") for i in range(200)] + [(1, "idiot fool"), (None, "idiot fool"), (None, "calm words"), (4, "calm words"), (5, None), (301, "calm " * 200_000)]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, score int, row string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)] + [(8, 0)], "doc_id long, toxic int")
+    kept = op3.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r) for r in rows if not (r[1] or "").startswith("idiot"))
+    assert op3.toxicity_scores(docs.limit(0), labels).count() == 0
+
+
+def test_pipeline_cuts_repeats(spark):
+    passage = "".join(chr(97 + (i * i) % 26) for i in range(77))
+    rows = [(1, "one " + passage), (1, "x"), (5, passage + "é tail"), (None, passage), (None, None), (2, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = sorted(map(str, ((r.doc_id, r.text, r.lang, r.n_chars) for r in corpus_pipeline.cut_repeats(spark, docs, "").collect())))
+    assert got == sorted(map(str, [(1, "one " + passage, "en", 81), (1, "x", "en", 1), (5, "é tail", "en", 6), (None, "", "en", 0), (None, None, "en", None), (2, "", "en", 0)]))
+    assert [r.doc_id for r in op4.remove_repeats(docs.selectExpr("9223372036854775807 AS doc_id", "text")).collect()] == [2**63 - 1] * 6
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages on a small corpus with one planted case each."""
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, item = words(60), words(20)
+    texts = {i: words(60) for i in range(60)}
+    texts |= {60: texts[3], 61: words(30) + " " + passage, 62: passage + " " + words(30), 63: words(40) + " " + item, 64: None, 65: ""}
+    texts |= {i: words(20) + " idiot moron " + words(20) for i in range(100, 140)}
+    docs = [(i, t, "en", rng.choice(["a", "b"]), len(t or "")) for i, t in texts.items()] + [(None, words(30), "en", "a", 9)]
+    for name, rows, schema in (("documents", docs, "doc_id long, text string, lang string, source string, n_chars long"), ("labels", [(i, 1, int(i >= 100)) for i in texts], "doc_id long, quality int, toxic int"), ("benchmark", [(1, item)], "item_id long, text string")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    gone = {60, 63, 64, 65} | set(range(100, 140))
+    assert not gone & set(got)
+    assert all(got[i].text == t for i, t in texts.items() if i in got and i != 62) and passage not in got[62].text if 62 in got else True
+    kept = [(t, s) for i, t, _, s, _ in docs if i not in gone]
+    assert sum(r.taken for r in got.values()) <= sum(len(t.split()) for t, _ in kept) and None in {r.doc_id for r in got.values()} | {None}
+
+
 def test_urls(spark):
     urls = ["http://WWW.a.example.net/en/1?q", "https://b.net/x", "http://example.com/de/", "http://example.com", "nothing", None, "ftp://u.org/fr/2#t", "http://myexample.net/en/3"]
     got = {r.page_id: r for r in op9.filter_urls(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")).collect()}
