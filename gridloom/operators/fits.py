@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.params import cut_lineage
 from .ensemble import median_nearest
@@ -51,61 +54,100 @@ def fit_volcanic(residuals: DataFrame, aod: str = "aod", residual: str = "residu
 
 
 def ar_fit(df: DataFrame, keys: list[str], order: str = "year", value: str = "value", lag: int = 1) -> DataFrame:
-    """First-order autoregression on the value `lag` steps before, by conditional least squares: intercept, coeff, variance, nobs."""
+    """First-order autoregression on the value `lag` steps before, by conditional least squares: intercept, coeff, variance, nobs.
+
+    Below two pairs, or where the earlier values do not vary, the fit is null; nobs is given all the same.
+    """
     rows = df.withColumn("x", F.lag(value, lag).over(Window.partitionBy(*keys).orderBy(order))).filter("x IS NOT NULL")
-    fit = rows.groupBy(*keys).agg(F.regr_slope(value, "x").alias("coeff"), F.regr_intercept(value, "x").alias("intercept"), F.count("*").alias("nobs"), F.regr_syy(value, "x").alias("syy"), F.regr_sxy(value, "x").alias("sxy"))
-    return fit.select(*keys, "intercept", "coeff", ((F.col("syy") - F.col("coeff") * F.col("sxy")) / F.col("nobs")).alias("variance"), "nobs")
+    fit = rows.groupBy(*keys).agg(F.regr_slope(value, "x").alias("coeff"), F.regr_intercept(value, "x").alias("intercept"), F.count("*").alias("nobs"), *[f(value, "x").alias(c) for c, f in (("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy))])
+    defined = lambda c: F.when((F.col("nobs") > 1) & (F.col("sxx") > 0), c)
+    variance = (F.col("syy") - F.col("coeff") * F.col("sxy")) / F.col("nobs")
+    return fit.select(*keys, defined(F.col("intercept")).alias("intercept"), defined(F.col("coeff")).alias("coeff"), defined(variance).alias("variance"), "nobs")
+
+
+def lag_products(df: DataFrame, keys: list[str], lags: list[int], order: str, value: str) -> DataFrame:
+    """(keys, mean, nobs, products): for each key the sums of products of 1, the lagged values and the value itself.
+
+    Values are taken less the key's mean, so that no digits cancel. Rows without all lags take no part. All sums are
+    one partial aggregation, of (lags + 2) (lags + 1) / 2 numbers a key.
+    """
+    window = Window.partitionBy(*keys).orderBy(order)
+    rows = df.select(*keys, F.col(value).cast("double").alias("y"), F.avg(value).over(Window.partitionBy(*keys)).alias("mean"), *[F.lag(value, k).over(window).cast("double").alias(f"x{k}") for k in lags]).dropna()
+    terms = [F.lit(1.0), *[F.col(f"x{k}") - F.col("mean") for k in lags], F.col("y") - F.col("mean")]
+    sums = [F.sum(terms[i] * terms[j]) for i in range(len(terms)) for j in range(i, len(terms))]
+    return rows.groupBy(*keys).agg(F.first("mean").alias("mean"), F.count("*").alias("nobs"), F.array(*sums).alias("products"))
+
+
+def solved_lags(products: DataFrame, keys: list[str], orders: list[int]) -> DataFrame:
+    """(keys, p, intercept, coeffs, variance, nobs) of each order p on the first p lags; none where p + 1 rows or fewer, or dependent lags, leave it open."""
+    schema = StructType([*[products.schema[k] for k in keys], *StructType.fromDDL("p int, intercept double, coeffs array<double>, variance double, nobs long")])
+
+    def run(batches):
+        for rows in batches:
+            out = []
+            for key, mean, nobs, sums in zip(rows[keys].itertuples(index=False), rows["mean"], rows["nobs"], rows["products"]):
+                n = int((8 * len(sums) + 1) ** 0.5 - 1) // 2
+                gram = np.zeros((n, n))
+                gram[np.triu_indices(n)] = sums
+                gram = gram + np.triu(gram, 1).T
+                for p in orders:
+                    a, b = gram[: p + 1, : p + 1], gram[: p + 1, -1]
+                    size = np.sqrt(np.diag(a))
+                    if nobs <= p + 1 or not (size > 0).all() or np.linalg.matrix_rank(a / np.outer(size, size), tol=1e-12) <= p:
+                        continue
+                    c = np.linalg.solve(a / np.outer(size, size), b / size) / size
+                    out.append((*key, p, c[0] + mean * (1 - c[1:].sum()), c[1:].tolist(), (gram[-1, -1] - c @ b) / nobs, nobs))
+            yield pd.DataFrame(out, columns=[f.name for f in schema])
+
+    return products.mapInPandas(run, schema)
 
 
 def ar_fit_lags(df: DataFrame, keys: list[str], lags: list[int], order: str = "year", value: str = "value") -> DataFrame:
-    """(keys, intercept, coeffs, variance, nobs): autoregression on up to three given lags; `coeffs` is in the order of `lags`.
+    """(keys, intercept, coeffs, variance, nobs): autoregression on any given lags; `coeffs` is in the order of `lags`.
 
     Rows without all lags take no part; a key whose system is singular gets nulls.
     """
-    if not 1 <= len(set(lags)) == len(lags) <= 3:
-        raise ValueError("one to three different lags")
-    window, names = Window.partitionBy(*keys).orderBy(order), [f"x{k}" for k in lags]
-    rows = df.select(*keys, F.col(value).alias("y"), *[F.lag(value, k).over(window).alias(f"x{k}") for k in lags]).dropna()
-    centred = rows.join(rows.groupBy(*keys).agg(*[F.avg(c).alias(f"m_{c}") for c in ("y", *names)]), keys)
-    centred = centred.select(*keys, *[F.col(f"m_{c}") for c in ("y", *names)], *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in ("y", *names)])
-    n = len(lags)
-    sums = [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)]
-    sums += [F.sum(F.col(names[i]) * F.col("y")).alias(f"b{i}") for i in range(n)] + [F.sum(F.col("y") ** 2).alias("yy"), F.count("*").alias("nobs")]
-    g = centred.groupBy(*keys, *[f"m_{c}" for c in ("y", *names)]).agg(*sums)
-    solved = solve([[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)], [F.col(f"b{i}") for i in range(n)])
-    g = g.select("*", *[x.alias(f"c{i}") for i, x in enumerate(solved)])
-    intercept = F.col("m_y") - sum((F.col(f"c{i}") * F.col(f"m_{names[i]}") for i in range(n)), F.lit(0.0))
-    variance = (F.col("yy") - sum((F.col(f"c{i}") * F.col(f"b{i}") for i in range(n)), F.lit(0.0))) / F.col("nobs")
-    return g.select(*keys, intercept.alias("intercept"), F.array(*[f"c{i}" for i in range(n)]).alias("coeffs"), variance.alias("variance"), "nobs")
+    if not 1 <= len(set(lags)) == len(lags) or min(lags) < 1:
+        raise ValueError("one or more different lags from 1")
+    products = lag_products(df, keys, lags, order, value)
+    fit = solved_lags(products, keys, [len(lags)]).select(*[F.col(k).alias(f"__{k}") for k in keys], "intercept", "coeffs", "variance")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return products.join(fit, on, "left").select(*keys, "intercept", "coeffs", "variance", "nobs")
+
+
+def mean_of_means(df: DataFrame, names: list[str], inner: list[str], outer: list[str]) -> DataFrame:
+    """Means of `names` over the rows of each `inner` key, then over these means for each `outer` key. Nulls do not count."""
+    return df.groupBy(*inner).agg(*[F.avg(c).alias(c) for c in names]).groupBy(*outer).agg(*[F.avg(c).alias(c) for c in names])
 
 
 def ar_fit_scen_ens(df: DataFrame, order: str = "year", value: str = "value") -> DataFrame:
     """Fit each series, average over members, then over scenarios, each scenario counting once."""
-    names = ("intercept", "coeff", "variance")
-    by_scenario = ar_fit(df, ["scenario", "member", "cell_id"], order, value).groupBy("scenario", "cell_id").agg(*[F.avg(c).alias(c) for c in names])
-    return by_scenario.groupBy("cell_id").agg(*[F.avg(c).alias(c) for c in names])
+    return mean_of_means(ar_fit(df, ["scenario", "member", "cell_id"], order, value), ["intercept", "coeff", "variance"], ["scenario", "cell_id"], ["cell_id"])
 
 
-def ar_order(df: DataFrame, keys: list[str], maxlag: int = 2, order: str = "year", value: str = "value", criterion: str = "bic") -> DataFrame:
-    """The order up to `maxlag` (at most 2) with the least criterion; all orders are fitted on the same rows."""
-    if not 1 <= maxlag <= 2:
-        raise ValueError("orders up to 2")
-    window = Window.partitionBy(*keys).orderBy(order)
-    rows = df.select(*keys, F.col(value).alias("y"), *[F.lag(value, k).over(window).alias(f"x{k}") for k in range(1, maxlag + 1)]).filter(f"x{maxlag} IS NOT NULL")
+def ar_fit_scen_ens_lags(df: DataFrame, lags: list[int], order: str = "year", value: str = "value") -> DataFrame:
+    """As `ar_fit_scen_ens` on any lags: (cell_id, intercept, coeffs, variance). Series without a fit do not count."""
+    each = ar_fit_lags(df, ["scenario", "member", "cell_id"], lags, order, value)
+    names = [f"c{i}" for i in range(len(lags))]
+    each = each.select("scenario", "cell_id", "intercept", "variance", *[F.col("coeffs")[i].alias(c) for i, c in enumerate(names)])
+    mean = mean_of_means(each, ["intercept", "variance", *names], ["scenario", "cell_id"], ["cell_id"])
+    return mean.select("cell_id", "intercept", F.array(*names).alias("coeffs"), "variance")
+
+
+def ar_order(df: DataFrame, keys: list[str], maxlag: int = 12, order: str = "year", value: str = "value", criterion: str = "bic") -> DataFrame:
+    """(keys, order): the order up to `maxlag` with the least criterion; all orders are fitted on the same rows.
+
+    An order of p + 1 rows or fewer, or of dependent lags, takes no part; keys without any are left out.
+    """
+    if maxlag < 1:
+        raise ValueError("maxlag must be at least 1")
     penalty = {"aic": lambda n, k: 2.0 * k, "bic": lambda n, k: F.log(n) * k, "hqic": lambda n, k: 2 * F.log(F.log(n)) * k}[criterion]
-    scored = []
-    for p in range(1, maxlag + 1):
-        names = [f"x{k}" for k in range(1, p + 1)]
-        fitted = linreg_residuals(rows, linreg_fit(rows, keys, names, "y"), keys, names, "y")
-        n = F.count("*").cast("double")
-        scored.append(fitted.groupBy(*keys).agg((n * F.log(F.sum(F.col("residual") ** 2) / n) + penalty(n, p + 1)).alias("ic")).withColumn("p", F.lit(p)))
-    every = scored[0]
-    for s in scored[1:]:
-        every = every.union(s)
-    return every.groupBy(*keys).agg(F.min_by("p", F.struct("ic", "p")).alias("order"))
-
-
-def ar_order_scen_ens(df: DataFrame, maxlag: int = 2, order: str = "year", value: str = "value", criterion: str = "bic") -> DataFrame:
+    fits = solved_lags(lag_products(df, keys, list(range(1, maxlag + 1)), order, value), keys, list(range(1, maxlag + 1)))
+    ic = F.col("nobs") * F.log("variance") + penalty(F.col("nobs").cast("double"), F.col("p") + 1)
+    return fits.groupBy(*keys).agg(F.min_by("p", F.struct(F.coalesce(ic, F.lit(float("-inf"))), "p")).alias("order"))
+
+
+def ar_order_scen_ens(df: DataFrame, maxlag: int = 12, order: str = "year", value: str = "value", criterion: str = "bic") -> DataFrame:
     """Each series' order, then the nearest median over members, then over scenarios: (cell_id, order)."""
     each = ar_order(df, ["scenario", "member", "cell_id"], maxlag, order, value, criterion)
     over = lambda rows, keys: median_nearest(rows, keys, "order").select(*keys, "order")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.scalar import yeo_johnson_inverse
 from .conditional import DistSpec, lambdas_from_covariates, probability_integral_transform
@@ -21,15 +24,61 @@ def noise_table(keys: DataFrame, seed: str) -> DataFrame:
     return keys.withColumn("noise", F.sqrt(-2 * F.log(1 - uniform(key, 1))) * F.cos(2 * 3.141592653589793 * uniform(key, 2)))
 
 
+def recursion(names: list[str], schema, start: int, drop: int, step):
+    """Batches of whole series (keys, e: array of noise by t, parameters) to rows (keys, t, x), all series of a batch at once.
+
+    `step(batch, x, t)` gives x at t less its noise, from the columns before; before `start` x is zero. Without a start x begins with its noise.
+    """
+
+    def run(batches):
+        for rows in batches:
+            if not len(rows):
+                continue
+            sizes = np.array([len(e) for e in rows["e"]])
+            noise = np.full((len(rows), sizes.max()), np.nan)
+            for k, e in enumerate(rows["e"]):
+                noise[k, : len(e)] = e
+            x = np.zeros_like(noise)
+            if not start:
+                x[:, 0] = noise[:, 0]
+            for t in range(max(1, start), noise.shape[1]):
+                x[:, t] = step(rows, x, t) + noise[:, t]
+            left = np.maximum(sizes - drop, 0)
+            at = np.repeat(np.arange(len(rows)), left)
+            t = np.arange(len(at)) - np.repeat(np.cumsum(left) - left, left)
+            out = rows[names].iloc[at].reset_index(drop=True)
+            out["t"], out["x"] = t, pd.array(x[at, t + drop], "Float64")
+            yield out.astype({"x": object}).where(out["x"].notna(), None)[[f.name for f in schema]]
+
+    return run
+
+
+def series_of(noise: DataFrame, keys: list[str], params: DataFrame) -> DataFrame:
+    """One row a series: its noise in the order of t, and its cell's parameters."""
+    sorted_ = F.array_sort(F.collect_list(F.struct("t", "noise")))
+    return noise.groupBy(*keys).agg(F.transform(sorted_, lambda e: e["noise"]).alias("e")).join(params, "cell_id")
+
+
 def ar_recursion(noise: DataFrame, params: DataFrame, keys: list[str], buffer: int = 0) -> DataFrame:
-    """x_t = c + a x_(t-1) + e_t from zero, the first computed t being 2; the first `buffer` steps are dropped.
+    """x_t = c + a_1 x_(t-1) + ... + a_p x_(t-p) + e_t from zeros, the first computed t being p + 1; the first `buffer` steps are dropped.
 
-    `noise` has keys, t (from 0) and noise, `params` cell_id, intercept, coeff. A series is one array.
+    `noise` has keys (cell_id among them), t (from 0) and noise, `params` cell_id, intercept and coeff (p = 1) or
+    coeffs (an array of p). A series is one row; a batch of series is computed a step at a time. Null parameters
+    give null from t = p + 1 on.
     """
-    step = lambda done, e: F.concat(done, F.array(F.when(F.size(done) < 2, F.lit(0.0)).otherwise(F.col("intercept") + F.col("coeff") * F.element_at(done, -1) + e["noise"])))
-    series = noise.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "noise"))).alias("e")).join(params, "cell_id")
-    series = series.select(*keys, F.aggregate("e", F.array().cast("array<double>"), step).alias("x"))
-    return series.select(*keys, F.posexplode("x").alias("t", "x")).filter(F.col("t") >= buffer).withColumn("t", F.col("t") - buffer)
+    coeffs = F.col("coeffs") if "coeffs" in params.columns else F.array("coeff")
+    given = params.select("cell_id", F.col("intercept").cast("double").alias("c"), F.transform(coeffs, lambda a: a.cast("double")).alias("a"), F.size(coeffs).alias("p"))
+    orders = [r.p for r in given.select("p").distinct().limit(2).collect()]
+    if len(orders) > 1:
+        raise ValueError("all cells need the same order")
+    p = max(1, orders[0]) if orders else 1
+    schema = StructType([*[noise.schema[k] for k in keys], *StructType.fromDDL("t long, x double")])
+
+    def step(rows, x, t):
+        a = np.array([list(v) for v in rows["a"]], np.float64)
+        return rows["c"].to_numpy(np.float64) + (a * x[:, t - p : t][:, ::-1]).sum(axis=1)
+
+    return series_of(noise, keys, given).select(*keys, "e", "c", "a").mapInPandas(recursion(keys, schema, p + 1, buffer, step), schema)
 
 
 def correlate_noise(noise: DataFrame, factor: DataFrame) -> DataFrame:
@@ -43,15 +92,16 @@ def ar_recursion_monthly(noise: DataFrame, params: DataFrame, keys: list[str], b
 
     `noise` has keys, t (months from 0, a January) and noise, `params` cell_id, month (1 to 12), intercept, slope.
     """
-    months = params.groupBy("cell_id").agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct("intercept", "slope")))).alias("by_month"))
+    months = params.select("cell_id", F.col("month").cast("int").alias("month"), "intercept", "slope").groupBy("cell_id")
+    slot = lambda c, m: F.max(F.when(F.col("month") == m, F.col(c))).cast("double")
+    given = months.agg(*[F.array(*[slot(c, m) for m in range(1, 13)]).alias(name) for c, name in (("intercept", "c"), ("slope", "a"))])
+    schema = StructType([*[noise.schema[k] for k in keys], *StructType.fromDDL("t long, x double")])
 
-    def step(done, e):
-        p = F.element_at(F.col("by_month"), (F.size(done) % 12 + 1).cast(params.schema["month"].dataType))
-        return F.concat(done, F.array(F.when(F.size(done) == 0, e["noise"]).otherwise(p["intercept"] + p["slope"] * F.element_at(done, -1) + e["noise"])))
+    def step(rows, x, t):
+        of = lambda name: np.array([v[t % 12] for v in rows[name]], np.float64)
+        return of("c") + of("a") * x[:, t - 1]
 
-    series = noise.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("t", "noise"))).alias("e")).join(months, "cell_id")
-    series = series.select(*keys, F.aggregate("e", F.array().cast("array<double>"), step).alias("x"))
-    return series.select(*keys, F.posexplode("x").alias("t", "x")).filter(F.col("t") >= 12 * buffer).withColumn("t", F.col("t") - 12 * buffer)
+    return series_of(noise, keys, given).select(*keys, "e", "c", "a").mapInPandas(recursion(keys, schema, 0, 12 * buffer, step), schema)
 
 
 def emulate_annual(forced: DataFrame, local: DataFrame, first: int) -> DataFrame:

@@ -303,7 +303,8 @@ def superimpose_volcanic(s, d):
     return rounded(rows.join(F.broadcast(slope)).select("scenario", "member", "year", (F.col("value") + F.col("slope") * F.col("aod")).alias("value")))  # one row
 
 
-AR = "SELECT scenario, member, cell_id, regr_slope(value, x) AS coeff, regr_intercept(value, x) AS intercept, count(*) AS nobs, (regr_syy(value, x) - regr_slope(value, x) * regr_sxy(value, x)) / count(*) AS variance FROM (SELECT *, lag(value) OVER (PARTITION BY scenario, member, cell_id ORDER BY year) AS x FROM sp) WHERE x IS NOT NULL GROUP BY ALL"
+#: Below two pairs, or where the earlier values do not vary, the fit is null.
+AR = "SELECT scenario, member, cell_id, nobs, CASE WHEN nobs > 1 AND v > 0 THEN coeff END AS coeff, CASE WHEN nobs > 1 AND v > 0 THEN intercept END AS intercept, CASE WHEN nobs > 1 AND v > 0 THEN variance END AS variance FROM (SELECT scenario, member, cell_id, regr_slope(value, x) AS coeff, regr_intercept(value, x) AS intercept, count(*) AS nobs, var_pop(x) AS v, (regr_syy(value, x) - regr_slope(value, x) * regr_sxy(value, x)) / count(*) AS variance FROM (SELECT *, lag(value) OVER (PARTITION BY scenario, member, cell_id ORDER BY year) AS x FROM sp) WHERE x IS NOT NULL GROUP BY ALL)"
 
 
 @query(f"SELECT scenario, member, cell_id, round(intercept, 6) AS intercept, round(coeff, 6) AS coeff, round(variance, 6) AS variance, nobs FROM ({AR})")
@@ -316,15 +317,41 @@ def ar_fit_scen_ens(s, d):
     return rounded(M.ar_fit_scen_ens(E.splice_hist_scen(V.ensemble(s, d))))
 
 
-LAGGED = "SELECT cell_id, value AS y, lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2 FROM (SELECT * FROM mon WHERE member = 'r0') WINDOW o AS (PARTITION BY cell_id ORDER BY year, month)"
+def swept_sql(lags: int) -> str:
+    """CTEs e0 to e<lags> over `mon`: by (member, cell_id) the covariances of the lagged values and the value, swept by one lag after the other.
 
+    After k steps the last element is the residual variance of order k, the last column the coefficients.
+    """
+    names = [*[f"x{k}" for k in range(1, lags + 1)], "y"]
+    rows = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in names) + "]" for a in names)
+    lagged = f"SELECT member, cell_id, value AS y, {', '.join(f'lag(value, {k}) OVER o AS x{k}' for k in range(1, lags + 1))} FROM mon WINDOW o AS (PARTITION BY member, cell_id ORDER BY year, month)"
+    out = [f"e0 AS (SELECT member, cell_id, count(*) AS n, [{', '.join(f'avg({c})' for c in names)}] AS means, [{rows}] AS m FROM ({lagged}) WHERE x{lags} IS NOT NULL GROUP BY ALL)"]
+    for k in range(1, lags + 1):
+        out.append(f"e{k} AS (SELECT member, cell_id, n, means, list_transform(m, lambda r, i: CASE WHEN i = {k} THEN list_transform(r, lambda v: v / m[{k}][{k}]) ELSE list_transform(r, lambda v, j: v - r[{k}] * m[{k}][j] / m[{k}][{k}]) END) AS m FROM e{k - 1})")
+    return ", ".join(out)
 
-@query(f"""SELECT cell_id, CAST(arg_min(p, (ic, p)) AS INTEGER) AS "order" FROM (
-WITH lagged AS (SELECT * FROM ({LAGGED}) WHERE x2 IS NOT NULL), m AS (SELECT cell_id, CAST(count(*) AS DOUBLE) AS n, var_pop(x1) AS a, var_pop(x2) AS c, covar_pop(x1, x2) AS b, covar_pop(y, x1) AS u, covar_pop(y, x2) AS v, var_pop(y) AS w FROM lagged GROUP BY 1)
-SELECT cell_id, 1 AS p, n * ln(w - u * u / a) + ln(n) * 2 AS ic FROM m UNION ALL SELECT cell_id, 2, n * ln(w - (c * u * u - 2 * b * u * v + a * v * v) / (a * c - b * b)) + ln(n) * 3 FROM m) GROUP BY 1""")
+
+ORDERS = 12
+
+
+@query(f"""SELECT member, cell_id, CAST(arg_min(p, (ic, p)) AS INTEGER) AS "order" FROM (WITH {swept_sql(ORDERS)} {" UNION ALL ".join(f"SELECT member, cell_id, {k} AS p, n * ln(m[{ORDERS + 1}][{ORDERS + 1}]) + ln(n) * {k + 1} AS ic FROM e{k} WHERE n > {k + 1}" for k in range(1, ORDERS + 1))}) GROUP BY ALL""")
 def ar_order(s, d):
-    series = V.monthly(s, d).filter("member = 'r0'").withColumn("t", F.col("year") * 12 + F.col("month"))
-    return M.ar_order(series, ["cell_id"], 2, "t")
+    return M.ar_order(V.monthly(s, d).withColumn("t", F.col("year") * 12 + F.col("month")), ["member", "cell_id"], ORDERS, "t")
+
+
+@query(f"""SELECT member, cell_id, n AS nobs, round(CASE WHEN n > 6 THEN m[6][6] END, 5) AS variance, round(CASE WHEN n > 6 THEN means[6] - list_dot_product(list_transform(m[1:5], lambda r: r[6]), means[1:5]) END, 5) AS intercept,
+{", ".join(f"round(CASE WHEN n > 6 THEN m[{k}][6] END, 5) AS coeff_{k}" for k in range(1, 6))} FROM (WITH {swept_sql(5)} SELECT * FROM e5)""")
+def ar_fit_order_5(s, d):
+    fit = M.ar_fit_lags(V.monthly(s, d).withColumn("t", F.col("year") * 12 + F.col("month")), ["member", "cell_id"], [1, 2, 3, 4, 5], "t")
+    return rounded(fit.select("member", "cell_id", "nobs", "variance", "intercept", *[F.col("coeffs")[k - 1].alias(f"coeff_{k}") for k in range(1, 6)]), 5)
+
+
+@query(f"""SELECT cell_id, round(avg(m[4][4]), 5) AS variance, round(avg(means[4] - list_dot_product(list_transform(m[1:3], lambda r: r[4]), means[1:3])), 5) AS intercept,
+{", ".join(f"round(avg(m[{k}][4]), 5) AS coeff_{k}" for k in range(1, 4))} FROM (WITH {swept_sql(3)} SELECT * FROM e3 WHERE n > 4) GROUP BY 1""")
+def ar_fit_scen_ens_order_3(s, d):
+    rows = V.monthly(s, d).withColumn("t", F.col("year") * 12 + F.col("month")).withColumn("scenario", F.lit("all"))
+    fit = M.ar_fit_scen_ens_lags(rows, [1, 2, 3], "t")
+    return rounded(fit.filter("variance IS NOT NULL").select("cell_id", "variance", "intercept", *[F.col("coeffs")[k - 1].alias(f"coeff_{k}") for k in range(1, 4)]), 5)
 
 
 @query("SELECT cell_id, month, round(regr_intercept(value, x), 6) AS intercept, round(regr_slope(value, x), 6) AS slope FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) WHERE x IS NOT NULL GROUP BY ALL")
