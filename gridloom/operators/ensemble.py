@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,8 @@ def anomaly_own_ref(df: DataFrame, first: int, last: int, value: str = "value")
 
 
 def lat_weights(lat):
-    return F.cos(F.radians(lat))
+    """Cosine of the latitude in degrees; a latitude beyond a pole fails the query."""
+    return F.when(F.abs(lat) > 90, F.raise_error(F.lit("latitudes must lie within -90 and 90")).cast("double")).otherwise(F.cos(F.radians(lat)))
 
 
 def weighted_mean(df: DataFrame, keys: list[str], value: str, weight) -> DataFrame:
@@ -52,20 +54,13 @@ def scenario_weights(df: DataFrame) -> DataFrame:
 
 
 def density_weights(samples: DataFrame, predictors: list[str]) -> DataFrame:
-    """Inverse Gaussian kernel density of each sample (sample_id and up to two predictors), normalised to a sum of 1.
+    """Inverse Gaussian kernel density of each sample (sample_id and any number of predictors), normalised to a sum of 1.
 
     Scott's bandwidth; the kernel's constant cancels. Every sample meets every other, as the estimate is defined.
     """
     d = len(predictors)
-    stats = samples.agg(F.count("*").alias("n"), *[F.covar_samp(p, q).alias(f"{i}{j}") for i, p in enumerate(predictors) for j, q in enumerate(predictors)]).first()
-    scale = stats["n"] ** (-2.0 / (d + 4))
-    if d == 1:
-        inverse = [[1.0 / (stats["00"] * scale)]]
-    elif d == 2:
-        a, b, c = (stats[k] * scale for k in ("00", "01", "11"))
-        inverse = [[c / (a * c - b * b), -b / (a * c - b * b)], [-b / (a * c - b * b), a / (a * c - b * b)]]
-    else:
-        raise ValueError("one or two predictors")
+    stats = samples.agg(F.count("*").alias("n"), *[F.covar_samp(p, q) for p in predictors for q in predictors]).first()
+    inverse = np.linalg.inv(np.reshape(stats[1:], (d, d)) * stats["n"] ** (-2.0 / (d + 4))).tolist()
     other = samples.select(*[F.col(p).alias(f"__{p}") for p in predictors])
     diff = [F.col(p) - F.col(f"__{p}") for p in predictors]
     distance = sum(diff[i] * diff[j] * inverse[i][j] for i in range(d) for j in range(d))
@@ -131,8 +126,15 @@ def exact_align(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return a.join(b, on)
 
 
-def align_outer_fill(df: DataFrame, series: DataFrame, column: str) -> DataFrame:
-    """A yearly series beside the table's years, 0 where it has none."""
+def align_outer_fill(df: DataFrame, series: DataFrame, column: str, period: tuple[int, int] | None = None) -> DataFrame:
+    """A yearly series beside the table's years, 0 where it has none. With a `period` only its years count; without one
+    the table must not go beyond the series' years."""
+    if period:
+        series = series.filter(F.col("year").between(*period))
+    else:
+        have, known = (t.agg(F.min("year"), F.max("year")).first() for t in (df, series))
+        if have[0] is not None and (known[0] is None or have[0] < known[0] or have[1] > known[1]):
+            raise ValueError("the data exceed the series; name a period")
     return df.join(series, "year", "left").withColumn(column, F.coalesce(column, F.lit(0.0)))
 
 

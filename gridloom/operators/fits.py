@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.params import cut_lineage
-from .ensemble import median_nearest
+from .ensemble import align_outer_fill, median_nearest
+from .guards import check_annual
 
 
 def solve(a: list[list[Column]], b: list[Column]) -> list[Column]:
@@ -38,6 +41,8 @@ def linreg_predict(df: DataFrame, params: DataFrame, keys: list[str], predictors
     names = ["intercept", *predictors]
     if unknown := [p for p in predictors if f"b_{p}" not in params.columns]:
         raise ValueError(f"no parameters for {unknown}")
+    if missing := [c[2:] for c in params.columns if c.startswith("b_") and c[2:] not in predictors and c[2:] not in exclude and (only is None or c[2:] in only)]:
+        raise ValueError(f"no predictors for {missing}; exclude them to leave them out")
     use = [p for p in names if p not in exclude and (only is None or p in only)]
     total = sum((F.col("intercept") if p == "intercept" else F.col(f"b_{p}") * F.col(p) for p in use), F.lit(0.0))
     columns = df.columns
@@ -53,6 +58,20 @@ def fit_volcanic(residuals: DataFrame, aod: str = "aod", residual: str = "residu
     return residuals.agg((F.sum(F.col(aod) * F.col(residual)) / F.sum(F.col(aod) * F.col(aod))).alias("slope"))
 
 
+def warn_volcanic(slope: DataFrame) -> DataFrame:
+    """Warn unless the slope of `fit_volcanic` is negative: aerosols should cool."""
+    found = slope.first()["slope"]
+    if found is not None and found >= 0:
+        warnings.warn(f"the volcanic slope is not negative: {found}", stacklevel=2)
+    return slope
+
+
+def superimpose_volcanic(df: DataFrame, slope: DataFrame, series: DataFrame, keys: list[str], column: str = "aod", value: str = "value", period: tuple[int, int] | None = None) -> DataFrame:
+    """Add slope times the aerosol series to the values of annual data; years beyond `period` get none. `slope` is of `fit_volcanic`."""
+    rows = align_outer_fill(check_annual(df, keys), series, column, period)
+    return rows.join(F.broadcast(slope)).withColumn(value, F.col(value) + F.col("slope") * F.col(column)).drop("slope", column)  # one row
+
+
 def ar_fit(df: DataFrame, keys: list[str], order: str = "year", value: str = "value", lag: int = 1) -> DataFrame:
     """First-order autoregression on the value `lag` steps before, by conditional least squares: intercept, coeff, variance, nobs.
 
@@ -161,6 +180,12 @@ def ar_fit_monthly(df: DataFrame, keys: list[str], cell: str = "cell_id", value:
     return rows.groupBy(cell, "month").agg(F.regr_intercept(value, "x").alias("intercept"), F.regr_slope(value, "x").alias("slope"))
 
 
+def ar_monthly_residuals(df: DataFrame, params: DataFrame, keys: list[str], cell: str = "cell_id", value: str = "value") -> DataFrame:
+    """Add `residual` of `ar_fit_monthly`'s parameters; each series' first month, and months without parameters, are left out."""
+    rows = df.withColumn("__x", F.lag(value).over(Window.partitionBy(*keys).orderBy("year", "month"))).filter("__x IS NOT NULL")
+    return rows.join(params, [cell, "month"]).withColumn("residual", F.col(value) - F.col("intercept") - F.col("slope") * F.col("__x")).drop("__x", "intercept", "slope")
+
+
 def lowess(df: DataFrame, keys: list[str], x: str, y: str, n_steps: int, rounds: int = 0) -> DataFrame:
     """Locally weighted linear regression (Cleveland 1979): for each distinct x of a key the n nearest rows, tricube weights.
 

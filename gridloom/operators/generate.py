@@ -47,8 +47,8 @@ def recursion(names: list[str], schema, start: int, drop: int, step):
             at = np.repeat(np.arange(len(rows)), left)
             t = np.arange(len(at)) - np.repeat(np.cumsum(left) - left, left)
             out = rows[names].iloc[at].reset_index(drop=True)
-            out["t"], out["x"] = t, pd.array(x[at, t + drop], "Float64")
-            yield out.astype({"x": object}).where(out["x"].notna(), None)[[f.name for f in schema]]
+            out["t"], out["x"] = t, pd.array(x[at, t + drop], "Float64")  # not a number is null
+            yield out[[f.name for f in schema]]
 
     return run
 

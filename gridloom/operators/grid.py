@@ -80,8 +80,10 @@ def closest_neighbors(cells: DataFrame, n: int) -> DataFrame:
     return pairs.withColumn("rank", rank).filter(F.col("rank") < n).select("cell_i", "cell_j", "rank")
 
 
-def upsample_yearly(df: DataFrame) -> DataFrame:
-    """Each yearly row twelve times, with month 1 to 12."""
+def upsample_yearly(df: DataFrame, n_months: int | None = None) -> DataFrame:
+    """Each yearly row twelve times, with month 1 to 12. With `n_months`, the length of the monthly axis, the years must make up that many."""
+    if n_months is not None and n_months != 12 * df.select("year").distinct().count():
+        raise ValueError("the monthly axis must have twelve months for each year")
     return df.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import conditional as C
 from ..operators import ensemble as E
 from ..operators import fits as M
 from ..operators import generate as G
@@ -155,10 +156,10 @@ def merge_predictor_tables(s, d):
 
 def aerosol(s, d):
     """A yearly series from the events: the day of the month stands for the year."""
-    return s.read.parquet(f"{d}/events.parquet").groupBy((F.dayofmonth("ts") + 1994).cast("long").alias("year")).agg((F.avg("value") / 100).alias("aod")).filter("year <= 1998")
+    return s.read.parquet(f"{d}/events.parquet").groupBy((F.dayofmonth("ts") + 1994).cast("long").alias("year")).agg((F.avg("value") / 100).alias("aod"))
 
 
-AEROSOL = "(SELECT CAST(day(ts) + 1994 AS BIGINT) AS year, avg(value) / 100 AS aod FROM events WHERE day(ts) <= 4 GROUP BY 1)"
+AEROSOL = "(SELECT CAST(day(ts) + 1994 AS BIGINT) AS year, avg(value) / 100 AS aod FROM events GROUP BY 1)"
 
 
 @query(f"SELECT scenario, member, year, round(value, 6) AS value, round(coalesce(aod, 0.0), 6) AS aod FROM gm LEFT JOIN {AEROSOL} USING (year)")
@@ -298,9 +299,8 @@ def fit_volcanic(s, d):
 
 @query(f"SELECT scenario, member, year, round(value + slope * aod, 6) AS value FROM ({VOLCANIC}), (SELECT sum(aod * value) / sum(aod * aod) AS slope FROM ({VOLCANIC}) WHERE scenario = 'historical')")
 def superimpose_volcanic(s, d):
-    rows = volcanic_rows(s, d)
-    slope = M.fit_volcanic(rows.filter("scenario = 'historical'"), residual="value")
-    return rounded(rows.join(F.broadcast(slope)).select("scenario", "member", "year", (F.col("value") + F.col("slope") * F.col("aod")).alias("value")))  # one row
+    slope = M.fit_volcanic(volcanic_rows(s, d).filter("scenario = 'historical'"), residual="value")
+    return rounded(M.superimpose_volcanic(global_means(s, d), slope, aerosol(s, d), ["scenario", "member"]).select("scenario", "member", "year", "value"))
 
 
 #: Below two pairs, or where the earlier values do not vary, the fit is null.
@@ -359,6 +359,14 @@ def ar_fit_monthly(s, d):
     return rounded(M.ar_fit_monthly(V.monthly(s, d), ["member", "cell_id"]))
 
 
+@query("""SELECT member, year, month, m.cell_id, round(value - intercept - slope * x, 6) AS residual FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) m
+JOIN (SELECT cell_id, month, regr_intercept(value, x) AS intercept, regr_slope(value, x) AS slope FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) > 1) USING (cell_id, month) WHERE x IS NOT NULL""")
+def ar_monthly_residuals(s, d):
+    mon = V.monthly(s, d)
+    fit = M.ar_fit_monthly(mon, ["member", "cell_id"]).filter("slope IS NOT NULL")
+    return rounded(M.ar_monthly_residuals(mon, fit, ["member", "cell_id"]).select("member", "year", "month", "cell_id", "residual"))
+
+
 MONTHLY_SCENARIOS = "SELECT *, CASE WHEN year <= 1997 THEN 'historical' ELSE 'scen' END AS scenario FROM mon"
 
 
@@ -438,8 +446,10 @@ def probability_transform(s, d):
 
 @query(f"SELECT cell_id, round(-sum(lp), 5) AS nll, round(2 * ln(count(*)) - 2 * sum(lp), 5) AS bic FROM (SELECT cell_id, -0.5 * pow(value - p, 2) - 0.9189385332046727 AS lp FROM ({TWO})) GROUP BY 1")
 def quality_scores(s, d):
-    rows = with_predictor(s, d).withColumn("lp", S.norm_logpdf(F.col("value"), F.col("p"), F.lit(1.0)))
-    return rounded(rows.groupBy("cell_id").agg((-F.sum("lp")).alias("nll"), (2 * F.log(F.count("*")) - 2 * F.sum("lp")).alias("bic")), 5)
+    spec = C.DistSpec("norm", {"loc": "c0 + c1 * p", "scale": "1"}, ("c0", "c1"))
+    rows = with_predictor(s, d)
+    given = rows.select("cell_id", F.lit(0.0).alias("c0"), F.lit(1.0).alias("c1")).distinct()
+    return rounded(C.quality_scores(rows, given, spec, ["cell_id"]).select("cell_id", "nll", "bic"), 5)
 
 
 @query(f"""SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, round(covar_samp(a.value, b.value) * sqrt(1 - ga.c * ga.c) * sqrt(1 - gb.c * gb.c), 6) AS cov
@@ -474,6 +484,17 @@ rec AS (SELECT scenario, realisation, cell_id, 1 AS t, CAST(0 AS DOUBLE) AS x FR
 SELECT * FROM rec)"""
 
 
+@query(f"""SELECT scenario, realisation, cell_id, CAST(t - 1 AS BIGINT) AS t, round(h[1], 5) AS x FROM (
+WITH RECURSIVE nz AS MATERIALIZED ({NOISE}), par AS MATERIALIZED (SELECT CAST(range AS BIGINT) AS cell_id, 0.1 * range AS a, [0.4, -0.2, 0.01 * range] AS c FROM range(25)),
+rec AS (SELECT scenario, realisation, cell_id, 3 AS t, [CAST(0 AS DOUBLE), 0, 0] AS h FROM nz WHERE t = 3 UNION ALL
+SELECT rec.scenario, rec.realisation, rec.cell_id, nz.t, list_prepend(a + list_dot_product(CAST(c AS DOUBLE[]), h) + noise, h[1:2]) FROM rec JOIN nz ON nz.scenario = rec.scenario AND nz.realisation = rec.realisation AND nz.cell_id = rec.cell_id AND nz.t = rec.t + 1 JOIN par ON par.cell_id = rec.cell_id)
+SELECT scenario, realisation, cell_id, t, h FROM rec UNION ALL SELECT scenario, realisation, cell_id, t, [CAST(0 AS DOUBLE)] FROM nz WHERE t IN (1, 2))""")
+def ar_recursion_order_3(s, d):
+    rows = noise(s, d)
+    params = rows.select("cell_id").distinct().select("cell_id", (0.1 * F.col("cell_id")).alias("intercept"), F.array(F.lit(0.4), F.lit(-0.2), 0.01 * F.col("cell_id")).alias("coeffs"))
+    return rounded(G.ar_recursion(rows, params, ["scenario", "realisation", "cell_id"], buffer=1), 5)
+
+
 @query(f"SELECT * REPLACE (round(x, 6) AS x) FROM ({RECURSION})")
 def ar_recursion(s, d):
     params = M.ar_fit_scen_ens(E.splice_hist_scen(V.ensemble(s, d)))
@@ -515,9 +536,10 @@ def count_not_finite(s, d):
     return Q.count_not_finite(V.ensemble(s, d), "value")
 
 
-@query("SELECT scenario, member, cell_id, year FROM (SELECT *, year - lag(year) OVER (PARTITION BY scenario, member, cell_id ORDER BY year) AS g FROM ens) WHERE g <> 1")
+@query("SELECT o_custkey, year, gap FROM (SELECT *, year - lag(year) OVER (PARTITION BY o_custkey ORDER BY year) AS gap FROM (SELECT DISTINCT o_custkey, CAST(year(o_orderdate) AS BIGINT) AS year FROM orders)) WHERE gap <> 1")
 def year_gaps(s, d):
-    return Q.year_gaps(V.ensemble(s, d), ["scenario", "member", "cell_id"]).select("scenario", "member", "cell_id", "year")
+    years = s.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.year("o_orderdate").cast("long").alias("year")).distinct()
+    return Q.year_gaps(years, ["o_custkey"])
 
 
 @query("SELECT count(*) FILTER (abs(r0 - r1) > 0.1 * abs(r1) OR (r0 IS NULL) <> (r1 IS NULL)) AS beyond FROM (SELECT scenario, year, max(CASE WHEN member = 'r0' THEN value END) AS r0, max(CASE WHEN member = 'r1' THEN value END) AS r1 FROM gm GROUP BY ALL)")

@@ -10,6 +10,7 @@ from test_queries import SF, duck, same  # noqa: F401
 from gridloom.functions import distributions as D
 from gridloom.operators import conditional as C
 from gridloom.operators import covariance as K
+from gridloom.operators import ensemble as E
 from gridloom.operators import fits as M
 from gridloom.operators import generate as G
 from gridloom.operators import geodesic as J
@@ -194,3 +195,63 @@ def test_ar_fit_lags(spark):
     r = M.ar_fit_lags(df, ["k"], [1, 3], "t").first()
     assert [r.intercept, *r.coeffs] == pytest.approx(list(np.linalg.lstsq(x, y[3:], rcond=None)[0]))
     assert M.ar_fit_lags(df, ["k"], [1], "t").filter("k = 2").first().coeffs == [None]
+
+
+def test_recursion_of_higher_order(spark):
+    noise = spark.createDataFrame([(c, t, 0.0) for c in (0, 1, 2) for t in range(5)], "cell_id int, t int, noise double")
+    params = spark.createDataFrame([(0, 1.0, 0.5), (1, None, None), (2, 0.0, 1.0)], "cell_id int, intercept double, coeff double")
+    for buffer, expected in ((1, [0, 1, 1.5, 1.75]), (2, [1, 1.5, 1.75])):
+        got = G.ar_recursion(noise, params, ["cell_id"], buffer).orderBy("cell_id", "t").collect()
+        assert [r.x for r in got if r.cell_id == 0] == expected and [r.t for r in got if r.cell_id == 0] == list(range(5 - buffer))
+        assert {r.x for r in got if r.cell_id == 1 and r.t + buffer >= 2} == {None}
+    rng = np.random.default_rng(0)
+    e = rng.normal(size=(2, 40))
+    coeffs = spark.createDataFrame([(0, 0.3, [0.5, -0.2, 0.1, 0.05]), (1, -0.1, [0.1, 0.2, 0.3, -0.4])], "cell_id int, intercept double, coeffs array<double>")
+    rows = spark.createDataFrame([(c, t, float(e[c, t])) for c in (0, 1) for t in range(40)], "cell_id int, t int, noise double")
+    got = G.ar_recursion(rows, coeffs, ["cell_id"]).orderBy("cell_id", "t").collect()
+    for c, (_, a, b) in enumerate([(0, 0.3, [0.5, -0.2, 0.1, 0.05]), (1, -0.1, [0.1, 0.2, 0.3, -0.4])]):
+        x = [0.0] * 5
+        for t in range(5, 40):
+            x.append(a + sum(b[k] * x[t - 1 - k] for k in range(4)) + e[c, t])
+        assert [r.x for r in got if r.cell_id == c] == pytest.approx(x)
+
+
+def test_autoregression_of_any_order(spark):
+    rng = np.random.default_rng(1)
+    x = np.zeros((3, 400))
+    for t in range(4, 400):
+        x[:, t] = 2 + 0.3 * x[:, t - 1] + 0.2 * x[:, t - 2] - 0.3 * x[:, t - 4] + rng.normal(size=3)
+    x[2] = 7.0
+    rows = spark.createDataFrame([(c, t, 1e6 * (c == 1) + float(x[c, t])) for c in range(3) for t in range(400)] + [(9, 0, 1.0)], "cell_id int, year int, value double")
+    fit = {r.cell_id: r for r in M.ar_fit_lags(rows, ["cell_id"], [1, 2, 3, 4]).collect()}
+    for c in (0, 1):
+        design = np.column_stack([np.ones(396), *[x[c, 4 - k : 400 - k] for k in range(1, 5)]])
+        best = np.linalg.lstsq(design, x[c, 4:], rcond=None)[0]
+        assert fit[c].coeffs == pytest.approx(best[1:], abs=1e-6) and fit[c].nobs == 396
+    assert fit[2].coeffs is None and 9 not in fit
+    orders = {r.cell_id: r.order for r in M.ar_order(rows, ["cell_id"], 8).collect()}
+    assert orders[0] == orders[1] == 4 and 2 not in orders
+    single = {r.cell_id: r for r in M.ar_fit(rows.filter("year < 2 OR cell_id = 9"), ["cell_id"]).collect()}
+    assert all(r.coeff is None and r.nobs == 1 for r in single.values())
+    mean = M.ar_fit_scen_ens_lags(rows.filter("cell_id < 1").withColumn("scenario", F.lit("a")).withColumn("member", F.lit("m")), [1, 2, 3, 4]).first()
+    assert mean.coeffs == pytest.approx(fit[0].coeffs)
+
+
+def test_guards_of_series(spark):
+    rows = spark.createDataFrame([("a", "m", y, 1.0) for y in (1999, 2000, 2001)], "scenario string, member string, year long, value double")
+    series = spark.createDataFrame([(1999, 0.5), (2000, 0.25)], "year long, aod double")
+    with pytest.raises(ValueError):
+        E.align_outer_fill(rows, series, "aod")
+    filled = M.superimpose_volcanic(rows, spark.createDataFrame([(-2.0,)], "slope double"), series, ["scenario", "member"], period=(1999, 1999)).orderBy("year").collect()
+    assert [r.value for r in filled] == [0.0, 1.0, 1.0]
+    with pytest.raises(ValueError):
+        M.superimpose_volcanic(rows.filter("year <> 2000"), spark.createDataFrame([(-2.0,)], "slope double"), series, ["scenario", "member"], period=(1999, 2001))
+    with pytest.warns(UserWarning):
+        M.warn_volcanic(spark.createDataFrame([(2.0,)], "slope double"))
+    with pytest.raises(Exception, match="latitudes"):
+        spark.createDataFrame([(91.0,)], "lat double").select(E.lat_weights(F.col("lat"))).collect()
+    params = spark.createDataFrame([(1, 0.0, 1.0, 2.0)], "cell_id int, intercept double, b_x double, b_z double")
+    one = spark.createDataFrame([(1, 3.0)], "cell_id int, x double")
+    with pytest.raises(ValueError):
+        M.linreg_predict(one, params, ["cell_id"], ["x"])
+    assert M.linreg_predict(one, params, ["cell_id"], ["x"], exclude={"z"}).first().predicted == 3.0
