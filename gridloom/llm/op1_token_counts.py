@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored
+from .common import new_path, stored, with_prefix_sums
 
 BLOCK_BYTES = 8 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -64,13 +64,13 @@ def find_separators(separator: int, width: int):
     def run(batches):
         kind = "<u2" if width == 2 else "<u4"
         for batch in batches:
-            for file, block, offset, size in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, block, offset, size, final in zip(*(c.to_pylist() for c in batch.columns)):
                 store, base = fs.FileSystem.from_uri(file)
                 with store.open_input_file(base) as f:
                     f.seek(offset)
                     ids = np.frombuffer(f.read(size), kind)
                 ends = np.flatnonzero(ids == separator) + offset // width
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([offset // width + len(ids)], pa.int64()), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file", "block", "stop", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([offset // width + len(ids)], pa.int64()), pa.array([final]), pa.array([ends.tolist()], pa.list_(pa.int64()))], ["file", "block", "stop", "final", "ends"])
 
     return run
 
@@ -84,13 +84,14 @@ def scan_token_files(spark: SparkSession, path: str, separator: int = SEPARATOR,
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.col("path").alias("file"), F.col("length"))
     blocks = files.filter("length > 0").select("file", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(block_bytes).cast("long"))).alias("block", "offset"))
-    blocks = blocks.select("file", F.col("block").cast("long").alias("block"), "offset", F.least(F.lit(block_bytes), F.col("length") - F.col("offset")).cast("long").alias("size"))
+    blocks = blocks.select("file", F.col("block").cast("long").alias("block"), "offset", F.least(F.lit(block_bytes), F.col("length") - F.col("offset")).cast("long").alias("size"), (F.col("offset") + block_bytes >= F.col("length")).alias("final"))
     n = max(1, blocks.count())
-    found = stored(blocks.repartition(min(n, 10_000), "file", "block").mapInArrow(find_separators(separator, width), "file string, block long, stop long, ends array<long>"), "ends")
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    scan = found.select("file", "block", "stop", F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
-    scan = scan.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seen"), F.coalesce(F.last("last", ignorenulls=True).over(before), F.lit(-1)).alias("open"), F.lead("block").over(order).isNull().alias("final"))
+    found = stored(blocks.repartition(min(n, 10_000), "file", "block").mapInArrow(find_separators(separator, width), "file string, block long, stop long, final boolean, ends array<long>"), "ends")
+    # The prefix scan: separators in the blocks before, and from their number the last of them, whichever block it is in.
+    summaries = found.select("file", "block", F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
+    scan = with_prefix_sums(summaries, ["file"], ["block"], "n", "seen", "scan")
+    ends = scan.filter("n > 0").select("file", (F.col("seen") + F.col("n")).alias("seen"), F.col("last").alias("open"))
+    scan = scan.select("file", "block", "seen").join(ends, ["file", "seen"], "left").select("file", "block", "seen", F.coalesce("open", F.lit(-1)).alias("open"))
     joined = found.join(scan, ["file", "block"])
     ended = joined.select("file", "seen", "open", "ends", F.posexplode("ends").alias("k", "end"))
     start = F.when(F.col("k") == 0, F.col("open")).otherwise(F.element_at("ends", F.greatest("k", F.lit(1)))) + 1

@@ -1,6 +1,7 @@
 """URL filter: block and allow rules, and for all other URLs two smoothed character Markov models.
 
-Native DataFrame operations only. Every URL of a rule teaches the rule's class, all counts cover all URLs.
+Native DataFrame operations only. The URLs of a rule teach the rule's class, but for one in HELD_OUT of them, by a
+hash of the URL: on these, which the models have not seen, the threshold is calibrated.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from .common import stored
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Characters of a gram: up to this less one are context.
 ORDER = 5
+#: One in so many URLs is kept from the counts.
+HELD_OUT = 5
 #: Scores of grams are broadcast up to this many rows (about 60 bytes each), and shuffled beyond.
 BROADCAST_GRAMS = 300_000
 
@@ -66,15 +69,21 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
     return lower.select(F.col("s").alias("gram"), (F.log("l_allow") - F.log("l_block")).alias("gain"))
 
 
+def held_out():
+    """Whether a URL is kept from the counts, for the calibration."""
+    return F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
+
+
 def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
-    """Judge each row of `pages` (page_id, url): page_id, host, path, rule, verdict, score.
+    """Judge each row of `pages` (page_id, url): page_id, host, path, rule, verdict, score, by_model
+    (what the models alone would say) and held (whether the URL is held out).
 
     `rule` is the longest that fits, else null, and gives the verdict. Else the verdict is 'allow' if `score`,
     the mean log ratio of a character under the models of allowed and blocked URLs, reaches a threshold: the
-    point between the two classes' mean scores, nearer to the class that spreads less. Without URLs of both
-    classes the threshold is 0. Null URLs and those without '://' have an empty host and path and are scored
-    as they are (null as empty). Only page_id and url are read; repeated rows are judged each. Every count
-    covers all rows.
+    point between the two classes' mean scores of held-out URLs, nearer to the class that spreads less. Without
+    held-out URLs of both classes the threshold is 0. An empty table gives no rows. Null URLs and those without '://' have an empty host and path and are scored
+    as they are (null as empty). Only page_id and url are read; repeated rows are judged each. Counts cover all
+    rows but the held-out ones.
     """
     host, path = host_and_path()
     urls = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
@@ -83,19 +92,19 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     # Equal URLs are scored once.
     distinct = urls.groupBy("url").agg(F.first("ruled").alias("ruled"), F.count("*").alias("rows"))
     exploded = distinct.select("url", "ruled", "rows", F.explode(gram_list(order)).alias("gram"))
-    counts = exploded.groupBy("gram").agg(*[F.sum(F.when(F.col("ruled") == c, F.col("rows")).otherwise(0)).alias(c) for c in ("allow", "block")])
+    counts = exploded.groupBy("gram").agg(*[F.sum(F.when((F.col("ruled") == c) & ~held_out(), F.col("rows")).otherwise(0)).alias(c) for c in ("allow", "block")])
     scores = stored(gram_scores(stored(counts, "grams"), order), "scores")
     if scores.count() <= BROADCAST_GRAMS:
         scores = F.broadcast(scores)
     scored = exploded.join(scores, "gram").groupBy("url").agg(F.avg("gain").alias("score"))
-    judged = stored(urls.join(scored.withColumnRenamed("url", "__url"), F.col("url").eqNullSafe(F.col("__url"))).drop("__url", "url"), "judged")
-    spread = {c: judged.filter(F.col("ruled") == c).agg(F.avg("score"), F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first() for c in ("allow", "block")}
+    judged = stored(urls.join(scored.withColumnRenamed("url", "__url"), F.col("url").eqNullSafe(F.col("__url"))).withColumn("held", held_out()).drop("__url", "url"), "judged")
+    spread = {c: judged.filter(F.col("held") & (F.col("ruled") == c)).agg(F.avg("score"), F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first() for c in ("allow", "block")}
     (a, sa), (b, sb) = spread["allow"], spread["block"]
     threshold = 0.0 if a is None or b is None else (a + b) / 2 if sa + sb == 0 else (a * sb + b * sa) / (sa + sb)
     by_model = F.when(F.col("score") >= threshold, F.lit("allow")).otherwise(F.lit("block"))
-    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", by_model).alias("verdict"), "score", by_model.alias("by_model"), "held")
 
 
 def op9_url_language_models(spark, sf_dir: str) -> DataFrame:
     """The verdict on every URL of pages."""
-    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score", "by_model", "held")
