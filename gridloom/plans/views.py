@@ -12,7 +12,7 @@ LAND = [(20.0, -65.0, 200.0, -65.0), (200.0, -65.0, 200.0, 50.0), (200.0, 50.0,
 
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Annual means: scenario, member, year, cell_id, lat, lon, value. Cells are nations, members halves of customers."""
+    """Annual means: scenario, member, year, cell_id, lat, lon, value. Cells are nations, members halves of customers. The last year, 2001, is incomplete and no annual mean, so it is left out."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.year("o_orderdate") <= 2000)
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("cell_id"))
     rows = orders.join(customer, "o_custkey").select(
@@ -24,7 +24,7 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly means of the regions: member, year, month, cell_id, value."""
+    """Monthly means of the regions: member, year, month, cell_id, value; whole years only, as in `ensemble`."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").filter(F.year("o_orderdate") <= 2000)
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("cell_id"))
