@@ -131,7 +131,8 @@ def ar_fit_lags(df: DataFrame, keys: list[str], lags: list[int], order: str = "y
     products = lag_products(df, keys, lags, order, value)
     fit = solved_lags(products, keys, [len(lags)]).select(*[F.col(k).alias(f"__{k}") for k in keys], "intercept", "coeffs", "variance")
     on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return products.join(fit, on, "left").select(*keys, "intercept", "coeffs", "variance", "nobs")
+    nulls = F.array(*[F.lit(None).cast("double")] * len(lags))
+    return products.join(fit, on, "left").select(*keys, "intercept", F.coalesce("coeffs", nulls).alias("coeffs"), "variance", "nobs")
 
 
 def mean_of_means(df: DataFrame, names: list[str], inner: list[str], outer: list[str]) -> DataFrame:
