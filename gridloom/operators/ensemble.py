@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import gaspari_cohn
+from ..sources.params import cut_lineage
+
+#: Samples in a block of kernel densities, and cells whose products are made at a time.
+BLOCK = 1024
 
 
 def calc_anomaly(df: DataFrame, first: int, last: int, ref_scenario: str = "historical", value: str = "value") -> DataFrame:
@@ -14,11 +20,12 @@ def calc_anomaly(df: DataFrame, first: int, last: int, ref_scenario: str = "hist
 
     Raises if the reference has no rows, or if some scenario has a member that the reference lacks.
     """
-    ref = df.filter((F.col("scenario") == ref_scenario) & F.col("year").between(first, last)).groupBy("member", "cell_id").agg(F.avg(value).alias("__ref"))
-    known = ref.select("member").distinct()
-    if not known.limit(1).count():
+    inside = (F.col("scenario") == ref_scenario) & F.col("year").between(first, last)
+    ref = df.filter(inside).groupBy("member", "cell_id").agg(F.avg(value).alias("__ref"))
+    known = df.groupBy("member").agg(F.max(F.coalesce(inside, F.lit(False))).alias("has")).agg(F.max("has"), F.min("has")).first()
+    if not known[0]:
         raise ValueError("the reference period is empty")
-    if df.select("member").distinct().join(known, "member", "left_anti").limit(1).count():
+    if not known[1]:
         raise ValueError("a member is missing in the reference scenario")
     return df.join(ref, ["member", "cell_id"]).withColumn(value, F.col(value) - F.col("__ref")).drop("__ref")
 
@@ -53,19 +60,58 @@ def scenario_weights(df: DataFrame) -> DataFrame:
     return df.select("scenario", "member", "year").distinct().join(F.broadcast(n), "scenario")
 
 
-def density_weights(samples: DataFrame, predictors: list[str]) -> DataFrame:
+def density_weights(samples: DataFrame, predictors: list[str], block: int = BLOCK) -> DataFrame:
     """Inverse Gaussian kernel density of each sample (sample_id and any number of predictors), normalised to a sum of 1.
 
-    Scott's bandwidth; the kernel's constant cancels. Every sample meets every other, as the estimate is defined.
+    Scott's bandwidth; the kernel's constant cancels. Samples are sorted by the first whitened predictor into blocks
+    of `block`; only blocks within reach of each other meet, and what lies beyond is below a double's precision of the
+    sample's own kernel. Samples with a null take no part.
     """
-    d = len(predictors)
+    d, samples = len(predictors), samples.select("sample_id", *predictors).dropna(subset=predictors)
     stats = samples.agg(F.count("*").alias("n"), *[F.covar_samp(p, q) for p in predictors for q in predictors]).first()
-    inverse = np.linalg.inv(np.reshape(stats[1:], (d, d)) * stats["n"] ** (-2.0 / (d + 4))).tolist()
-    other = samples.select(*[F.col(p).alias(f"__{p}") for p in predictors])
-    diff = [F.col(p) - F.col(f"__{p}") for p in predictors]
-    distance = sum(diff[i] * diff[j] * inverse[i][j] for i in range(d) for j in range(d))
-    inverse_density = samples.join(other).groupBy("sample_id").agg((1.0 / F.sum(F.exp(-0.5 * distance))).alias("w"))
-    return inverse_density.join(inverse_density.agg(F.sum("w").alias("total"))).select("sample_id", (F.col("w") / F.col("total")).alias("weight"))
+    if stats["n"] < 2:
+        return samples.select("sample_id", F.lit(1.0).alias("weight"))
+    white = np.linalg.inv(np.linalg.cholesky(np.reshape(stats[1:], (d, d)) * stats["n"] ** (-2.0 / (d + 4)))).tolist()
+    reach = float(np.sqrt(2 * np.log(1e17 * stats["n"])))
+    z = F.array(*[sum(F.col(p) * w for p, w in zip(predictors, row)) for row in white])
+    kind = samples.schema["sample_id"].dataType.simpleString()
+    blocks = samples.select("sample_id", z.alias("z")).repartitionByRange(F.col("z")[0]).sortWithinPartitions(F.col("z")[0])
+    blocks = cut_lineage(blocks.mapInPandas(sample_blocks(block), f"block long, low double, high double, ids array<{kind}>, z array<double>"), "blocks")
+    i, j = (blocks.select(*[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "ij")
+    # One row for each block: the samples' number over `block`.
+    near = i.join(j, (F.col("low_i") - reach <= F.col("high_j")) & (F.col("low_j") - reach <= F.col("high_i"))).select("block_i", "block_j")
+    own = blocks.select(F.col("block").alias("block_i"), "ids", F.col("z").alias("z_i"))
+    pairs = near.join(own, "block_i").join(blocks.select(F.col("block").alias("block_j"), F.col("z").alias("z_j")), "block_j")
+    sums = pairs.select("ids", "z_i", "z_j").mapInPandas(kernel_sums(d), f"ids array<{kind}>, p array<double>")
+    each = sums.select(F.explode(F.arrays_zip("ids", "p")).alias("s")).groupBy(F.col("s.ids").alias("sample_id")).agg((1.0 / F.sum("s.p")).alias("w"))
+    return each.join(each.agg(F.sum("w").alias("total"))).select("sample_id", (F.col("w") / F.col("total")).alias("weight"))
+
+
+def sample_blocks(size: int):
+    def run(batches):
+        """Rows (sample_id, z), sorted, into blocks with the bounds of their first component."""
+        part, k = TaskContext.get().partitionId(), 0
+        for rows in batches:
+            for lo in range(0, len(rows), size):
+                block = rows.iloc[lo : lo + size]
+                z = np.stack(block["z"].to_list())
+                yield pd.DataFrame({"block": [(part << 32) + k], "low": z[:, 0].min(), "high": z[:, 0].max(), "ids": [block["sample_id"].to_list()], "z": [z.ravel()]})
+                k += 1
+
+    return run
+
+
+def kernel_sums(d: int):
+    def run(batches):
+        """For each pair of blocks, what the second adds to the density at the first one's samples."""
+        for rows in batches:
+            out = []
+            for ids, a, b in rows.itertuples(index=False):
+                gap = np.reshape(a, (-1, 1, d)) - np.reshape(b, (1, -1, d))
+                out.append((ids, np.exp(-0.5 * (gap * gap).sum(axis=2)).sum(axis=1)))
+            yield pd.DataFrame(out, columns=["ids", "p"])
+
+    return run
 
 
 def weighted_median(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
@@ -81,14 +127,40 @@ def weighted_median(df: DataFrame, keys: list[str], value: str = "value", weight
     return agg.select(*keys, F.coalesce("heavy", "middle", "above").alias(value))
 
 
-def weighted_covariance(df: DataFrame, sample: str = "sample_id", cell: str = "cell_id", value: str = "value", weight: str = "weight") -> DataFrame:
-    """(cell_i, cell_j, cov) from sums that add up over samples: (P - s s / W) / (W - sum of w^2 / W)."""
-    i = df.select(sample, F.col(cell).alias("cell_i"), F.col(value).alias("x"), F.col(weight).alias("w"))
-    j = df.select(sample, F.col(cell).alias("cell_j"), F.col(value).alias("y"))
-    sums = i.join(j, sample).groupBy("cell_i", "cell_j").agg(F.sum("w").alias("W"), F.sum(F.col("w") * F.col("w")).alias("w2"), *[F.sum(F.col("w") * e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("p", F.col("x") * F.col("y")))])
+def weighted_covariance(df: DataFrame, sample: str = "sample_id", cell: str = "cell_id", value: str = "value", weight: str = "weight", block: int = BLOCK) -> DataFrame:
+    """(cell_i, cell_j, cov) from sums that add up over samples: (P - s s / W) / (W - sum of w^2 / W).
+
+    A sample's cells form one vector; each Arrow batch of samples is summed by matrix products before the shuffle, so
+    that moves the squared cells once a batch, not once a sample. Rows with a null value or weight take no part; a pair
+    counts the samples that hold both cells. A repeated cell of a sample counts once, with its largest value.
+    """
+    kind = df.schema[cell].dataType.simpleString()
+    rows = df.select(F.col(sample).alias("s"), F.struct(F.col(cell).alias("c"), F.col(value).cast("double").alias("x"), F.col(weight).cast("double").alias("w")).alias("v")).dropna(subset=["s"])
+    vectors = rows.filter("v.c IS NOT NULL AND v.x IS NOT NULL AND v.w IS NOT NULL").groupBy("s").agg(F.array_sort(F.collect_list("v")).alias("v"))
+    names = ["W", "w2", "sx", "sy", "p"]
+    schema = f"cell_i {kind}, cells array<{kind}>, " + ", ".join(f"{n} array<double>" for n in names)
+    parts = vectors.select("v.c", "v.x", "v.w").mapInPandas(cell_products(block), schema).select("cell_i", F.explode(F.arrays_zip("cells", *names)).alias("t"))
+    sums = parts.groupBy("cell_i", F.col("t.cells").alias("cell_j")).agg(*[F.sum(f"t.{n}").alias(n) for n in names])
     return sums.select("cell_i", "cell_j", ((F.col("p") - F.col("sx") * F.col("sy") / F.col("W")) / (F.col("W") - F.col("w2") / F.col("W"))).alias("cov"))
 
 
+def cell_products(size: int):
+    def run(batches):
+        """For each batch of samples and each of its cells: the sums over samples of w, w^2, w x, w y and w x y with every cell; `size` cells at a time."""
+        for rows in batches:
+            cells, at = np.unique(np.concatenate(rows["c"].to_list()), return_inverse=True)
+            sample = np.repeat(np.arange(len(rows)), rows["c"].str.len())
+            here, x, w = np.zeros((3, len(rows), len(cells)))
+            here[sample, at], x[sample, at], w[sample, at] = 1, np.concatenate(rows["x"].to_list()), np.concatenate(rows["w"].to_list())
+            for lo in range(0, len(cells), size):
+                own, wx = w[:, lo : lo + size].T, (w * x)[:, lo : lo + size].T
+                sums = [own @ here, (own * own) @ here, wx @ here, own @ x, wx @ x]
+                which = [np.flatnonzero(row) for row in here[:, lo : lo + size].T @ here]
+                yield pd.DataFrame({"cell_i": cells[lo : lo + size], "cells": [cells[k] for k in which]} | {n: [row[k] for row, k in zip(m, which)] for n, m in zip(["W", "w2", "sx", "sy", "p"], sums)})
+
+    return run
+
+
 def median_nearest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The element at place (n - 1) / 2, rounded half to even; nulls are skipped. Groups are members or scenarios."""
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("all")).select(*keys, F.element_at("all", F.bround((F.size("all") - 1) * F.lit(0.5)).cast("int") + 1).alias(value))
@@ -121,7 +193,8 @@ def broadcast_predictors(target: DataFrame, predictors: DataFrame) -> DataFrame:
 
 def exact_align(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Inner join that raises unless both sides have the same keys."""
-    if a.select(*on).distinct().join(b.select(*on).distinct().withColumn("__b", F.lit(1)), on, "left_anti").limit(1).count() or b.select(*on).distinct().join(a.select(*on).distinct(), on, "left_anti").limit(1).count():
+    sides = [t.select(*on, F.lit(i).alias("__side")).distinct() for i, t in enumerate((a, b))]
+    if sides[0].unionByName(sides[1]).groupBy(*on).count().filter("count < 2").limit(1).count():
         raise ValueError("the tables are not aligned")
     return a.join(b, on)
 

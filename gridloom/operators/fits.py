@@ -187,34 +187,45 @@ def ar_monthly_residuals(df: DataFrame, params: DataFrame, keys: list[str], cell
     return rows.join(params, [cell, "month"]).withColumn("residual", F.col(value) - F.col("intercept") - F.col("slope") * F.col("__x")).drop("__x", "intercept", "slope")
 
 
-def lowess(df: DataFrame, keys: list[str], x: str, y: str, n_steps: int, rounds: int = 0) -> DataFrame:
+def lowess(df: DataFrame, keys: list[str], x: str, y: str, n_steps: int | None = None, rounds: int = 0, frac: float | None = None, pooled: bool = False) -> DataFrame:
     """Locally weighted linear regression (Cleveland 1979): for each distinct x of a key the n nearest rows, tricube weights.
 
+    n is `n_steps`, or the part `frac` of the key's rows, rounded down. With `pooled` a key holds several members with
+    the same x: n is then `n_steps` times the rows for each x, so that as many x as without pooling count.
+
     A row's neighbours lie within n ranks of x, so ranks are joined by blocks of n: no more than 3 n rows meet one x, except at
     repeated x. `rounds` robust rounds weigh rows by the bisquare of their residual over six median absolute residuals;
     with all residuals zero they change nothing. Rows with a null take no part.
     """
     rows = df.select(*keys, F.col(x).cast("double").alias("x"), F.col(y).alias("y")).dropna().withColumn("robust", F.lit(1.0))
+    if (n_steps is None) == (frac is None):
+        raise ValueError("exactly one of n_steps and frac must be given")
+    if frac is None and not pooled:
+        rows = rows.withColumn("n", F.lit(n_steps).cast("long"))
+    else:
+        count = F.count("*") * F.lit(float(frac)) if frac is not None else F.lit(float(n_steps)) * F.count("*") / F.countDistinct("x")
+        sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(count + 1e-10)).cast("long").alias("n"))
+        rows = rows.join(sizes, keys)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")).cast("long"))
     rows = rows if not rounds else cut_lineage(rows, "lowess")
-    smooth = lowess_once(rows, keys, n_steps)
+    smooth = lowess_once(rows, keys)
     for _ in range(rounds):
         gaps = rows.join(smooth.withColumnRenamed("x0", "x"), [*keys, "x"]).withColumn("gap", F.abs(F.col("y") - F.col("smooth")))
         scale = gaps.groupBy(*keys).agg((6 * F.median("gap")).alias("scale"))
         share = F.least(F.col("gap") / F.col("scale"), F.lit(1.0))
-        rows = gaps.join(scale, keys).withColumn("robust", F.when(F.col("scale") > 0, (1 - share**2) ** 2).otherwise(1.0)).select(*keys, "x", "y", "robust", "rank")
+        rows = gaps.join(scale, keys).withColumn("robust", F.when(F.col("scale") > 0, (1 - share**2) ** 2).otherwise(1.0)).select(*keys, "x", "y", "robust", "n", "rank")
         rows = cut_lineage(rows, "lowess")
-        smooth = lowess_once(rows, keys, n_steps)
+        smooth = lowess_once(rows, keys)
     return smooth.withColumnRenamed("x0", x)
 
 
-def lowess_once(rows: DataFrame, keys: list[str], n_steps: int) -> DataFrame:
-    """(keys, x0, smooth) from rows (keys, x, y, robust, rank)."""
-    at = rows.groupBy(*keys, F.col("x").alias("x0")).agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
-    blocks = F.explode(F.sequence(F.floor((F.col("low") - n_steps) / n_steps), F.floor((F.col("high") + n_steps) / n_steps)))
-    at, near = at.withColumn("block", blocks), rows.withColumn("block", F.floor(F.col("rank") / n_steps))
+def lowess_once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x0, smooth) from rows (keys, x, y, robust, n, rank); n is one number in a key."""
+    at = rows.groupBy(*keys, "n", F.col("x").alias("x0")).agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    blocks = F.explode(F.sequence(F.floor((F.col("low") - F.col("n")) / F.col("n")), F.floor((F.col("high") + F.col("n")) / F.col("n"))))
+    at, near = at.withColumn("block", blocks), rows.withColumn("block", F.floor(F.col("rank") / F.col("n")))
     window = Window.partitionBy(*keys, "x0").orderBy("d", "x", "rank")
-    pairs = at.join(near, [*keys, "block"]).withColumn("d", F.abs(F.col("x") - F.col("x0"))).withColumn("r", F.row_number().over(window)).filter(F.col("r") <= n_steps)
+    pairs = at.join(near, [*keys, "n", "block"]).withColumn("d", F.abs(F.col("x") - F.col("x0"))).withColumn("r", F.row_number().over(window)).filter(F.col("r") <= F.col("n"))
     pairs = pairs.withColumn("h", F.max("d").over(Window.partitionBy(*keys, "x0")))
     w = F.col("robust") * F.when(F.col("d") < F.col("h"), (1 - (F.col("d") / F.col("h")) ** 3) ** 3).otherwise(0.0)
     c = F.col("x") - F.col("x0")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import haversine_km
+from ..sources.params import cut_lineage
+
+#: Grids of up to this many cells are searched as one cube.
+FEW_CELLS = 2000
 
 
 def mask_antarctica(df: DataFrame, value: str = "value") -> DataFrame:
@@ -68,16 +74,45 @@ def align_to_grid(df: DataFrame, grid: DataFrame) -> DataFrame:
     return grid.select("lat", "lon").distinct().join(df, ["lat", "lon"], "left")
 
 
-def closest_neighbors(cells: DataFrame, n: int) -> DataFrame:
+def nearest_in_cubes(asked: DataFrame, cells: DataFrame, n: int, edge: float) -> DataFrame:
+    """(cell_i, cell_j, km, rank): the n nearest among the cells in the same cube and the 26 around it."""
+    cube = [F.floor(F.col(c) / edge).alias(f"cube_{c}") for c in "xyz"]
+    i = asked.select(F.col("cell_id").alias("cell_i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), *cube)
+    for c in "xyz":
+        i = i.withColumn(f"cube_{c}", F.explode(F.sequence(F.col(f"cube_{c}") - 1, F.col(f"cube_{c}") + 1)))
+    j = cells.select(F.col("cell_id").alias("cell_j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"), *cube)
+    pairs = i.join(j, [f"cube_{c}" for c in "xyz"]).withColumn("km", F.when(F.col("cell_i") == F.col("cell_j"), 0.0).otherwise(F.round(haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")), 6)))
+    rank = F.row_number().over(Window.partitionBy("cell_i").orderBy("km", "cell_j")) - 1
+    return pairs.select("cell_i", "cell_j", "km", rank.alias("rank")).filter(F.col("rank") < n)
+
+
+def closest_neighbors(cells: DataFrame, n: int, edge: float | None = None) -> DataFrame:
     """(cell_i, cell_j, rank) of the n nearest cells, the cell itself included, by great-circle distance and id.
 
-    Every pair of cells is met, as the operator is defined; a grid has few cells, however much data it carries.
+    Cells are points on the unit sphere in cubes of `edge` (by default such that the cubes around a cell hold some n on
+    an even grid). A cell is settled when its n nearest are closer than an edge, which no cell beyond the cubes around can be; the
+    others ask again in cubes of twice the edge, until one edge spans the sphere. Cells without coordinates take no part.
     """
-    i = cells.select(F.col("cell_id").alias("cell_i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"))
-    j = cells.select(F.col("cell_id").alias("cell_j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"))
-    pairs = i.join(j).withColumn("km", F.when(F.col("cell_i") == F.col("cell_j"), 0.0).otherwise(F.round(haversine_km(F.col("lat_i"), F.col("lon_i"), F.col("lat_j"), F.col("lon_j")), 6)))
-    rank = F.row_number().over(Window.partitionBy("cell_i").orderBy("km", "cell_j")) - 1
-    return pairs.withColumn("rank", rank).filter(F.col("rank") < n).select("cell_i", "cell_j", "rank")
+    lat, lon = F.radians("lat"), F.radians("lon")
+    at = cells.select("cell_id", "lat", "lon", (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")).dropna()
+    if edge is None:
+        count = at.count()
+        edge = 2.0 if count <= FEW_CELLS else min(2.0, 2 * math.sqrt(2 * n / count))
+    at = at if edge >= 2 else cut_lineage(at, "points")
+    asked, settled = at, None
+    while True:
+        found = nearest_in_cubes(asked, at, n, edge)
+        if edge < 2:
+            found = cut_lineage(found, "neighbors")
+            # A margin for the rounded distances, which are a micrometre apart at least.
+            near = found.filter((F.col("rank") == n - 1) & (F.col("km") < 2 * 6371.0 * math.asin(edge / 2) - 1e-5)).select("cell_i")
+            asked = asked.join(near, F.col("cell_id") == F.col("cell_i"), "left_anti")
+            found = found.join(near, "cell_i", "left_semi")
+        found = found.select("cell_i", "cell_j", "rank")
+        settled = found if settled is None else settled.unionByName(found)
+        if edge >= 2 or not asked.limit(1).count():
+            return settled
+        edge = min(2.0, 2 * edge)
 
 
 def upsample_yearly(df: DataFrame, n_months: int | None = None) -> DataFrame:

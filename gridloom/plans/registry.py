@@ -404,6 +404,16 @@ def lowess(s, d):
     return rounded(M.lowess(V.weekly(s, d).withColumn("all", F.lit(0)), ["all"], "week", "value", 50).drop("all"), 5)
 
 
+@query(""", mm AS (SELECT cell_id, CAST(12 * year + month AS DOUBLE) AS x, value AS y FROM mon), k AS (SELECT cell_id, floor(12.0 * count(*) / count(DISTINCT x) + 1e-10) AS n FROM mm GROUP BY 1)
+SELECT cell_id, x0 AS step, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 5) AS smooth FROM (SELECT cell_id, x0, sum(w) AS s0, sum(w * c) AS s1, sum(w * c * c) AS s2, sum(w * y) AS t0, sum(w * c * y) AS t1 FROM (
+SELECT cell_id, x0, c, y, CASE WHEN abs(c) < h THEN pow(1 - pow(abs(c) / h, 3), 3) ELSE 0 END AS w FROM (SELECT *, max(abs(c)) OVER (PARTITION BY cell_id, x0) AS h FROM (SELECT *, row_number() OVER (PARTITION BY cell_id, x0 ORDER BY abs(c), x, y) AS r FROM (
+SELECT a.cell_id, a.x AS x0, b.x, b.x - a.x AS c, b.y FROM (SELECT DISTINCT cell_id, x FROM mm) a JOIN mm b USING (cell_id))) JOIN k USING (cell_id) WHERE r <= n)) GROUP BY ALL)""")
+def lowess_pooled(s, d):
+    """Both members of a region in one fit, over 12 months."""
+    rows = V.monthly(s, d).withColumn("step", (12 * F.col("year") + F.col("month")).cast("double"))
+    return rounded(M.lowess(rows, ["cell_id"], "step", "value", 12, pooled=True), 5)
+
+
 GC = "CASE WHEN {r} < 1 THEN 1 - 5.0 / 3 * pow({r}, 2) + 5.0 / 8 * pow({r}, 3) + 0.5 * pow({r}, 4) - 0.25 * pow({r}, 5) WHEN {r} < 2 THEN 4 - 5 * {r} + 5.0 / 3 * pow({r}, 2) + 5.0 / 8 * pow({r}, 3) - 0.5 * pow({r}, 4) + pow({r}, 5) / 12 - 2 / (3 * {r}) ELSE 0 END"
 
 

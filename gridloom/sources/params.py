@@ -14,9 +14,11 @@ PARTS = ("module", "model", "scenario")
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; where none is set (tests), a temporary one is set."""
+    """A new path in the folder that spark.checkpoint.dir names; only a local master (tests) may do without, and gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         where = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{label}-{uuid.uuid4().hex}"

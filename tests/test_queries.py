@@ -9,6 +9,7 @@ from gridloom.functions import scalar as S
 from gridloom.operators import ensemble as E
 from gridloom.operators import fits as M
 from gridloom.operators import generate as G
+from gridloom.operators import grid as P
 from gridloom.operators import harmonic as H
 from gridloom.plans.registry import ORACLES, QUERIES
 
@@ -48,7 +49,7 @@ def test_query_on_longer_series(spark, name):
     same(spark, c, name, sf)
 
 
-@pytest.mark.parametrize("name", ["calc_anomaly", "global_mean_anomaly", "mask_and_stack", "closest_neighbors", "weighted_median", "linreg_fit", "ar_fit", "lowess", "noise_table", "ar_recursion", "ar_order_scen_ens", "smooth_coefficients", "ar_recursion_monthly"])
+@pytest.mark.parametrize("name", ["calc_anomaly", "global_mean_anomaly", "mask_and_stack", "closest_neighbors", "weighted_median", "linreg_fit", "ar_fit", "lowess", "noise_table", "ar_recursion", "density_weights", "weighted_covariance", "merge_predictor_tables", "lowess_pooled", "ar_order_scen_ens", "smooth_coefficients", "ar_recursion_monthly"])
 def test_query(spark, duck, name):
     same(spark, duck, name, SF)
 
@@ -90,6 +91,59 @@ def test_guards(spark):
         E.calc_anomaly(df, 1900, 1901)
 
 
+def test_closest_neighbors_by_cubes(spark):
+    """All edges give what all pairs give: crowded and lonely cells, poles, both sides of the date line, equal places."""
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(40, 44, 60), rng.uniform(5, 9, 60)))]
+    rows += [(100, 90.0, 0.0), (101, -90.0, 13.0), (102, 10.0, 179.9), (103, 10.0, -179.9), (104, 10.0, 180.0), (105, 10.0, -180.0), (106, None, 1.0)]
+    df = spark.createDataFrame(rows, "cell_id long, lat double, lon double")
+    every = sorted(map(tuple, P.closest_neighbors(df, 5, edge=2.0).collect()))
+    assert len(every) == 5 * (len(rows) - 1)
+    assert sorted(map(tuple, P.closest_neighbors(df, 5, edge=0.02).collect())) == every
+    assert P.closest_neighbors(df.filter("false"), 5).count() == 0
+    assert P.closest_neighbors(df.filter("cell_id < 3"), 5, edge=0.5).count() == 9
+
+
+def test_weighted_covariance(spark):
+    """Against numpy where samples are whole; a missing value leaves its sample out of that cell's pairs only."""
+    rng = np.random.default_rng(5)
+    x, w = rng.normal(size=(50, 4)), rng.uniform(0.5, 2, 50)
+    rows = [(s, c, float(x[s, c]), float(w[s])) for s in range(50) for c in range(4)]
+    df = spark.createDataFrame(rows, "sample_id long, cell_id long, value double, weight double")
+    got = {(r.cell_i, r.cell_j): r.cov for r in E.weighted_covariance(df).collect()}
+    full = np.cov(x.T, aweights=w)
+    assert len(got) == 16 and all(got[i, j] == pytest.approx(full[i, j]) for i, j in got)
+    gap = df.withColumn("value", F.when((F.col("sample_id") > 0) | (F.col("cell_id") > 0), F.col("value")))
+    got = {(r.cell_i, r.cell_j): r.cov for r in E.weighted_covariance(gap, block=3).collect()}
+    part = np.cov(x[1:].T, aweights=w[1:])
+    assert got[1, 2] == pytest.approx(full[1, 2]) and got[0, 3] == pytest.approx(part[0, 3]) and got[3, 0] == pytest.approx(part[0, 3])
+
+
+def test_density_weights(spark):
+    """Small blocks and two predictors against all pairs, with a far outlier and a null."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.normal(size=(60, 2)), [[40.0, -3.0]]])
+    inverse = np.linalg.inv(np.cov(x.T) * len(x) ** (-2 / 6))
+    gap = x[:, None] - x[None]
+    w = 1 / np.exp(-0.5 * np.einsum("ijk,kl,ijl->ij", gap, inverse, gap)).sum(axis=1)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(99, None, 1.0)], "sample_id long, a double, b double")
+    got = {r.sample_id: r.weight for r in E.density_weights(df, ["a", "b"], block=7).collect()}
+    assert [got[i] for i in range(len(x))] == pytest.approx(list(w / w.sum())) and len(got) == len(x)
+
+
+def test_lowess_pooled(spark):
+    """Without robust rounds, pooled members give the fit of their means; a part of the rows gives the same."""
+    rng = np.random.default_rng(7)
+    y = rng.normal(size=(20, 3))
+    df = spark.createDataFrame([(1, float(t), float(v)) for t in range(20) for v in y[t]], "k int, x double, y double")
+    means = df.groupBy("k", "x").agg(F.avg("y").alias("y"))
+    expected = {r.x: r.smooth for r in M.lowess(means, ["k"], "x", "y", 8).collect()}
+    for found in (M.lowess(df, ["k"], "x", "y", 8, pooled=True), M.lowess(df, ["k"], "x", "y", frac=0.4), M.lowess(means, ["k"], "x", "y", frac=0.4)):
+        assert {r.x: r.smooth for r in found.collect()} == pytest.approx(expected)
+    with pytest.raises(ValueError, match="exactly one"):
+        M.lowess(df, ["k"], "x", "y", 8, frac=0.4)
+
+
 def test_harmonic(spark):
     """A cycle of two harmonics is found again without noise, and the order chosen with noise is that of a direct fit."""
     rng = np.random.default_rng(0)
