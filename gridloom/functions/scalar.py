@@ -57,16 +57,3 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 def norm_logpdf(x: Column, loc: Column, scale: Column) -> Column:
     return -0.5 * ((x - loc) / scale) ** 2 - F.log(scale) - 0.9189385332046727
-
-
-def gumbel_cdf(x: Column, loc: Column, scale: Column) -> Column:
-    return F.exp(-F.exp(-(x - loc) / scale))
-
-
-def logistic_ppf(p: Column, loc: Column, scale: Column) -> Column:
-    return loc + scale * F.log(p / (1 - p))
-
-
-def probability_transform(x: Column, cdf, ppf, threshold: float = 1e-9) -> Column:
-    """x by its own distribution function to a probability, kept off 0 and 1, and by the target's quantile function back."""
-    return ppf(F.greatest(F.lit(threshold), F.least(F.lit(1 - threshold), cdf(x))))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distributions import DISTRIBUTIONS, in_support, norm_crps
+from ..functions.distributions import DISTRIBUTIONS, crps, in_support
 from ..functions.scalar import yeo_johnson
 from .search import minimise
 
@@ -80,24 +80,36 @@ def first_guess(df: DataFrame, start: DataFrame, spec: DistSpec, keys: list[str]
     return named(minimise(df, begin, keys, lambda values: -F.sum(w * spec.logpdf(F.col(value), values)), wide, rounds), spec, keys)
 
 
-def conditional_fit(df: DataFrame, guess: DataFrame, spec: DistSpec, keys: list[str], value: str = "value", weight: str | None = None, bounds: dict[str, tuple[float, float]] | None = None, threshold: float = 0.0, rounds: int = 24) -> DataFrame:
+def conditional_fit(df: DataFrame, guess: DataFrame, spec: DistSpec, keys: list[str], value: str = "value", weight: str | None = None, bounds: dict[str, tuple[float, float]] | None = None, threshold: float = 0.0, rounds: int = 24, starts_by: tuple[float, ...] = (1.0,), on_failed_fit: str = "error") -> DataFrame:
     """(keys, coefficients, score): for each key the coefficients with the least weighted negative log-likelihood.
 
     Coefficients outside of `bounds`, or with data outside of the support, count as infinite, as do, if
     `threshold` is given, those at which a value's probability on either side falls below it. The guess stays where
-    nothing better is found. Rows with a null value or predictor take no part.
+    nothing better is found. `starts_by` are factors of the first steps: with several the search starts once with each,
+    and a key's best end counts. If a key's score stays infinite, the fit raises, or, with `on_failed_fit` "ignore",
+    keeps the guess. Rows with a null value or predictor take no part.
     """
+    if on_failed_fit not in ("error", "ignore"):
+        raise ValueError("on_failed_fit is 'error' or 'ignore'")
     w = F.col(weight) if weight else F.lit(1.0)
     limits = [(bounds or {}).get(c, (-math.inf, math.inf)) for c in spec.coefficients]
+    begin = starts(guess, spec, keys).withColumn("__by", F.explode(F.array(*[F.lit(float(s)) for s in starts_by])))
+    begin = begin.withColumn("h", F.transform("h", lambda h: h * F.col("__by")))
+    ends = minimise(df, begin, [*keys, "__by"], lambda values: optimised(spec, value, w, threshold, values), limits, rounds)
+    best = ends.groupBy(*keys).agg(F.min_by(F.struct("x", "score"), F.struct("score", "__by")).alias("best"))
+    found = named(best.select(*keys, "best.*"), spec, keys)
+    if on_failed_fit == "error" and found.filter(F.col("score") == math.inf).limit(1).count():
+        raise ValueError("a fit failed: no coefficients with a finite score")
+    return found
 
-    def nll(values):
-        total = -F.sum(w * spec.logpdf(F.col(value), values))
-        if threshold <= 0:
-            return total
-        p = spec.cdf(F.col(value), values)
-        return F.when(F.min(F.least(p, 1 - p)) >= threshold, total)
 
-    return named(minimise(df, starts(guess, spec, keys), keys, nll, limits, rounds), spec, keys)
+def optimised(spec: DistSpec, value: str, w: Column, threshold: float, values: list[str] | None = None) -> Column:
+    """What the fit minimises, as an aggregate: the weighted negative log-likelihood, null where a probability is below the threshold."""
+    total = -F.sum(w * spec.logpdf(F.col(value), values))
+    if threshold <= 0:
+        return total
+    p = spec.cdf(F.col(value), values)
+    return F.when(F.min(F.least(p, 1 - p)) >= threshold, total)
 
 
 def validate_coefficients(df: DataFrame, coefficients: DataFrame, spec: DistSpec, keys: list[str], value: str = "value", bounds: dict[str, tuple[float, float]] | None = None, param_bounds: dict[str, tuple[float, float]] | None = None, threshold: float = 0.0) -> DataFrame:
@@ -118,16 +130,18 @@ def validate_coefficients(df: DataFrame, coefficients: DataFrame, spec: DistSpec
     return ok.select(*keys, *[F.expr(e).alias(n) for n, e in so_far.items()])
 
 
-def quality_scores(df: DataFrame, coefficients: DataFrame, spec: DistSpec, keys: list[str], value: str = "value", weight: str | None = None) -> DataFrame:
-    """(keys, nll, bic[, crps]): scores of the coefficients; crps, the weighted sum of the closed form, for the normal distribution only."""
+def quality_scores(df: DataFrame, coefficients: DataFrame, spec: DistSpec, keys: list[str], value: str = "value", weight: str | None = None, threshold: float = 0.0, scores: tuple[str, ...] = ("func_optim", "nll", "bic", "crps")) -> DataFrame:
+    """(keys, scores): func_optim, what `conditional_fit` minimises with `threshold` (infinite where it rejects), nll, bic and crps.
+
+    crps is the weighted sum over rows, in closed form for the normal distribution and by quadrature for all others.
+    """
     w = F.col(weight) if weight else F.lit(1.0)
     joined = df.join(coefficients.select(*keys, *spec.coefficients), keys)
     ll = F.sum(w * spec.logpdf(F.col(value)))
-    scores = [(-ll).alias("nll"), (len(spec.coefficients) * F.log(F.count(value)) - 2 * ll).alias("bic")]
-    if spec.name == "norm":
-        joined = joined.withColumn("__crps", norm_crps(F.col(value), **spec.evaluate()))
-        scores.append(F.sum(w * F.col("__crps")).alias("crps"))
-    return joined.groupBy(*keys).agg(*scores)
+    found = {"func_optim": lambda: F.coalesce(optimised(spec, value, w, threshold), F.lit(math.inf)), "nll": lambda: -ll, "bic": lambda: len(spec.coefficients) * F.log(F.count(value)) - 2 * ll, "crps": lambda: F.sum(w * F.col("__crps"))}
+    if "crps" in scores:
+        joined = joined.withColumn("__crps", crps(spec.name, F.col(value), **spec.evaluate()))
+    return joined.groupBy(*keys).agg(*[found[s]().alias(s) for s in scores])
 
 
 def probability_integral_transform(df: DataFrame, source: DistSpec, target: DistSpec, value: str = "value", out: str = "transformed", threshold: float = 1e-9) -> DataFrame:

@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,19 +13,19 @@ from ..sources.params import cut_lineage
 
 #: Factors by which a step shrinks or grows, and the share of |x| + 1 under which a step has converged.
 SHRINK, GROW, CLOSE = 0.25, 2.0, 1e-6
+#: Rounds in one job; after each job the state is stored and tested.
+ROUNDS_A_JOB = 4
+#: The state (three numbers a coefficient) of up to this many keys is broadcast to the rows; beyond it the join shuffles.
+BROADCAST_KEYS = 100_000
+
+
+def stencil_signs(d: int) -> list[dict[int, int]]:
+    """Steps along the axes, by axis: none, + and - along each, and + along each two; enough for a quadratic model."""
+    return [{}, *({i: s} for i in range(d) for s in (1, -1)), *({i: 1, j: 1} for i in range(d) for j in range(i + 1, d))]
 
 
 def stencil(x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """x, x +- h along each axis, and x + h along each two axes: enough for a quadratic model."""
-    d = len(x)
-    points = [x]
-    for i in range(d):
-        step = np.eye(d)[i] * h
-        points += [x + step, x - step]
-    for i in range(d):
-        for j in range(i + 1, d):
-            points.append(x + (np.eye(d)[i] + np.eye(d)[j]) * h)
-    return np.array(points)
+    return np.array([x + np.array([signs.get(i, 0) for i in range(len(x))]) * h for signs in stencil_signs(len(x))])
 
 
 def newton_point(x: np.ndarray, h: np.ndarray, f: np.ndarray) -> np.ndarray | None:
@@ -49,31 +48,30 @@ def newton_point(x: np.ndarray, h: np.ndarray, f: np.ndarray) -> np.ndarray | No
     return x + h * np.clip(step, -100, 100)
 
 
-def advance(lower: np.ndarray, upper: np.ndarray):
-    def one(x: np.ndarray, h: np.ndarray, points: np.ndarray, values: np.ndarray) -> tuple:
-        f = np.where(np.isnan(values), math.inf, values)
+def advance(d: int, lower: np.ndarray, upper: np.ndarray):
+    """From the scores at a key's points to its next x, steps h, proposal g and score."""
+
+    def one(x: np.ndarray, h: np.ndarray, g: np.ndarray, f: np.ndarray) -> np.ndarray:
+        points, f = np.vstack([np.clip(stencil(x, h), lower, upper), g[None]]), np.where(np.isnan(f), math.inf, f)
         best = int(np.argmin(f))
-        if not math.isfinite(f[best]):
-            return x, h * SHRINK, math.inf, x
-        base = len(points) - 1  # the last point is the proposal of the round before
-        guess = newton_point(x, h, f[:base])
-        if best == base and base > 0:
-            h = np.maximum(h * SHRINK, np.minimum(h, np.abs(points[best] - x)))
-        elif best == 0:
-            h = h * SHRINK
+        if math.isfinite(f[best]):
+            guess = newton_point(x, h, f[:-1])
+            if best == len(points) - 1:  # the proposal of the round before
+                h = np.maximum(h * SHRINK, np.minimum(h, np.abs(points[best] - x)))
+            else:
+                h = h * (GROW if best else SHRINK)
+            x = points[best]
+            g = np.clip(guess if guess is not None else x, lower, upper)
         else:
-            h = h * GROW
-        x = points[best]
-        return x, h, f[best], np.clip(guess if guess is not None else x, lower, upper)
+            h, g = h * SHRINK, x
+        return np.concatenate([x, np.maximum(h, CLOSE * (np.abs(x) + 1)), g, f[best : best + 1]])
 
     def run(batches):
+        names = [f"__{p}{i}" for p in "xhg" for i in range(d)]
         for rows in batches:
-            out = rows.drop(columns=["points", "values"]).copy()
-            made = [one(*(np.array(v, float) for v in (x, h)), np.stack(p), np.array([math.nan if v is None else v for v in f], float)) for x, h, p, f in zip(rows["x"], rows["h"], rows["points"], rows["values"])]
-            xs, hs = [m[0] for m in made], [np.maximum(m[1], CLOSE * (np.abs(m[0]) + 1)) for m in made]
-            out["x"], out["h"], out["score"] = xs, hs, [m[2] for m in made]
-            out["points"] = [[p.tolist() for p in np.vstack([np.clip(stencil(x, h), lower, upper), m[3][None]])] for x, h, m in zip(xs, hs, made)]
-            yield out
+            state, f = rows[names].to_numpy(float), rows.filter(regex="^__f").to_numpy(float)
+            new = np.array([one(s[:d], s[d : 2 * d], s[2 * d :], v) for s, v in zip(state, f)]).reshape(-1, 3 * d + 1)
+            yield rows.drop(columns=[c for c in rows if c.startswith("__f")]).assign(**dict(zip([*names, "__score"], new.T)))
 
     return run
 
@@ -82,35 +80,35 @@ def minimise(rows: DataFrame, start: DataFrame, keys: list[str], objective: Call
     """(keys, x array<double>, score): for each key the coefficients x with the least `objective`.
 
     `start` has keys, x and h (first steps), one row for each key; `objective` makes an aggregate Column from
-    the SQL texts of the coefficients. Each round aggregates the rows once, at all points of a stencil around x and at
-    the minimum of the last round's quadratic model; the best point goes on. Only sums are shuffled, so a
-    key may hold any share of the rows. Null or NaN scores count as infinite; a key without a finite score keeps
-    its start and an infinite score. A key without rows gives no row.
+    the SQL texts of the coefficients. `keys` may hold columns that `rows` lacks, such as the number of one of several
+    starts: then all rows of the other keys count for each of them. Each round aggregates the rows once, at all points
+    of a stencil around x and at the minimum of the last round's quadratic model; the best point goes on. Only sums are
+    shuffled, so a key may hold any share of the rows. Null or NaN scores count as infinite; a key without a finite
+    score keeps its start and an infinite score. A key without rows gives no row.
     """
-    d = len(bounds)
+    d, on = len(bounds), [k for k in keys if k in rows.columns]
     lower, upper = (np.array(b, float) for b in zip(*bounds))
-    n = 1 + 2 * d + d * (d - 1) // 2 + 1
-    base = start.select(*keys, "x", "h")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.select(*keys).schema)
-    schema = f"{fields}, x array<double>, h array<double>, score double, points array<array<double>>"
-
-    def first(batches):
-        for b in batches:
-            b = b.copy()
-            b["score"] = math.inf
-            xs = [np.clip(np.array(x, float), lower, upper) for x in b["x"]]
-            b["x"] = xs
-            b["points"] = [[p.tolist() for p in np.vstack([np.clip(stencil(x, np.array(h, float)), lower, upper), x[None]])] for x, h in zip(xs, b["h"])]
-            yield b
-
-    state = base.mapInPandas(first, schema)
-    for _ in range(rounds):
-        points = state.select(*keys, "points")
-        at = [objective([f"points[{k}][{i}]" for i in range(d)]) for k in range(n)]
-        scored = rows.join(points, keys).groupBy(*keys).agg(*[a.alias(f"__f{k}") for k, a in enumerate(at)])
-        scored = scored.select(*keys, F.array(*[f"__f{k}" for k in range(n)]).alias("values"))
-        state = cut_lineage(state.join(scored, keys).select(*keys, "x", "h", "score", "points", "values").mapInPandas(advance(lower, upper), schema))
-        wide = F.exists(F.zip_with("x", "h", lambda x, h: h > 2 * CLOSE * (F.abs(x) + 1)), lambda open_: open_)
-        if not state.filter(wide).limit(1).count():
-            break
-    return state.select(*keys, "x", "score")
+    clip = lambda c, i: F.greatest(F.lit(float(lower[i])), F.least(F.lit(float(upper[i])), c))
+    x0 = [clip(F.col("x")[i].cast("double"), i) for i in range(d)]
+    h0 = [F.col("h")[i].cast("double") for i in range(d)]
+    names = [f"__{p}{i}" for p in "xhg" for i in range(d)]
+    state = cut_lineage(start.select(*keys, *[c.alias(n) for c, n in zip(x0 + h0 + x0, names)], F.lit(math.inf).alias("__score")))
+    schema, small = state.schema, state.count() <= BROADCAST_KEYS
+
+    def at(i: int, sign: int) -> str:
+        text = f"(__x{i} {'+' if sign > 0 else '-'} __h{i})" if sign else f"__x{i}"
+        text = f"greatest({float(lower[i])}D, {text})" if math.isfinite(lower[i]) else text
+        return f"least({float(upper[i])}D, {text})" if math.isfinite(upper[i]) else text
+
+    points = [[at(i, signs.get(i, 0)) for i in range(d)] for signs in stencil_signs(d)] + [[f"__g{i}" for i in range(d)]]
+    found = [*[F.first(n).alias(n) for n in names], *[objective(p).alias(f"__f{i}") for i, p in enumerate(points)]]
+    step = advance(d, lower, upper)
+    open_ = " OR ".join(f"__h{i} > {2 * CLOSE} * (abs(__x{i}) + 1)" for i in range(d))
+    for k in range(rounds):
+        scored = rows.join(F.broadcast(state) if small else state, on).groupBy(*keys).agg(*found)
+        state = scored.mapInPandas(step, schema)
+        if (k + 1) % ROUNDS_A_JOB == 0 or k + 1 == rounds:
+            state = cut_lineage(state)
+            if not state.filter(open_).limit(1).count():
+                break
+    return state.select(*keys, F.array(*[f"__x{i}" for i in range(d)]).alias("x"), F.col("__score").alias("score"))

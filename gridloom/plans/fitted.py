@@ -16,7 +16,7 @@ from ..operators import harmonic as H
 from ..sources import members, params
 from ..streaming import scoring
 from . import views as V
-from .registry import TWO, global_means, harmonic_rows, query, rounded, with_predictor
+from .registry import NOISE, TWO, global_means, harmonic_rows, query, rounded, with_predictor
 
 NORMAL = C.DistSpec("norm", {"loc": "c0 + c1 * p", "scale": "exp(c2)"}, ("c0", "c1", "c2"))
 GUMBEL = C.DistSpec("gumbel_r", {"loc": "c0 + c1 * p", "scale": "c2"}, ("c0", "c1", "c2"))
@@ -29,13 +29,32 @@ def coefficients(s, d, scale: float = 4.0):
     return fit.select("cell_id", F.col("intercept").alias("c0"), F.col("b_p").alias("c1"), F.lit(scale).alias("c2"))
 
 
+def phi(z: str) -> str:
+    """The standard normal distribution function in DuckDB's SQL: 1/2 + density * sum of z^(2k+1) / (2k+1)!!."""
+    terms = f"list_sum([exp(2 * k * ln(greatest(abs({z}), 1e-300)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()) - 0.5 * {z} * {z}) for k in range(150)])"
+    return f"CASE WHEN abs({z}) > 9 THEN ({z} > 0)::DOUBLE ELSE 0.5 + {z} * {terms} / sqrt(2 * pi()) END"
+
+
 def distances(s, d):
     return J.geodist(V.cells(s, d))
 
 
-@query()  # iterated arcs; tests hold it against known distances
+F84 = "(1 / 298.257223563)"
+
+
+# Vincenty's iteration; rounded to metres.
+@query(f"""SELECT * FROM (WITH RECURSIVE pr AS MATERIALIZED (SELECT a.cell_id AS i, b.cell_id AS j, atan((1 - {F84}) * tan(radians(a.lat))) AS u, atan((1 - {F84}) * tan(radians(b.lat))) AS v,
+radians((b.lon - a.lon + 540) % 360 - 180) AS l FROM cell a, cell b WHERE a.cell_id <> b.cell_id),
+it AS (SELECT i, j, 0 AS n, l AS lam, CAST(0 AS DOUBLE) AS km FROM pr UNION ALL
+SELECT i, j, n + 1, l + (1 - c) * {F84} * sa * (sig + c * ss * (m + c * cs * (2 * m * m - 1))), 6356.752314245179 * big * (sig - small * ss * (m + small / 4 * (cs * (2 * m * m - 1) - small / 6 * m * (4 * ss * ss - 3) * (4 * m * m - 3)))) FROM (
+SELECT *, 1 + w / 16384 * (4096 + w * (-768 + w * (320 - 175 * w))) AS big, w / 1024 * (256 + w * (-128 + w * (74 - 47 * w))) AS small, {F84} / 16 * q * (4 + {F84} * (4 - 3 * q)) AS c FROM (
+SELECT *, q * (pow(6378.137 / 6356.752314245179, 2) - 1) AS w, CASE WHEN q < 1e-15 THEN 0 ELSE cs - 2 * sin(u) * sin(v) / q END AS m FROM (
+SELECT *, atan2(ss, cs) AS sig, cos(u) * cos(v) * sin(lam) / ss AS sa, 1 - pow(cos(u) * cos(v) * sin(lam) / ss, 2) AS q FROM (
+SELECT it.i, it.j, n, u, v, l, lam, sqrt(pow(cos(v) * sin(lam), 2) + pow(cos(u) * sin(v) - sin(u) * cos(v) * cos(lam), 2)) AS ss, sin(u) * sin(v) + cos(u) * cos(v) * cos(lam) AS cs
+FROM it JOIN pr ON it.i = pr.i AND it.j = pr.j WHERE n < 60)))))
+SELECT i AS cell_i, j AS cell_j, round(km, 3) AS km FROM it WHERE n = 60 UNION ALL SELECT cell_id, cell_id, 0.0 FROM cell)""")
 def geodist(s, d):
-    return rounded(distances(s, d))
+    return rounded(distances(s, d), 3)
 
 
 # Distributions
@@ -73,18 +92,29 @@ def validate_coefficients(s, d):
     return C.validate_coefficients(with_predictor(s, d), coefficients(s, d), GUMBEL, ["cell_id"], bounds={"c1": (-5, 5)}, param_bounds={"loc": (5, 25)}, threshold=0.02)
 
 
-@query()
+# The normal distribution's maximum likelihood has a closed form: least squares, and the logarithm of the residuals' spread.
+@query(f"""SELECT cell_id, round(c0, 4) AS c0, round(c1, 4) AS c1, round(c2, 4) AS c2, round(n * (c2 + 0.5 * ln(2 * pi()) + 0.5), 4) AS score FROM (SELECT cell_id, regr_intercept(value, p) AS c0, regr_slope(value, p) AS c1, count(*) AS n,
+0.5 * ln((regr_syy(value, p) - pow(regr_sxy(value, p), 2) / regr_sxx(value, p)) / count(*)) AS c2 FROM ({TWO}) GROUP BY 1)""")
 def conditional_fit(s, d):
     rows = params.cut_lineage(with_predictor(s, d), "rows")
     guess = C.first_guess(rows, coefficients(s, d, 0.0), NORMAL, ["cell_id"], ["scenario", "member", "year"], rounds=8)
-    return C.conditional_fit(rows, guess, NORMAL, ["cell_id"], rounds=12)
+    return rounded(C.conditional_fit(rows, guess, NORMAL, ["cell_id"], rounds=16), 4)
 
 
-@query()
+@query(f"""SELECT cell_id, round(sum(nll), 5) AS func_optim, round(sum(nll), 5) AS nll, round(3 * ln(count(*)) + 2 * sum(nll), 5) AS bic, round(sum(z * (2 * ({phi('z')}) - 1) + 2 * exp(-0.5 * z * z) / sqrt(2 * pi()) - 1 / sqrt(pi())), 5) AS crps
+FROM (SELECT *, 0.5 * z * z + 0.5 * ln(2 * pi()) AS nll FROM (SELECT cell_id, value - c0 - c1 * p AS z FROM ({TWO}) JOIN ({FIT}) USING (cell_id))) GROUP BY 1""")
 def quality_scores_crps(s, d):
     return rounded(C.quality_scores(with_predictor(s, d), coefficients(s, d, 0.0), NORMAL, ["cell_id"]), 5)
 
 
+@query(f"""SELECT cell_id, round(sum(4 * (z - 2 * ln(1 / (1 + exp(-z))) - 1)), 5) AS crps, round(CASE WHEN min(1 / (1 + exp(abs(z)))) >= 0.1 THEN sum(z + 2 * ln(1 + exp(-z)) + ln(4)) ELSE CAST('inf' AS DOUBLE) END, 5) AS func_optim
+FROM (SELECT cell_id, (value - c0 - c1 * p) / 4 AS z FROM ({TWO}) JOIN ({FIT}) USING (cell_id)) GROUP BY 1""")
+def quality_scores_logistic(s, d):
+    """The score by quadrature, and an optimised function that rejects improbable values."""
+    spec = C.DistSpec("logistic", GUMBEL.params, GUMBEL.coefficients)
+    return rounded(C.quality_scores(with_predictor(s, d), coefficients(s, d), spec, ["cell_id"], threshold=0.1, scores=("crps", "func_optim")), 5)
+
+
 @query("""SELECT member, cell_id, round(my - c1 * m1 - c2 * m2, 5) AS intercept, round(c1, 5) AS coeff_1, round(c2, 5) AS coeff_2, round(w - c1 * u - c2 * v, 5) AS variance, nobs
 FROM (SELECT *, (c * u - b * v) / (a * c - b * b) AS c1, (a * v - b * u) / (a * c - b * b) AS c2 FROM (SELECT member, cell_id, count(*) AS nobs, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, var_pop(x1) AS a, var_pop(x2) AS c,
 covar_pop(x1, x2) AS b, covar_pop(y, x1) AS u, covar_pop(y, x2) AS v, var_pop(y) AS w FROM (SELECT member, cell_id, value AS y, lag(value, 1) OVER o AS x1, lag(value, 2) OVER o AS x2 FROM mon WINDOW o AS (PARTITION BY member, cell_id ORDER BY year, month))
@@ -159,7 +189,16 @@ def correlate_noise(s, d):
     return rounded(G.correlate_noise(G.noise_table(keys, "7"), factor))
 
 
-@query()
+def lowess_round(k: int) -> str:
+    """The CTE s<k>: the fit with the robust weights of b<k>; nb holds each week's neighbours."""
+    return f"""s{k} AS MATERIALIZED (SELECT week, (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) AS smooth FROM (SELECT week, sum(w) AS s0, sum(w * c) AS s1, sum(w * c * c) AS s2, sum(w * y) AS t0, sum(w * c * y) AS t1
+FROM (SELECT week, c, y, w * b AS w FROM nb JOIN b{k} USING (x)) GROUP BY 1)), b{k + 1} AS MATERIALIZED (SELECT week AS x, CASE WHEN s > 0 THEN pow(1 - pow(least(g / s, 1), 2), 2) ELSE 1 END AS b
+FROM (SELECT week, g, 6 * median(g) OVER () AS s FROM (SELECT week, abs(value - smooth) AS g FROM wk JOIN s{k} USING (week))))"""
+
+
+@query(f""", nb AS MATERIALIZED (SELECT week, x, c, y, CASE WHEN d < h THEN pow(1 - pow(d / h, 3), 3) ELSE 0 END AS w FROM (SELECT *, max(d) OVER (PARTITION BY week) AS h FROM (SELECT *, row_number() OVER (PARTITION BY week ORDER BY d, x) AS r FROM (
+SELECT a.week, b.week AS x, CAST(b.week - a.week AS DOUBLE) AS c, abs(CAST(b.week - a.week AS DOUBLE)) AS d, b.value AS y FROM wk a, wk b)) WHERE r <= 50)), b0 AS (SELECT week AS x, CAST(1 AS DOUBLE) AS b FROM wk), {", ".join(map(lowess_round, range(3)))}
+SELECT CAST(week AS DOUBLE) AS week, round(smooth, 5) AS smooth FROM s2""")
 def lowess_robust(s, d):
     return rounded(M.lowess(V.weekly(s, d).withColumn("all", F.lit(0)), ["all"], "week", "value", 50, rounds=2).drop("all"), 5)
 
@@ -177,13 +216,14 @@ def emulate_monthly(s, d):
     return rounded(G.emulate_monthly(yearly, H.harmonic_fit(rows), power, local, 1995))
 
 
-@query()
+@query(f"""SELECT nz.scenario, realisation, em.year, nz.cell_id, round(c0 + c1 * em.value - c2 * ln(-ln(greatest(1e-9, least(1 - 1e-9, {phi('noise')})))), 5) AS value
+FROM ({NOISE}) nz JOIN em ON em.scenario = nz.scenario AND em.year = nz.t + 1992 JOIN ({FIT}) f ON f.cell_id = nz.cell_id""")
 def emulate_extremes(s, d):
     em = E.ens_mean(global_means(s, d)).withColumnRenamed("value", "p")
     keys = V.ensemble(s, d).select("scenario", "cell_id").distinct().withColumn("realisation", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     keys = keys.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(7))))
     drawn = G.noise_table(keys, "7").withColumnRenamed("noise", "x")
-    return rounded(G.emulate_extremes(em, coefficients(s, d), GUMBEL, drawn, 1992))
+    return rounded(G.emulate_extremes(em, coefficients(s, d), GUMBEL, drawn, 1992), 5)
 
 
 # Sources and streams

@@ -386,15 +386,30 @@ def harmonic_rows(s, d):
     return mon.join(P.resample_annual(mon, ["cell_id", "member"]).withColumnRenamed("value", "yearly"), ["cell_id", "member", "year"])
 
 
-@query()
+# In whole years (sf0.01 and up) the harmonics are orthogonal: each year has its own two sums for a harmonic, and these are regressed on the yearly means.
+HARMONICS = """, hr AS (SELECT *, avg(value) OVER (PARTITION BY cell_id, member, year) AS yearly FROM mon), hs AS (
+SELECT cell_id, member, year, k, any_value(yearly) AS yearly, sum((value - yearly) * cos(pi() * k * (month - 1) / 6)) / CASE WHEN k = 6 THEN 12 ELSE 6 END AS a, CASE WHEN k = 6 THEN 0 ELSE sum((value - yearly) * sin(pi() * k * (month - 1) / 6)) / 6 END AS b
+FROM hr, (SELECT CAST(unnest(range(1, 7)) AS BIGINT) AS k) GROUP BY cell_id, member, year, k),
+hc AS (SELECT cell_id, k, regr_slope(a, yearly) AS ca, regr_intercept(a, yearly) AS ia, regr_slope(b, yearly) AS cb, regr_intercept(b, yearly) AS ib FROM hs GROUP BY ALL),
+he AS (SELECT cell_id, k, sum(CASE WHEN k = 6 THEN 12 ELSE 6 END * (pow(ca * yearly + ia, 2) + pow(cb * yearly + ib, 2))) AS gain FROM hs JOIN hc USING (cell_id, k) GROUP BY ALL),
+hb AS (SELECT cell_id, k, n, n * ln((total - sum(gain) OVER (PARTITION BY cell_id ORDER BY k)) / n) + 4 * k * ln(n) AS bic FROM he JOIN (SELECT cell_id, count(*) AS n, sum(pow(value - yearly, 2)) AS total FROM hr GROUP BY 1) USING (cell_id)),
+ho AS (SELECT cell_id, any_value(n) AS n, coalesce(min(CASE WHEN rises THEN k END) - 1, 6) AS o FROM (SELECT *, bic >= lag(bic, 1, CAST('inf' AS DOUBLE)) OVER (PARTITION BY cell_id ORDER BY k) AS rises FROM hb) GROUP BY 1)
+"""
+
+
+@query(HARMONICS + """SELECT cell_id, CAST(o AS INTEGER) AS "order", CAST(place AS INTEGER) AS place, round(coeff, 5) AS coeff, n AS nobs FROM (
+SELECT cell_id, o, n, 4 * (k - 1) + j AS place, [ca, ia, cb, ib][j] AS coeff FROM hc JOIN ho USING (cell_id), (SELECT unnest(range(1, 5)) AS j) WHERE k <= o)""")
 def harmonic_fit(s, d):
-    return H.harmonic_fit(harmonic_rows(s, d))
+    """One row a coefficient."""
+    fit = H.harmonic_fit(harmonic_rows(s, d)).select("cell_id", "order", F.posexplode("coeffs").alias("place", "coeff"), "nobs")
+    return rounded(fit.withColumn("place", F.col("place") + 1), 5)
 
 
-@query()
+@query(HARMONICS + """SELECT hr.cell_id, member, year, month, round(value, 5) AS value, round(yearly + coalesce(sum((ca * yearly + ia) * cos(pi() * k * (month - 1) / 6) + (cb * yearly + ib) * sin(pi() * k * (month - 1) / 6)), 0), 5) AS predicted
+FROM hr LEFT JOIN (SELECT hc.* FROM hc JOIN ho USING (cell_id) WHERE k <= o) c ON c.cell_id = hr.cell_id GROUP BY hr.cell_id, member, year, month, value, yearly""")
 def harmonic_predict(s, d):
     rows = harmonic_rows(s, d)
-    return rounded(H.harmonic_predict(rows, H.harmonic_fit(rows)).select("cell_id", "member", "year", "month", "value", "predicted"))
+    return rounded(H.harmonic_predict(rows, H.harmonic_fit(rows)).select("cell_id", "member", "year", "month", "value", "predicted"), 5)
 
 
 @query("""SELECT week, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 5) AS smooth FROM (SELECT week, sum(w) AS s0, sum(w * c) AS s1, sum(w * c * c) AS s2, sum(w * y) AS t0, sum(w * c * y) AS t1 FROM (
@@ -450,8 +465,8 @@ def yeo_johnson(s, d):
 
 @query("SELECT user_id, event_type, round(ln(p / (1 - p)), 5) AS z FROM (SELECT user_id, event_type, greatest(1e-9, least(1 - 1e-9, exp(-exp(-(value - 20) / 15)))) AS p FROM events)")
 def probability_transform(s, d):
-    z = S.probability_transform(F.col("value"), lambda x: S.gumbel_cdf(x, F.lit(20.0), F.lit(15.0)), lambda p: S.logistic_ppf(p, F.lit(0.0), F.lit(1.0)))
-    return rounded(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", z.alias("z")), 5)
+    source, target = C.DistSpec("gumbel_r", {"loc": "20", "scale": "15"}, ()), C.DistSpec("logistic", {"loc": "0", "scale": "1"}, ())
+    return rounded(C.probability_integral_transform(s.read.parquet(f"{d}/events.parquet").select("user_id", "event_type", "value"), source, target, out="z").drop("value"), 5)
 
 
 @query(f"SELECT cell_id, round(-sum(lp), 5) AS nll, round(2 * ln(count(*)) - 2 * sum(lp), 5) AS bic FROM (SELECT cell_id, -0.5 * pow(value - p, 2) - 0.9189385332046727 AS lp FROM ({TWO})) GROUP BY 1")
@@ -459,7 +474,7 @@ def quality_scores(s, d):
     spec = C.DistSpec("norm", {"loc": "c0 + c1 * p", "scale": "1"}, ("c0", "c1"))
     rows = with_predictor(s, d)
     given = rows.select("cell_id", F.lit(0.0).alias("c0"), F.lit(1.0).alias("c1")).distinct()
-    return rounded(C.quality_scores(rows, given, spec, ["cell_id"]).select("cell_id", "nll", "bic"), 5)
+    return rounded(C.quality_scores(rows, given, spec, ["cell_id"], scores=("nll", "bic")), 5)
 
 
 @query(f"""SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, round(covar_samp(a.value, b.value) * sqrt(1 - ga.c * ga.c) * sqrt(1 - gb.c * gb.c), 6) AS cov

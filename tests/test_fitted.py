@@ -20,7 +20,7 @@ ONE = ["cell_id"]
 NORMAL = C.DistSpec("norm", {"loc": "c1 * tas", "scale": "c2"}, ("c1", "c2"))
 
 
-@pytest.mark.parametrize("name", ["distribution_cdf", "distribution_ppf", "evaluate_params", "ar_fit_lags", "validate_coefficients", "lambdas_from_covariates", "write_read_params", "read_members", "read_aerosol_series", "score_stream", "windowed_means_stream"])
+@pytest.mark.parametrize("name", ["distribution_cdf", "distribution_ppf", "evaluate_params", "ar_fit_lags", "validate_coefficients", "lambdas_from_covariates", "geodist", "quality_scores_logistic", "lowess_robust", "emulate_extremes", "probability_transform", "write_read_params", "read_members", "read_aerosol_series", "score_stream", "windowed_means_stream"])
 def test_query(spark, duck, name):  # noqa: F811
     same(spark, duck, name, SF)
 
@@ -87,6 +87,32 @@ def test_conditional_fit(spark):
         C.DistSpec("norm", {"loc": "c1", "scale": "1"}, ("c1", "c2"))
 
 
+def test_fit_policies(spark):
+    df = spark.createDataFrame([(1, float(v)) for v in (1.0, 2.0, 4.0)], "cell_id int, value double")
+    expon = C.DistSpec("expon", {"loc": "a", "scale": "b"}, ("a", "b"))
+    guess = spark.createDataFrame([(1, 50.0, 1.0)], "cell_id int, a double, b double")
+    with pytest.raises(ValueError, match="fit failed"):
+        C.conditional_fit(df, guess, expon, ONE, rounds=2)
+    kept = C.conditional_fit(df, guess, expon, ONE, rounds=2, on_failed_fit="ignore").first()
+    assert (kept.a, kept.b, kept.score) == (50.0, 1.0, math.inf)
+    # The wider first steps reach the support.
+    found = C.conditional_fit(df, guess, expon, ONE, rounds=30, starts_by=(1.0, 10.0)).first()
+    assert found.score < 6.1 and found.a == pytest.approx(1.0, abs=0.05)
+    with pytest.raises(ValueError, match="on_failed_fit"):
+        C.conditional_fit(df, guess, expon, ONE, on_failed_fit="warn")
+
+
+@pytest.mark.parametrize("name, shape", [("gumbel_r", ()), ("logistic", ()), ("laplace", ()), ("expon", ()), ("weibull_min", (1.5,)), ("genextreme", (0.2,)), ("genextreme", (-0.2,))])
+def test_crps(spark, name, shape):
+    """The integral of (F(y) - [y >= x])^2, by a fine sum over y."""
+    y = spark.range(1_200_001).select((F.col("id") * 1e-3 - 200).alias("y"))
+    at = D.DISTRIBUTIONS[name][1](F.col("y"), F.lit(2.0), F.lit(1.5), *map(F.lit, shape))
+    for x in (-1.0, 2.3, 6.0):
+        slow = y.agg((F.sum((at - F.when(F.col("y") >= x, 1.0).otherwise(0.0)) ** 2) * 1e-3).alias("s")).first().s
+        fast = spark.range(1).select(D.crps(name, F.lit(x), F.lit(2.0), F.lit(1.5), *map(F.lit, shape))).first()[0]
+        assert fast == pytest.approx(slow, abs=2e-3)
+
+
 def test_yeo_johnson_fit(spark):
     rng = np.random.default_rng(1)
     x, t = rng.gamma(2, 1, 400) - 2, rng.normal(0, 1, 400)

@@ -40,9 +40,9 @@ def same(spark, duck, name, sf):
     assert keys == other_keys and floats == pytest.approx(other_floats, abs=1e-5)
 
 
-@pytest.mark.parametrize("name", ["ar_fit", "ar_recursion", "emulate_annual"])
+@pytest.mark.parametrize("name", ["ar_fit", "ar_recursion", "emulate_annual", "harmonic_fit", "harmonic_predict", "quality_scores_crps", "conditional_fit"])
 def test_query_on_longer_series(spark, name):
-    """On sf0.01, where every series has several lagged pairs."""
+    """On sf0.01, where every series has several lagged pairs and its years are whole."""
     sf, c = "/root/testdata/sf0.01", duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
