@@ -153,7 +153,7 @@ def crps(name: str, x: Column, loc: Column, scale: Column, c: Column | None = No
     """The continuous ranked probability score of one value: closed form for the normal distribution, else by quadrature.
 
     With the distribution's F and quantiles q it is twice the integral of p (x - q(p)) up to F(x) and of
-    (1 - p) (q(p) - x) from there on; p, and 1 - p, as a square keeps the ends smooth. Infinite where the mean is
+    (1 - p) (q(p) - x) from there on. A polynomial that is flat at both ends takes the nodes there, where quantiles grow. Infinite where the mean is
     (genextreme with c <= -1).
     """
     if name == "norm":
@@ -162,14 +162,15 @@ def crps(name: str, x: Column, loc: Column, scale: Column, c: Column | None = No
     cdf, ppf = DISTRIBUTIONS[name][1:]
     at = cdf(x, *params)
     nodes, weights = np.polynomial.legendre.leggauss(NODES)
-    node = F.array(*[F.struct(F.lit((s + 1) / 2).alias("s"), F.lit(u / 2).alias("u")) for s, u in zip(nodes.tolist(), weights.tolist())])
+    s = (nodes + 1) / 2
+    g, slope = s**3 * (10 - 15 * s + 6 * s * s), 30 * (s * (1 - s)) ** 2
+    node = F.array(*[F.struct(F.lit(a).alias("g"), F.lit(b).alias("w")) for a, b in zip(g.tolist(), (weights * g * slope).tolist())])
 
     def part(n: Column) -> Column:
-        s2 = n["s"] * n["s"]
         # Probabilities stay off 0 and 1, where quantiles may be infinite.
-        low = at * at * s2 * n["s"] * (x - ppf(F.greatest(at * s2, F.lit(1e-300)), *params))
-        high = (1 - at) * (1 - at) * s2 * n["s"] * (ppf(F.least(1 - (1 - at) * s2, F.lit(1 - 2.0**-53)), *params) - x)
-        return n["u"] * (F.when(at > 0, low).otherwise(0.0) + F.when(at < 1, high).otherwise(0.0))
+        low = at * at * n["w"] * (x - ppf(F.greatest(at * n["g"], F.lit(1e-300)), *params))
+        high = (1 - at) * (1 - at) * n["w"] * (ppf(F.least(1 - (1 - at) * n["g"], F.lit(1 - 2.0**-53)), *params) - x)
+        return F.when(at > 0, low).otherwise(0.0) + F.when(at < 1, high).otherwise(0.0)
 
-    score = 4 * F.aggregate(node, F.lit(0.0), lambda total, n: total + part(n))
+    score = F.aggregate(node, F.lit(0.0), lambda total, n: total + part(n))
     return F.when(c > -1, score).otherwise(F.lit(math.inf)) if name == "genextreme" else score

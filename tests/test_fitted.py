@@ -95,9 +95,9 @@ def test_fit_policies(spark):
         C.conditional_fit(df, guess, expon, ONE, rounds=2)
     kept = C.conditional_fit(df, guess, expon, ONE, rounds=2, on_failed_fit="ignore").first()
     assert (kept.a, kept.b, kept.score) == (50.0, 1.0, math.inf)
-    # The wider first steps reach the support.
-    found = C.conditional_fit(df, guess, expon, ONE, rounds=30, starts_by=(1.0, 10.0)).first()
-    assert found.score < 6.1 and found.a == pytest.approx(1.0, abs=0.05)
+    # The wider first steps reach the support; at its end, a corner of the likelihood, the search goes on slowly.
+    found = C.conditional_fit(df, guess, expon, ONE, rounds=60, starts_by=(1.0, 10.0)).first()
+    assert found.score == pytest.approx(3 * math.log(4 / 3) + 3, abs=0.05) and found.a == pytest.approx(1.0, abs=0.05)
     with pytest.raises(ValueError, match="on_failed_fit"):
         C.conditional_fit(df, guess, expon, ONE, on_failed_fit="warn")
 
