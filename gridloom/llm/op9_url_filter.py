@@ -16,8 +16,10 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 ORDER = 5
 #: One in so many URLs is kept from the counts.
 HELD_OUT = 5
-#: Scores of grams are broadcast up to this many rows (about 60 bytes each), and shuffled beyond.
+#: Scores of grams are broadcast up to this many rows (about 60 bytes each), and shuffled beyond, but for those of
+#: grams that make up one in HOT of all characters (so HOT at most), which are broadcast.
 BROADCAST_GRAMS = 300_000
+HOT = 4096
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,12 +71,23 @@ def gram_scores(counts: DataFrame, order: int) -> DataFrame:
     return lower.select(F.col("s").alias("gram"), (F.log("l_allow") - F.log("l_block")).alias("gain"))
 
 
+def with_gains(exploded: DataFrame, counts: DataFrame, scores: DataFrame, most: int) -> DataFrame:
+    """`exploded` (url, gram) with each gram's gain. Beyond `most` grams only the rows of grams that are not hot are shuffled."""
+    if scores.count() <= most:
+        return exploded.join(F.broadcast(scores), "gram").select("url", "gain")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = scores.join(F.broadcast(counts.filter(F.col("n") * HOT >= total).select("gram")), "gram")
+    first = exploded.join(F.broadcast(hot), "gram", "left").select("url", "gram", "gain")
+    rest = first.filter("gain IS NULL").drop("gain").join(scores, "gram").select("url", "gain")
+    return first.filter("gain IS NOT NULL").select("url", "gain").unionByName(rest)
+
+
 def held_out():
     """Whether a URL is kept from the counts, for the calibration."""
     return F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
 
 
-def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """Judge each row of `pages` (page_id, url): page_id, host, path, rule, verdict, score, by_model
     (what the models alone would say) and held (whether the URL is held out).
 
@@ -90,13 +103,12 @@ def filter_urls(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     rule, verdict = longest_rule(rules)
     urls = urls.select("page_id", "url", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     # Equal URLs are scored once.
-    distinct = urls.groupBy("url").agg(F.first("ruled").alias("ruled"), F.count("*").alias("rows"))
+    distinct = stored(urls.groupBy("url").agg(F.first("ruled").alias("ruled"), F.count("*").alias("rows")), "urls")
     exploded = distinct.select("url", "ruled", "rows", F.explode(gram_list(order)).alias("gram"))
-    counts = exploded.groupBy("gram").agg(*[F.sum(F.when((F.col("ruled") == c) & ~held_out(), F.col("rows")).otherwise(0)).alias(c) for c in ("allow", "block")])
-    scores = stored(gram_scores(stored(counts, "grams"), order), "scores")
-    if scores.count() <= BROADCAST_GRAMS:
-        scores = F.broadcast(scores)
-    scored = exploded.join(scores, "gram").groupBy("url").agg(F.avg("gain").alias("score"))
+    classes = [F.sum(F.when((F.col("ruled") == c) & ~held_out(), F.col("rows")).otherwise(0)).alias(c) for c in ("allow", "block")]
+    counts = stored(exploded.groupBy("gram").agg(*classes, F.count("*").alias("n")), "grams")
+    scores = stored(gram_scores(counts, order), "scores")
+    scored = with_gains(exploded.select("url", "gram"), counts, scores, broadcast_grams).groupBy("url").agg(F.avg("gain").alias("score"))
     judged = stored(urls.join(scored.withColumnRenamed("url", "__url"), F.col("url").eqNullSafe(F.col("__url"))).withColumn("held", held_out()).drop("__url", "url"), "judged")
     spread = {c: judged.filter(F.col("held") & (F.col("ruled") == c)).agg(F.avg("score"), F.coalesce(F.stddev_pop("score"), F.lit(0.0))).first() for c in ("allow", "block")}
     (a, sa), (b, sb) = spread["allow"], spread["block"]

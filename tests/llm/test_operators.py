@@ -425,3 +425,6 @@ def test_url_models(spark):
         assert got[k].score == pytest.approx(sum(gains) / len(gains), abs=1e-9)
     held = [r for r in got.values() if r.rule and r.held]
     assert len(held) > 10 and sum(r.by_model == r.verdict for r in held) >= 0.9 * len(held)
+    # Beyond the broadcast's limit, hot grams are broadcast and all others shuffled: the same scores.
+    again = {r.page_id: r for r in op9.filter_urls(pages, broadcast_grams=0).collect()}
+    assert all(again[k].score == pytest.approx(r.score, abs=1e-12) and again[k].verdict == r.verdict for k, r in got.items()) and len(again) == len(got)
