@@ -13,6 +13,10 @@ from .op7_language_id import op7_rank_order_languages
 from .op8_sentence_spans import op8_sentence_span_dedup
 from .op9_url_filter import op9_url_language_models
 from .op10_jaccard_join import op10_jaccard_parity_join
+from .op11_ranked_search import ORACLE as SEARCH_SQL
+from .op11_ranked_search import op11_length_stratified_search
+from .op12_importance_resampling import ORACLE as RESAMPLING_SQL
+from .op12_importance_resampling import op12_head_tail_resampling
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +31,8 @@ QUERIES = {
         op8_sentence_span_dedup,
         op9_url_language_models,
         op10_jaccard_parity_join,
+        op11_length_stratified_search,
+        op12_head_tail_resampling,
     )
 }
-ORACLES = {"op2_block_max_topk": TOPK_SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL, "op6_source_mix": MIX_SQL}
+ORACLES = {"op2_block_max_topk": TOPK_SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL, "op6_source_mix": MIX_SQL, "op11_length_stratified_search": SEARCH_SQL, "op12_head_tail_resampling": RESAMPLING_SQL}
