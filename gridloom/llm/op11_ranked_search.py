@@ -343,7 +343,7 @@ WITH d AS (
 ), weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM terms, s GROUP BY t, n_docs
 ), impacts AS (SELECT r, t, (1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)) AS x FROM terms JOIN d USING (r), s
 ), scores AS (
-  SELECT i, item_id, doc_id, r, CAST(sum(c * w * x) AS BIGINT) AS score FROM items JOIN weights USING (t) JOIN impacts USING (t) JOIN d USING (r) GROUP BY ALL
+  SELECT i, item_id, doc_id, r, CAST(sum(c * weights.w * x) AS BIGINT) AS score FROM items JOIN weights USING (t) JOIN impacts USING (t) JOIN d USING (r) GROUP BY i, item_id, doc_id, r
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
