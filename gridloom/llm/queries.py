@@ -17,6 +17,7 @@ from .op11_ranked_search import ORACLE as SEARCH_SQL
 from .op11_ranked_search import op11_length_stratified_search
 from .op12_importance_resampling import ORACLE as RESAMPLING_SQL
 from .op12_importance_resampling import op12_head_tail_resampling
+from .op13_projection_forest import op13_projection_forest
 
 QUERIES = {
     f.__name__: f
@@ -33,6 +34,7 @@ QUERIES = {
         op10_jaccard_parity_join,
         op11_length_stratified_search,
         op12_head_tail_resampling,
+        op13_projection_forest,
     )
 }
 ORACLES = {"op2_block_max_topk": TOPK_SQL, "op5_benchmark_decontamination": DECONTAMINATION_SQL, "op6_source_mix": MIX_SQL, "op11_length_stratified_search": SEARCH_SQL, "op12_head_tail_resampling": RESAMPLING_SQL}
