@@ -161,7 +161,7 @@ def cut_packs(batches):
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             for i in range(a, b, PACK_ROWS):
                 part = batch.slice(i, min(PACK_ROWS, b - i))
-                ids = pa.array([part.column(4)], part.column(4).type and pa.list_(part.column(4).type))
+                ids = pa.array([part.column(4)], pa.list_(part.column(4).type))
                 arrays = [pa.array([part.column(k).to_numpy().tobytes()], pa.binary()) for k in (1, 2)]
                 yield pa.RecordBatch.from_arrays([pa.array([int(grove[i])]), *arrays, pa.array([b"".join(part.column(3).to_pylist())], pa.binary()), ids], ["grove", "leaves", "cs", "x", "ids"])
 
