@@ -6,34 +6,26 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.params import cut_lineage
 from .ensemble import align_outer_fill, median_nearest
 from .guards import check_annual
-
-
-def solve(a: list[list[Column]], b: list[Column]) -> list[Column]:
-    """Solve small symmetric systems in each row by Cramer's rule (up to three unknowns)."""
-    det = lambda m: m[0][0] if len(m) == 1 else m[0][0] * m[1][1] - m[0][1] * m[1][0] if len(m) == 2 else sum((-1) ** j * m[0][j] * det([r[:j] + r[j + 1 :] for r in m[1:]]) for j in range(len(m)))
-    whole = det(a)
-    return [det([[b[i] if j == k else a[i][j] for j in range(len(a))] for i in range(len(a))]) / F.nullif(whole, F.lit(0.0)) for k in range(len(a))]
+from .moments import fitted
 
 
 def linreg_fit(df: DataFrame, keys: list[str], predictors: list[str], target: str, weight: str | None = None, intercept: bool = True) -> DataFrame:
-    """Weighted least squares for each key: intercept (0 if off) and a slope by the predictor's name."""
+    """Weighted least squares for each key: intercept (0 if off) and, as b_ and a predictor's name, its slope; any number of predictors.
+
+    Rows in which a predictor, the target or the weight is null or not finite take no part. Moments are centred and
+    scaled, so that predictors far from zero or of unlike size lose no digits. A key whose rows leave a slope open
+    (too few of them, or dependent predictors) has nulls. An empty table gives no rows.
+    """
     if {"weights", "intercept"} & set(predictors):
         raise ValueError("no predictor may be named weights or intercept")
-    w = F.col(weight) if weight else F.lit(1.0)
-    terms = ([F.lit(1.0)] if intercept else []) + [F.col(p) for p in predictors]
-    n = len(terms)
-    sums = [F.sum(w * terms[i] * terms[j]).alias(f"a{i}{j}") for i in range(n) for j in range(i, n)] + [F.sum(w * terms[i] * F.col(target)).alias(f"b{i}") for i in range(n)]
-    out = df.groupBy(*keys).agg(*sums)
-    solved = solve([[F.col(f"a{min(i, j)}{max(i, j)}") for j in range(n)] for i in range(n)], [F.col(f"b{i}") for i in range(n)])
-    names = (["intercept"] if intercept else []) + predictors
-    return out.select(*keys, *([] if intercept else [F.lit(0.0).alias("intercept")]), *[x.alias(f"{name}" if name == "intercept" else f"b_{name}") for name, x in zip(names, solved)])
+    return fitted(df, keys, predictors, target, weight, intercept)
 
 
 def linreg_predict(df: DataFrame, params: DataFrame, keys: list[str], predictors: list[str], out: str = "predicted", exclude: set[str] = frozenset(), only: set[str] | None = None) -> DataFrame:
@@ -54,8 +46,8 @@ def linreg_residuals(df: DataFrame, params: DataFrame, keys: list[str], predicto
 
 
 def fit_volcanic(residuals: DataFrame, aod: str = "aod", residual: str = "residual") -> DataFrame:
-    """One row: the slope, without intercept, of residuals on aerosol depth, all members pooled."""
-    return residuals.agg((F.sum(F.col(aod) * F.col(residual)) / F.sum(F.col(aod) * F.col(aod))).alias("slope"))
+    """One row: the slope, without intercept, of residuals on aerosol depth, all members pooled. Rows with a null or NaN take no part."""
+    return residuals.dropna(subset=[aod, residual]).agg((F.sum(F.col(aod) * F.col(residual)) / F.sum(F.col(aod) * F.col(aod))).alias("slope"))
 
 
 def warn_volcanic(slope: DataFrame) -> DataFrame:
@@ -75,9 +67,10 @@ def superimpose_volcanic(df: DataFrame, slope: DataFrame, series: DataFrame, key
 def ar_fit(df: DataFrame, keys: list[str], order: str = "year", value: str = "value", lag: int = 1) -> DataFrame:
     """First-order autoregression on the value `lag` steps before, by conditional least squares: intercept, coeff, variance, nobs.
 
-    Below two pairs, or where the earlier values do not vary, the fit is null; nobs is given all the same.
+    Pairs in which either value is null or NaN take no part. Below two pairs, or where the earlier values do not vary,
+    the fit is null; nobs is given all the same.
     """
-    rows = df.withColumn("x", F.lag(value, lag).over(Window.partitionBy(*keys).orderBy(order))).filter("x IS NOT NULL")
+    rows = df.withColumn("x", F.lag(value, lag).over(Window.partitionBy(*keys).orderBy(order))).dropna(subset=["x", value])
     fit = rows.groupBy(*keys).agg(F.regr_slope(value, "x").alias("coeff"), F.regr_intercept(value, "x").alias("intercept"), F.count("*").alias("nobs"), *[f(value, "x").alias(c) for c, f in (("sxx", F.regr_sxx), ("syy", F.regr_syy), ("sxy", F.regr_sxy))])
     defined = lambda c: F.when((F.col("nobs") > 1) & (F.col("sxx") > 0), c)
     variance = (F.col("syy") - F.col("coeff") * F.col("sxy")) / F.col("nobs")
@@ -87,9 +80,10 @@ def ar_fit(df: DataFrame, keys: list[str], order: str = "year", value: str = "va
 def lag_products(df: DataFrame, keys: list[str], lags: list[int], order: str, value: str) -> DataFrame:
     """(keys, mean, nobs, products): for each key the sums of products of 1, the lagged values and the value itself.
 
-    Values are taken less the key's mean, so that no digits cancel. Rows without all lags take no part. All sums are
-    one partial aggregation, of (lags + 2) (lags + 1) / 2 numbers a key.
+    Values are taken less the key's mean, so that no digits cancel. Rows without all lags take no part, NaN counts as
+    null. All sums are one partial aggregation, of (lags + 2) (lags + 1) / 2 numbers a key.
     """
+    df = df.withColumn(value, F.when(~F.isnan(value), F.col(value)))
     window = Window.partitionBy(*keys).orderBy(order)
     rows = df.select(*keys, F.col(value).cast("double").alias("y"), F.avg(value).over(Window.partitionBy(*keys)).alias("mean"), *[F.lag(value, k).over(window).cast("double").alias(f"x{k}") for k in lags]).dropna()
     terms = [F.lit(1.0), *[F.col(f"x{k}") - F.col("mean") for k in lags], F.col("y") - F.col("mean")]
@@ -177,7 +171,7 @@ def ar_order_scen_ens(df: DataFrame, maxlag: int = 12, order: str = "year", valu
 def ar_fit_monthly(df: DataFrame, keys: list[str], cell: str = "cell_id", value: str = "value") -> DataFrame:
     """For each cell and calendar month the regression on the month before: (cell, month, intercept, slope)."""
     before = F.lag(value).over(Window.partitionBy(*keys).orderBy("year", "month"))
-    rows = df.withColumn("x", before).filter("x IS NOT NULL")
+    rows = df.withColumn("x", before).dropna(subset=["x", value])
     return rows.groupBy(cell, "month").agg(F.regr_intercept(value, "x").alias("intercept"), F.regr_slope(value, "x").alias("slope"))
 
 

@@ -286,6 +286,31 @@ def linreg_residuals(s, d):
 VOLCANIC = "SELECT gm.scenario, gm.member, year, gm.value - em.value AS residual, gm.value, coalesce(aod, 0.0) AS aod FROM gm JOIN em USING (scenario, year) LEFT JOIN " + AEROSOL + " USING (year)"
 
 
+#: Values and predictors beyond a range count as missing.
+GAPS = "SELECT scenario, member, year, cell_id, CASE WHEN value < 2 THEN value END AS value, CASE WHEN p > -0.5 THEN p END AS p, CASE WHEN value > -3 THEN 1.0 + year % 2 END AS w FROM ({rows})"
+
+
+def with_gaps(s, d):
+    seen = lambda c, when: F.when(when, F.col(c)).alias(c)
+    return with_predictor(s, d).select("scenario", "member", "year", "cell_id", seen("value", F.col("value") < 2), seen("p", F.col("p") > -0.5), F.when(F.col("value") > -3, 1.0 + F.col("year") % 2).alias("w"))
+
+
+@query(f"""SELECT cell_id, round((t - b * sp) / sw, 6) AS intercept, round(b, 6) AS b_p FROM (
+ SELECT cell_id, sum(w) AS sw, sum(w * p) AS sp, sum(w * value) AS t, (sum(w * p * value) - sum(w * p) * sum(w * value) / sum(w)) / (sum(w * p * p) - sum(w * p) * sum(w * p) / sum(w)) AS b
+ FROM ({GAPS.format(rows=TWO)}) WHERE value IS NOT NULL AND p IS NOT NULL AND w IS NOT NULL GROUP BY 1)""")
+def linreg_fit_incomplete(s, d):
+    """Rows that miss the value, the predictor or the weight."""
+    return rounded(M.linreg_fit(with_gaps(s, d), ["cell_id"], ["p"], "value", "w"))
+
+
+@query(f"""SELECT scenario, member, cell_id, CASE WHEN nobs > 1 AND sxx > 0 THEN round(a, 6) END AS intercept, CASE WHEN nobs > 1 AND sxx > 0 THEN round(b, 6) END AS coeff, CASE WHEN nobs > 1 AND sxx > 0 THEN round((syy - b * sxy) / nobs, 6) END AS variance, nobs
+ FROM (SELECT scenario, member, cell_id, regr_intercept(value, x) AS a, regr_slope(value, x) AS b, regr_syy(value, x) AS syy, regr_sxy(value, x) AS sxy, regr_sxx(value, x) AS sxx, CAST(regr_count(value, x) AS BIGINT) AS nobs
+ FROM (SELECT *, lag(value) OVER (PARTITION BY scenario, member, cell_id ORDER BY year) AS x FROM ({GAPS.format(rows=TWO)})) WHERE x IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2, 3)""")
+def ar_fit_incomplete(s, d):
+    """Series with missing years."""
+    return rounded(M.ar_fit(with_gaps(s, d), ["scenario", "member", "cell_id"]))
+
+
 def volcanic_rows(s, d):
     gm = global_means(s, d)
     rows = gm.join(E.ens_mean(gm).withColumnRenamed("value", "mean"), ["scenario", "year"]).withColumn("residual", F.col("value") - F.col("mean"))
