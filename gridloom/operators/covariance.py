@@ -1,4 +1,9 @@
-"""Localised covariances: radius by cross-validation, for all folds, radii and keys in one job, and Cholesky factors."""
+"""Localised covariances: radius by cross-validation, and Cholesky factors, on tiles of the matrices.
+
+No task holds more of a matrix than a few tiles, so a grid may have any number of cells. A matrix that fits one tile
+takes one step; then all radii, folds and keys are factorised in one job. Larger ones try one radius after the other, until
+the score rises.
+"""
 
 from __future__ import annotations
 
@@ -6,171 +11,170 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import gaspari_cohn
 from ..sources.params import cut_lineage
-
-#: A task holds three matrices of a grid; beyond this many cells (200 MB each) the fit refuses.
-MOST_CELLS = 5000
-
-
-def partial_sums(keys: list[str]):
-    def run(batches):
-        """For each key, fold and batch: the rows of the sum of w (1, x) (1, x)', of the squared weights, and the rows' number."""
-        for rows in batches:
-            for key, g in rows.groupby([*keys, "fold"], sort=False):
-                x = np.column_stack([np.ones(len(g)), np.stack(g["x"].to_list())])
-                w = g["weight"].to_numpy(float)
-                gram = (x * w[:, None]).T @ x
-                out = pd.DataFrame({"i": np.arange(len(gram)), "n": len(g), "w2": float(w @ w), "row": list(gram)})
-                for name, v in zip([*keys, "fold"], key):
-                    out[name] = v
-                yield out[[*keys, "fold", "i", "n", "w2", "row"]]
-
-    return run
-
-
-def add_rows(keys: list[str]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[[0]][[*keys, "fold", "i"]].copy()
-        first["n"], first["w2"], first["row"] = rows["n"].sum(), rows["w2"].sum(), [np.sum(np.stack(rows["row"].to_list()), axis=0)]
-        return first
-
-    return run
-
-
-def fold_sums(df: DataFrame, keys: list[str], folds: int) -> DataFrame:
-    """(keys, fold, i, n, w2, row): row i of the fold's sums; row and column 0 stand for a cell of ones."""
-    vectors = df.groupBy(*keys, "sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_id", "value"))), lambda c: c["value"]).alias("x"), F.first("weight").alias("weight"))
-    vectors = vectors.withColumn("fold", F.pmod("sample_id", F.lit(folds)).cast("int"))
-    names = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keys).schema) if keys else ""
-    schema = f"{names}fold int, i int, n long, w2 double, row array<double>"
-    parts = vectors.select(*keys, "fold", "x", "weight").mapInPandas(partial_sums(keys), schema)
-    return cut_lineage(parts.groupBy(*keys, "fold", "i").applyInPandas(add_rows(keys), schema), "folds")
-
-
-def covariance_rows(sums: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, i, cov): rows of the weighted covariance, from rows (keys, i, w2, row) with the row of sums in i = 0."""
-    ones = sums.filter("i = 0").select(*keys, F.col("row").alias("ones"))
-    total = F.col("ones")[0]
-    center = F.transform("row", lambda p, j: (p - F.col("row")[0] * F.get(F.col("ones"), j) / total) / (total - F.col("w2") / total))
-    joined = sums.filter("i > 0").join(ones, keys) if keys else sums.filter("i > 0").crossJoin(ones)  # one row
-    return joined.select(*keys, F.col("i"), F.slice(center, F.lit(2), F.size("row") - 1).alias("cov"))
-
-
-def negative_log_likelihood(names: list[str]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Of one radius and fold: the fold's samples under a zero-mean normal with the other folds' localised covariance."""
-        rows = rows.sort_values("i")
-        cov, own, local = (np.stack(rows[c].to_list()) for c in ("cov", "own", "local"))
-        n, w = int(rows["n"].iloc[0]), float(rows["w"].iloc[0])
-        try:
-            factor = np.linalg.cholesky(cov * local)
-            half = np.linalg.solve(factor, own)
-            trace = float(np.trace(np.linalg.solve(factor, half.T)))
-            score = 0.5 * (len(cov) * math.log(2 * math.pi) + 2 * float(np.log(np.diag(factor)).sum()) + trace / w) * n
-        except np.linalg.LinAlgError:
-            score = math.inf
-        out = rows.iloc[[0]][names].copy()
-        out["nll"] = score
+from .fits import first_local_minimum
+from .tiles import SAMPLES, TILE, ddl, gram_tiles, mapped, numbered_cells, sample_pieces, square, tiled, tiled_cholesky
+
+#: Of a matrix beyond one tile that is not positive definite: pivots up to this part of the largest variance count as zero.
+SEMIDEFINITE = 1e-10
+
+
+def correlations(r: np.ndarray) -> np.ndarray:
+    """`gaspari_cohn` of an array."""
+    r = np.abs(r)
+    near = 1 - 5 / 3 * r**2 + 5 / 8 * r**3 + 0.5 * r**4 - 0.25 * r**5
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = 4 - 5 * r + 5 / 3 * r**2 + 5 / 8 * r**3 - 0.5 * r**4 + r**5 / 12 - 2 / (3 * r)
+    return np.where(r < 1, near, np.where(r < 2, far, 0.0))
+
+
+def numbered_pairs(distances: DataFrame, cells: DataFrame) -> DataFrame:
+    """(i, j, and the other columns) of the pairs whose cells both have a number."""
+    i, j = (cells.select(F.col("cell_id").alias(f"cell_{k}"), F.col("i").alias(k)) for k in "ij")
+    return distances.join(i, "cell_i").join(j, "cell_j")
+
+
+class Prepared:
+    """The tiles that every radius needs: covariances of all samples (fold -1) and of all but a fold, distances, and samples by fold."""
+
+    def __init__(self, df: DataFrame, distances: DataFrame, folds: int, keys: list[str], size: int):
+        self.keys, self.size, self.cells = keys, size, numbered_cells(df)
+        self.n = self.cells.count()
+        self.blocks = -(-self.n // size)
+        rows = df.join(self.cells, "cell_id").withColumn("fold", F.pmod("sample_id", F.lit(folds)).cast("int")).withColumn("c", F.floor(F.col("sample_id") / (folds * SAMPLES)))
+        self.ids = [*keys, "fold"]
+        self.pieces = cut_lineage(sample_pieces(rows.select(*self.ids, "c", "sample_id", "i", F.col("value").cast("double").alias("value"), F.col("weight").cast("double").alias("weight")), self.ids, self.n, size, ["sample_id"], False), "pieces")
+        self.grams = cut_lineage(gram_tiles(self.pieces, self.ids, self.n, size), "folds")
+        self.covariances = cut_lineage(self.covariance_tiles(), "covariances")
+        pairs = numbered_pairs(distances.select("cell_i", "cell_j", F.col("km").cast("double").alias("km")).filter("km IS NOT NULL"), self.cells)
+        self.km = cut_lineage(tiled(pairs, [], "km", self.n, size, math.inf), "distances")
+
+    def covariance_tiles(self) -> DataFrame:
+        names, n, size = self.keys, self.n, self.size
+
+        def build(rows: pd.DataFrame) -> pd.DataFrame:
+            parts = [(r.mass, r.squares, np.frombuffer(r.sums, np.float64), np.frombuffer(r.other, np.float64), square(r.tile, r.bj, n, size)) for r in rows.itertuples()]
+            total, out = [sum(v) for v in zip(*parts)], []
+            for fold, part in [(-1, [0.0] * 5), *zip(rows["fold"], parts)]:
+                mass, squares, s, o, p = (a - b for a, b in zip(total, part))
+                with np.errstate(all="ignore"):
+                    out.append((fold, ((p - np.outer(s, o) / mass) / (mass - squares / mass)).tobytes()))
+            first = rows.iloc[[0] * len(out)][[*names, "bi", "bj"]].copy()
+            first["fold"], first["tile"] = [f for f, _ in out], [t for _, t in out]
+            return first
+
+        return self.grams.groupBy(*names, "bi", "bj").applyInPandas(build, f"{ddl(self.grams, names)}bi long, bj long, fold int, tile binary")
+
+    def scores(self, radii: list[float]) -> DataFrame:
+        """(keys, radius, score): a fold's samples under a zero-mean normal with the other folds' localised covariance, summed over folds."""
+        n, size, blocks, ids = self.n, self.size, self.blocks, [*self.ids, "radius"]
+        at = F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius")
+        own = self.covariances.filter("fold >= 0").join(self.km.withColumnRenamed("tile", "km"), ["bi", "bj"]).select(*self.ids, at, "bi", "bj", "tile", "km")
+        local = lambda radius, bi, bj, tile, km: (radius, bi, bj, (square(tile, bj, n, size) * correlations(square(km, bj, n, size) / radius)).tobytes())
+        matrix = mapped(own, self.ids, local, "radius double, bi long, bj long, tile binary")
+        rooted = lambda radius, bi, bj, x, w: (radius, bi, bj, (square(x, bj, n, size) * np.sqrt(np.frombuffer(w, np.float64))[:, None]).tobytes())
+        samples = self.pieces.select(*self.ids, at, (F.col("c") + blocks).alias("bi"), F.col("b").alias("bj"), "x", "w")
+        samples = mapped(samples, self.ids, rooted, "radius double, bi long, bj long, tile binary")
+        factor = tiled_cholesky(cut_lineage(matrix.union(samples), "localised"), ids, n, size)
+
+        def sums(bi, bj, tile):
+            x = square(tile, bj, n, size)
+            with np.errstate(all="ignore"):
+                return float(2 * np.log(np.diag(x)).sum()) if bi == bj else 0.0, float((x * x).sum()) if bi >= blocks else 0.0
+
+        parts = mapped(factor.select(*ids, "bi", "bj", "tile"), ids, sums, "det double, trace double").groupBy(*ids).agg(F.sum("det").alias("det"), F.sum("trace").alias("trace"))
+        fold = self.grams.filter("bi = 0 AND bj = 0").select(*self.ids, "n", "mass")
+        nll = 0.5 * (n * math.log(2 * math.pi) + F.col("det") + F.col("trace") / F.col("mass")) * F.col("n")
+        each = parts.join(fold, self.ids).select(*self.keys, "radius", F.nanvl(nll, F.lit(math.inf)).alias("nll"))
+        return cut_lineage(each.groupBy(*self.keys, "radius").agg(F.sum("nll").alias("score")), "scores")
+
+    def searched(self, radii: list[float]) -> DataFrame:
+        """Scores of the radii, going up, until they rise for all keys."""
+        radii, out = sorted(set(radii)), None
+        for part in [radii] if self.blocks == 1 else [[r] for r in radii]:
+            new = self.scores(part)
+            if out is not None:
+                last = out.groupBy(*self.keys).agg(F.max_by("score", "radius").alias("last"))
+                rising = new.join(last, self.keys) if self.keys else new.crossJoin(last)  # a row a key
+                out = out.union(new)
+                if not rising.filter("score <= last").limit(1).count():
+                    return out
+            out = new if out is None else out
         return out
 
-    return run
 
-
-def radius_scores(df: DataFrame, distances: DataFrame, radii: list[float], k_folds: int, keys: list[str] | None = None) -> DataFrame:
+def radius_scores(df: DataFrame, distances: DataFrame, radii: list[float], k_folds: int, keys: list[str] | None = None, size: int = TILE) -> DataFrame:
     """(keys, radius, score): the cross-validated negative log-likelihood of each localisation radius; see `localized_covariance`."""
-    return scored_radii(*prepared(df, distances, k_folds, keys or []), radii, keys or [])
-
-
-def prepared(df: DataFrame, distances: DataFrame, k_folds: int, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    cells = df.select("cell_id").distinct()
-    if cells.count() > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells: a matrix of the grid is factorised in one task")
-    inner = distances.join(cells.withColumnRenamed("cell_id", "cell_i"), "cell_i").join(cells.withColumnRenamed("cell_id", "cell_j"), "cell_j")
-    km = inner.groupBy("cell_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_j", "km"))), lambda c: c["km"]).alias("km"))
-    km = km.withColumn("i", F.row_number().over(Window.orderBy("cell_i")))  # at most MOST_CELLS rows
-    return fold_sums(df, keys, k_folds), cut_lineage(km, "distances")
-
-
-def total_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
-    grouped = sums.groupBy(*keys, "i").agg(F.sum("n").alias("n"), F.sum("w2").alias("w2"), F.collect_list("row").alias("rows"))
-    return grouped.select(*keys, "i", "n", "w2", F.aggregate(F.slice("rows", F.lit(2), F.size("rows")), F.col("rows")[0], lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("row"))
+    return Prepared(df, distances, k_folds, keys or [], size).scores(radii)
 
 
-def scored_radii(sums: DataFrame, km: DataFrame, radii: list[float], keys: list[str]) -> DataFrame:
-    total = total_sums(sums, keys).withColumnsRenamed({"n": "all_n", "w2": "all_w2", "row": "all_row"})
-    train = sums.join(total, [*keys, "i"]).select(*keys, "fold", "i", (F.col("all_w2") - F.col("w2")).alias("w2"), F.zip_with("all_row", "row", lambda a, b: a - b).alias("row"))
-    cov = covariance_rows(train, [*keys, "fold"])
-    weight = sums.filter("i = 0").select(*keys, "fold", F.col("row")[0].alias("w"))
-    own = sums.filter("i > 0").select(*keys, "fold", "i", "n", F.slice("row", F.lit(2), F.size("row") - 1).alias("own")).join(weight, [*keys, "fold"])
-    at = km.select("i", F.explode(F.array(*[F.lit(float(r)) for r in radii])).alias("radius"), "km")
-    at = at.select("i", "radius", F.transform("km", lambda d: gaspari_cohn(d / F.col("radius"))).alias("local"))
-    rows = cov.join(own, [*keys, "fold", "i"]).join(at, "i")
-    names = [*keys, "radius", "fold"]
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in sums.select(*keys).schema) if keys else ""
-    scores = rows.groupBy(*names).applyInPandas(negative_log_likelihood(names), f"{kinds}radius double, fold int, nll double")
-    return cut_lineage(scores.groupBy(*keys, "radius").agg(F.sum("nll").alias("score")), "scores")
-
-
-def first_minima(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, radius): for each key, going up, the last radius before the first higher score; infinite scores are skipped."""
-    order = Window.partitionBy(*keys).orderBy("radius")
-    rows = scores.filter(F.abs("score") < float("inf")).withColumn("next", F.lead("score").over(order))
-    return rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("next") > F.col("score"), F.col("radius"))), F.max("radius")).alias("radius"))
-
-
-def localized_covariance(df: DataFrame, distances: DataFrame, radii: list[float], k_folds: int, keys: list[str] | None = None) -> DataFrame:
+def localized_covariance(df: DataFrame, distances: DataFrame, radii: list[float], k_folds: int, keys: list[str] | None = None, size: int = TILE) -> DataFrame:
     """(keys, radius, cell_i, cell_j, cov, localized): the covariance of cells over samples and, times the Gaspari-Cohn
     correlation at the chosen radius, localised.
 
     `df` has (keys, sample_id, cell_id, value, weight), samples of a key numbered from 0 without
-    gaps, every sample with every cell; `distances` (cell_i, cell_j, km).
-    The radius is the first local minimum, going up, of the negative log-likelihood (mean zero) of each k-th sample under the others' localised covariance; matrices that cannot be factorised count as infinite, and a key with
-    no finite score gives no rows. Folds are summed once, and each (radius, fold) is factorised in a task of its own.
-    Keys make separate fits, such as `["month"]`. An empty table gives no rows.
+    gaps, every sample with every cell; `distances` (cell_i, cell_j, km), where pairs that lie beyond every radius' reach may be left out.
+    The radius is the first local minimum, going up, of the negative log-likelihood (mean zero) of each k-th sample under the
+    others' localised covariance. Matrices that cannot be factorised count as infinite, and a key with no finite score
+    raises. Folds are summed once, by tiles of `size` cells a side. Keys make separate fits, such as `["month"]`. An
+    empty table gives no rows.
     """
     keys = keys or []
-    sums, km = prepared(df, distances, k_folds, keys)
-    best = first_minima(scored_radii(sums, km, radii, keys), keys)
-    cov = covariance_rows(total_sums(sums, keys), keys)
-    cells = km.select("i", "cell_i")
-    rows = (cov.join(F.broadcast(best), keys) if keys else cov.crossJoin(F.broadcast(best))).join(km, "i")  # a row a key
-    pairs = rows.select(*keys, "radius", "cell_i", F.posexplode(F.arrays_zip("cov", "km")).alias("j", "p"))
-    pairs = pairs.join(cells.select((F.col("i") - 1).alias("j"), F.col("cell_i").alias("cell_j")), "j")
-    return pairs.select(*keys, "radius", "cell_i", "cell_j", F.col("p.cov").alias("cov"), (F.col("p.cov") * gaspari_cohn(F.col("p.km") / F.col("radius"))).alias("localized"))
-
-
-def factorise(keys: list[str]):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        cells = np.unique(rows["cell_i"])
-        m = np.zeros((len(cells), len(cells)))
-        m[np.searchsorted(cells, rows["cell_i"]), np.searchsorted(cells, rows["cell_j"])] = rows["cov"]
-        try:
-            root = np.linalg.cholesky(m)
-        except np.linalg.LinAlgError:
-            values, vectors = np.linalg.eigh(m)
-            root = vectors * np.sqrt(np.maximum(values, 0))
-        i, j = np.nonzero(root)
-        out = pd.DataFrame({"cell_i": cells[i], "cell_j": cells[j], "value": root[i, j]})
-        for k in keys:
-            out[k] = rows[k].iloc[0]
-        return out[[*keys, "cell_i", "cell_j", "value"]]
-
-    return run
-
-
-def covariance_factor(cov: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(keys, cell_i, cell_j, value): a root L of each covariance, L L' = cov, for `correlate_noise`.
-
-    The Cholesky factor, or, where there is none, the eigenvectors times the roots of the eigenvalues (negative
-    ones as zero). A matrix of at most MOST_CELLS cells goes to one task.
+    if not df.limit(1).count():
+        kinds = ddl(df, keys)
+        return df.sparkSession.createDataFrame([], f"{kinds}radius double, cell_i long, cell_j long, cov double, localized double")
+    at = Prepared(df, distances, k_folds, keys, size)
+    best = first_local_minimum(at.searched(radii), keys=keys).drop("score")
+    total = at.covariances.filter("fold = -1").join(at.km.withColumnRenamed("tile", "km"), ["bi", "bj"])
+    rows, n = total.join(best, keys) if keys else total.crossJoin(F.broadcast(best)), at.n  # one row
+    return unrolled(rows, [*keys, "radius"], ["cov", "localized"], at.cells, n, size, lambda r, bj: (x := square(r["tile"], bj, n, size), x * correlations(square(r["km"], bj, n, size) / r["radius"])))
+
+
+def unrolled(tiles: DataFrame, ids: list[str], names: list[str], cells: DataFrame, n: int, size: int, values, mirrored: bool = True) -> DataFrame:
+    """Tiles to rows (ids, cell_i, cell_j, names); those below the diagonal also the other way round."""
+    schema = f"{ddl(tiles, ids)}i long, j long, {', '.join(f'{c} double' for c in names)}"
+
+    def run(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                row = batch.iloc[k]
+                found = values(row, row["bj"])
+                i, j = (v.ravel() for v in np.indices(found[0].shape))
+                i, j = i + row["bi"] * size, j + row["bj"] * size
+                for a, b in ((i, j), (j, i)) if mirrored and row["bi"] != row["bj"] else ((i, j),):
+                    out = pd.DataFrame({"i": a, "j": b} | {c: v.ravel() for c, v in zip(names, found)})
+                    for c in ids:
+                        out[c] = row[c]
+                    yield out[[*ids, "i", "j", *names]]
+
+    i, j = (cells.select(F.col("cell_id").alias(f"cell_{k}"), F.col("i").alias(k)) for k in "ij")
+    return tiles.mapInPandas(run, schema).join(i, "i").join(j, "j").select(*ids, "cell_i", "cell_j", *names)
+
+
+def covariance_factor(cov: DataFrame, keys: list[str] | None = None, size: int = TILE) -> DataFrame:
+    """(keys, cell_i, cell_j, value): a root L of each covariance, L L' = cov, for `correlate_noise`; rows of zeros are left out.
+
+    The Cholesky factor. Where there is none, a matrix of up to `size` cells takes the eigenvectors times the roots of the
+    eigenvalues (negative ones as zero); a larger one counts pivots of nearly zero as zero, and raises at negative ones.
     """
-    keys = keys or []
-    if cov.select("cell_i").distinct().count() > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} cells")
-    grouped = cov.withColumn("__one", F.lit(0)).groupBy(*keys, "__one")
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in cov.select(*keys).schema) if keys else ""
-    return grouped.applyInPandas(factorise(keys), f"{kinds}cell_i long, cell_j long, value double")
+    keys, cells = keys or [], numbered_cells(cov.select(F.col("cell_i").alias("cell_id")))
+    n = cells.count()
+    tiles = cut_lineage(tiled(numbered_pairs(cov.select(*keys, "cell_i", "cell_j", F.col("cov").cast("double").alias("cov")), cells), keys, "cov", n, size, 0.0), "tiles")
+    if n <= size:
+
+        def root(bi, bj, tile):
+            m = square(tile, 0, n, size)
+            try:
+                return bi, bj, np.linalg.cholesky(m).tobytes()
+            except np.linalg.LinAlgError:
+                vectors = np.linalg.eigh(m)
+                return bi, bj, (vectors[1] * np.sqrt(np.maximum(vectors[0], 0))).tobytes()
+
+        factor = mapped(tiles.select(*keys, "bi", "bj", "tile"), keys, root, "bi long, bj long, tile binary")
+    else:
+        most = cov.filter("cell_i = cell_j").agg(F.max("cov")).first()[0] or 0.0
+        factor = tiled_cholesky(tiles, keys, n, size, SEMIDEFINITE * most)
+    return unrolled(factor, keys, ["value"], cells, n, size, lambda r, bj: (square(r["tile"], bj, n, size),), mirrored=False).filter("value <> 0")

@@ -233,16 +233,22 @@ def adjust_covariance_ar1(cov: DataFrame, coeffs: DataFrame) -> DataFrame:
     return cov.join(g("i"), "cell_i").join(g("j"), "cell_j").select("cell_i", "cell_j", (F.col("cov") * F.col("g_i") * F.col("g_j")).alias("cov"))
 
 
-def first_local_minimum(scored: DataFrame, at: str = "radius", score: str = "score") -> DataFrame:
-    """One row: going up in `at`, the last before the first higher score; ties go on; infinite scores are skipped.
+def first_local_minimum(scored: DataFrame, at: str = "radius", score: str = "score", keys: list[str] | None = None) -> DataFrame:
+    """(keys, at, score), a row a key: going up in `at`, the last before the first higher score. Ties go on, infinity is higher than any number.
 
-    Raises if all scores are infinite, or one is minus infinity. `scored` has one row for each candidate.
+    `scored` has one row for each key and candidate. Raises if a key's scores are all infinite or null, or one is minus
+    infinity; warns if a key's scores begin with the minimum, fall to the end, or hold infinity.
     """
-    found = scored.agg(F.min(score).alias("low")).first()["low"]
-    if found is None or found in (float("inf"), float("-inf")):
+    keys, high = keys or [], F.lit(float("inf"))
+    rows = scored.select(*keys, at, F.coalesce(F.nanvl(F.col(score).cast("double"), high), high).alias(score))
+    rows = rows.withColumn("next", F.lead(score).over(Window.partitionBy(*keys).orderBy(at)))
+    found = rows.groupBy(*keys).agg(F.min(F.when(F.col("next") > F.col(score), F.col(at))).alias("stop"), F.max(at).alias("last"), F.min(at).alias("first"), F.min(score).alias("low"), F.max(score).alias("high"))
+    checks = found.agg(F.count("*"), *[F.count_if(c) for c in (~(F.abs("low") < high), F.col("stop") == F.col("first"), F.col("stop").isNull(), F.col("high") == high)]).first()
+    if not checks[0] or checks[1]:
         raise ValueError("no finite score, or one without bound")
-    order = Window.orderBy(at)
-    rows = scored.filter(F.col(score) < float("inf")).withColumn("next", F.lead(score).over(order))
-    stop = rows.filter(F.col("next") > F.col(score)).agg(F.min(at).alias("stop"))
-    last = rows.agg(F.max(at).alias("last"))
-    return rows.join(stop.join(last), F.col(at) == F.coalesce("stop", "last")).select(at, score)
+    for n, what in zip(checks[2:], ("begin with the minimum", "have no local minimum, so the last is taken", "hold infinity")):
+        if n:
+            warnings.warn(f"the scores of {n} of {checks[0]} keys {what}", stacklevel=2)
+    best = found.select(*[F.col(k).alias(f"__{k}") for k in keys], F.coalesce("stop", "last").alias("__at"))
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(at) == F.col("__at")]
+    return rows.join(best, on).select(*keys, at, score)

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import yeo_johnson_inverse
+from ..sources.params import cut_lineage
+from .covariance import numbered_pairs
 from .conditional import DistSpec, lambdas_from_covariates, probability_integral_transform
 from .harmonic import harmonic_predict
+from .tiles import SAMPLES, TILE, numbered_cells, products_with, sample_pieces, tiled
 
 
 def uniform(key: Column, k: int) -> Column:
@@ -81,10 +84,26 @@ def ar_recursion(noise: DataFrame, params: DataFrame, keys: list[str], buffer: i
     return series_of(noise, keys, given).select(*keys, "e", "c", "a").mapInPandas(recursion(keys, schema, p + 1, buffer, step), schema)
 
 
-def correlate_noise(noise: DataFrame, factor: DataFrame) -> DataFrame:
-    """Colour noise with a Cholesky factor (cell_i, cell_j, value), by a join on the second cell."""
-    joined = noise.withColumnRenamed("cell_id", "cell_j").join(factor, "cell_j")
-    return joined.groupBy("scenario", "realisation", "t", F.col("cell_i").alias("cell_id")).agg(F.sum(F.col("noise") * F.col("value")).alias("noise"))
+def correlate_noise(noise: DataFrame, factor: DataFrame, size: int = TILE, samples: int = SAMPLES) -> DataFrame:
+    """Colour noise (scenario, realisation, t, cell_id, noise) with a root (cell_i, cell_j, value) of its covariance, such as of `covariance_factor`.
+
+    A sample (scenario, realisation, t) must have each cell of the root once; cells that the root lacks are left out. Blocks
+    of `samples` samples are multiplied by tiles of `size` cells a side.
+    """
+    names = ["scenario", "realisation", "t"]
+    cells = numbered_cells(factor.select(F.col("cell_i").alias("cell_id")).union(factor.select("cell_j")))
+    n = cells.count()
+    roots = numbered_pairs(factor.select("cell_i", "cell_j", F.col("value").cast("double").alias("value")), cells)
+    full = roots.filter("i < j").limit(1).count()  # a root that is no lower triangle, as eigenvectors make one
+    if full and n > size:
+        raise ValueError("a root of several tiles must be lower triangular")
+    tiles = cut_lineage(tiled(roots, [], "value", n, size, 0.0), "root")
+    rows = noise.join(cells, "cell_id")
+    chunks = max(1, -(-rows.select(*names).distinct().count() // samples))
+    rows = rows.select(F.pmod(F.xxhash64(*names), F.lit(chunks)).alias("c"), *names, "i", F.col("noise").alias("value"), F.lit(1.0).alias("weight"))
+    pieces = cut_lineage(sample_pieces(rows, [], n, size, names, True), "noise")
+    found = products_with(pieces, tiles, names, chunks, n, size)
+    return found.join(cells, "i").select(*names, "cell_id", F.col("value").alias("noise"))
 
 
 def ar_recursion_monthly(noise: DataFrame, params: DataFrame, keys: list[str], buffer: int = 0) -> DataFrame:
