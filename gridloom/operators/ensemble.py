@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import gaspari_cohn
 from ..sources.params import cut_lineage
+from .order import median_nearest, numbered, weighted_median  # noqa: F401
 
 #: Samples in a block of kernel densities, and cells whose products are made at a time.
 BLOCK = 1024
@@ -114,19 +115,6 @@ def kernel_sums(d: int):
     return run
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: str = "value", weight: str = "weight") -> DataFrame:
-    """A value above half of all weight wins; else the value after the half, or the mean of both at exactly a half."""
-    group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(value, weight)
-    rows = df.filter(F.col(value).isNotNull()).withColumn("__c", F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__h", F.sum(weight).over(group) / 2)
-    rows = rows.withColumn("__next", F.lead(value).over(order)).withColumn("__p", F.lag("__c", 1, 0.0).over(order))
-    agg = rows.groupBy(*keys).agg(
-        F.max_by(value, F.when(F.col(weight) > F.col("__h"), F.col(weight))).alias("heavy"),
-        F.min(F.when(F.abs(F.col("__c") - F.col("__h")) < 1e-12, (F.col(value) + F.col("__next")) / 2)).alias("middle"),
-        F.min(F.when(F.col("__c") > F.col("__h"), F.col(value))).alias("above"),
-    )
-    return agg.select(*keys, F.coalesce("heavy", "middle", "above").alias(value))
-
-
 def weighted_covariance(df: DataFrame, sample: str = "sample_id", cell: str = "cell_id", value: str = "value", weight: str = "weight", block: int = BLOCK) -> DataFrame:
     """(cell_i, cell_j, cov) from sums that add up over samples: (P - s s / W) / (W - sum of w^2 / W).
 
@@ -161,16 +149,10 @@ def cell_products(size: int):
     return run
 
 
-def median_nearest(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The element at place (n - 1) / 2, rounded half to even; nulls are skipped. Groups are members or scenarios."""
-    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("all")).select(*keys, F.element_at("all", F.bround((F.size("all") - 1) * F.lit(0.5)).cast("int") + 1).alias(value))
-
-
 def pool_samples(df: DataFrame) -> DataFrame:
     """Add sample_id: scenario, member and year in order, year fastest. Only the keys are sorted, not the cells."""
-    keys = df.select("scenario", "member", "year").distinct()
-    numbered = keys.withColumn("sample_id", (F.row_number().over(Window.orderBy("scenario", "member", "year")) - 1).cast("long"))
-    return df.join(numbered, ["scenario", "member", "year"])
+    names = ["scenario", "member", "year"]
+    return df.join(numbered(df.select(*names).distinct(), names, "sample_id"), names)
 
 
 def unpool_samples(df: DataFrame, pooled: DataFrame) -> DataFrame:
@@ -227,8 +209,10 @@ def splice_hist_scen(df: DataFrame) -> DataFrame:
 def smooth_coefficients(coeffs: DataFrame, pairs: DataFrame, radius: float, keys: tuple[str, ...] = ("coeff",), value: str = "value") -> DataFrame:
     """Each cell's coefficient as the median over all cells, weighted by the Gaspari-Cohn correlation at their distance.
 
-    `coeffs` has keys, cell_id and value, `pairs` cell_i, cell_j, km of all cells.
+    `coeffs` has keys, cell_id and value, `pairs` cell_i, cell_j, km, such as of `near_pairs`: cells at twice the radius
+    or more weigh nothing and take no part, so the table need not hold them.
     """
+    pairs = pairs.filter(F.col("km") < 2 * radius)
     rows = coeffs.withColumnRenamed("cell_id", "cell_j").join(pairs, "cell_j")
     rows = rows.select(*keys, F.col("cell_i").alias("cell_id"), value, gaspari_cohn(F.col("km") / radius).alias("__weight"))
     return weighted_median(rows, [*keys, "cell_id"], value, "__weight")

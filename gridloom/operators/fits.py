@@ -14,6 +14,7 @@ from ..sources.params import cut_lineage
 from .ensemble import align_outer_fill, median_nearest
 from .guards import check_annual
 from .moments import fitted
+from .order import numbered
 
 
 def linreg_fit(df: DataFrame, keys: list[str], predictors: list[str], target: str, weight: str | None = None, intercept: bool = True) -> DataFrame:
@@ -200,7 +201,7 @@ def lowess(df: DataFrame, keys: list[str], x: str, y: str, n_steps: int | None =
         count = F.count("*") * F.lit(float(frac)) if frac is not None else F.lit(float(n_steps)) * F.count("*") / F.countDistinct("x")
         sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.floor(count + 1e-10)).cast("long").alias("n"))
         rows = rows.join(sizes, keys)
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")).cast("long"))
+    rows = numbered(rows, ["x", "y"], "rank", keys).withColumn("rank", F.col("rank") + 1)
     rows = rows if not rounds else cut_lineage(rows, "lowess")
     smooth = lowess_once(rows, keys)
     for _ in range(rounds):

@@ -6,11 +6,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..functions.scalar import haversine_km
 
 #: Fixed values of the ellipsoid: equatorial radius in km, flattening.
 RADIUS, FLATTENING = 6378.137, 1 / 298.257223563
-#: Nodes of the quadrature, halvings of the azimuth, blocks of cells in the pair join.
-NODES, HALVINGS, BLOCKS = 24, 60, 8
+#: Nodes of the quadrature, halvings of the azimuth; least blocks, and cells of a block, in the join of all pairs.
+NODES, HALVINGS, BLOCKS, BLOCK = 24, 60, 8, 1024
 
 
 def geodesic_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.ndarray) -> np.ndarray:
@@ -51,24 +54,56 @@ def geodesic_km(lat1: np.ndarray, lon1: np.ndarray, lat2: np.ndarray, lon2: np.n
     return np.where(same, 0.0, np.where(along, RADIUS * turn, line((low + high) / 2)[1]))
 
 
+@F.pandas_udf(DoubleType())
+def geodesic_column(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
+    return pd.Series(geodesic_km(*(np.asarray(x, float) for x in (lat1, lon1, lat2, lon2))))
+
+
+def both_ways(found: DataFrame) -> DataFrame:
+    """(cell_i, cell_j, km) and the same pairs turned round."""
+    turned = found.select("cell_i", "cell_j", "km", F.explode(F.array(F.lit(False), F.lit(True))).alias("turned"))
+    swap = lambda a, b: F.when(F.col("turned"), F.col(b)).otherwise(F.col(a)).alias(a)
+    return turned.select(swap("cell_i", "cell_j"), swap("cell_j", "cell_i"), "km")
+
+
+def placed_cells(cells: DataFrame) -> DataFrame:
+    return cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
+
+
+def near_pairs(cells: DataFrame, reach: float, haversine: bool = False) -> DataFrame:
+    """(cell_i, cell_j, km) for the cells (cell_id, lat, lon) at most `reach` km apart, symmetric, zero on the diagonal.
+
+    Distances are geodesics of the ellipsoid or, with `haversine`, great circles. A straight line through the earth is no
+    longer than the way over it, so cells are placed in space, in cubes of edge `reach`, and meet those in the cube and the
+    26 around it: pairs grow with the neighbours, not with the square of the cells. Cells without coordinates take no part.
+    """
+    lat, lon = F.radians("lat"), F.radians("lon")
+    flat = 0.0 if haversine else FLATTENING * (2 - FLATTENING)
+    normal = F.lit(6371.0) if haversine else RADIUS / F.sqrt(1 - flat * F.sin(lat) ** 2)
+    axes = {"x": normal * F.cos(lat) * F.cos(lon), "y": normal * F.cos(lat) * F.sin(lon), "z": normal * (1 - flat) * F.sin(lat)}
+    at = placed_cells(cells).dropna().select("cell_id", "lat", "lon", *[c.alias(k) for k, c in axes.items()])
+    side = lambda k: at.select(F.col("cell_id").alias(f"cell_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("lat", "lon", *axes)], *[F.floor(F.col(c) / reach).alias(f"cube_{c}") for c in axes])
+    i = side("i")
+    for c in axes:
+        i = i.withColumn(f"cube_{c}", F.explode(F.sequence(F.col(f"cube_{c}") - 1, F.col(f"cube_{c}") + 1)))
+    line = sum(((F.col(f"{c}_i") - F.col(f"{c}_j")) ** 2 for c in axes), F.lit(0.0))
+    pairs = i.join(side("j"), [f"cube_{c}" for c in axes]).filter("cell_i < cell_j").filter(line <= (reach * (1 + 1e-9)) ** 2)
+    way = haversine_km if haversine else geodesic_column
+    found = pairs.select("cell_i", "cell_j", way(*[F.col(c) for c in ("lat_i", "lon_i", "lat_j", "lon_j")]).alias("km")).filter(F.col("km") <= reach)
+    return both_ways(found).union(at.select("cell_id", "cell_id", F.lit(0.0)))
+
+
 def geodist(cells: DataFrame) -> DataFrame:
     """(cell_i, cell_j, km) for all pairs of cells (cell_id, lat, lon), symmetric, zero on the diagonal.
 
-    Pairs are made between blocks of cells by an equi-join, each distance is computed once. A null coordinate
-    gives null distances.
+    Pairs are made between blocks of about BLOCK cells by an equi-join, each distance is computed once. A null coordinate
+    gives null distances. Where only near cells count, `near_pairs` makes far fewer.
     """
-    ids = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    placed = ids.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(BLOCKS)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
-    left = placed.select(F.col("cell_id").alias("cell_i"), F.col("lat").alias("lat_i"), F.col("lon").alias("lon_i"), F.col("block").alias("block_i"), every.alias("block_j"))
-    right = placed.select(F.col("cell_id").alias("cell_j"), F.col("lat").alias("lat_j"), F.col("lon").alias("lon_j"), F.col("block").alias("block_j"), every.alias("block_i"))
-    pairs = left.join(right, ["block_i", "block_j"]).filter("cell_i < cell_j")
-
-    @F.pandas_udf("double")
-    def km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
-        return pd.Series(geodesic_km(*(np.asarray(x, float) for x in (lat1, lon1, lat2, lon2))))
-
-    found = pairs.select("cell_i", "cell_j", km("lat_i", "lon_i", "lat_j", "lon_j").alias("km"))
-    both = found.select("cell_i", "cell_j", "km", F.explode(F.array(F.lit(False), F.lit(True))).alias("turned"))
-    both = both.select(F.when(F.col("turned"), F.col("cell_j")).otherwise(F.col("cell_i")).alias("cell_i"), F.when(F.col("turned"), F.col("cell_i")).otherwise(F.col("cell_j")).alias("cell_j"), "km")
-    return both.union(ids.select("cell_id", "cell_id", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), 0.0)))
+    ids = placed_cells(cells)
+    blocks = max(BLOCKS, -(-ids.count() // BLOCK))
+    placed = ids.withColumn("block", F.pmod(F.xxhash64("cell_id"), F.lit(blocks)).cast("int"))
+    side = lambda k, low, high: placed.select(F.col("cell_id").alias(f"cell_{k}"), F.col("lat").alias(f"lat_{k}"), F.col("lon").alias(f"lon_{k}"), low, high)
+    own, every = F.col("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    pairs = side("i", own.alias("block_i"), every.alias("block_j")).join(side("j", every.alias("block_i"), own.alias("block_j")), ["block_i", "block_j"]).filter("cell_i < cell_j")
+    found = pairs.select("cell_i", "cell_j", geodesic_column("lat_i", "lon_i", "lat_j", "lon_j").alias("km"))
+    return both_ways(found).union(ids.select("cell_id", "cell_id", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), 0.0)))

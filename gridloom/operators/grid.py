@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import haversine_km
 from ..sources.params import cut_lineage
+from .order import numbered
 
 #: Grids of up to this many cells are searched as one cube.
 FEW_CELLS = 2000
@@ -57,9 +58,7 @@ def mask_ocean_fraction(df: DataFrame, edges: DataFrame, threshold: float, size:
 def stack_cells(df: DataFrame, value: str = "value") -> DataFrame:
     """Number the cells by latitude and longitude from 0, without those that lack a value anywhere."""
     whole = df.groupBy("lat", "lon").agg(F.max(F.col(value).isNull().cast("int")).alias("gap")).filter("gap = 0")
-    # One row a cell: the grid, not the data, is in one task.
-    numbered = whole.select("lat", "lon", (F.row_number().over(Window.orderBy("lat", "lon")) - 1).cast("long").alias("gridcell"))
-    return df.join(numbered, ["lat", "lon"])
+    return df.join(numbered(whole.select("lat", "lon"), ["lat", "lon"], "gridcell"), ["lat", "lon"])
 
 
 def unstack_cells(df: DataFrame, keys: list[str]) -> DataFrame:

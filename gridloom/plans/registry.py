@@ -10,6 +10,7 @@ from ..operators import conditional as C
 from ..operators import ensemble as E
 from ..operators import fits as M
 from ..operators import generate as G
+from ..operators import geodesic as J
 from ..operators import grid as P
 from ..operators import guards as Q
 from ..operators import harmonic as H
@@ -471,11 +472,15 @@ FROM (SELECT cell_id, value, w, sum(w) OVER (o ROWS UNBOUNDED PRECEDING) AS c, s
   FROM (SELECT cell_i AS cell_id, slope AS value, {GC.format(r="(km / 5000)")} AS w FROM (SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, {HAV} AS km FROM cell a, cell b)
     JOIN (SELECT cell_id AS cell_j, regr_slope(value, p) AS slope FROM ({TWO}) GROUP BY 1) USING (cell_j)) WINDOW o AS (PARTITION BY cell_id ORDER BY value, w)) GROUP BY 2""")
 def smooth_coefficients(s, d):
-    c = V.cells(s, d)
-    pairs = c.select(F.col("cell_id").alias("cell_i"), F.col("lat").alias("a"), F.col("lon").alias("b")).join(c.select(F.col("cell_id").alias("cell_j"), F.col("lat").alias("c"), F.col("lon").alias("d")))
-    pairs = pairs.select("cell_i", "cell_j", S.haversine_km(*[F.col(x) for x in "abcd"]).alias("km"))
     slopes = M.linreg_fit(with_predictor(s, d), ["cell_id"], ["p"], "value").select(F.lit("b_p").alias("coeff"), "cell_id", F.col("b_p").alias("value"))
-    return rounded(E.smooth_coefficients(slopes, pairs, 5000.0))
+    return rounded(E.smooth_coefficients(slopes, J.near_pairs(V.cells(s, d), 10000.0, haversine=True), 5000.0))
+
+
+@query("SELECT * FROM (SELECT cell_i, cell_j, round(km, 6) AS km, round(" + GC.format(r="(km / 2500)") + f", 6) AS correlation FROM (SELECT a.cell_id AS cell_i, b.cell_id AS cell_j, CASE WHEN a.cell_id = b.cell_id THEN 0 ELSE {HAV} END AS km FROM cell a, cell b) WHERE km <= 5000)")
+def localisation_pairs(s, d):
+    """The pairs that a localisation of 2500 km reaches, by cubes; no other pair is made."""
+    near = J.near_pairs(V.cells(s, d), 5000.0, haversine=True)
+    return rounded(near.withColumn("correlation", S.gaspari_cohn(F.col("km") / 2500.0)))
 
 
 LAM = "2.0 / (1.0 + 0.8 * exp(0.5 * p))"
