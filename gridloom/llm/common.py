@@ -45,10 +45,10 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, n: int, label: str) -> DataFrame:
-    """A table in the warehouse that is bucketed by `key`, so that joins on it do not move it again."""
+    """A table that is bucketed by `key`, so that joins on it do not move it again. Its files lie in the shared folder."""
     name = f"{label}_{uuid.uuid4().hex}"
     MADE.append(("table", name))
-    df.write.bucketBy(n, key).sortBy(key).option("compression", "uncompressed").saveAsTable(name)
+    df.write.bucketBy(n, key).sortBy(key).option("compression", "uncompressed").option("path", new_path(df.sparkSession, label)).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
@@ -196,6 +196,8 @@ def with_prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: st
     totals = ranged.groupBy(*slots).agg(F.sum(value).alias("__total"))
     before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(slots)], F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__slices_before"))
+    totals = stored(totals, f"{label}-slices")
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_IDS else totals  # else the rows, with all that they carry, are shuffled again
     on = [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(slots)]
     return ranged.join(totals, on).withColumn(out, F.col("__slices_before") + F.col("__local")).drop("__slice", "__slices_before", "__local", *[f"__k{i}" for i in range(len(slots))])
 

@@ -48,6 +48,8 @@ PACK_BYTES = 16 << 20
 BUCKET_BYTES = 8 << 20
 OPEN_BYTES = 16 << 20
 CHUNK = 1 << 18
+#: Longer words are hashed by xxh3: sums of powers modulo 2 ** 64 agree on some pairs of long words that repeat two letters.
+LONG_WORD = 32
 
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +60,12 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     out = np.empty(len(begin), np.uint64)
     for lo in range(0, len(data), CHUNK):  # the words that begin in this chunk
         i, j = np.searchsorted(begin, (lo, lo + CHUNK))
-        if i < j and end[j - 1] - begin[j - 1] > CHUNK:  # by its own length, wherever it lies; only a chunk's last word can be that long
-            out[j - 1] = xxhash.xxh3_64_intdigest(WORDS[data[begin[j - 1] : end[j - 1]]].tobytes())
+        if i < j and end[j - 1] - begin[j - 1] > CHUNK:  # only a chunk's last word can be that long
             j -= 1
         if i < j:
             out[i:j] = range_hashes(BYTE_KEYS[WORDS[data[lo : int(end[j - 1])]]], begin[i:j] - lo, end[i:j] - lo)
+    for k in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(WORDS[data[begin[k] : end[k]]].tobytes())
     return begin, out
 
 
