@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ..sources.params import cut_lineage
+from ..sources.params import cut_lineage, forget
 
 #: Cells of a tile's side (a tile has 2 MB), and samples that are multiplied at a time.
 TILE, SAMPLES = 512, 1024
@@ -115,7 +115,8 @@ def tiled_cholesky(tiles: DataFrame, ids: list[str], n: int, size: int, semidefi
     """The factor's tiles, of all matrices (ids) at once; block rows beyond the matrix become their solves X L'^-1.
 
     Block column after block column: the diagonal tile is factorised, the tiles below are solved with it, and the tiles
-    to the right lose the products of that column. Each column and each rest is stored, so a lost task repeats one step.
+    to the right lose the products of that column. Each column and each rest is stored, so a lost task repeats one step; a
+    rest goes when the next one is stored.
     """
     blocks, done, kind = -(-n // size), None, "bi long, bj long, tile binary"
     for k in range(blocks):
@@ -133,6 +134,7 @@ def tiled_cholesky(tiles: DataFrame, ids: list[str], n: int, size: int, semidefi
         inverse = root.select(*ids, "inverse")
         below = mapped(below.join(inverse, ids) if ids else below.crossJoin(inverse), ids, solve, kind)  # one row a matrix
         column = cut_lineage(root.drop("inverse").union(below), "column")
+        forget(root)
         done = column if done is None else done.union(column)
         if k + 1 == blocks:
             return done
@@ -144,7 +146,9 @@ def tiled_cholesky(tiles: DataFrame, ids: list[str], n: int, size: int, semidefi
         left = column.filter(F.col("bi") > k).select(*ids, "bi", F.col("tile").alias("left"))
         right = left.filter(F.col("bi") < blocks).select(*ids, F.col("bi").alias("bj"), F.col("left").alias("right"))
         rest = tiles.filter(F.col("bj") > k).join(left, [*ids, "bi"]).join(right, [*ids, "bj"])
-        tiles = cut_lineage(mapped(rest.select(*ids, "bi", "bj", "tile", "left", "right"), ids, update, kind), "rest")
+        before, tiles = tiles, cut_lineage(mapped(rest.select(*ids, "bi", "bj", "tile", "left", "right"), ids, update, kind), "rest")
+        if k:  # the first rest is the caller's
+            forget(before)
     return tiles
 
 

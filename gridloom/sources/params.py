@@ -28,7 +28,15 @@ def cut_lineage(df: DataFrame, label: str = "state") -> DataFrame:
     """`df` written to the shared folder and read again: no later job repeats it, and lost executors do not matter."""
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files of a result of `cut_lineage` that nothing reads any more."""
+    spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_params(df: DataFrame, root: str, module: str, model: str, scenario: str = "all") -> None:
