@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import gaspari_cohn
 from ..sources.params import cut_lineage
+from .density import MOST_DIMENSIONS, kernel_sums_in_boxes
 from .order import median_nearest, numbered, weighted_median  # noqa: F401
 
 #: Samples in a block of kernel densities, and cells whose products are made at a time.
@@ -64,9 +65,10 @@ def scenario_weights(df: DataFrame) -> DataFrame:
 def density_weights(samples: DataFrame, predictors: list[str], block: int = BLOCK) -> DataFrame:
     """Inverse Gaussian kernel density of each sample (sample_id and any number of predictors), normalised to a sum of 1.
 
-    Scott's bandwidth; the kernel's constant cancels. Samples are sorted by the first whitened predictor into blocks
-    of `block`; only blocks within reach of each other meet, and what lies beyond is below a double's precision of the
-    sample's own kernel. Samples with a null take no part.
+    Scott's bandwidth; the kernel's constant cancels. With one or two predictors densities are expanded in boxes a bandwidth
+    wide (`density.kernel_sums_in_boxes`), so work grows with the samples. With more, samples are sorted by the first
+    whitened predictor into blocks of `block` and blocks meet those in slabs within reach; what lies beyond is below a
+    double's precision of the sample's own kernel. Samples with a null take no part.
     """
     d, samples = len(predictors), samples.select("sample_id", *predictors).dropna(subset=predictors)
     stats = samples.agg(F.count("*").alias("n"), *[F.covar_samp(p, q) for p in predictors for q in predictors]).first()
@@ -75,29 +77,34 @@ def density_weights(samples: DataFrame, predictors: list[str], block: int = BLOC
     white = np.linalg.inv(np.linalg.cholesky(np.reshape(stats[1:], (d, d)) * stats["n"] ** (-2.0 / (d + 4)))).tolist()
     reach = float(np.sqrt(2 * np.log(1e17 * stats["n"])))
     z = F.array(*[sum(F.col(p) * w for p, w in zip(predictors, row)) for row in white])
+    placed = samples.select("sample_id", z.alias("z"))
+    sums = kernel_sums_in_boxes(placed, d, reach, block) if d <= MOST_DIMENSIONS else kernel_sums_in_slabs(placed, d, reach, block)
+    each = cut_lineage(sums.select(F.explode(F.arrays_zip("ids", "p")).alias("s")).groupBy(F.col("s.ids").alias("sample_id")).agg((1.0 / F.sum("s.p")).alias("w")), "densities")
+    return each.join(F.broadcast(each.agg(F.sum("w").alias("total")))).select("sample_id", (F.col("w") / F.col("total")).alias("weight"))  # one row
+
+
+def kernel_sums_in_slabs(samples: DataFrame, d: int, reach: float, block: int) -> DataFrame:
+    """(ids, p): parts of the sums of kernels at the samples, by pairs of blocks that share a slab of the first component, `reach` wide."""
     kind = samples.schema["sample_id"].dataType.simpleString()
-    blocks = samples.select("sample_id", z.alias("z")).repartitionByRange(F.col("z")[0]).sortWithinPartitions(F.col("z")[0])
-    blocks = cut_lineage(blocks.mapInPandas(sample_blocks(block), f"block long, low double, high double, ids array<{kind}>, z array<double>"), "blocks")
-    i, j = (blocks.select(*[F.col(c).alias(f"{c}_{k}") for c in ("block", "low", "high")]) for k in "ij")
-    # One row for each block: the samples' number over `block`.
-    near = i.join(j, (F.col("low_i") - reach <= F.col("high_j")) & (F.col("low_j") - reach <= F.col("high_i"))).select("block_i", "block_j")
-    own = blocks.select(F.col("block").alias("block_i"), "ids", F.col("z").alias("z_i"))
-    pairs = near.join(own, "block_i").join(blocks.select(F.col("block").alias("block_j"), F.col("z").alias("z_j")), "block_j")
-    sums = pairs.select("ids", "z_i", "z_j").mapInPandas(kernel_sums(d), f"ids array<{kind}>, p array<double>")
-    each = sums.select(F.explode(F.arrays_zip("ids", "p")).alias("s")).groupBy(F.col("s.ids").alias("sample_id")).agg((1.0 / F.sum("s.p")).alias("w"))
-    return each.join(each.agg(F.sum("w").alias("total"))).select("sample_id", (F.col("w") / F.col("total")).alias("weight"))
-
-
-def sample_blocks(size: int):
+    blocks = samples.repartitionByRange(F.col("z")[0]).sortWithinPartitions(F.col("z")[0])
+    blocks = cut_lineage(blocks.mapInPandas(sample_blocks(block, reach), f"block long, slab long, ids array<{kind}>, z array<double>"), "blocks")
+    i = blocks.select("slab", "ids", F.col("z").alias("z_i")).withColumn("slab", F.explode(F.sequence(F.col("slab") - 1, F.col("slab") + 1)))
+    pairs = i.join(blocks.select("slab", F.col("z").alias("z_j")), "slab")
+    return pairs.select("ids", "z_i", "z_j").mapInPandas(kernel_sums(d), f"ids array<{kind}>, p array<double>")
+
+
+def sample_blocks(size: int, width: float):
     def run(batches):
-        """Rows (sample_id, z), sorted, into blocks with the bounds of their first component."""
+        """Rows (sample_id, z), sorted, into blocks of one slab of the first component each."""
         part, k = TaskContext.get().partitionId(), 0
         for rows in batches:
-            for lo in range(0, len(rows), size):
-                block = rows.iloc[lo : lo + size]
-                z = np.stack(block["z"].to_list())
-                yield pd.DataFrame({"block": [(part << 32) + k], "low": z[:, 0].min(), "high": z[:, 0].max(), "ids": [block["sample_id"].to_list()], "z": [z.ravel()]})
-                k += 1
+            z = np.stack(rows["z"].to_list()) if len(rows) else np.zeros((0, 1))
+            slab = np.floor(z[:, 0] / width).astype(np.int64)
+            for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(slab)) + 1):
+                for lo in range(0, len(own), size):
+                    at = own[lo : lo + size]
+                    yield pd.DataFrame({"block": [(part << 32) + k], "slab": slab[at[0]], "ids": [rows["sample_id"].iloc[at].to_list()], "z": [z[at].ravel()]})
+                    k += 1
 
     return run
 

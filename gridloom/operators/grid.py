@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import haversine_km
 from ..sources.params import cut_lineage
 from .order import numbered
+from .polygons import inside
 
 #: Grids of up to this many cells are searched as one cube.
 FEW_CELLS = 2000
@@ -20,18 +21,6 @@ def mask_antarctica(df: DataFrame, value: str = "value") -> DataFrame:
     return df.withColumn(value, F.when(F.col("lat") >= -60, F.col(value)))
 
 
-def inside(points: DataFrame, edges: DataFrame, on: str = "point_id") -> DataFrame:
-    """Ids of the points (x, y) inside polygons given as edges (x1, y1, x2, y2): an odd number of edges lies to the east.
-
-    Edges are dealt to bands of whole latitudes, so the join is an equi-join; long edges stand in several bands.
-    """
-    banded = edges.withColumn("band", F.explode(F.sequence(F.floor(F.least("y1", "y2")).cast("int"), F.floor(F.greatest("y1", "y2")).cast("int"))))
-    hit = points.withColumn("band", F.floor("y").cast("int")).join(banded, "band").filter(
-        ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    )
-    return hit.groupBy(on).agg((F.count("*") % 2).alias("odd")).filter("odd = 1").select(on)
-
-
 def land_fraction(cells: DataFrame, edges: DataFrame, size: float, k: int = 4) -> DataFrame:
     """(cell_id, fraction) of each cell of `size` degrees, from k x k points."""
     at = lambda i: (F.col(i) + 0.5) / k - 0.5

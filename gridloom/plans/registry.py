@@ -71,6 +71,19 @@ def mask_ocean_fraction(s, d):
     return rounded(P.mask_ocean_fraction(V.ensemble(s, d), V.land(s), 0.3, 20.0).select("scenario", "member", "year", "cell_id", "value"))
 
 
+#: The edges of `V.ISLANDS` with each ring in one plane.
+ISLANDS = "(150.0, -40.0, 210.0, -40.0), (210.0, -40.0, 220.0, 30.0), (220.0, 30.0, 160.0, 40.0), (160.0, 40.0, 150.0, -40.0), (170.0, -20.0, 190.0, -20.0), (190.0, -20.0, 185.0, 10.0), (185.0, 10.0, 170.0, -20.0), (-20.0, -10.0, 30.0, -10.0), (30.0, -10.0, 10.0, 40.0), (10.0, 40.0, -20.0, -10.0)"
+
+
+# Whole rings, also a turn to either side.
+@query(f"""SELECT cell_id, round(avg(CAST(i AS INT)), 6) AS fraction FROM (SELECT cell_id, (SELECT count(*) % 2 = 1 FROM (
+SELECT x1 + t.turn AS x1, y1, x2 + t.turn AS x2, y2 FROM (VALUES {ISLANDS}) e(x1, y1, x2, y2), (VALUES (-360), (0), (360)) t(turn)) WHERE (y1 > py) <> (y2 > py) AND px < (x2 - x1) * (py - y1) / (y2 - y1) + x1) AS i
+FROM (SELECT cell_id, (lon + ((j + 0.5) / 8 - 0.5) * 36 + 540) % 360 - 180 AS px, lat + ((k + 0.5) / 8 - 0.5) * 36 AS py FROM cell, range(8) a(j), range(8) b(k))) GROUP BY 1""")
+def land_fraction_date_line(s, d):
+    """Islands with a lake over the date line and over the zero meridian."""
+    return rounded(P.land_fraction(V.cells(s, d), V.islands(s), 36.0, 8))
+
+
 @query("SELECT scenario, member, year, cell_id, CASE WHEN lat >= -60 THEN round(value, 6) END AS value FROM ens")
 def mask_antarctica(s, d):
     return rounded(P.mask_antarctica(V.ensemble(s, d)).select("scenario", "member", "year", "cell_id", "value"))

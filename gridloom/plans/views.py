@@ -10,6 +10,10 @@ LAT, LON = "CAST(-72 + 6 * cell_id AS DOUBLE)", "CAST((37 * cell_id) % 360 AS DO
 #: A land polygon as edges (x1, y1, x2, y2).
 LAND = [(20.0, -65.0, 200.0, -65.0), (200.0, -65.0, 200.0, 50.0), (200.0, 50.0, 110.0, 10.0), (110.0, 10.0, 20.0, 50.0), (20.0, 50.0, 20.0, -65.0)]
 
+#: An island over the date line with a lake over it, and one over the zero meridian; longitudes in the frames that maps use.
+ISLANDS = [(150.0, -40.0, -150.0, -40.0), (-150.0, -40.0, -140.0, 30.0), (-140.0, 30.0, 160.0, 40.0), (160.0, 40.0, 150.0, -40.0), (170.0, -20.0, -170.0, -20.0), (-170.0, -20.0, 185.0, 10.0), (185.0, 10.0, 170.0, -20.0)]
+ISLANDS += [(-20.0, -10.0, 30.0, -10.0), (30.0, -10.0, 10.0, 40.0), (10.0, 40.0, -20.0, -10.0)]
+
 
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual means: scenario, member, year, cell_id, lat, lon, value. Cells are nations, members halves of customers. The last year, 2001, is incomplete and no annual mean, so it is left out."""
@@ -47,6 +51,10 @@ def land(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LAND, "x1 double, y1 double, x2 double, y2 double")
 
 
+def islands(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(ISLANDS, "x1 double, y1 double, x2 double, y2 double")
+
+
 CTE = f"""
 WITH RECURSIVE raw AS (
   SELECT o_totalprice, o_orderkey, 'r' || (o_custkey % 2) AS member, CAST(year(o_orderdate) AS BIGINT) AS year, CAST(month(o_orderdate) AS BIGINT) AS month,
