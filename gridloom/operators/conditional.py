@@ -14,6 +14,7 @@ from ..functions.scalar import yeo_johnson
 from ..sources.params import cut_lineage
 from .ensemble import smooth_coefficients
 from .geodesic import near_pairs
+from .guards import aligned, check_finite
 from .population import evolve
 from .search import minimise
 
@@ -214,6 +215,14 @@ def conditional_fit(df: DataFrame, guess: DataFrame, spec: DistSpec, keys: list[
     return found
 
 
+def conditional_fit_tables(target: DataFrame, predictors: dict[str, DataFrame], on: list[str], guess: DataFrame, spec: DistSpec, keys: list[str], value: str = "value", weights: DataFrame | None = None, **options) -> DataFrame:
+    """`conditional_fit` of a target on tables of predictors (on, predictor) and weights (on, weight). Raises unless these hold
+    the target's keys `on`, each once, and all values are finite. `options` are those of `conditional_fit`."""
+    tables = predictors | ({"weight": weights} if weights is not None else {})
+    rows = cut_lineage(check_finite(aligned(target, tables, on), value, *tables), "rows")
+    return conditional_fit(rows, guess, spec, keys, value, "weight" if weights is not None else None, **options)
+
+
 def optimised(spec: DistSpec, value: str, w: Column, threshold: float, values: list[str] | None = None, param_bounds: dict[str, tuple[float, float]] | None = None) -> Column:
     """What the fit minimises, as an aggregate: the weighted negative log-likelihood, null where a parameter is out of bounds or a probability below the threshold."""
     total = -F.sum(w * spec.logpdf(F.col(value), values))

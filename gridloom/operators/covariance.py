@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..sources.params import cut_lineage
 from .fits import first_local_minimum
+from .guards import aligned
 from .tiles import SAMPLES, TILE, ddl, gram_tiles, mapped, numbered_cells, sample_pieces, square, tiled, tiled_cholesky
 
 #: Of a matrix beyond one tile that is not positive definite: pivots up to this part of the largest variance count as zero.
@@ -133,6 +134,11 @@ def localized_covariance(df: DataFrame, distances: DataFrame, radii: list[float]
     return unrolled(rows, [*keys, "radius"], ["cov", "localized"], at.cells, n, size, lambda r, bj: (x := square(r["tile"], bj, n, size), x * correlations(square(r["km"], bj, n, size) / r["radius"])))
 
 
+def localized_covariance_tables(samples: DataFrame, weights: DataFrame, distances: DataFrame, on: list[str], radii: list[float], k_folds: int, keys: list[str] | None = None, size: int = TILE) -> DataFrame:
+    """`localized_covariance` of samples without weights and a table of weights (on, weight), which must hold the samples' keys `on`, each once; else raise."""
+    return localized_covariance(aligned(samples, {"weight": weights}, on), distances, radii, k_folds, keys, size)
+
+
 def unrolled(tiles: DataFrame, ids: list[str], names: list[str], cells: DataFrame, n: int, size: int, values, mirrored: bool = True) -> DataFrame:
     """Tiles to rows (ids, cell_i, cell_j, names); those below the diagonal also the other way round."""
     schema = f"{ddl(tiles, ids)}i long, j long, {', '.join(f'{c} double' for c in names)}"

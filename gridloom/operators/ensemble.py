@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import gaspari_cohn
 from ..sources.params import cut_lineage
 from .density import MOST_DIMENSIONS, kernel_sums_in_boxes
+from .guards import check_aligned
 from .order import median_nearest, numbered, weighted_median  # noqa: F401
 
 #: Samples in a block of kernel densities, and cells whose products are made at a time.
@@ -182,9 +183,7 @@ def broadcast_predictors(target: DataFrame, predictors: DataFrame) -> DataFrame:
 
 def exact_align(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """Inner join that raises unless both sides have the same keys."""
-    sides = [t.select(*on, F.lit(i).alias("__side")).distinct() for i, t in enumerate((a, b))]
-    if sides[0].unionByName(sides[1]).groupBy(*on).count().filter("count < 2").limit(1).count():
-        raise ValueError("the tables are not aligned")
+    check_aligned(on, {"first": a, "second": b})
     return a.join(b, on)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from ..sources.params import cut_lineage
 from .ensemble import align_outer_fill, median_nearest
-from .guards import check_annual
+from .guards import aligned, check_annual
 from .moments import fitted
 from .order import numbered
 
@@ -29,6 +29,12 @@ def linreg_fit(df: DataFrame, keys: list[str], predictors: list[str], target: st
     return fitted(df, keys, predictors, target, weight, intercept)
 
 
+def linreg_fit_tables(target: DataFrame, predictors: dict[str, DataFrame], on: list[str], keys: list[str], value: str = "value", weights: DataFrame | None = None, intercept: bool = True) -> DataFrame:
+    """`linreg_fit` of a target on tables of predictors (on, predictor) and weights (on, weight), which must hold the target's keys `on`, each once; else raise."""
+    rows = aligned(target, predictors | ({"weight": weights} if weights is not None else {}), on)
+    return linreg_fit(rows, keys, list(predictors), value, "weight" if weights is not None else None, intercept)
+
+
 def linreg_predict(df: DataFrame, params: DataFrame, keys: list[str], predictors: list[str], out: str = "predicted", exclude: set[str] = frozenset(), only: set[str] | None = None) -> DataFrame:
     """intercept + sum of slopes times predictors; `exclude` or `only` choose parts, "intercept" among them."""
     names = ["intercept", *predictors]
@@ -169,10 +175,21 @@ def ar_order_scen_ens(df: DataFrame, maxlag: int = 12, order: str = "year", valu
     return over(over(each, ["scenario", "cell_id"]), ["cell_id"])
 
 
-def ar_fit_monthly(df: DataFrame, keys: list[str], cell: str = "cell_id", value: str = "value") -> DataFrame:
-    """For each cell and calendar month the regression on the month before: (cell, month, intercept, slope)."""
-    before = F.lag(value).over(Window.partitionBy(*keys).orderBy("year", "month"))
-    rows = df.withColumn("x", before).dropna(subset=["x", value])
+def ar_fit_monthly(df: DataFrame, keys: list[str], cell: str = "cell_id", value: str = "value", pooled: bool = False) -> DataFrame:
+    """For each cell and calendar month the regression on the month before: (cell, month, intercept, slope).
+
+    `keys`, the cell among them, name the series. With `pooled` a cell's series stand one behind the other in the order of
+    `keys`, and the first month of a series follows the last one of the series before; otherwise it has none. Pairs with a null take no part.
+    """
+    window = Window.partitionBy(*keys).orderBy("year", "month")
+    rows = df.withColumn("x", F.lag(value).over(window))
+    if pooled:
+        ends = df.groupBy(*keys).agg(F.max_by(value, F.struct("year", "month")).alias("last"))
+        before = F.lag("last").over(Window.partitionBy(cell).orderBy(*[k for k in keys if k != cell], F.lit(0)))  # a row a series
+        ends = ends.select(*[F.col(k).alias(f"__{k}") for k in keys], before.alias("__before"))
+        rows = rows.withColumn("__first", F.row_number().over(window) == 1).join(ends, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        rows = rows.withColumn("x", F.when(F.col("__first"), F.col("__before")).otherwise(F.col("x")))
+    rows = rows.dropna(subset=["x", value])
     return rows.groupBy(cell, "month").agg(F.regr_intercept(value, "x").alias("intercept"), F.regr_slope(value, "x").alias("slope"))
 
 

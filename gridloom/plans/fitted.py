@@ -294,10 +294,11 @@ def score_stream(s, d):
 @query("""SELECT window_start, event_type, round(avg(value), 6) AS mean, count(value) AS n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, value FROM events)
 WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL""")
 def windowed_means_stream(s, d):
-    arrived, out, state = (params.shared_path(s, x) for x in ("arrived", "means", "means-state"))
-    s.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "value").coalesce(1).write.parquet(arrived)  # one file, so that no row comes late
-    arriving = scoring.read_rows(s, arrived, s.read.parquet(arrived).schema)
-    arriving = arriving.withColumn("ts", F.col("ts").cast("timestamp"))
-    means = rounded(scoring.windowed_means(arriving, ["event_type"], "ts", "value", "1 hour", "2 hours")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-    scoring.write_rows(means, out, state).awaitTermination()
+    """The events arrive in parts by time; the stream reads each part as a batch and goes on from its checkpoint."""
+    staged, arrived, out, state = (params.shared_path(s, x) for x in ("staged", "arrived", "means", "means-state"))
+    events = s.read.parquet(f"{d}/events.parquet").select("ts", "event_type", "value")
+    for _ in scoring.arrivals(events, "ts", staged, arrived, 4):
+        arriving = scoring.read_rows(s, arrived, events.schema, None).withColumn("ts", F.col("ts").cast("timestamp"))
+        means = rounded(scoring.windowed_means(arriving, ["event_type"], "ts", "value", "1 hour", "2 hours")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+        scoring.write_rows(means, out, state).awaitTermination()
     return s.read.schema(means.schema).parquet(out)

@@ -283,6 +283,15 @@ def linreg_fit_weighted(s, d):
     return rounded(M.linreg_fit(rows, ["cell_id"], ["p", "k"], "value", "w"), 5)
 
 
+@query(ORACLES["linreg_fit_weighted"][len(V.CTE):])
+def linreg_fit_tables(s, d):
+    """As `linreg_fit_weighted`, from tables of predictors and weights whose keys must be those of the target."""
+    target = anomalies(s, d).select("scenario", "member", "year", "cell_id", "value")
+    p = E.ens_mean(global_means(s, d)).withColumnRenamed("value", "p")
+    years = p.select("scenario", "year", (F.col("year") - 1995).cast("double").alias("k"), F.when(F.col("scenario") == "historical", 1.0).otherwise(0.5).alias("weight"))
+    return rounded(M.linreg_fit_tables(target, {"p": p, "k": years}, ["scenario", "year"], ["cell_id"], weights=years), 5)
+
+
 @query(f"SELECT scenario, member, year, cell_id, round(a + b * p, 6) AS predicted, round(b * p, 6) AS forced FROM ({TWO}) JOIN (SELECT cell_id, regr_intercept(value, p) AS a, regr_slope(value, p) AS b FROM ({TWO}) GROUP BY 1) USING (cell_id)")
 def linreg_predict(s, d):
     rows = with_predictor(s, d)
@@ -398,6 +407,12 @@ def ar_fit_monthly(s, d):
     return rounded(M.ar_fit_monthly(V.monthly(s, d), ["member", "cell_id"]))
 
 
+@query("SELECT cell_id, month, round(regr_intercept(value, x), 6) AS intercept, round(regr_slope(value, x), 6) AS slope FROM (SELECT *, lag(value) OVER (PARTITION BY cell_id ORDER BY member, year, month) AS x FROM mon) WHERE x IS NOT NULL GROUP BY ALL")
+def ar_fit_monthly_pooled(s, d):
+    """The second member's first month follows the last one of the first."""
+    return rounded(M.ar_fit_monthly(V.monthly(s, d), ["member", "cell_id"], pooled=True))
+
+
 @query("""SELECT member, year, month, m.cell_id, round(value - intercept - slope * x, 6) AS residual FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) m
 JOIN (SELECT cell_id, month, regr_intercept(value, x) AS intercept, regr_slope(value, x) AS slope FROM (SELECT *, lag(value) OVER (PARTITION BY member, cell_id ORDER BY year, month) AS x FROM mon) WHERE x IS NOT NULL GROUP BY ALL HAVING count(*) > 1) USING (cell_id, month) WHERE x IS NOT NULL""")
 def ar_monthly_residuals(s, d):
