@@ -162,7 +162,7 @@ def yeo_johnson_fit(s, d):
     return power_params(s, d)
 
 
-@query("SELECT member, year, cell_id, month, round(2 / (1 + 0.8 * exp(0.05 * month * y)), 6) AS lambda FROM mon JOIN (SELECT member, year, cell_id, avg(value) AS y FROM mon GROUP BY ALL) USING (member, year, cell_id)")
+@query("SELECT member, year, cell_id, month, round(2 / (1 + 0.8 * exp(0.05 * month * y)), 6) AS lambda FROM whole JOIN (SELECT member, year, cell_id, avg(value) AS y FROM whole GROUP BY ALL) USING (member, year, cell_id)")
 def lambdas_from_covariates(s, d):
     rows = harmonic_rows(s, d)
     given = rows.select("cell_id", "month", F.lit(0.8).alias("xi0"), (0.05 * F.col("month")).alias("xi1")).distinct()
@@ -229,11 +229,12 @@ def emulate_monthly(s, d):
     mon = rows.select("member", "cell_id", "year", "month", "value")
     keys = mon.select(F.lit("m").alias("scenario"), "cell_id").distinct().withColumn("realisation", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
     keys = keys.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(35))))
-    residual = H.harmonic_predict(rows, H.harmonic_fit(rows)).withColumn("value", F.col("value") - F.col("predicted")).drop("predicted")
+    fit = params.cut_lineage(H.harmonic_fit(rows), "harmonics")
+    residual = H.harmonic_predict(rows, fit).withColumn("value", F.col("value") - F.col("predicted")).drop("predicted")
     local = G.ar_recursion_monthly(G.noise_table(keys, "7"), M.ar_fit_monthly(residual, ["member", "cell_id"]), ["scenario", "realisation", "cell_id"], buffer=1)
     yearly = rows.groupBy(F.lit("m").alias("scenario"), "year", "cell_id").agg(F.avg("yearly").alias("yearly"))
     power = C.yeo_johnson_fit(params.cut_lineage(residual, "residuals"), ["cell_id", "month"], rounds=8)
-    return rounded(G.emulate_monthly(yearly, H.harmonic_fit(rows), power, local, 1995))
+    return rounded(G.emulate_monthly(yearly, fit, power, local, 1995))
 
 
 @query(f"""SELECT nz.scenario, realisation, em.year, nz.cell_id, round(c0 + c1 * em.value - c2 * ln(-ln(greatest(1e-9, least(1 - 1e-9, {phi('noise')})))), 5) AS value

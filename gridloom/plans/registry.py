@@ -132,9 +132,9 @@ def upsample_yearly(s, d):
     return rounded(P.upsample_yearly(E.ens_mean(global_means(s, d))).select("scenario", "year", "month", "value"))
 
 
-@query("SELECT cell_id, member, year, round(avg(value), 6) AS value FROM mon GROUP BY ALL")
+@query("SELECT cell_id, member, year, round(avg(value), 6) AS value FROM whole GROUP BY ALL")
 def resample_annual(s, d):
-    return rounded(P.resample_annual(V.monthly(s, d), ["cell_id", "member"]))
+    return rounded(P.resample_annual(V.monthly(s, d, "year"), ["cell_id", "member"]))
 
 
 @query("SELECT scenario, year, round(value, 6) AS value, round(value * value, 6) AS value2 FROM em")
@@ -436,12 +436,12 @@ def ar_order_scen_ens(s, d):
 
 
 def harmonic_rows(s, d):
-    mon = V.monthly(s, d)
+    mon = V.monthly(s, d, "year")
     return mon.join(P.resample_annual(mon, ["cell_id", "member"]).withColumnRenamed("value", "yearly"), ["cell_id", "member", "year"])
 
 
 # In whole years (sf0.01 and up) the harmonics are orthogonal: each year has its own two sums for a harmonic, and these are regressed on the yearly means.
-HARMONICS = """, hr AS (SELECT *, avg(value) OVER (PARTITION BY cell_id, member, year) AS yearly FROM mon), hs AS (
+HARMONICS = """, hr AS (SELECT *, avg(value) OVER (PARTITION BY cell_id, member, year) AS yearly FROM whole), hs AS (
 SELECT cell_id, member, year, k, any_value(yearly) AS yearly, sum((value - yearly) * cos(pi() * k * (month - 1) / 6)) / CASE WHEN k = 6 THEN 12 ELSE 6 END AS a, CASE WHEN k = 6 THEN 0 ELSE sum((value - yearly) * sin(pi() * k * (month - 1) / 6)) / 6 END AS b
 FROM hr, (SELECT CAST(unnest(range(1, 7)) AS BIGINT) AS k) GROUP BY cell_id, member, year, k),
 hc AS (SELECT cell_id, k, regr_slope(a, yearly) AS ca, regr_intercept(a, yearly) AS ia, regr_slope(b, yearly) AS cb, regr_intercept(b, yearly) AS ib FROM hs GROUP BY ALL),
