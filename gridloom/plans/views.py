@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LAT, LON = "CAST(-72 + 6 * cell_id AS DOUBLE)", "CAST((37 * cell_id) % 360 AS DOUBLE)"
@@ -22,6 +22,11 @@ def whole_orders(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     return orders.filter(F.col("o_orderdate").cast("date") < F.trunc(after, unit))
 
 
+def mean_price() -> Column:
+    """In units of 10,000. Prices are added up in cents, so that the order of the rows does not matter."""
+    return F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / (F.count("o_totalprice") * 1e6)
+
+
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annual means: scenario, member, year, cell_id, lat, lon, value. Cells are nations, members halves of customers. A last year that is not whole has no annual mean and is left out."""
     orders = whole_orders(spark, sf_dir, "year")
@@ -30,20 +35,17 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.year("o_orderdate") <= 1997, "historical").when(F.col("o_orderkey") % 2 == 0, "scen_a").otherwise("scen_b").alias("scenario"),
         F.concat(F.lit("r"), F.col("o_custkey") % 2).alias("member"), F.year("o_orderdate").cast("long").alias("year"), "cell_id", "o_totalprice",
     )
-    mean = rows.groupBy("scenario", "member", "year", "cell_id").agg((F.avg("o_totalprice") / 1e4).alias("value"))
+    mean = rows.groupBy("scenario", "member", "year", "cell_id").agg(mean_price().alias("value"))
     return mean.select("scenario", "member", "year", "cell_id", F.expr(LAT).alias("lat"), F.expr(LON).alias("lon"), "value")
 
 
 def monthly(spark: SparkSession, sf_dir: str, unit: str = "month") -> DataFrame:
-    """Monthly means of the regions: member, year, month, cell_id, value; all whole months, or those of whole years.
-
-    Prices are added up in cents, so that the order of the rows does not matter.
-    """
+    """Monthly means of the regions: member, year, month, cell_id, value; all whole months, or those of whole years."""
     orders = whole_orders(spark, sf_dir, unit)
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").cast("long").alias("cell_id"))
     rows = orders.join(customer, "o_custkey").join(F.broadcast(nation), "c_nationkey")  # a nation a row: 25
-    return rows.groupBy(F.concat(F.lit("r"), F.col("o_custkey") % 2).alias("member"), F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("month"), "cell_id").agg((F.sum(F.round(F.col("o_totalprice") * 100).cast("long")) / (F.count("o_totalprice") * 1e6)).alias("value"))
+    return rows.groupBy(F.concat(F.lit("r"), F.col("o_custkey") % 2).alias("member"), F.year("o_orderdate").cast("long").alias("year"), F.month("o_orderdate").cast("long").alias("month"), "cell_id").agg(mean_price().alias("value"))
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +67,7 @@ def islands(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ISLANDS, "x1 double, y1 double, x2 double, y2 double")
 
 
+MEAN = "CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(o_totalprice) * 1e6::DOUBLE)"
 CTE = f"""
 WITH RECURSIVE behind AS (SELECT CAST(max(o_orderdate) AS DATE) + 1 AS day FROM orders
 ), raw AS (
@@ -73,9 +76,9 @@ WITH RECURSIVE behind AS (SELECT CAST(max(o_orderdate) AS DATE) + 1 AS day FROM
          year(o_orderdate) < (SELECT year(day) FROM behind) AS in_whole_year
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE CAST(o_orderdate AS DATE) < (SELECT date_trunc('month', day) FROM behind)
 ), ens AS (
-  SELECT scenario, member, year, cell_id, {LAT} AS lat, {LON} AS lon, avg(o_totalprice) / 1e4 AS value
+  SELECT scenario, member, year, cell_id, {LAT} AS lat, {LON} AS lon, {MEAN} AS value
   FROM (SELECT *, nation AS cell_id, CASE WHEN year <= 1997 THEN 'historical' WHEN o_orderkey % 2 = 0 THEN 'scen_a' ELSE 'scen_b' END AS scenario FROM raw WHERE in_whole_year) GROUP BY ALL
-), mon AS (SELECT member, year, month, region AS cell_id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) / (count(o_totalprice) * 1e6::DOUBLE) AS value FROM raw GROUP BY ALL
+), mon AS (SELECT member, year, month, region AS cell_id, {MEAN} AS value FROM raw GROUP BY ALL
 ), whole AS (SELECT * FROM mon WHERE year < (SELECT year(day) FROM behind)
 ), wk AS (SELECT CAST(floor(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) / 7.0) AS BIGINT) AS week, avg(l_extendedprice) / 1e4 AS value FROM lineitem GROUP BY 1
 ), cell AS (SELECT cell_id, {LAT} AS lat, {LON} AS lon FROM (SELECT CAST(n_nationkey AS BIGINT) AS cell_id FROM nation)
