@@ -253,6 +253,40 @@ def test_top_products(spark):
     assert op2.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [(4, 16, 3), (1, 1, 1), (7, 50, 1000)])
+def test_top_products_over_shards(spark, sizes, monkeypatch):
+    """Small blocks, shards and groups: every query finds its best in other shards and widths, too."""
+    monkeypatch.setattr(op2, "GROUP_PARTS", 1)
+    monkeypatch.setattr(op2, "PAGE_GROUPS", 2)
+    rng = np.random.default_rng(1)
+    x = [[float(v) for v in rng.integers(-3, 4, rng.choice([3, 3, 3, 5]))] for _ in range(120)]
+    x[60:90] = [x[0]] * 30
+    block, shard, query = sizes
+    vectors = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>")
+    got = op2.top_products(vectors, every=10, k=4, scale=1, block_rows=block, shard_rows=shard, query_rows=query).collect()
+    for i in range(0, 120, 10):
+        best = sorted((-sum(int(a * b) for a, b in zip(x[i], x[j])), j) for j in range(120) if j != i)[:4]
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == i), key=lambda r: r["rank"])] == best
+    assert len(got) == 48
+
+
+def test_blocks_are_pruned():
+    """On clustered vectors most blocks of a query stay unvisited, and cells keep pace with the rows."""
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(80, 16)) * 100, 50, axis=0) + rng.normal(size=(4000, 16))
+    x = np.floor(x[rng.permutation(4000)]).astype(np.int64)
+    levels = op2.cell_levels(x[:1000].astype(float), 80)
+    x = x[np.argsort(op2.cells_of(x, levels), kind="stable")]
+    starts = np.arange(0, 4000, 32)
+    high, low = np.maximum.reduceat(x, starts), np.minimum.reduceat(x, starts)
+    best = op2.search(np.arange(0, 4000, 40), x[::40], np.full(100, op2.LOWEST), np.arange(4000), x, high, low, 5, 32)
+    assert best.visited < 0.15 * 100 * len(starts)
+    scores = x[::40] @ x.T
+    scores[np.arange(100), np.arange(0, 4000, 40)] = op2.LOWEST
+    assert (best.score == -np.sort(-scores, axis=1)[:, :5]).all()
+    assert [len(c) for c in op2.cell_levels(rng.normal(size=(4096, 4)), 70_000)] == [256, 256, 2]
+
+
 def test_token_files(spark, tmp_path):
     ids = np.array([5, 6, 0, 0, 7, 8, 9, 0, 1], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
