@@ -26,6 +26,8 @@ from .common import stored
 BLOCK_ROWS = 128
 SHARD_ROWS = 4096
 SHARD_BYTES = 64 << 20
+#: Shards and query blocks that one task is to score, about.
+TASK_BYTES = 32 << 20
 QUERY_ROWS = 512
 #: Partitions of about four shards in a group, and groups in a page.
 GROUP_PARTS = 16
@@ -250,7 +252,7 @@ def promising_shards(batches):
         for row in batch.to_pandas().itertuples():
             _, own, floor, q = unpack_queries(row)
             keep.append(bool((reached(q, floor, row, row.width).any(axis=1) & (own != row.shard)).any()))
-        yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("chunk")], ["shard", "chunk"]).filter(pa.array(keep, pa.bool_()))
+        yield batch.select(["shard", "chunk", "bytes"]).filter(pa.array(keep, pa.bool_()))
 
 
 def score_pairs(k: int, block_rows: int):
@@ -300,9 +302,11 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     boxes = grouped.select("page", "group", "width", "high", "low").groupBy("page", "width").applyInPandas(box_groups, "page long, width long, groups binary, high binary, low binary")
     pages = F.sequence(F.lit(0).cast("long"), F.lit((parts - 1) // (GROUP_PARTS * PAGE_GROUPS)).cast("long"))
     near = stored(queries.withColumn("page", F.explode(pages)).join(boxes, "page").mapInArrow(promising_groups, "chunk long, group long, width long"), "groups")
-    summaries = grouped.select("group", "width", "shard", "high", "low")
-    pairs = stored(near.join(summaries, ["group", "width"]).join(queries, "chunk").mapInArrow(promising_shards, "shard long, chunk long"), "pairs")
-    scored = pairs.join(shards, "shard").join(queries, "chunk").repartition(max(8, -(-pairs.count() // 4)), "shard", "chunk").select("ids", "x", "high", "low", "q_ids", "own", "floor", "q", "shard")
+    summaries = grouped.select("group", "width", "shard", F.length("x").alias("shard_bytes"), "high", "low")
+    asked = near.join(summaries, ["group", "width"]).join(queries, "chunk").withColumn("bytes", (F.col("shard_bytes") + F.length("q")).cast("long"))
+    pairs = stored(asked.mapInArrow(promising_shards, "shard long, chunk long, bytes long"), "pairs")
+    tasks = max(8, (pairs.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES)
+    scored = pairs.drop("bytes").join(shards, "shard").join(queries, "chunk").repartition(tasks, "shard", "chunk").select("ids", "x", "high", "low", "q_ids", "own", "floor", "q", "shard")
     scored = scored.mapInArrow(score_pairs(k, block_rows), "query_id long, vec_id long, score long")
     found = first.select("query_id", F.explode("found").alias("f")).select("query_id", "f.vec_id", "f.score").union(scored)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
