@@ -176,6 +176,33 @@ def collapse_scenarios(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+#: Scenarios are few and each is a part of the plan; more than this raise.
+MOST_SCENARIOS = 200
+
+
+def map_scenarios(df: DataFrame, function, *args, **kwargs) -> DataFrame:
+    """`function(part, *args, **kwargs)` of each scenario's rows, without the column scenario; the results in one table, with it.
+
+    The function takes and returns DataFrames, so a scenario's rows stay spread over the cluster; each part reads only its
+    rows of `df`, which should be stored where it is costly. Columns that some results lack are null there. A null scenario
+    is one of its own. Scenarios for which the function returns None are left out; it raises where none is left. Of an empty table the
+    function sees the empty table.
+    """
+    names = [r[0] for r in df.select("scenario").distinct().limit(MOST_SCENARIOS + 1).collect()]
+    if len(names) > MOST_SCENARIOS:
+        raise ValueError(f"more than {MOST_SCENARIOS} scenarios")
+    kind, out = df.schema["scenario"].dataType, None
+    for name in sorted(names, key=lambda n: (n is None, n if n is not None else "")) or [None]:
+        label = F.lit(name).cast(kind)
+        part = function(df.filter(F.col("scenario").eqNullSafe(label)).drop("scenario"), *args, **kwargs)
+        if part is not None:
+            part = part.select(label.alias("scenario"), *[F.col(f"`{c}`") for c in part.columns if c != "scenario"])
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("the function returned None for every scenario")
+    return out
+
+
 def broadcast_predictors(target: DataFrame, predictors: DataFrame) -> DataFrame:
     """Predictors of (scenario, year[, member]) beside every row of the target."""
     return target.join(predictors, [c for c in ("scenario", "year", "member") if c in predictors.columns])

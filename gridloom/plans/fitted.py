@@ -247,6 +247,12 @@ def emulate_extremes(s, d):
     return rounded(G.emulate_extremes(em, coefficients(s, d), GUMBEL, drawn, 1992), 5)
 
 
+@query("SELECT scenario, cell_id, round(regr_intercept(value, year - 1990), 5) AS intercept, round(regr_slope(value, year - 1990), 5) AS b_years FROM ens GROUP BY 1, 2")
+def scenario_trends(s, d):
+    rows = params.cut_lineage(V.ensemble(s, d).select("scenario", "cell_id", (F.col("year") - 1990).cast("double").alias("years"), "value"), "ensemble")
+    return rounded(E.map_scenarios(rows, M.linreg_fit, ["cell_id"], predictors=["years"], target="value"), 5)
+
+
 # Sources and streams
 
 

@@ -20,7 +20,7 @@ ONE = ["cell_id"]
 NORMAL = C.DistSpec("norm", {"loc": "c1 * tas", "scale": "c2"}, ("c1", "c2"))
 
 
-@pytest.mark.parametrize("name", ["distribution_cdf", "distribution_ppf", "evaluate_params", "ar_fit_lags", "validate_coefficients", "lambdas_from_covariates", "geodist", "quality_scores_logistic", "lowess_robust", "emulate_extremes", "probability_transform", "write_read_params", "read_members", "read_aerosol_series", "score_stream", "windowed_means_stream"])
+@pytest.mark.parametrize("name", ["distribution_cdf", "distribution_ppf", "evaluate_params", "ar_fit_lags", "validate_coefficients", "lambdas_from_covariates", "geodist", "quality_scores_logistic", "lowess_robust", "emulate_extremes", "scenario_trends", "probability_transform", "write_read_params", "read_members", "read_aerosol_series", "score_stream", "windowed_means_stream"])
 def test_query(spark, duck, name):  # noqa: F811
     same(spark, duck, name, SF)
 
@@ -211,6 +211,48 @@ def test_emulate_monthly(spark):
     assert [v for _, _, v in got] == pytest.approx([10 * (1 + t // 12) + t / 10 for t in range(24)])
 
 
+def test_emulate_monthly_restated(spark):
+    """Cycles of two and one orders, lambdas of both kinds and draws of both signs, by a plain restatement."""
+    rng = np.random.default_rng(4)
+    coeffs = {7: rng.normal(0, 1, 8), 8: rng.normal(0, 1, 4)}
+    xi = {(c, m): (float(rng.uniform(0.5, 3)), float(rng.uniform(-0.1, 0.1)) if m % 2 else None) for c in coeffs for m in range(1, 13)}
+    xi = {k: (a if b is not None else min(a, 1.9), b) for k, (a, b) in xi.items()}
+    year = {(c, y): float(rng.normal(10, 2)) for c in coeffs for y in (2000, 2001)}
+    x = {(c, r, t): float(rng.normal(0, 0.4)) for c in coeffs for r in (0, 1) for t in range(24)}
+
+    def value(c, r, t):
+        y, m, total = year[c, 2000 + t // 12], t % 12 + 1, 0.0
+        for k in range(len(coeffs[c]) // 4):
+            a, b, d, e = coeffs[c][4 * k : 4 * k + 4]
+            angle = 2 * math.pi * (k + 1) * (m - 1) / 12
+            total += (a * y + b) * math.cos(angle) + (d * y + e) * math.sin(angle)
+        xi0, xi1 = xi[c, m]
+        lam, draw = xi0 if xi1 is None else 2 / (1 + xi0 * math.exp(xi1 * y)), x[c, r, t]
+        back = (draw * lam + 1) ** (1 / lam) - 1 if draw >= 0 else 1 - (1 - (2 - lam) * draw) ** (1 / (2 - lam))
+        return y + total + back
+
+    yearly = spark.createDataFrame([("s", y, c, v) for (c, y), v in year.items()], "scenario string, year long, cell_id long, yearly double")
+    cycle = spark.createDataFrame([(c, v.tolist()) for c, v in coeffs.items()], "cell_id long, coeffs array<double>")
+    power = spark.createDataFrame([(*k, *v) for k, v in xi.items()], "cell_id long, month long, xi0 double, xi1 double")
+    local = spark.createDataFrame([("s", r, t, c, v) for (c, r, t), v in x.items()] + [("s", 0, 24, 7, 0.0)], "scenario string, realisation int, t int, cell_id long, x double")
+    got = {(r.cell_id, r.realisation, 12 * (r.year - 2000) + r.month - 1): r.value for r in G.emulate_monthly(yearly, cycle, power, local, 2000).collect()}
+    assert got == {k: pytest.approx(value(*k), abs=1e-9) for k in x}  # the 25th month has no yearly value
+
+
+def test_map_scenarios(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0), (None, 7.0)], "scenario string, value double")
+    shift = lambda part, by, scale=1: part.agg((F.avg("value") * scale + by).alias("v"))
+    assert {(r.scenario, r.v) for r in E.map_scenarios(df, shift, 1, scale=2).collect()} == {("a", 5.0), ("b", 11.0), (None, 15.0)}
+    some = E.map_scenarios(df.dropna(), lambda part: part.withColumn("x", F.lit(1)) if part.count() > 1 else part)
+    assert {tuple(r) for r in some.collect()} == {("a", 1.0, 1), ("a", 3.0, 1), ("b", 5.0, None)}
+    assert [tuple(r) for r in E.map_scenarios(df, lambda part: part if part.count() > 1 else None).collect()] == [("a", 1.0), ("a", 3.0)]
+    assert E.map_scenarios(df.filter("false"), lambda part: part).columns == ["scenario", "value"]
+    with pytest.raises(ValueError):
+        E.map_scenarios(df, lambda part: None)
+    with pytest.raises(ValueError):
+        E.map_scenarios(spark.range(201).selectExpr("id AS scenario"), lambda part: part)
+
+
 def test_ar_fit_lags(spark):
     y = np.arange(30) + np.random.default_rng(0).normal(0, 1, 30)
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(y)] + [(2, 0, 1.0), (2, 1, 2.0)], "k int, t int, value double")
