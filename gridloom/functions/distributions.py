@@ -30,6 +30,15 @@ def standard_normal_ppf(p: pd.Series) -> pd.Series:
     return pd.Series([inverse(v) if 0 < v < 1 else ends.get(v, math.nan) for v in p], dtype="float64")
 
 
+def log_from_zero(x: Column) -> Column:
+    """The logarithm, minus infinity at zero, where Spark's is null. Quantiles at the probabilities 0 and 1 are then the ends of the support."""
+    return F.when(x == 0, F.lit(-math.inf)).otherwise(F.log(x))
+
+
+def log1p_from_zero(x: Column) -> Column:
+    return F.when(x == -1, F.lit(-math.inf)).otherwise(F.log1p(x))
+
+
 def norm_cdf(x: Column, loc: Column, scale: Column) -> Column:
     return standard_normal_cdf((x - loc) / scale)
 
@@ -54,7 +63,7 @@ def gumbel_cdf(x: Column, loc: Column, scale: Column) -> Column:
 
 
 def gumbel_ppf(p: Column, loc: Column, scale: Column) -> Column:
-    return loc - scale * F.log(-F.log(p))
+    return loc - scale * log_from_zero(-log_from_zero(p))
 
 
 def logistic_logpdf(x: Column, loc: Column, scale: Column) -> Column:
@@ -67,7 +76,7 @@ def logistic_cdf(x: Column, loc: Column, scale: Column) -> Column:
 
 
 def logistic_ppf(p: Column, loc: Column, scale: Column) -> Column:
-    return loc + scale * F.log(p / (1 - p))
+    return loc + scale * F.when(p == 1, F.lit(math.inf)).otherwise(log_from_zero(p / (1 - p)))
 
 
 def laplace_logpdf(x: Column, loc: Column, scale: Column) -> Column:
@@ -80,7 +89,7 @@ def laplace_cdf(x: Column, loc: Column, scale: Column) -> Column:
 
 
 def laplace_ppf(p: Column, loc: Column, scale: Column) -> Column:
-    return loc + scale * F.when(p < 0.5, F.log(2 * p)).otherwise(-F.log(2 * (1 - p)))
+    return loc + scale * F.when(p < 0.5, log_from_zero(2 * p)).otherwise(-log_from_zero(2 * (1 - p)))
 
 
 def expon_logpdf(x: Column, loc: Column, scale: Column) -> Column:
@@ -92,7 +101,7 @@ def expon_cdf(x: Column, loc: Column, scale: Column) -> Column:
 
 
 def expon_ppf(p: Column, loc: Column, scale: Column) -> Column:
-    return loc - scale * F.log1p(-p)
+    return loc - scale * log1p_from_zero(-p)
 
 
 def weibull_min_logpdf(x: Column, loc: Column, scale: Column, c: Column) -> Column:
@@ -106,7 +115,7 @@ def weibull_min_cdf(x: Column, loc: Column, scale: Column, c: Column) -> Column:
 
 
 def weibull_min_ppf(p: Column, loc: Column, scale: Column, c: Column) -> Column:
-    return loc + scale * F.pow(-F.log1p(-p), 1 / c)
+    return loc + scale * F.pow(-log1p_from_zero(-p), 1 / c)
 
 
 def genextreme_logpdf(x: Column, loc: Column, scale: Column, c: Column) -> Column:
@@ -124,7 +133,7 @@ def genextreme_cdf(x: Column, loc: Column, scale: Column, c: Column) -> Column:
 
 
 def genextreme_ppf(p: Column, loc: Column, scale: Column, c: Column) -> Column:
-    return F.when(F.abs(c) < TINY, gumbel_ppf(p, loc, scale)).otherwise(loc + scale * -F.expm1(c * F.log(-F.log(p))) / c)
+    return F.when(F.abs(c) < TINY, gumbel_ppf(p, loc, scale)).otherwise(loc + scale * -F.expm1(c * log_from_zero(-log_from_zero(p))) / c)
 
 
 #: name: (log density, distribution function, quantile function), each of (x or p, loc, scale[, c]).

@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from gridloom.operators import ensemble as E
 from gridloom.operators import fits as M
 from gridloom.operators import generate as G
 from gridloom.operators import geodesic as J
+from gridloom.plans.registry import ORACLES, QUERIES
 from gridloom.sources import members, params
 
 ONE = ["cell_id"]
@@ -36,6 +38,32 @@ def test_geodist(spark):
     assert J.geodist(cells.filter("false")).count() == 0
 
 
+ENDS = {"norm": (-math.inf, math.inf), "gumbel_r": (-math.inf, math.inf), "logistic": (-math.inf, math.inf), "laplace": (-math.inf, math.inf), "expon": (2.0, math.inf), "weibull_min": (2.0, math.inf)}
+
+
+@pytest.mark.parametrize("name, shape, ends", [*[(n, [1.5] if n == "weibull_min" else [], e) for n, e in ENDS.items()], ("genextreme", [0.2], (-math.inf, 9.5)), ("genextreme", [-0.2], (-5.5, math.inf)), ("genextreme", [0.0], (-math.inf, math.inf))])
+def test_quantiles_at_the_ends(spark, name, shape, ends):
+    """Quantiles of 0 and 1 are the ends of the support, of null null; loc 2, scale 1.5."""
+    df = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, None)], "i int, p double")
+    q = D.DISTRIBUTIONS[name][2](F.col("p"), F.lit(2.0), F.lit(1.5), *map(F.lit, shape))
+    assert [r.q for r in df.select("i", q.alias("q")).orderBy("i").collect()] == [*map(pytest.approx, ends), None]
+
+
+def test_distribution_ppf_of_large_values(spark, tmp_path):
+    """Values so far out that their probability is 1, or 0, in doubles."""
+    c = duckdb.connect()
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01', 'view', CAST({v} AS DOUBLE))" for i, v in enumerate([0.0, 20.0, 500.0, 600.0, 1e5, -700.0, -1e5, "NULL"]))
+    c.execute(f"create view events as from (values {rows}) t(user_id, ts, event_type, value)")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = {r.user_id: [r[n] for n in ("logistic", "gumbel_r", "laplace", "expon", "weibull_min", "genextreme")] for r in QUERIES["distribution_ppf"](spark, str(tmp_path)).collect()}
+    other = {r[0]: list(r[3:]) for r in c.execute(ORACLES["distribution_ppf"]).fetchall()}
+    assert found.keys() == other.keys() and found[7] == other[7] == [None] * 6
+    for i in range(7):
+        assert found[i] == pytest.approx(other[i], abs=1e-5)
+
+
 def far_apart(spark, n):
     return spark.createDataFrame([(i, j, 0.0 if i == j else 1e6) for i in range(n) for j in range(n)], "cell_i long, cell_j long, km double")
 
