@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..sources.params import cut_lineage
-from .search import BROADCAST_KEYS
+from .search import BROADCAST_KEYS, next_state
 
 #: Members for each coefficient, least members; share of a step's components that is taken over; equal scores, as a share.
 MEMBERS, LEAST_MEMBERS, CROSSED, EQUAL = 6, 20, 0.9, 1e-12
-#: Generations in one job; after each job the population is stored and tested.
-GENERATIONS_A_JOB = 8
+#: Generations between tests of the population, which is stored after each.
+GENERATIONS_A_TEST = 8
 
 
 def begun(x: np.ndarray, h: np.ndarray, members: int, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
@@ -80,17 +80,15 @@ def evolve(rows: DataFrame, start: DataFrame, keys: list[str], objective: Callab
         return run
 
     state = cut_lineage(first.mapInPandas(open_, schema), "population")
-    small = state.count() * n <= BROADCAST_KEYS
+    size = state.count() * n
     points = [[f"__t[{i * d + j}]" for j in range(d)] for i in range(n)]
     found = [*[F.first(c).alias(c) for c in arrays], *[objective(p).cast("double").alias(f"__s{i}") for i, p in enumerate(points)]]
     low = F.array_min("__f")
     for k in range(generations):
-        scored = rows.join(F.broadcast(state) if small else state, on).groupBy(*keys).agg(*found)
-        state = scored.mapInPandas(step(k), schema)
-        if (k + 1) % GENERATIONS_A_JOB == 0 or k + 1 == generations:
-            state = cut_lineage(state, "population")
-            if not state.filter(~(F.array_max("__f") - low <= EQUAL * (F.abs(low) + 1))).limit(1).count():
-                break
+        scored = rows.join(F.broadcast(state) if size <= BROADCAST_KEYS else state, on).groupBy(*keys).agg(*found)
+        state = next_state(state, scored, size, step(k), "population")
+        if (k + 1) % GENERATIONS_A_TEST == 0 and k + 1 < generations and not state.filter(~(F.array_max("__f") - low <= EQUAL * (F.abs(low) + 1))).limit(1).count():
+            break
     at = F.array_position("__f", low).cast("int") - 1
     members_ = [F.col("__pop")[at * d + j] for j in range(d)]
     return state.select(*keys, F.when(low < math.inf, F.array(*members_)).otherwise(F.slice("__pop", 1, d)).alias("x"), low.alias("score"))

@@ -9,14 +9,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.params import cut_lineage
+from ..sources.params import cut_lineage, forget
 
 #: Factors by which a step shrinks or grows, and the share of |x| + 1 under which a step has converged.
 SHRINK, GROW, CLOSE = 0.25, 2.0, 1e-6
-#: Rounds in one job; after each job the state is stored and tested.
-ROUNDS_A_JOB = 4
+#: Rounds between tests of the state. It is stored after each round: plans of several rounds take longer to make than their jobs to run.
+ROUNDS_A_TEST = 4
 #: The state (three numbers a coefficient) of up to this many keys is broadcast to the rows; beyond it the join shuffles.
 BROADCAST_KEYS = 100_000
+#: Rows of points of the state in one task, so that a round's tasks follow the state, whatever the number of shuffle partitions.
+POINTS_A_TASK = 20_000
+
+
+def next_state(old: DataFrame, scored: DataFrame, points: int, step: Callable, label: str = "state") -> DataFrame:
+    """The state after `step`, stored, from the scores of its `points` (of all keys together); the files of the `old` one go."""
+    new = cut_lineage(scored.coalesce(max(1, -(-points // POINTS_A_TASK))).mapInPandas(step, old.schema), label)
+    forget(old)
+    return new
 
 
 def stencil_signs(d: int) -> list[dict[int, int]]:
@@ -93,7 +102,7 @@ def minimise(rows: DataFrame, start: DataFrame, keys: list[str], objective: Call
     h0 = [F.col("h")[i].cast("double") for i in range(d)]
     names = [f"__{p}{i}" for p in "xhg" for i in range(d)]
     state = cut_lineage(start.select(*keys, *[c.alias(n) for c, n in zip(x0 + h0 + x0, names)], F.lit(math.inf).alias("__score")))
-    schema, small = state.schema, state.count() <= BROADCAST_KEYS
+    size = state.count()
 
     def at(i: int, sign: int) -> str:
         text = f"(__x{i} {'+' if sign > 0 else '-'} __h{i})" if sign else f"__x{i}"
@@ -105,10 +114,8 @@ def minimise(rows: DataFrame, start: DataFrame, keys: list[str], objective: Call
     step = advance(d, lower, upper)
     open_ = " OR ".join(f"__h{i} > {2 * CLOSE} * (abs(__x{i}) + 1)" for i in range(d))
     for k in range(rounds):
-        scored = rows.join(F.broadcast(state) if small else state, on).groupBy(*keys).agg(*found)
-        state = scored.mapInPandas(step, schema)
-        if (k + 1) % ROUNDS_A_JOB == 0 or k + 1 == rounds:
-            state = cut_lineage(state)
-            if not state.filter(open_).limit(1).count():
-                break
+        scored = rows.join(F.broadcast(state) if size <= BROADCAST_KEYS else state, on).groupBy(*keys).agg(*found)
+        state = next_state(state, scored, size * len(points), step)
+        if (k + 1) % ROUNDS_A_TEST == 0 and k + 1 < rounds and not state.filter(open_).limit(1).count():
+            break
     return state.select(*keys, F.array(*[f"__x{i}" for i in range(d)]).alias("x"), F.col("__score").alias("score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import conditional as C
 from gridloom.operators.population import evolve
+from gridloom.operators.search import minimise
 
 EXPON = C.DistSpec("expon", {"loc": "a", "scale": "b"}, ("a", "b"))
 NORMAL = C.DistSpec("norm", {"loc": "c1 * tas + c3", "scale": "c2"}, ("c1", "c2", "c3"))
@@ -85,3 +86,20 @@ def test_smoothed_second_fit(spark):
     bad = guess.withColumn("a", F.when(F.col("cell_id") == 0, 60.0).otherwise(1.0))
     fit = {r.cell_id: r for r in C.conditional_fit(df, bad, EXPON, ["cell_id"], rounds=4, fallback=guess).collect()}
     assert fit[0].score < math.inf and fit[0].a <= 1.5 and fit[2].score < math.inf
+
+
+def test_tasks_follow_the_state(spark):
+    """A round's last stage has as many tasks as the keys' state needs, whatever the number of shuffle partitions."""
+    rows = spark.range(160).select((F.col("id") % 16).alias("k"), (F.col("id") % 7).cast("double").alias("value"))
+    begin = rows.select("k").distinct().select("k", F.array(F.lit(1.0)).alias("x"), F.array(F.lit(0.5)).alias("h"))
+    given = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {c: spark.conf.get(c) for c in given}
+    try:
+        for c, v in given.items():
+            spark.conf.set(c, v)
+        for search in (minimise, evolve):
+            found = search(rows, begin, ["k"], lambda v: F.sum((F.col("value") - F.expr(v[0])) ** 2), [(-10.0, 10.0)], 2)
+            assert len(found.inputFiles()) == 1 and found.count() == 16
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
