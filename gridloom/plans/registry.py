@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -30,8 +32,14 @@ def query(sql: str | None = None):
     return add
 
 
+def as_sql_rounds(x: Column, digits: int) -> Column:
+    """Scaled in doubles, then halves away from zero, as DuckDB rounds; F.round goes by the decimal digits, which at a tie may end otherwise."""
+    scale = 10.0**digits
+    return F.when(F.abs(x) <= sys.float_info.max / scale, F.round(x * scale) / scale + 0.0).otherwise(x)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[as_sql_rounds(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def anomalies(s, d):

@@ -64,6 +64,18 @@ def test_distribution_ppf_of_large_values(spark, tmp_path):
         assert found[i] == pytest.approx(other[i], abs=1e-5)
 
 
+def test_distribution_ppf_at_ties(spark, tmp_path):
+    """Values of seven decimals, whose logistic quantile lies halfway between two roundings."""
+    c = duckdb.connect()
+    rows = ", ".join(f"({i}, TIMESTAMP '2024-01-01', 'view', CAST({v} AS DOUBLE))" for i, v in enumerate([0.5001125, 0.5005175, 0.5046875, 0.5100725, 0.5142425]))
+    c.execute(f"create view events as from (values {rows}) t(user_id, ts, event_type, value)")
+    c.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    found = {r.user_id: r.logistic for r in QUERIES["distribution_ppf"](spark, str(tmp_path)).collect()}
+    assert found == {r[0]: r[3] for r in c.execute(ORACLES["distribution_ppf"]).fetchall()}
+
+
 def far_apart(spark, n):
     return spark.createDataFrame([(i, j, 0.0 if i == j else 1e6) for i in range(n) for j in range(n)], "cell_i long, cell_j long, km double")
 

@@ -11,7 +11,7 @@ from gridloom.operators import fits as M
 from gridloom.operators import generate as G
 from gridloom.operators import grid as P
 from gridloom.operators import harmonic as H
-from gridloom.plans.registry import ORACLES, QUERIES
+from gridloom.plans.registry import ORACLES, QUERIES, rounded
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,6 +54,17 @@ def test_query(spark, duck, name):
     same(spark, duck, name, SF)
 
 
+def test_rounding_at_ties(spark):
+    """To the last bit as DuckDB rounds: halves of the last digit, whose doubles lie on either side of it, and what cannot be scaled."""
+    x = [s * n / 2e6 for n in range(1, 400000, 194) for s in (1, -1)] + [0.0009975, 0.2512445, -1.2999924999999999, 0.0, 1e12 + 0.5, 1e305, -1e305, float("inf"), None]
+    df = spark.createDataFrame(list(enumerate(x)), "i int, x double")
+    c = duckdb.connect()
+    for digits in (2, 6):
+        found = {r.i: r.x for r in rounded(df, digits).collect()}
+        assert found == {i: c.execute(f"select round(?::double, {digits})", [v]).fetchone()[0] for i, v in enumerate(x)}
+    assert rounded(df.select(F.lit(float("nan")).alias("x"))).filter("isnan(x)").count() == len(x)
+
+
 def values(spark, rows, schema, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
